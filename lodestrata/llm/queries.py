@@ -5,29 +5,62 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lodestrata.llm import decontam, quality, simhash
+from lodestrata.llm import decontam, html_extract, langid, mixing, quality, secrets, simhash, token_counts, warc
 from lodestrata.llm.common import table
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.findings(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "finding", "at", F.col("length").cast("long").alias("length"), F.sha2("value", 256).alias("value_sha256"), "transitions", "coverage", "score", "secret")
+
+
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.held_out_predictions(table(spark, sf_dir, "documents"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(table(spark, sf_dir, "pages"))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.histogram(token_counts.encoded_lengths(table(spark, sf_dir, "documents"), keep=()))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
+
+
 def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
+    "op2_secrets": op2_secrets,
+    "op3_langid": op3_langid,
     "op5_quality": op5_quality,
+    "op6_html": op6_html,
+    "op7_token_counts": op7_token_counts,
     "op8_simhash": op8_simhash,
+    "op9_mixing": op9_mixing,
     "op10_decontam": op10_decontam,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_warc": warc.SQL,
     "op10_decontam": decontam.SQL,
 }
