@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import decontam, html_extract, langid, mixing, quality, secrets, simhash, token_counts, warc
+from lodestrata.llm import decontam, html_extract, langid, lblm, mixing, quality, secrets, simhash, token_counts, warc
 from lodestrata.llm.common import table
 
 
@@ -24,6 +24,10 @@ def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.held_out_predictions(table(spark, sf_dir, "documents"))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lblm.held_out_scores(table(spark, sf_dir, "documents"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_secrets": op2_secrets,
     "op3_langid": op3_langid,
+    "op4_lm_scoring": op4_lm_scoring,
     "op5_quality": op5_quality,
     "op6_html": op6_html,
     "op7_token_counts": op7_token_counts,
