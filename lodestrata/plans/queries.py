@@ -1,4 +1,6 @@
 """The registered queries of the panel engine and their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from lodestrata.plans import relational
+from lodestrata.plans.base import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES", "relational"]
