@@ -62,6 +62,25 @@ def with_columns(batch: pa.RecordBatch, keep: Iterable[str], **more: pa.Array) -
     return pa.RecordBatch.from_arrays(arrays, names=[*keep, *more])
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores added until df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def without_clash(df: DataFrame, reserved: Iterable[str]) -> DataFrame:
+    """df with columns of reserved names renamed; positions stay."""
+    clash = {r.lower() for r in reserved}
+    names = [fresh(df, f"own_{c}")[0] if c.lower() in clash else c for c in df.columns]
+    return df.toDF(*names)
+
+
 def scan(df: DataFrame, function, schema: str, *columns: str) -> DataFrame:
     """Run function(batch) -> RecordBatch over the named columns, batch by batch."""
     bounded_batches(df.sparkSession)

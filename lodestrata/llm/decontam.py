@@ -28,9 +28,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import scan, texts
+from lodestrata.llm.common import scan, texts, without_clash
 
 WINDOW = 10
+OUTPUT = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans")
 #: Largest text of a benchmark, in bytes, that one automaton holds in a worker.
 AUTOMATON_BYTES = 8_000_000
 
@@ -171,8 +172,9 @@ def _joined(docs: DataFrame, bench: DataFrame, window: int, keep: tuple[str, ...
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents without a hit word, with the columns of docs."""
-    keep = tuple(docs.columns)
-    return contamination(docs, benchmark, window, keep=keep).where(~F.col("contaminated")).select(*keep)
+    own = without_clash(docs, OUTPUT)
+    keep = tuple(own.columns)
+    return contamination(own, benchmark, window, keep=keep).where(~F.col("contaminated")).select(*keep).toDF(*docs.columns)
 
 
 SQL = r"""

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import WORD_PATTERN, bounded_batches, written
+from lodestrata.llm.common import WORD_PATTERN, bounded_batches, fresh, written
 
 #: Fixed values of the contract.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -133,8 +133,10 @@ def mix(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), block: int = BLOCK
 
 def take(docs: DataFrame) -> DataFrame:
     """The mixed documents: the columns of docs and ``copies``, how often each is taken
-    (1 or more). Wholly equal rows become one row with the sum of their copies."""
-    keyed = docs.withColumns({"_k": F.xxhash64("doc_id", "text", "source"), "_j": F.hash("text", "source", "doc_id")})
-    plan = mix(keyed, keep=("_k", "_j")).groupBy("_k", "_j").agg(F.sum("copies").alias("_copies")).where("_copies > 0")
-    taken = keyed.join(plan, ["_k", "_j"]).dropDuplicates(["_k", "_j"])
-    return taken.select(*[c for c in docs.columns if c != "copies"], F.col("_copies").alias("copies"))
+    (1 or more). Rows equal in doc_id, text and source become one with the sum of their
+    copies; a column of docs named copies gives way to the new one."""
+    k, j, n = fresh(docs, "_k", "_j", "_copies")
+    keyed = docs.withColumns({k: F.xxhash64("doc_id", "text", "source"), j: F.hash("text", "source", "doc_id")})
+    plan = mix(keyed, keep=(k, j)).groupBy(k, j).agg(F.sum("copies").alias(n)).where(F.col(n) > 0)
+    taken = keyed.join(plan, [k, j]).dropDuplicates([k, j])
+    return taken.select(*[c for c in docs.columns if c.lower() != "copies"], F.col(n).alias("copies"))

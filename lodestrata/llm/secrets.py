@@ -24,7 +24,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import written
+from lodestrata.llm.common import fresh, written
 
 CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+={0,2}"
 CONTEXT = 48
@@ -168,16 +168,17 @@ def redact(docs: DataFrame, scanner: Scanner | None = None) -> DataFrame:
     """Every secret replaced by MASK, n_chars set anew; all documents stay."""
     scanner = scanner or train(docs)
     gaps = F.split("text", CANDIDATE, -1)
-    hidden = F.transform("_f", lambda f: F.when(f["secret"], F.lit(MASK)).otherwise(f["value"]))
+    found = fresh(docs, "_f")[0]
+    hidden = F.transform(found, lambda f: F.when(f["secret"], F.lit(MASK)).otherwise(f["value"]))
     pieces = F.zip_with(gaps, hidden, lambda gap, value: F.concat(gap, F.coalesce(value, F.lit(""))))
-    clean = F.when(F.exists("_f", lambda f: f["secret"]), F.array_join(pieces, "")).otherwise(F.col("text"))
-    marked = docs.withColumn("_f", scanner.judged(scanner.candidates()))
+    clean = F.when(F.exists(found, lambda f: f["secret"]), F.array_join(pieces, "")).otherwise(F.col("text"))
+    marked = docs.withColumn(found, scanner.judged(scanner.candidates()))
     columns = []
     for c in docs.columns:
         if c == "text":
             columns.append(clean.alias("text"))
         elif c == "n_chars":
-            columns.append(F.when(F.exists("_f", lambda f: f["secret"]), F.char_length(clean)).otherwise(F.col("n_chars")).cast("long").alias("n_chars"))
+            columns.append(F.when(F.exists(found, lambda f: f["secret"]), F.char_length(clean)).otherwise(F.col("n_chars")).cast("long").alias("n_chars"))
         else:
             columns.append(F.col(c))
     return marked.select(*columns)

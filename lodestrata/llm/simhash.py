@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import bounded_batches, scan, texts, words, written
+from lodestrata.llm.common import bounded_batches, fresh, scan, texts, words, written
 
 SHINGLE_WORDS = 4
 MAX_BITS = 4
@@ -226,15 +226,15 @@ def near_duplicates(docs: DataFrame, **options) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each component stays, the one of the smallest (doc_id, text),
     null ids last; of wholly equal rows, one. Returns the columns of docs."""
-    keyed = docs.withColumns({"_k": F.xxhash64("doc_id", "text"), "_j": F.hash("text", "doc_id")})
+    k, j = fresh(docs, "_k", "_j")
+    keyed = docs.withColumns({k: F.xxhash64("doc_id", "text"), j: F.hash("text", "doc_id")})
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         fp = pa.array([fingerprint(t) for t in texts(batch)], pa.int64())
-        names = ["doc_id", "_k", "_j"]
-        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), fp], names=[*names, "fp"])
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", k, j)), fp], names=["doc_id", "_k", "_j", "fp"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    prints = written(scan(keyed, run, f"doc_id {id_type}, _k long, _j int, fp long", "doc_id", "_k", "_j", "text"))
+    prints = written(scan(keyed, run, f"doc_id {id_type}, _k long, _j int, fp long", "doc_id", k, j, "text"))
     chosen = classes(prints).groupBy("root").agg(F.min(F.struct(F.isnull("doc_id"), "doc_id", "_k", "_j")).alias("c"))
-    chosen = chosen.select("c._k", "c._j")
-    return keyed.join(chosen, ["_k", "_j"], "left_semi").dropDuplicates(["_k", "_j"]).select(*docs.columns)
+    chosen = chosen.select(F.col("c._k").alias(k), F.col("c._j").alias(j))
+    return keyed.join(chosen, [k, j], "left_semi").dropDuplicates([k, j]).select(*docs.columns)
