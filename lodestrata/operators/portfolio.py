@@ -17,10 +17,10 @@ def equal_weight(assets: DataFrame, cap: float | None = None) -> DataFrame:
 
 def class_equal_weight(assets: DataFrame, classes: DataFrame) -> DataFrame:
     """1 / (number of classes x assets of the class); an asset without a class fails."""
-    joined = assets.join(classes, "asset", "left")
+    known = F.coalesce("asset_class", F.raise_error(F.lit("asset without a class")).cast("string"))
+    joined = assets.join(classes, "asset", "left").withColumn("asset_class", known)
     per_class = joined.groupBy("as_of", "asset_class").agg(F.count("*").alias("n")).withColumn("k", F.count("*").over(Window.partitionBy("as_of")))
-    known = F.coalesce(F.assert_true(F.col("asset_class").isNotNull(), "asset without a class").cast("boolean"), F.lit(True))
-    return joined.where(known).join(per_class, ["as_of", "asset_class"]).select("as_of", "asset", (1.0 / (F.col("k") * F.col("n"))).alias("weight"))
+    return joined.join(per_class, ["as_of", "asset_class"]).select("as_of", "asset", (1.0 / (F.col("k") * F.col("n"))).alias("weight"))
 
 
 def capped_proportional(scores: DataFrame, cap: float) -> DataFrame:

@@ -1,6 +1,6 @@
 """The registered queries of the panel engine and their SQL."""
 
-from lodestrata.plans import relational, research
+from lodestrata.plans import extra, relational, research, streams
 from lodestrata.plans.base import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "relational", "research"]
+__all__ = ["ORACLE_SQL", "QUERIES", "extra", "relational", "research", "streams"]
