@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions.stats import decayed
-from lodestrata.operators import asof, backtest, estimators, kernels, portfolio, resampling
+from lodestrata.operators import asof, backtest, estimators, kernels, portfolio
 from lodestrata.plans.base import CAP, MEAN_HALF_LIFE, PER_YEAR, VOL, W, Tables, query
 from lodestrata.plans.config import complete_strategies
 from lodestrata.plans.research import _BOOKS, _CORR, _EQ, _GROW, _INV, _MEANS, _MET_DOUBLES, _METRICS, _PATHS, _books, _clusters, _execs, _inverse, _means, _paths, _scenarios
@@ -192,18 +192,6 @@ def _(t: Tables) -> DataFrame:
     return both.groupBy("as_of", "cluster").agg(F.sum(F.col("b") - F.col("a")).alias("d")).groupBy("as_of").agg(F.sum(F.abs("d")).alias("cluster_l1"))
 
 
-@query("INF06_inference_driver", digits=6)
-def _(t: Tables) -> DataFrame:
-    """Sharpe intervals of the simulated strategies with deflated probabilities."""
-    folder = panels.work_dir(t.spark)  # the paths are read three times
-    _paths(t, [5.0]).write.parquet(folder)
-    paths = t.spark.read.parquet(folder)
-    series = paths.withColumn("pos", F.row_number().over(Window.partitionBy("strategy").orderBy("date")) - 1).select("strategy", "pos", F.col("net_return").alias("ret"))
-    stats = resampling.replicate_statistics(series, resampling.lcg_indices(t.spark, 200, 10, 100), PER_YEAR, 3.0)
-    dsr = resampling.deflated_sharpe(series.select("strategy", "ret"), PER_YEAR, 3)
-    return resampling.intervals(stats, 0.95, metrics=["sharpe"]).join(dsr.select("strategy", "sharpe", "probability"), "strategy")
-
-
 @query("TAB01_overlapping_risk", _BOOKS + ", rk AS (SELECT strategy, h.as_of, stddev_samp(r) AS risk FROM (SELECT strategy, h.as_of, date, sum(weight * ret) AS r FROM book b JOIN hold h ON h.as_of = b.as_of AND h.asset = b.asset GROUP BY 1, 2, 3) h GROUP BY 1, 2 HAVING count(*) > 1), rr AS (SELECT strategy, min(risk) AS lo, max(risk) AS hi FROM rk GROUP BY 1) FINAL SELECT strategy, lo, hi, (SELECT max(lo) FROM rr) AS common_lo, (SELECT min(hi) FROM rr) AS common_hi FROM rr", "lo hi common_lo common_hi")
 def _(t: Tables) -> DataFrame:
     r = _books(t).join(t.hold, ["as_of", "asset"]).groupBy("strategy", "as_of", "date").agg(F.sum(F.col("weight") * F.col("ret")).alias("r"))
