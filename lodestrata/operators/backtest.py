@@ -59,12 +59,13 @@ def cost_factors(execs: DataFrame, costs: DataFrame) -> DataFrame:
     return both.select("strategy", "as_of", "cost_bps", cost_factor(F.col("x.weight"), F.col("x.drifted"), rate).alias("phi"), "gross_turnover")
 
 
-def wealth(weights: DataFrame, panel: DataFrame, schedule: DataFrame, costs: DataFrame) -> DataFrame:
+def wealth(weights: DataFrame, panel: DataFrame, schedule: DataFrame, costs: DataFrame, once=lambda df: df) -> DataFrame:
     """Daily paths: strategy, cost_bps, date, gross_wealth, net_wealth, gross_return,
-    net_return, transaction_cost (share of net wealth before the trade)."""
-    growths = asset_growth(panel, schedule)
-    books = book_growth(weights, growths)
-    phis = cost_factors(executions(weights, growths, schedule), costs)
+    net_return, transaction_cost (share of net wealth before the trade). once may write
+    a frame that is read again."""
+    growths = once(asset_growth(panel, schedule))
+    books = once(book_growth(weights, growths))
+    phis = once(cost_factors(executions(weights, growths, schedule), costs))
     ends = books.groupBy("strategy", "as_of").agg(F.max_by("growth", "date").alias("g"))
     order = Window.partitionBy("strategy", "cost_bps").orderBy("as_of")
     prior = order.rowsBetween(Window.unboundedPreceding, -1)

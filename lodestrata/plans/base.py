@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,45 +46,51 @@ mkt AS (SELECT date, avg(ret) AS ret FROM panel GROUP BY date)
 
 
 class Tables:
-    """The same relations as BASE, as DataFrames."""
+    """The same relations as BASE, as DataFrames. What several plans share is written once
+    to the shared folder, so that lineitem is read once and plans stay small."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
 
+    def once(self, df: DataFrame) -> DataFrame:
+        path = panels.work_dir(self.spark)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
     def read(self, name: str) -> DataFrame:
         return panels.read(self.spark, self.dir, name)
 
-    @property
+    @cached_property
     def raw(self) -> DataFrame:
-        return panels.weekly_returns(self.spark, self.dir)
+        return self.once(panels.weekly_returns(self.spark, self.dir))
 
-    @property
+    @cached_property
     def panel(self) -> DataFrame:
-        return panels.complete_dates(self.raw)
+        return self.once(panels.complete_dates(self.raw))
 
-    @property
+    @cached_property
     def sched(self) -> DataFrame:
-        return asof.quarter_schedule(self.panel, W)
+        return self.once(asof.quarter_schedule(self.panel, W))
 
-    @property
+    @cached_property
     def win(self) -> DataFrame:
-        return asof.training_windows(self.panel, self.sched, W)
+        return self.once(asof.training_windows(self.panel, self.sched, W))
 
-    @property
+    @cached_property
     def hold(self) -> DataFrame:
-        return asof.holding_rows(self.panel, self.sched)
+        return self.once(asof.holding_rows(self.panel, self.sched))
 
     @property
     def cls(self) -> DataFrame:
         return panels.asset_classes(self.panel)
 
-    @property
+    @cached_property
     def px(self) -> DataFrame:
-        return panels.daily_prices(self.spark, self.dir)
+        return self.once(panels.daily_prices(self.spark, self.dir))
 
-    @property
+    @cached_property
     def wide(self) -> DataFrame:
-        return panels.weekly_brand_returns(self.spark, self.dir)
+        return self.once(panels.weekly_brand_returns(self.spark, self.dir))
 
     @property
     def mkt(self) -> DataFrame:

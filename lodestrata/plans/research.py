@@ -41,7 +41,7 @@ def _means(t: Tables) -> DataFrame:
 
 
 def _iewma(t: Tables) -> DataFrame:
-    return estimators.cov_iewma(t.win, W, PER_YEAR, VOL_HALF_LIFE, COR_HALF_LIFE)
+    return t.once(estimators.cov_iewma(t.win, W, PER_YEAR, VOL_HALF_LIFE, COR_HALF_LIFE))
 
 
 @query("EST01_means", _MEANS + " FINAL SELECT * FROM mean", "mu")
@@ -101,7 +101,7 @@ def _(t: Tables) -> DataFrame:
 
 def _uncertainty(t: Tables) -> DataFrame:
     seeds = t.sched.select("as_of", (361 + F.date_format("as_of", "yyyyMMdd").cast("int")).alias("seed"))
-    return resampling.uncertainty(t.win, seeds, W, PER_YEAR, 8, 200, 0.95, VOL_HALF_LIFE)
+    return t.once(resampling.uncertainty(t.win, seeds, W, PER_YEAR, 8, 200, 0.95, VOL_HALF_LIFE))
 
 
 @query("EST14_uncertainty_calibration")
@@ -175,7 +175,7 @@ def _inverse(t: Tables) -> DataFrame:
 def _books(t: Tables) -> DataFrame:
     assets = t.win.select("as_of", "asset").distinct()
     named = lambda df, n: df.withColumn("strategy", F.lit(n))
-    return named(portfolio.equal_weight(assets), "equal").unionByName(named(portfolio.class_equal_weight(assets, t.cls), "class_equal")).unionByName(named(_inverse(t), "inverse_vol"))
+    return t.once(named(portfolio.equal_weight(assets), "equal").unionByName(named(portfolio.class_equal_weight(assets, t.cls), "class_equal")).unionByName(named(_inverse(t), "inverse_vol")))
 
 
 @query("OPT01_equal_weight", _EQ + " FINAL SELECT * FROM eq", "weight")
@@ -293,7 +293,7 @@ def _costs(t: Tables, bps: list[float] = COSTS) -> DataFrame:  # noqa: B006
 
 
 def _paths(t: Tables, bps: list[float] = COSTS) -> DataFrame:  # noqa: B006
-    return backtest.wealth(_books(t), t.panel, t.sched, _costs(t, bps))
+    return t.once(backtest.wealth(_books(t), t.panel, t.sched, _costs(t, bps), t.once))
 
 
 def _execs(t: Tables) -> DataFrame:
