@@ -9,6 +9,9 @@ first decision forms the book from cash: u = 0 and phi = 1 / (1 + c).
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +21,42 @@ from lodestrata.operators.asof import holding_rows
 STEPS = 8
 
 
+@dataclass(frozen=True)
+class CostModel:
+    """A cost as an expression of the traded amount (bought positive), and its name."""
+
+    name: str
+    of: Callable[[Column], Column]
+
+    def total(self, trade: Column) -> Column:
+        """Aggregate: the cost of a decision's trades."""
+        return F.sum(self.of(trade)).alias(self.name)
+
+
+def no_cost() -> CostModel:
+    return CostModel("none", lambda trade: F.lit(0.0) * trade)
+
+
+def linear_cost(bps: float, name: str = "linear") -> CostModel:
+    if bps < 0:
+        raise ValueError("a cost rate must not be negative")
+    return CostModel(name, lambda trade: F.abs(trade) * (bps / 10000.0))
+
+
+@dataclass(frozen=True)
+class Execution:
+    """When a decision may know and when it trades: information ends ``lag`` rows before
+    the row at whose close it executes."""
+
+    name: str = "close"
+    lag: int = 1
+
+    def clock(self, calendar: DataFrame, schedule: DataFrame) -> DataFrame:
+        """as_of, information_as_of, executed_at. calendar: date, pos; schedule: as_of, pos."""
+        known = calendar.select(F.col("date").alias("information_as_of"), (F.col("pos") + self.lag).alias("pos"))
+        return schedule.select("as_of", "pos").join(known, "pos", "left").select("as_of", "information_as_of", F.col("as_of").alias("executed_at"))
+
+
 def cost_factor(weights: Column, drifted: Column, rate: Column, steps: int = STEPS) -> Column:
     """weights, drifted: arrays in one asset order; contraction to machine precision."""
     gaps = lambda phi: F.aggregate(F.zip_with(weights, drifted, lambda w, u: F.abs(w * phi - u)), F.lit(0.0), lambda a, x: a + x)

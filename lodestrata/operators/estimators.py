@@ -54,6 +54,14 @@ def ew_variance(windows: DataFrame, half_life: float, floor: float = FLOOR) -> D
     return windows.withColumn("var", F.pow(b, F.col("k")) * F.sum(term).over(run))
 
 
+def last_ew_variance(rows: DataFrame, keys: list[str], window: int, half_life: float, floor: float = FLOOR) -> DataFrame:
+    """The variance at the end of each window, as one weighted sum per key; rows: keys, k, ret."""
+    b = half_life_decay(half_life)
+    x2 = F.col("ret") * F.col("ret")
+    term = F.when(F.col("k") == 0, F.greatest(x2, F.lit(floor)) * b ** (window - 1)).otherwise((1 - b) * x2 * F.pow(F.lit(b), window - 1 - F.col("k")))
+    return rows.groupBy(*keys).agg(F.sum(term).alias("var"))
+
+
 def cov_iewma(windows: DataFrame, window: int, per_year: int, vol_half_life: float, cor_half_life: float, clip: float = CLIP) -> DataFrame:
     """Volatilities and correlations decay apart: correlations of returns over the prior
     row's volatility, clipped, starting from the identity."""
@@ -107,3 +115,15 @@ def correlation(windows: DataFrame) -> DataFrame:
     rho: Column = F.greatest(F.least(F.corr("x", "y"), F.lit(1.0)), F.lit(-1.0))
     c = pairs(windows).groupBy(KEYS).agg(rho.alias("rho"))
     return c.withColumn("distance", F.when(F.col("asset_i") == F.col("asset_j"), 0.0).otherwise(F.sqrt(F.greatest((1 - F.col("rho")) / 2, F.lit(0.0)))))
+
+
+def covariance_faults(cov: DataFrame) -> DataFrame:
+    """Per date what a solver must refuse: cells missing or not finite, the largest
+    asymmetry, cells beyond the product of their volatilities (no such matrix is PSD)."""
+    other = cov.select("as_of", F.col("asset_j").alias("asset_i"), F.col("asset_i").alias("asset_j"), F.col("cov").alias("mirror"))
+    own = cov.where("asset_i = asset_j").select("as_of", "asset_i", F.col("cov").alias("vi"))
+    j = cov.join(other, KEYS, "left").join(own, ["as_of", "asset_i"], "left").join(own.select("as_of", F.col("asset_i").alias("asset_j"), F.col("vi").alias("vj")), ["as_of", "asset_j"], "left")
+    bad = F.col("cov").isNull() | F.isnan("cov") | (F.abs("cov") == float("inf"))
+    out = j.groupBy("as_of").agg(F.count_distinct("asset_i").alias("assets"), F.count("*").alias("cells"), F.count_if(bad).alias("not_finite"), F.max(F.abs(F.col("cov") - F.coalesce("mirror", F.lit(float("inf"))))).alias("asymmetry"), F.count_if((F.col("vi") < 0) | (F.col("cov") * F.col("cov") > F.col("vi") * F.col("vj") * (1 + 1e-9))).alias("beyond"))
+    valid = (F.col("cells") == F.col("assets") * F.col("assets")) & (F.col("not_finite") == 0) & (F.col("asymmetry") <= 1e-10) & (F.col("beyond") == 0)
+    return out.withColumn("valid", valid)

@@ -89,3 +89,33 @@ def fold_clone(weights: DataFrame, clone: str, source: str, keys: list[str]) ->
     """A clone's weight counts for its source."""
     asset = F.when(F.col("asset") == clone, source).otherwise(F.col("asset")).alias("asset")
     return weights.groupBy(*keys, asset).agg(F.sum("weight").alias("weight"))
+
+
+def clean_weights(raw: DataFrame, keys: list[str], cap: float, tol: float = 1e-6) -> DataFrame:
+    """A solver's weights made exact: clipped to [0, cap], the sum's gap to 1 given to the
+    asset with most room, or taken from the largest. Fails on gaps beyond tol."""
+    inside = F.assert_true(F.col("weight").between(-tol, cap + tol), "weights break their bounds").isNull()
+    group = Window.partitionBy(*keys)
+    clipped = raw.where(inside).withColumn("weight", F.greatest(F.least("weight", F.lit(cap)), F.lit(0.0))).withColumn("gap", 1 - F.sum("weight").over(group))
+    closed = F.assert_true(F.abs("gap") <= tol, "weights do not sum to 1").isNull()
+    room = F.round(F.when(F.col("gap") > 0, cap - F.col("weight")).otherwise(F.col("weight")), 12)
+    ranked = clipped.where(closed).withColumn("r", F.row_number().over(group.orderBy(room.desc(), "asset")))
+    return ranked.select(*keys, "asset", F.when(F.col("r") == 1, F.col("weight") + F.col("gap")).otherwise(F.col("weight")).alias("weight"))
+
+
+def worst_means(weights: DataFrame, mu: DataFrame, se: DataFrame, mean_cov: DataFrame, rho: float) -> DataFrame:
+    """as_of, asset, weight, box_mu, ellipsoid_mu: where the inner problems attain their
+    minimum, the box at a corner, the ellipsoid along the covariance times the weights.
+    mu: as_of, asset, mu; se: as_of, asset, se; mean_cov: as_of, asset_i, asset_j, cov."""
+    right = weights.select("as_of", F.col("asset").alias("asset_j"), F.col("weight").alias("wj"))
+    cw = mean_cov.join(right, ["as_of", "asset_j"]).groupBy("as_of", F.col("asset_i").alias("asset")).agg(F.sum(F.col("cov") * F.col("wj")).alias("cw"))
+    j = weights.join(mu, ["as_of", "asset"]).join(se, ["as_of", "asset"]).join(cw, ["as_of", "asset"])
+    risk = F.sqrt(F.greatest(F.sum(F.col("weight") * F.col("cw")).over(Window.partitionBy("as_of")), F.lit(0.0)))
+    j = j.withColumn("risk", risk)
+    return j.select("as_of", "asset", "weight", (F.col("mu") - rho * F.col("se") * F.signum("weight")).alias("box_mu"), (F.col("mu") - F.when(F.col("risk") > 0, rho * F.col("cw") / F.col("risk")).otherwise(0.0)).alias("ellipsoid_mu"))
+
+
+def capacity(assets: DataFrame, caps: list[float]) -> DataFrame:
+    """as_of, cap, assets, feasible: whether the assets can hold 1 under the cap."""
+    n = assets.groupBy("as_of").agg(F.count_distinct("asset").alias("assets"))
+    return n.withColumn("cap", F.explode(F.array(*map(F.lit, caps)))).withColumn("feasible", F.col("assets") * F.col("cap") >= 1 - 1e-12)

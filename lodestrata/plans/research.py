@@ -449,8 +449,7 @@ def _(t: Tables) -> DataFrame:
     return _clusters(t)
 
 
-@query("CLU03_medoids")
-def _(t: Tables) -> DataFrame:
+def _medoids(t: Tables) -> DataFrame:
     """The member with the least mean distance in its cluster; ties within 1e-14 by name."""
     panel = panels.complete_dates(t.wide)
     win = asof.training_windows(panel, asof.quarter_schedule(panel, W), W)
@@ -463,6 +462,11 @@ def _(t: Tables) -> DataFrame:
     return least.groupBy("as_of", "threshold", "cluster").agg(F.min("asset_i").alias("medoid"))
 
 
+@query("CLU03_medoids")
+def _(t: Tables) -> DataFrame:
+    return _medoids(t)
+
+
 # Regimes
 
 _REG = f""", ft AS (

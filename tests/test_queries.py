@@ -7,7 +7,7 @@ import pytest
 
 import __spark_entry__ as entry
 
-SOME = ["SRC01_wide_csv_scan", "PRJ08_clean_returns", "PRJ10_quarter_schedule", "PRJ23_point_in_time_snapshot", "JN10_asof_join", "AGG05_interpolated_quantile", "EST06_cov_ewma", "EST07_cov_iewma", "EST09_cov_ledoit_wolf", "OPT03_inverse_volatility", "flagship_backtest", "INF03_intervals", "INF05_deflated_sharpe", "CLU01_correlation_distance", "REG01_regimes", "STR03_tumbling_windows"]
+SOME = ["SRC01_wide_csv_scan", "PRJ08_clean_returns", "PRJ10_quarter_schedule", "PRJ23_point_in_time_snapshot", "JN10_asof_join", "AGG05_interpolated_quantile", "EST06_cov_ewma", "EST07_cov_iewma", "EST09_cov_ledoit_wolf", "OPT03_inverse_volatility", "flagship_backtest", "INF03_intervals", "INF05_deflated_sharpe", "CLU01_correlation_distance", "REG01_regimes", "STR03_tumbling_windows", "OPT11_clean_weights", "OPT16_inner_problems", "EST08_iewma_diagonal_batch", "UDF02_cost_models", "UDF03_execution_clock", "SRC14_validated_artifacts"]
 
 
 def norm(v):
