@@ -32,6 +32,8 @@ from lodestrata.llm.common import scan, texts, without_clash
 
 WINDOW = 10
 OUTPUT = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans")
+#: Names that the join path adds beside these.
+JOINED = ("_copies", "_k", "_j", "w", "g", "hit", "ids")
 #: Largest text of a benchmark, in bytes, that one automaton holds in a worker.
 AUTOMATON_BYTES = 8_000_000
 
@@ -109,11 +111,11 @@ def _matcher(items: list[tuple[int | None, bytes]], key: str, window: int) -> Ma
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep: tuple[str, ...] = ("doc_id",), limit: int = AUTOMATON_BYTES) -> DataFrame:
     """Per row of docs: the kept columns, n_words, n_hit, n_items, items_sha256,
     contaminated, and hit ``spans`` as byte offsets [start, end) of the original text."""
-    bench = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text"))
-    weight = bench.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    bench = benchmark.select("item_id", "text").where("text != ''")
+    weight = bench.agg(F.coalesce(F.sum(F.octet_length("text") + 8), F.lit(0))).first()[0]
     if weight > limit:
         return _joined(docs, bench, window, keep)
-    items = [(r.item_id, r.text.encode()) for r in bench.collect()]  # at most ``limit`` bytes of text
+    items = [(r.item_id, r.text.encode()) for r in bench.collect()]  # at most ``limit`` bytes of text and ids
     key = hashlib.sha256(repr((window, sorted(items, key=repr))).encode()).hexdigest()
     sent = docs.sparkSession.sparkContext.broadcast(items)
 
@@ -155,10 +157,11 @@ def _joined(docs: DataFrame, bench: DataFrame, window: int, keep: tuple[str, ...
 
     patterns = item_words.select("item_id", F.explode(F.when(F.size("w") >= window, cut("w", window)).otherwise(F.array(F.struct(F.lit(0).alias("at"), F.size("w").alias("n"), F.array_join("w", " ").alias("gram"))))).alias("g"))
     patterns = patterns.groupBy("g.n", "g.gram").agg(F.collect_set("item_id").alias("ids"))
-    texts_ = docs.select(*keep, "text").groupBy(*keep, "text").agg(F.count("*").alias("_copies"))
-    keyed = texts_.withColumns({"_k": F.xxhash64(*keep, "text"), "_j": F.hash("text", *keep), "w": normal_words_column("text")})
+    whole = tuple(dict.fromkeys((*keep, "text")))
+    texts_ = docs.select(*whole).groupBy(*whole).agg(F.count("*").alias("_copies"))
+    keyed = texts_.withColumns({"_k": F.xxhash64(*whole), "_j": F.hash(*reversed(whole)), "w": normal_words_column("text")})
     grams = keyed.select("_k", "_j", F.explode(F.concat(*[F.coalesce(cut("w", n), F.array()) for n in sizes])).alias("g")).select("_k", "_j", "g.*") if sizes else None
-    base = keyed.select(*keep, "text", "_copies", "_k", "_j", F.size("w").cast("long").alias("n_words"))
+    base = keyed.select(*whole, "_copies", "_k", "_j", F.size("w").cast("long").alias("n_words"))
     if grams is None:
         found = base.select("_k", "_j").limit(0).selectExpr("_k", "_j", "0L AS n_hit", "array('') AS ids", "array(0) AS hit")
     else:
@@ -170,11 +173,11 @@ def _joined(docs: DataFrame, bench: DataFrame, window: int, keep: tuple[str, ...
     return out.withColumn("_copies", F.explode(F.expr("sequence(1L, _copies)"))).drop("_copies").withColumn("spans", F.lit(None).cast("array<struct<start:long,end:long>>"))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit: int = AUTOMATON_BYTES) -> DataFrame:
     """The documents without a hit word, with the columns of docs."""
-    own = without_clash(docs, OUTPUT)
+    own = without_clash(docs, (*OUTPUT, *JOINED))
     keep = tuple(own.columns)
-    return contamination(own, benchmark, window, keep=keep).where(~F.col("contaminated")).select(*keep).toDF(*docs.columns)
+    return contamination(own, benchmark, window, keep=keep, limit=limit).where(~F.col("contaminated")).select(*keep).toDF(*docs.columns)
 
 
 SQL = r"""

@@ -23,7 +23,7 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,12 +92,14 @@ def flight(p: np.ndarray, size: np.ndarray, rng: np.random.Generator, land: bool
     return np.array([round(v) if v < EPS or v > 1 - EPS else v for v in p])
 
 
-def _fly(rows: pd.DataFrame, land: bool) -> pd.DataFrame:
-    rows = rows.sort_values(["size", "_h"], ascending=[False, True], kind="stable")
-    name = "" if rows["source"].isna().iloc[0] else "s" + str(rows["source"].iloc[0])
-    seed = zlib.crc32(f"{SEED}|{name}|{rows['_round'].iloc[0]}|{rows['_block'].iloc[0]}".encode())
-    rows["p"] = flight(rows["p"].to_numpy(), rows["size"].to_numpy(), np.random.default_rng(seed), land)
-    return rows
+def _fly(key: tuple, rows: pa.Table) -> pa.Table:
+    """One block of a source, as Arrow: ids and copies stay whole numbers beside nulls."""
+    source, number, of, turn = (k.as_py() for k in key)
+    rows = rows.sort_by([("size", "descending"), ("_h", "ascending")])
+    name = "" if source is None else f"s{source}"
+    seed = zlib.crc32(f"{SEED}|{name}|{turn}|{number}".encode())
+    p = flight(rows["p"].to_numpy(), rows["size"].to_numpy(), np.random.default_rng(seed), of == 1)
+    return rows.set_column(rows.schema.get_field_index("p"), "p", pa.array(p, pa.float64()))
 
 
 def mix(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), block: int = BLOCK) -> DataFrame:
@@ -114,11 +116,7 @@ def mix(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), block: int = BLOCK
     done, turn = None, 0
     while True:
         open_rows = current.withColumns({"_round": F.lit(turn), "_n": blocks, "_block": F.pmod(F.xxhash64("_h", F.lit(turn)), blocks).cast("long")})
-
-        def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-            return _fly(rows, land=key[2] == 1)
-
-        flown = written(open_rows.groupBy("source", "_block", "_n").applyInPandas(run, open_rows.schema))
+        flown = written(open_rows.groupBy("source", "_block", "_n", "_round").applyInArrow(_fly, open_rows.schema))
         settled = flown.where((F.col("p") == 0) | (F.col("p") == 1))
         done = settled if done is None else done.unionByName(settled)
         current = flown.where((F.col("p") > 0) & (F.col("p") < 1)).drop("_round", "_n", "_block")

@@ -50,6 +50,9 @@ def test_spans_map_to_the_original(spark):
 
 def test_stage_drops_hits_and_keeps_columns(spark):
     docs = spark.createDataFrame([(k, t, 7) for k, t in TEXTS], "doc_id long, text string, n_hit int")
-    kept = D.drop_contaminated(docs, spark.createDataFrame(ITEMS, "item_id long, text string"))
-    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [3, 4, 5]
-    assert {r.n_hit for r in kept.collect()} == {7}
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
+    docs = docs.withColumn("w", docs.n_hit)
+    for limit in (D.AUTOMATON_BYTES, 0):
+        kept = D.drop_contaminated(docs, bench, limit=limit)
+        assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [3, 4, 5]
+        assert {(r.n_hit, r.w) for r in kept.collect()} == {(7, 7)}

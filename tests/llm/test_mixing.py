@@ -66,3 +66,9 @@ def test_odd_rows(spark, documents, empty):
     assert {r.taken for r in M.mix(zero).collect()} == {0}
     taken = M.take(documents)
     assert taken.columns == [*documents.columns, "copies"] and taken.where("copies < 1").count() == 0
+
+
+def test_large_ids_stay_exact_beside_nulls(spark):
+    big = 2**60 + 1
+    docs = spark.createDataFrame([(big + i, "w " * (i + 1), None if i % 2 else "a") for i in range(40)] + [(None, "w w", "a")], "doc_id long, text string, source string")
+    assert {r.doc_id for r in M.mix(docs).collect()} == {big + i for i in range(40)} | {None}
