@@ -8,8 +8,8 @@ bin sum to one. The classes before a word (ORDER of them, ends at the beginning)
 vectors that are weighed by position, added up, and multiplied with all classes'
 vectors in one matrix product; a bias is added and the result normalised in full.
 
-Training: every task runs noise-contrastive estimation in numpy over a hash-chosen
-SHARE of the training documents in its partition, from one start (bias: log unigram);
+Training: every task runs noise-contrastive estimation in numpy over all training
+documents in its partition, from one start (bias: log unigram);
 parameters are averaged with the tasks' token counts as weights, for ROUNDS rounds. So
 training grows with the corpus and only model-sized rows meet. Word counts cover all
 training documents.
@@ -47,8 +47,8 @@ TOP, BINS = 159, 96
 END = TOP
 CLASSES = TOP + 1 + BINS
 ORDER, WIDTH = 4, 24
-#: One in SHARE training documents trains the network; counts use all.
-SHARE, ROUNDS = 8, 2
+#: Passes over all training documents.
+ROUNDS = 2
 NOISE, CHUNK, RATE, SEED = 64, 1024, 0.05, 4
 #: Words of a vocabulary that is broadcast: 16 bytes each.
 VOCABULARY_LIMIT = 6_000_000
@@ -67,6 +67,16 @@ def bin_of(word: bytes) -> int:
     return zlib.crc32(word[-3:]) % BINS
 
 
+def by_class(classes: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Rows added up by class, one row a class."""
+    order = np.argsort(classes.astype(np.int16), kind="stable")
+    places = classes[order]
+    starts = np.flatnonzero(np.diff(places, prepend=-1))
+    out = np.zeros((CLASSES, rows.shape[1]), rows.dtype)
+    out[places[starts]] = np.add.reduceat(rows[order], starts, axis=0)
+    return out
+
+
 @dataclass
 class Network:
     context: np.ndarray = field(default_factory=lambda: np.zeros((CLASSES, WIDTH), np.float32))
@@ -123,17 +133,11 @@ class Network:
             g1 = 1 / (1 + np.exp(data))  # pulls the data up
             g0 = -1 / (1 + np.exp(-noise))  # pushes the noise down
             dh = g1[:, None] * self.target[y] + g0 @ self.target[k]
-            one = np.zeros((CLASSES, len(y)), np.float32)
-            one[y, np.arange(len(y))] = g1
-            d_target, d_bias = one @ h, one.sum(1)
+            d_target, d_bias = by_class(y, h * g1[:, None]), np.bincount(y, g1, CLASSES).astype(np.float32)
             np.add.at(d_target, k, g0.T @ h)
             np.add.at(d_bias, k, g0.sum(0))
             d_weigh = np.einsum("bow,bw->ow", r, dh)
-            d_context = np.zeros_like(self.context)
-            for o in range(ORDER):
-                hot = np.zeros((CLASSES, len(y)), np.float32)
-                hot[ctx[:, o], np.arange(len(y))] = 1
-                d_context += hot @ (dh * self.weigh[o])
+            d_context = by_class(ctx.ravel(), (dh[:, None, :] * self.weigh).reshape(-1, WIDTH))
             for p, g, q in zip(self.parts(), (d_context, d_weigh, d_target, d_bias), squares):
                 g /= len(y)
                 q += g * g
@@ -222,7 +226,7 @@ def train(training: DataFrame, counts: Counts) -> Network:
     bounded_batches(spark)
     unigram = counts.unigram()
     network = Network.start(unigram)
-    chosen = training.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(SHARE)) == 0).select("text")
+    chosen = training.select("text")
     for turn in range(ROUNDS):
         sent = spark.sparkContext.broadcast((network, counts.top, unigram))
 

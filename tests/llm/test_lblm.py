@@ -69,3 +69,11 @@ def test_empty_table(spark, empty, documents):
     assert L.held_out_scores(empty).count() == 0
     only = documents.where("doc_id IS NULL AND text IS NULL")
     assert L.held_out_scores(only).count() == 0
+
+
+def test_every_training_document_trains(spark):
+    """Documents that a hash-chosen eighth would leave out move the network from its start."""
+    docs = spark.range(40).select(F.col("id").alias("doc_id"), F.expr("repeat(concat('word', id % 3, ' and more '), 20)").alias("text"))
+    docs = docs.where("pmod(xxhash64(doc_id, text), 8) != 0")
+    counts, network, _ = L.fit(docs)
+    assert not np.array_equal(network.flat(), L.Network.start(counts.unigram()).flat())
