@@ -8,11 +8,15 @@ the winner's share of exp(-bits) over all languages, with bits capped to stay fi
 
 Only letters matter: upper case folds to lower, runs of other characters count as one
 blank. Texts are parsed whole, in lanes of LANE characters side by side (a phrase ends
-with its lane), with the automata as one transition table in numpy.
+with its lane), with the automata as one transition table in numpy; every character of
+the training texts counts, those beyond the ALPHABET most frequent ones by sorted
+transitions. A training text under LEAST_CHARS costs as one of that length.
 
-Training takes at most SAMPLE_DOCS labelled texts of each language, of MIN_CHARS to
-MAX_CHARS, in the order of their hash, and at most TRAIN_CHARS folded characters in all
-languages together, so that the table stays bounded; equal texts count once.
+Training takes at most SAMPLE_DOCS labelled texts of each language in the order of their
+hash, those of MIN_CHARS to MAX_CHARS first, then short ones (up to SHORT_DOCS texts
+while there are under LEAST_CHARS) and the first MAX_CHARS of long ones; and at most
+TRAIN_CHARS folded characters in all languages together, so that the table stays bounded;
+equal texts count once.
 
 Cases: null texts and texts without a letter get ``und`` and score 0, as does any text
 where no label is known; null langs never train; repeated rows return repeated rows;
@@ -35,7 +39,11 @@ TRAIN_CHARS = 120_000
 LANE = 512
 UND = "und"
 BATCH_CHARS = 1 << 20
+#: Characters with a column of their own in the table; rarer ones have sorted transitions.
 ALPHABET = 96
+#: Texts of a language whose texts are short, and the training length below which a phrase costs no less.
+SHORT_DOCS = 640
+LEAST_CHARS = SAMPLE_DOCS * MIN_CHARS
 #: Folded code point of every character: itself in lower case if a letter, else a blank.
 _FOLD: np.ndarray | None = None
 
@@ -104,21 +112,25 @@ class Languages:
                 used += len(f) + 1
             corpora.append(np.concatenate(parts)[: max(share, 1)] if parts else np.zeros(0, np.uint32))
         seen, times = np.unique(np.concatenate(corpora) if corpora else np.zeros(0, np.uint32), return_counts=True)
-        alphabet = np.sort(seen[np.lexsort((seen, -times))][: ALPHABET - 2])
+        alphabet = seen[np.lexsort((seen, -times))]
         alphabet = alphabet[alphabet != 10]
-        # class 0: not in the alphabet; 1: ends of training texts, in no parsed text
-        self.width = len(alphabet) + 2
-        self.classes = np.zeros(0x110000, np.uint8)
-        self.classes[alphabet] = np.arange(2, self.width)
+        # class 0: in no training text; 1: ends of training texts, in no parsed text
+        self.width = min(len(alphabet) + 2, ALPHABET)
+        self.classes = np.zeros(0x110000, np.int32)
+        self.classes[alphabet] = np.arange(2, len(alphabet) + 2)
+        self.span = len(alphabet) + 2
+        rare: dict[int, int] = {}
         tables, self.roots, at = [], [], 0
-        self.bits = np.array([np.log2(max(2, len(c))) for c in corpora])
+        self.bits = np.array([np.log2(max(LEAST_CHARS, len(c))) for c in corpora])
         for c in corpora:
             codes = np.where(c == 10, 1, self.classes[c])
             states = suffix_automaton(codes.tolist())
             table = np.full((len(states), self.width), -1, np.int32)
             for s, out in enumerate(states):
                 for k, t in out.items():
-                    if k > 1:
+                    if k >= self.width:
+                        rare[(s + at) * self.width * self.span + k] = 2 * (t + at) * self.width + (s == 0)
+                    elif k > 1:
                         table[s, k] = t
             first = np.where(table[0] >= 0, table[0], 0)
             entry = np.where(table >= 0, 2 * (table + at) * self.width, 2 * (first + at) * self.width + 1)
@@ -126,8 +138,20 @@ class Languages:
             self.roots.append(at * self.width)
             tables.append(entry)
             at += len(states)
+        keys = np.fromiter(rare, np.int64, len(rare))
+        order = np.argsort(keys)
+        self.keys, self.entries = keys[order], np.fromiter(rare.values(), np.int32, len(rare))[order]
         self.table = np.concatenate(tables).astype(np.int32).ravel() if tables else np.zeros(0, np.int32)
 
+    def _rare(self, state: np.ndarray, classes: np.ndarray, root: int) -> np.ndarray:
+        """Entries for classes without a column: on from the state, else anew from the root."""
+        out = np.full(len(classes), 2 * root + 1, np.int32)
+        for start in (np.full(len(classes), root, np.int64), state.astype(np.int64)):
+            key = start * self.span + classes
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            out = np.where(self.keys[at] == key, self.entries[at], out)
+        return out
+
     def phrases(self, folded: list[np.ndarray]) -> np.ndarray:
         """Phrase counts, one row a text and one column a language."""
         out = np.zeros((len(folded), len(self.names)), np.int64)
@@ -140,9 +164,12 @@ class Languages:
             return out
         size = np.array([len(x) for x in lanes])
         order = np.argsort(-size, kind="stable")
-        grid = np.zeros((LANE, len(lanes)), np.uint8)
+        grid = np.zeros((LANE, len(lanes)), np.int32)
         for j, o in enumerate(order.tolist()):
             grid[: size[o], j] = self.classes[lanes[o]]
+        beyond = [np.flatnonzero(g >= self.width) for g in grid]
+        unknown = [g[b] for g, b in zip(grid, beyond)]
+        grid[grid >= self.width] = 0
         active = np.searchsorted(-size[order], -np.arange(LANE), side="left")  # lanes longer than t
         owners = np.array(owner)[order]
         for k, root in enumerate(self.roots):
@@ -153,6 +180,8 @@ class Languages:
                 if not n:
                     break
                 v = self.table[state[:n] + grid[t, :n]]
+                if len(beyond[t]):
+                    v[beyond[t]] = self._rare(state[beyond[t]], unknown[t], root)
                 count[:n] += v & 1
                 state[:n] = v >> 1
             np.add.at(out[:, k], owners, count)
@@ -188,14 +217,17 @@ def training_texts(labelled: DataFrame, sample: int = SAMPLE_DOCS) -> dict[str,
     """Per language, at most ``sample`` texts in hash order. Only hashes and lengths are
     ranked (one row a distinct text, cut down in every task before the shuffle); the
     texts of the few that are left are read in a second pass."""
-    rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL").where(F.char_length("text").between(MIN_CHARS, MAX_CHARS))
-    hashed = rows.select("lang", F.xxhash64("text").alias("h")).distinct()
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    top = hashed.withColumn("rank", rank).where(F.col("rank") <= sample).select("lang", "h")
-    picked = rows.withColumn("h", F.xxhash64("text")).join(F.broadcast(top), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    size = F.char_length("text")
+    rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", F.when(size > MAX_CHARS, F.left("text", F.lit(MAX_CHARS))).otherwise(F.col("text")).alias("text"), (~size.between(MIN_CHARS, MAX_CHARS)).alias("odd"), (size < MIN_CHARS).alias("short"))
+    hashed = rows.select("lang", F.xxhash64("text").alias("h"), "odd", "short").groupBy("lang", "h").agg(F.min("odd").alias("odd"), F.min("short").alias("short"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("odd", "h"))
+    top = hashed.withColumn("rank", rank).where(F.col("rank") <= max(sample, SHORT_DOCS)).where((F.col("rank") <= sample) | F.col("short")).select("lang", "h", "rank")
+    picked = rows.withColumn("h", F.xxhash64("text")).join(F.broadcast(top), ["lang", "h"]).groupBy("lang", "rank").agg(F.min("text").alias("text"))
     train: dict[str, list[str]] = {}
-    for r in sorted(picked.collect(), key=lambda r: (r.lang, r.h)):
-        train.setdefault(r.lang, []).append(r.text)
+    for r in sorted(picked.collect(), key=lambda r: (r.lang, r.rank)):
+        held = train.setdefault(r.lang, [])
+        if len(held) < sample or sum(map(len, held)) < LEAST_CHARS:
+            held.append(r.text)
     return train
 
 

@@ -61,3 +61,25 @@ def test_held_out_accuracy(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     joined = L.held_out_predictions(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out")
     assert joined.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] == pytest.approx(1.0, abs=0.05)
+
+
+def test_phrases_of_large_alphabets():
+    rng = np.random.default_rng(1)
+    signs = {k: [chr(c) for c in range(a, a + 300)] for k, a in (("ja", 0x4E00), ("ko", 0xAC00))}
+    train = {k: ["".join(rng.choice(a, 900))] for k, a in signs.items()}
+    model = L.Languages(train)
+    texts = [train["ko"][0][100:400], "".join(rng.choice(signs["ja"] + signs["ko"], 700)), "".join(rng.choice(signs["ja"], 60))]
+    got = model.phrases([L.fold(t) for t in texts])
+    assert got.tolist() == [[parse(t, train[k][0], L.LANE) for k in model.names] for t in texts]
+
+
+def test_languages_of_short_or_long_texts_alone(spark):
+    rng = np.random.default_rng(2)
+    words = {k: ["".join(rng.choice(list(a), 4)) for _ in range(60)] for k, a in (("mid", "abcdefgh"), ("short", "cdefghij"), ("long", "efghijkl"), ("tiny", "ghijklmn"))}
+    say = lambda k, n: " ".join(rng.choice(words[k], n))
+    sizes = {"mid": (80, 60), "short": (12, 300), "long": (3000, 6), "tiny": (2, 2)}
+    docs = [(k, say(k, n)) for k, (n, times) in sizes.items() for _ in range(times)]
+    train = L.training_texts(spark.createDataFrame(docs, "lang string, text string"))
+    assert set(train) == set(sizes) and max(len(t) for texts in train.values() for t in texts) <= L.MAX_CHARS
+    model = L.Languages(train)
+    assert [model.predict([say(k, 40)])[0][0] for k in ("mid", "short", "long")] == ["mid", "short", "long"]
