@@ -1,6 +1,8 @@
 """Secret scans: regular-expression candidates, judged by a random forest.
 
-Candidates are runs of 16 or more characters of keys and hashes with a digit. Each has
+Candidates are runs of 16 or more characters of keys and hashes with a digit, tokens with
+an issuer's prefix, values of 6 or more characters after a named assignment, and
+passwords in connection strings. Each has
 its length, character classes and transitions, coverage by a dictionary (the most
 frequent words of the corpus), its path, and the neighbouring words. A random forest is
 trained on labelled findings and removes the false positives. Its trees are read once
@@ -26,7 +28,6 @@ from pyspark.sql import functions as F
 
 from lodestrata.llm.common import fresh, written
 
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+={0,2}"
 CONTEXT = 48
 MASK = "[SECRET]"
 SAMPLE = 5000
@@ -35,9 +36,15 @@ TREES, DEPTH, SEED = 15, 5, 2
 
 #: Names that announce a secret, or another kind of long string; prefixes of issuers.
 NAMED = r"(?i)(token|secret|passw(or)?d|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|bearer|auth)"
-ASSIGNED = NAMED + r"[A-Za-z_]{0,16}[\"']?\s{0,3}(:|=|=>|:=)?\s{0,3}[\"']?$"
+ASSIGNED = "(?:" + NAMED + r"[A-Za-z0-9_-]{0,16}[\"']?\s{0,3}(:|=|=>|:=)?\s{0,3}[\"']?|://[^\s:/@]{0,32}:)$"
 HARMLESS = r"(?i)(commit|sha-?1|sha-?256|md5|checksum|digest|uuid|guid|isbn|phone|order|invoice|card|version|revision)[\"':=\s#]{0,5}$"
 ISSUED = r"^(AKIA|ASIA)[0-9A-Z]{16}$|^gh[opsu]_[A-Za-z0-9]{36}|^xox[abprs]-|^sk[-_](live|test)?[-_]?[A-Za-z0-9]{16,}|^AIza[A-Za-z0-9_-]{35}$|^eyJ[A-Za-z0-9_-]{16,}"
+#: A long run with a digit; an issued token; a value after a named assignment or in a connection string.
+LONG = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+={0,2}"
+TOKEN = r"(?<![A-Za-z0-9+/_-])(?:(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9+/_-])|gh[opsu]_[A-Za-z0-9]{36,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|sk[-_](?:live|test)?[-_]?[A-Za-z0-9]{16,}+|AIza[A-Za-z0-9_-]{35,}+|eyJ[A-Za-z0-9_-]{16,}+)"
+VALUE = r"(?<=[\s=:>\"'])(?<=" + NAMED + r"[A-Za-z0-9_-]{0,16}[\"']?\s{0,3}(?:=>|:=|:|=)\s{0,3}[\"']?)(?![=:>])[^\s\"'`<>\[\]]{6,}+"
+IN_URL = r"(?<=://[^\s:/@]{0,32}:)[^\s@/]{3,}+(?=@)"
+CANDIDATE = f"(?:{LONG}|{TOKEN}|{VALUE}|{IN_URL})"
 NUMBER_OR_UUID = r"^[0-9-]+$|^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"
 
 FEATURES = ["length", "digits", "upper", "lower", "signs", "transitions", "variety", "coverage", "slashes", "path_depth", "path_trial", "named", "assigned", "quoted", "harmless", "issued"]
@@ -82,7 +89,8 @@ def _features(value: Column, left: Column, right: Column, path: Column, words: l
 
 def weak_labels() -> Column:
     """1, 0 or null for a finding f, from its value and left context alone."""
-    named = F.col("f.left").rlike(ASSIGNED) & ~F.col("f.left").rlike(HARMLESS)
+    plain_word = F.col("f.value").rlike(r"^\p{L}+[.,;:!?)]*$") & ~F.col("f.left").rlike("[\"']$")  # as in prose: undecided
+    named = F.col("f.left").rlike(ASSIGNED) & ~F.col("f.left").rlike(HARMLESS) & ~plain_word
     plain = F.col("f.value").rlike(NUMBER_OR_UUID) | F.col("f.left").rlike(HARMLESS)
     return F.when(F.col("f.value").rlike(ISSUED) | (named & ~F.col("f.value").rlike(r"^[0-9-]+$")), 1.0).when(plain, 0.0)
 
@@ -101,7 +109,9 @@ class Scanner:
         def one(p: Column) -> Column:
             def finding(value: Column, i: Column) -> Column:
                 before = F.aggregate(F.slice(p["gaps"], 1, i + 1), F.lit(0), lambda n, x: n + F.length(x)) + F.aggregate(F.slice(p["values"], 1, i), F.lit(0), lambda n, x: n + F.length(x))
-                left, right = F.right(F.get(p["gaps"], i), F.lit(CONTEXT)), F.left(F.get(p["gaps"], i + 1), F.lit(CONTEXT))
+                near = F.least(before, F.lit(CONTEXT))
+                left = F.substring(F.col(text), before - near + 1, near)
+                right = F.substring(F.col(text), before + F.length(value) + 1, F.lit(CONTEXT))
                 return F.struct(value.alias("value"), before.alias("at"), left.alias("left"), right.alias("right"))
 
             return F.transform(p["values"], finding)
