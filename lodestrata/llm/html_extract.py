@@ -5,7 +5,7 @@ lines, one for each block element; a line's ratio is its characters over its tag
 Ratios are smoothed with a Gaussian along the page and cut at a threshold taken from
 their spread. Lines belong to regions, the nearest sectioning ancestors; a region is
 content if its smoothed ratio, weighed by characters, reaches the threshold, or if it
-lies in an article or main element and is not mostly links. The best region always
+lies in an article or main element; beside those, it must not be mostly links. The best region always
 counts. Elements that never hold article text (scripts, menus, forms, page headers and
 footers, asides) and those whose class, id or role names one (adverts, notices,
 comments, sidebars) close their whole subtree. Nothing is dropped within a region.
@@ -32,6 +32,8 @@ SIGMA = 1.5
 #: The threshold is this share of the ratios' standard deviation.
 SPREAD = 0.5
 LINK_SHARE = 0.5
+#: Characters that an element without an article or main must have to count as the page's layout.
+LEAST_LAYOUT = 200
 
 #: Kinds of HTML elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -48,8 +50,11 @@ ROLES = frozenset("navigation banner contentinfo complementary search form alert
 class _Lines(HTMLParser):
     """Collects lines: [text parts, tags, link characters, region, in content element]."""
 
-    def __init__(self) -> None:
+    def __init__(self, kept: frozenset[int] = frozenset()) -> None:
         super().__init__(convert_charrefs=True)
+        self.kept = kept  # numbers of the elements whose names do not hide them
+        self.named: list[list[int]] = []  # number, characters, characters in an article or main inside
+        self.count = self.depth = self.hard = self.inner = 0
         self.open: list[tuple[str, bool, bool]] = []  # tag, closes its subtree, is content
         self.hidden = self.links = self.content = 0
         self.regions = [0]
@@ -76,13 +81,26 @@ class _Lines(HTMLParser):
         self.tags += 1
         if tag in VOID:
             return
-        hides = tag in NEVER or tag == "header" and not self.content
+        self.count += 1
+        hides = hard = tag in NEVER or tag == "header" and not self.content
+        called = False
         if not hides and attrs and tag not in ("html", "body"):
             for name, value in attrs:
-                if value and (name in ("class", "id") and NAMES.search(value) and tag not in CONTENT or name == "role" and value.lower() in ROLES or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", "").lower()):
-                    hides = True
+                if value and name in ("class", "id") and NAMES.search(value):
+                    called = True
+                if value and (name == "role" and value.lower() in ROLES or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", "").lower()):
+                    hides = hard = True
                 if name == "hidden":
-                    hides = True
+                    hides = hard = True
+        if called and tag not in CONTENT and self.count not in self.kept:
+            hides = True
+        if self.depth:  # inside an element hidden by its name
+            self.depth += 1
+            self.hard += self.hard > 0 or hard
+            self.inner += self.inner > 0 or tag in CONTENT and not called
+        elif hides and not hard and not self.hidden:
+            self.depth = 1
+            self.named.append([self.count, 0, 0])
         holds = tag in CONTENT
         self.open.append((tag, hides, holds))
         self.hidden += hides
@@ -114,6 +132,9 @@ class _Lines(HTMLParser):
                     self._pop()
                 for x in inline:  # as browsers do, unclosed formatting goes on
                     self.open.append(x)
+                    self.depth += self.depth > 0
+                    self.hard += self.hard > 0
+                    self.inner += self.inner > 0
                     self.links += x[0] == "a"
                 return
             if self.open[i][0] in bounds:
@@ -121,6 +142,10 @@ class _Lines(HTMLParser):
 
     def _pop(self) -> str:
         tag, hides, holds = self.open.pop()
+        if self.depth:
+            self.depth -= 1
+            self.hard -= self.hard > 0
+            self.inner -= self.inner > 0
         self.hidden -= hides
         self.content -= holds
         self.links -= tag == "a"
@@ -133,6 +158,10 @@ class _Lines(HTMLParser):
             self.parts.append(data)
             if self.links:
                 self.link_chars += len(data.strip())
+        elif self.depth and not self.hard:
+            n = len(data.strip())
+            self.named[-1][1] += n
+            self.named[-1][2] += n if self.inner else 0
 
 
 def _smooth(values: list[float], sigma: float = SIGMA) -> list[float]:
@@ -149,9 +178,9 @@ def _smooth(values: list[float], sigma: float = SIGMA) -> list[float]:
     return out
 
 
-def lines(html: str) -> list[tuple[str, int, int, int, bool]]:
+def _parsed(html: str, kept: frozenset[int]) -> _Lines:
     for attempt in range(2):
-        parser = _Lines()
+        parser = _Lines(kept)
         try:
             parser.feed(html)
             parser.close()
@@ -159,7 +188,21 @@ def lines(html: str) -> list[tuple[str, int, int, int, bool]]:
         except AssertionError:  # a malformed marked section
             html = html.replace("<![", "&lt;![")
     parser.flush()
-    return parser.lines
+    return parser
+
+
+def lines(html: str) -> list[tuple[str, int, int, int, bool]]:
+    """Lines of a page. A name does not hide an element that holds more article or main
+    text than is seen outside, or most of the text of a page without such elements."""
+    kept: frozenset[int] = frozenset()
+    while True:
+        parser = _parsed(html, kept)
+        content = sum(len(x[0]) for x in parser.lines if x[4])
+        total = sum(len(x[0]) for x in parser.lines) + sum(n for _, n, _ in parser.named)
+        more = {k for k, n, inside in parser.named if inside > content or not content and 2 * n > total and n > LEAST_LAYOUT}
+        if not more:
+            return parser.lines
+        kept |= more
 
 
 def extract(html: str | None) -> str:
@@ -180,7 +223,7 @@ def extract(html: str | None) -> str:
     named = any(s[3] for s in score.values())  # an article or main element rules out what is beside it
     usable = {k: s for k, s in score.items() if s[3] or not named}
     best = max(usable, key=lambda k: (usable[k][0] / usable[k][1], usable[k][1]))
-    chosen = {k for k, s in usable.items() if k == best or s[2] <= LINK_SHARE * s[1] and (s[3] or s[0] / s[1] >= threshold)}
+    chosen = {k for k, s in usable.items() if k == best or s[3] or s[2] <= LINK_SHARE * s[1] and s[0] / s[1] >= threshold}
     return "\n\n".join(text for text, _, _, region, _ in found if region in chosen)
 
 

@@ -31,3 +31,16 @@ def test_rows(spark):
     got = main_text(spark.createDataFrame([(*r, "z") for r in rows], "page_id long, url string, html string, text string")).collect()
     assert [(r.page_id, r.url, r.n_chars == len(r.text)) for r in got] == [(1, "u", True), (1, "u", True), (None, None, True), (2, "v", True)]
     assert main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+@pytest.mark.parametrize("name", ["layout with-sidebar", "no-sidebar", "content-sidebar-wrap", "has-header", "nav-open"])
+def test_layout_names_do_not_hide_the_article(name):
+    side = '<div class="sidebar"><p>Other things to read</p></div>'
+    assert extract(f'<body><div class="{name}"><div class="page-header x"><article><p>The text.</p></article></div>{side}</div></body>') == "The text."
+    text = "Some long sentence of the text. " * 20
+    assert extract(f'<body><div class="{name}"><p>{text}</p>{side}</div></body>') == text.strip()
+    assert extract('<body><article><p>Short.</p></article><div class="comments"><article class="comment-body"><p>A far longer answer than the text.</p></article></div></body>') == "Short."
+
+
+def test_reference_lists_of_an_article_stay():
+    assert extract('<article><p>The text.</p><section><p><a href="/a">First source</a></p></section></article>') == "The text.\n\nFirst source"
