@@ -1,38 +1,47 @@
 """LM scoring: a log-bilinear model trained with noise-contrastive estimation.
 
-Words are lowered A-Z; a text is its words and one end. The network predicts a class:
-each of the TOP most frequent words, the end, or one of the bins that the other words
-fall into by their ending. Within a bin a word has its smoothed share of the bin's
-training count, so that the probabilities of all words and of one unknown word in each
-bin sum to one. The classes before a word (ORDER of them, ends at the beginning) have
-vectors that are weighed by position, added up, and multiplied with all classes'
-vectors in one matrix product; a bias is added and the result normalised in full.
-
-Training: every task runs noise-contrastive estimation in numpy over all training
-documents in its partition, from one start (bias: log unigram);
-parameters are averaged with the tasks' token counts as weights, for ROUNDS rounds. So
-training grows with the corpus and only model-sized rows meet. Word counts cover all
-training documents.
-
-The vocabulary reaches the tasks as sorted 64-bit hashes with counts while it has at
-most ``limit`` words whose hashes differ; otherwise words are joined with their counts
-in Spark and the network's part is added by document. Both give the same scores but for
-the order of sums. A word outside the vocabulary takes a vocabulary word's count if
-their XXH3 hashes meet, with a chance of under 1e-12 a word at the limit.
-
-Cases: null and empty texts are one end; without training documents every count is
-zero and the network is uniform; null doc_ids count as the empty text for the split;
-repeated rows return repeated rows; an empty table returns no rows; other columns are
-ignored.
+Words are lowered A-Z; a text is its words and one end. Every word has a symbol: the
+3,071 most frequent words and the end have one each, all others share bins. Symbols lie
+in GROUPS groups of MEMBERS. Frequent words are sorted by their reversed spelling and
+cut into groups, so that a group shares its endings; another word joins the group where
+its reversed spelling falls, in a bin by its first letters (ties between equally
+frequent words: the smaller word is frequent).
+
+The vectors of the ORDER symbols before a word (ends at the beginning) are weighed by
+position and added up. One matrix product with the groups' vectors gives, with a bias
+and normalised in full, the probability of the word's group; one with the vectors of the
+group's members that of the symbol. Within a bin a word has its smoothed share of the
+bin's training count. So the probabilities of all words and of one unknown word in each
+bin sum to one.
+
+Every training token trains, in shards of about SHARD_TOKENS tokens. A document's shard
+and its place there follow from its hash, not from files or partitions. A task runs
+noise-contrastive estimation in numpy over its shard, with noise from the unigrams of
+the groups and within them. Each of ROUNDS rounds takes the next part of every shard's
+tokens, in shuffled order, from the parameters that all shards reached together: their
+mean, weighed by tokens.
+
+Word counts come from all training documents. Words more frequent than a cut reach the
+tasks as sorted hashes with counts, at most LOCAL words whatever the corpus; the counts
+of the rarer words of each document are found by a join, whose keys are never frequent.
+A word outside the sorted hashes that meets one of them by its XXH3 hash takes its
+count, with a chance under 1e-13 a word.
+
+Cases: null and empty texts are one end; very long texts are read whole, and a shard is
+as long as its longest document if that is longer; without training documents every
+count is zero and the network is at its start; null doc_ids count as the empty text for
+the split; repeated rows return repeated rows; an empty table returns no rows; other
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 import math
 import zlib
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -40,238 +49,285 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import bounded_batches, crc_mod, texts, written
-
-#: Classes: frequent words, the end, bins of the others.
-TOP, BINS = 159, 96
-END = TOP
-CLASSES = TOP + 1 + BINS
-ORDER, WIDTH = 4, 24
-#: Passes over all training documents.
-ROUNDS = 2
-NOISE, CHUNK, RATE, SEED = 64, 1024, 0.05, 4
-#: Words of a vocabulary that is broadcast: 16 bytes each.
-VOCABULARY_LIMIT = 6_000_000
+from lodestrata.llm.common import bounded_batches, crc_mod, fresh, texts, written
+
+#: Groups of symbols; a group's frequent words, then its bins.
+GROUPS, FREQUENT, BINS = 64, 48, 16
+MEMBERS = FREQUENT + BINS
+SYMBOLS = GROUPS * MEMBERS
+ORDER, WIDTH = 4, 16
+SHARD_TOKENS, ROUNDS = 2_000_000, 2
+NOISE, INNER_NOISE, CHUNK, RATE, SEED = 24, 8, 8192, 0.1, 4
+#: Tokens that are scored at once.
+SCORED = 1 << 15
+#: Words whose counts are sent to every task, at most: 16 bytes each.
+LOCAL = 1 << 20
 #: Distinct words that a task counts or remembers before it lets go.
 REMEMBERED = 300_000
 SMOOTH = 0.1
 #: Stands for the end among tokens; no word is a blank.
 END_WORD = b" "
+#: Columns of a row of averaged parameters.
+ROW = 64
 
 
 def words(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-def bin_of(word: bytes) -> int:
-    return zlib.crc32(word[-3:]) % BINS
-
-
-def by_class(classes: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Rows added up by class, one row a class."""
-    order = np.argsort(classes.astype(np.int16), kind="stable")
-    places = classes[order]
+def sums(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """Rows added up by their place ``at``, of n places."""
+    order = np.argsort(at.astype(np.int16), kind="stable")
+    places = at[order]
     starts = np.flatnonzero(np.diff(places, prepend=-1))
-    out = np.zeros((CLASSES, rows.shape[1]), rows.dtype)
-    out[places[starts]] = np.add.reduceat(rows[order], starts, axis=0)
+    out = np.zeros((n, rows.shape[1]), rows.dtype)
+    out[places[starts]] = np.add.reduceat(np.take(rows, order, axis=0), starts, axis=0)
     return out
 
 
-@dataclass
+def log_softmax_at(scores: np.ndarray, picked: np.ndarray) -> np.ndarray:
+    """Normalised log probability of the picked column of each row; scores are used up."""
+    scores -= scores.max(axis=1, keepdims=True)
+    own = scores[np.arange(len(picked)), picked]
+    np.exp(scores, out=scores)
+    return own - np.log(scores.sum(axis=1))
+
+
 class Network:
-    context: np.ndarray = field(default_factory=lambda: np.zeros((CLASSES, WIDTH), np.float32))
-    weigh: np.ndarray = field(default_factory=lambda: np.ones((ORDER, WIDTH), np.float32))
-    target: np.ndarray = field(default_factory=lambda: np.zeros((CLASSES, WIDTH), np.float32))
-    bias: np.ndarray = field(default_factory=lambda: np.zeros(CLASSES, np.float32))
+    """unigram: probability of each symbol, 0 for symbols that no word has."""
 
-    @classmethod
-    def start(cls, unigram: np.ndarray) -> Network:
+    def __init__(self, unigram: np.ndarray):
         rng = np.random.default_rng(SEED)
         draw = lambda *s: (rng.standard_normal(s) * 0.1).astype(np.float32)
-        return cls(draw(CLASSES, WIDTH), np.ones((ORDER, WIDTH), np.float32) / ORDER, draw(CLASSES, WIDTH), np.log(unigram).astype(np.float32))
+        self.of_group = unigram.reshape(GROUPS, MEMBERS).sum(axis=1)
+        self.of_member = unigram.reshape(GROUPS, MEMBERS) / self.of_group[:, None]
+        self.context, self.weigh = draw(SYMBOLS, WIDTH), np.full((ORDER, WIDTH), 1 / ORDER, np.float32)
+        self.group, self.group_bias = draw(GROUPS, WIDTH), np.log(self.of_group).astype(np.float32)
+        self.member = np.zeros((SYMBOLS, WIDTH), np.float32)
+        self.member_bias = np.log(np.maximum(self.of_member.ravel(), 1e-30)).astype(np.float32)
 
     def parts(self) -> list[np.ndarray]:
-        return [self.context, self.weigh, self.target, self.bias]
+        return [self.context, self.weigh, self.group, self.group_bias, self.member, self.member_bias]
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([p.ravel() for p in self.parts()]).astype(np.float64)
+        return np.concatenate([p.ravel() for p in self.parts()])
 
-    def load(self, flat: np.ndarray) -> Network:
-        out, at = [], 0
+    def load(self, flat: np.ndarray) -> None:
+        at = 0
         for p in self.parts():
-            out.append(flat[at : at + p.size].reshape(p.shape).astype(np.float32))
+            p[...] = flat[at : at + p.size].reshape(p.shape)
             at += p.size
-        return Network(*out)
-
-    def log10(self, before: np.ndarray, classes: np.ndarray) -> np.ndarray:
-        """Normalised log10 probability of each class after the ORDER classes before it."""
-        out = np.empty(len(classes))
-        columns = np.ascontiguousarray(self.target.T)
-        for at in range(0, len(classes), CHUNK):
-            ctx = before[at : at + CHUNK]
-            h = np.einsum("bow,ow->bw", self.context[ctx], self.weigh)
-            s = h @ columns
-            s += self.bias
-            picked = s[np.arange(len(ctx)), classes[at : at + CHUNK]].astype(np.float64)
-            top = s.max(axis=1, keepdims=True)
-            s -= top
-            np.exp(s, out=s)
-            out[at : at + CHUNK] = picked - top[:, 0] - np.log(s.sum(axis=1, dtype=np.float64))
+
+    def log10(self, before: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        """Normalised log10 probability of each symbol; before[o] is the symbol o + 1 places back."""
+        out = np.empty(len(symbols))
+        tables = [self.context * w for w in self.weigh]
+        columns = np.ascontiguousarray(self.group.T)
+        for at in range(0, len(symbols), SCORED):
+            y = symbols[at : at + SCORED]
+            g = y // MEMBERS
+            h = np.take(tables[0], before[0][at : at + SCORED], axis=0)
+            for o in range(1, ORDER):
+                h += np.take(tables[o], before[o][at : at + SCORED], axis=0)
+            scores = h @ columns
+            scores += self.group_bias
+            value = log_softmax_at(scores, g)
+            order = np.argsort(g.astype(np.int16), kind="stable")
+            ends = np.searchsorted(g[order], np.arange(GROUPS + 1))
+            h, inside = np.take(h, order, axis=0), y[order] % MEMBERS
+            for k in np.flatnonzero(np.diff(ends)).tolist():
+                a, b, own = ends[k], ends[k + 1], slice(k * MEMBERS, (k + 1) * MEMBERS)
+                scores = h[a:b] @ self.member[own].T
+                scores += self.member_bias[own]
+                value[order[a:b]] += log_softmax_at(scores, inside[a:b])
+            out[at : at + SCORED] = value
         return out / math.log(10)
 
-    def learn(self, before: np.ndarray, classes: np.ndarray, unigram: np.ndarray, rng: np.random.Generator, squares: list[np.ndarray]) -> None:
-        """One pass of noise-contrastive estimation; NOISE draws are shared by a chunk."""
-        log_noise = np.log(NOISE * unigram).astype(np.float32)
-        cumulative = np.cumsum(unigram)
-        for at in range(0, len(classes), CHUNK):
-            ctx, y = before[at : at + CHUNK], classes[at : at + CHUNK]
-            k = np.minimum(np.searchsorted(cumulative, rng.random(NOISE)), CLASSES - 1)
-            r = self.context[ctx]
-            h = np.einsum("bow,ow->bw", r, self.weigh)
-            data = (h * self.target[y]).sum(1) + self.bias[y] - log_noise[y]
-            noise = h @ self.target[k].T + self.bias[k] - log_noise[k]
-            g1 = 1 / (1 + np.exp(data))  # pulls the data up
-            g0 = -1 / (1 + np.exp(-noise))  # pushes the noise down
-            dh = g1[:, None] * self.target[y] + g0 @ self.target[k]
-            d_target, d_bias = by_class(y, h * g1[:, None]), np.bincount(y, g1, CLASSES).astype(np.float32)
-            np.add.at(d_target, k, g0.T @ h)
-            np.add.at(d_bias, k, g0.sum(0))
-            d_weigh = np.einsum("bow,bw->ow", r, dh)
-            d_context = by_class(ctx.ravel(), (dh[:, None, :] * self.weigh).reshape(-1, WIDTH))
-            for p, g, q in zip(self.parts(), (d_context, d_weigh, d_target, d_bias), squares):
-                g /= len(y)
-                q += g * g
-                p += RATE * g / (np.sqrt(q) + 1e-6)
-
-
-def contexts(classes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(before, classes) of texts whose last class is the end; texts begin after ends."""
-    total = sum(map(len, classes))
-    before = np.full((total, ORDER), END, np.int64)
-    at = 0
-    for c in classes:
-        for o in range(1, min(ORDER, len(c) - 1) + 1):
-            before[at + o : at + len(c), o - 1] = c[:-o]
-        at += len(c)
-    return before, np.concatenate(classes) if classes else np.zeros(0, np.int64)
+    def learn(self, before: np.ndarray, y: np.ndarray, rng: np.random.Generator, squares: list[np.ndarray]) -> None:
+        """One step of noise-contrastive estimation with Adagrad; the noise is shared."""
+        g = y // MEMBERS
+        order = np.argsort(g.astype(np.int16), kind="stable")
+        before, y, g = before[:, order], y[order], g[order]
+        ends = np.searchsorted(g, np.arange(GROUPS + 1))
+        held = np.flatnonzero(np.diff(ends))
+        r = np.take(self.context, before.ravel(), axis=0).reshape(ORDER, len(y), WIDTH)
+        h = np.einsum("obw,ow->bw", r, self.weigh)
+        # groups against noise groups
+        log_noise = np.log(NOISE * self.of_group).astype(np.float32)
+        k = np.minimum(np.searchsorted(np.cumsum(self.of_group), rng.random(NOISE)), GROUPS - 1)
+        own = np.repeat(self.group, np.diff(ends), axis=0)
+        pull = 1 / (1 + np.exp((h * own).sum(axis=1) + self.group_bias[g] - log_noise[g]))
+        push = -1 / (1 + np.exp(log_noise[k] - self.group_bias[k] - h @ self.group[k].T))
+        dh = pull[:, None] * own + push @ self.group[k]
+        d_group, d_group_bias = np.zeros_like(self.group), np.bincount(g, pull, GROUPS).astype(np.float32)
+        d_group[held] = np.add.reduceat(h * pull[:, None], ends[held], axis=0)
+        np.add.at(d_group, k, push.T @ h)
+        np.add.at(d_group_bias, k, push.sum(axis=0))
+        # members against noise members of their group
+        inner = self.of_member
+        log_noise = np.log(INNER_NOISE * np.maximum(inner.ravel(), 1e-30)).astype(np.float32)
+        own = np.take(self.member, y, axis=0)
+        pull = 1 / (1 + np.exp((h * own).sum(axis=1) + self.member_bias[y] - log_noise[y]))
+        dh += pull[:, None] * own
+        d_member, d_member_bias = sums(y, h * pull[:, None], SYMBOLS), np.bincount(y, pull, SYMBOLS).astype(np.float32)
+        up_to = np.cumsum(inner, axis=1)
+        drawn = (up_to[:, None, :] < (rng.random((GROUPS, INNER_NOISE)) * up_to[:, -1:])[:, :, None]).sum(axis=2)
+        drawn = np.minimum(drawn, MEMBERS - 1) + MEMBERS * np.arange(GROUPS)[:, None]
+        for q in held.tolist():
+            a, b, k = ends[q], ends[q + 1], drawn[q]
+            push = -1 / (1 + np.exp(log_noise[k] - self.member_bias[k] - h[a:b] @ self.member[k].T))
+            dh[a:b] += push @ self.member[k]
+            np.add.at(d_member, k, push.T @ h[a:b])
+            np.add.at(d_member_bias, k, push.sum(axis=0))
+        d_weigh = np.einsum("obw,bw->ow", r, dh)
+        d_context = sums(before.ravel(), (dh[None] * self.weigh[:, None, :]).reshape(-1, WIDTH), SYMBOLS)
+        for p, d, q in zip(self.parts(), (d_context, d_weigh, d_group, d_group_bias, d_member, d_member_bias), squares):
+            d /= len(y)
+            q += d * d
+            p += RATE * d / (np.sqrt(q) + 1e-6)
+
+
+def contexts(symbols: np.ndarray, place: np.ndarray, at: np.ndarray, end: int) -> np.ndarray:
+    """Symbols before each position at, one row a distance; place: a position in its text."""
+    return np.stack([np.where(place[at] >= o, symbols[at - o], end) for o in range(1, ORDER + 1)]).astype(np.int64)
+
+
+def places(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, 2, ... anew for each text of so many tokens."""
+    return np.arange(sizes.sum(), dtype=np.int64) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
 
 @dataclass
 class Counts:
-    """What scoring needs to know of the training words besides the network."""
+    """What the tasks need to know of the training words, bounded by SYMBOLS and LOCAL."""
 
-    top: dict[bytes, tuple[int, int]]  # word: class, count
+    frequent: dict[bytes, tuple[int, int]]  # word: symbol, count; the end is one
+    bounds: list[bytes]  # reversed spelling of the first word of each group but the first
     tokens: int
     distinct: int
-    ends: int
     bin_tokens: np.ndarray
     bin_words: np.ndarray
+    cut: int = 0
+    hashes: np.ndarray | None = None
+    numbers: np.ndarray | None = None
+
+    @classmethod
+    def over(cls, top: list[tuple[bytes, int]], ends: int, tokens: int, distinct: int) -> Counts:
+        known = dict(sorted([*top, (END_WORD, ends)], key=lambda x: x[0][::-1]))
+        frequent = {w: (i // FREQUENT * MEMBERS + i % FREQUENT, n) for i, (w, n) in enumerate(known.items())}
+        bounds = [w[::-1] for i, w in enumerate(known) if i and i % FREQUENT == 0]
+        return cls(frequent, bounds, tokens, distinct, np.zeros(SYMBOLS), np.zeros(SYMBOLS))
+
+    @property
+    def end(self) -> int:
+        return self.frequent[END_WORD][0]
 
-    def base(self, count):
-        return np.log10((count + SMOOTH) / (self.tokens + SMOOTH * (self.distinct + 1)))
+    def bin_of(self, word: bytes) -> int:
+        return bisect_right(self.bounds, word[::-1]) * MEMBERS + FREQUENT + zlib.crc32(word[:3]) % BINS
 
-    def inner(self, count, bins):
-        return np.log10((count + SMOOTH) / (self.bin_tokens[bins] + SMOOTH * (self.bin_words[bins] + 1)))
+    def base_norm(self) -> float:
+        return math.log10(self.tokens + SMOOTH * (self.distinct + 1))
+
+    def inner_norm(self, symbols: np.ndarray) -> np.ndarray:
+        return np.log10(self.bin_tokens[symbols] + SMOOTH * (self.bin_words[symbols] + 1))
 
     def unigram(self) -> np.ndarray:
-        mass = np.empty(CLASSES)
-        mass[:TOP] = SMOOTH
-        for c, n in self.top.values():
-            mass[c] += n
-        mass[END] = self.ends + SMOOTH
-        mass[END + 1 :] = self.bin_tokens + SMOOTH * (self.bin_words + 1)
+        mass = np.zeros(SYMBOLS)
+        for s, n in self.frequent.values():
+            mass[s] = n + SMOOTH
+        bins = np.arange(SYMBOLS) % MEMBERS >= FREQUENT
+        mass[bins] = (self.bin_tokens + SMOOTH * (self.bin_words + 1))[bins]
         return mass / mass.sum()
 
 
 def word_counts(training: DataFrame) -> DataFrame:
-    """(word, n, bin) of all training texts; the words are bytes."""
+    """(word, n) of all training texts; the words are bytes."""
     bounded_batches(training.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
 
         def out() -> pa.RecordBatch:
-            w = list(held)
-            return pa.RecordBatch.from_arrays([pa.array(w, pa.binary()), pa.array(list(held.values()), pa.int64()), pa.array([bin_of(x) for x in w], pa.int32())], names=["word", "n", "bin"])
+            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
 
         for batch in batches:
             for text in texts(batch):
                 held.update(words(text))
-            if len(held) > REMEMBERED:
-                yield out()
-                held.clear()
+                if len(held) > REMEMBERED:
+                    yield out()
+                    held.clear()
         yield out()
 
-    return training.select("text").mapInArrow(run, "word binary, n long, bin int").groupBy("word", "bin").agg(F.sum("n").alias("n"))
-
-
-def _classes_only(top: dict[bytes, tuple[int, int]]):
-    """word -> class, remembered for a while."""
-    known = {w: c for w, (c, _) in top.items()}
+    return training.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
-    class Known(dict):
-        def __missing__(self, w: bytes) -> int:
-            if len(self) > REMEMBERED:
-                self.clear()
-                self.update(known)
-            self[w] = c = END + 1 + bin_of(w)
-            return c
 
-    return Known(known)
+def count(training: DataFrame, limit: int = LOCAL) -> tuple[Counts, DataFrame]:
+    """Counts of the training texts, and the rarer words (word, n) that tasks do not hold."""
+    spark = training.sparkSession
+    vocabulary = written(word_counts(training))
+    ends = training.count()
+    totals = vocabulary.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    top = vocabulary.orderBy(F.desc("n"), "word").limit(GROUPS * FREQUENT - 1).collect()
+    counts = Counts.over([(bytes(r.word), r.n) for r in top], ends, totals[1] + ends, totals[0] + int(ends > 0))
+    frequent, place = spark.sparkContext.broadcast(counts.frequent), spark.sparkContext.broadcast(counts)
 
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, distinct = np.zeros(SYMBOLS), np.zeros(SYMBOLS, np.int64)
+        for batch in batches:
+            for w, n in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist()):
+                if w not in frequent.value:
+                    s = place.value.bin_of(w)
+                    tokens[s] += n
+                    distinct[s] += 1
+        at = np.flatnonzero(distinct)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(tokens[at].astype(np.int64)), pa.array(distinct[at])], names=["symbol", "n", "w"])
+
+    for r in vocabulary.mapInArrow(add_up, "symbol int, n long, w long").groupBy("symbol").agg(F.sum("n").alias("n"), F.sum("w").alias("w")).collect():
+        counts.bin_tokens[r.symbol], counts.bin_words[r.symbol] = r.n, r.w
+
+    # the largest counts whose words are at most ``limit``: by exact count below 64, then by eighths of a power of two
+    step = F.when(F.col("n") < 64, F.col("n")).otherwise(16 + F.floor(F.log2("n") * 8)).cast("int")
+    steps = vocabulary.groupBy(step.alias("step")).agg(F.min("n").alias("n"), F.count("*").alias("w")).orderBy(F.desc("step")).collect()
+    held, counts.cut = 0, (steps[0].n if steps else 0) + 2**62
+    for r in steps:
+        if held + r.w > limit:
+            break
+        held, counts.cut = held + r.w, r.n
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = [xxhash.xxh3_64_intdigest(w) for w in batch.column("word").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(h, np.uint64).view(np.int64)), batch.column("n")], names=["h", "n"])
 
-def train(training: DataFrame, counts: Counts) -> Network:
-    """Parameter averaging over the tasks' passes. training: doc_id, text."""
-    spark = training.sparkSession
-    bounded_batches(spark)
-    unigram = counts.unigram()
-    network = Network.start(unigram)
-    chosen = training.select("text")
-    for turn in range(ROUNDS):
-        sent = spark.sparkContext.broadcast((network, counts.top, unigram))
+    found = vocabulary.where(F.col("n") >= counts.cut).mapInArrow(digest, "h long, n long").toArrow()  # at most ``limit`` rows
+    hashes, numbers = found.column("h").to_numpy().view(np.uint64), found.column("n").to_numpy()
+    order = np.argsort(hashes)
+    hashes, numbers = hashes[order], numbers[order]
+    if (hashes[1:] == hashes[:-1]).any():  # two words of one hash: all counts by join
+        hashes, numbers, counts.cut = hashes[:0], numbers[:0], 2**62
+    counts.hashes, counts.numbers = hashes, numbers
+    return counts, vocabulary.where(F.col("n") < counts.cut)
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            first, top, noise = sent.value
-            own = first.load(first.flat())
-            class_of = _classes_only(top)
-            squares = [np.zeros_like(p) for p in own.parts()]
-            rng = np.random.default_rng((SEED, turn))
-            seen = 0
-            for batch in batches:
-                classes = [np.fromiter((*map(class_of.__getitem__, words(t)), END), np.int64) for t in texts(batch)]
-                before, y = contexts(classes)
-                order = rng.permutation(len(y))
-                own.learn(before[order], y[order], noise, rng, squares)
-                seen += len(y)
-            if seen:
-                flat = own.flat()
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat * seen), pa.array(np.full(len(flat), seen, np.int64))], names=["at", "total", "weight"])
-
-        rows = chosen.mapInArrow(run, "at int, total double, weight long").groupBy("at").agg((F.sum("total") / F.sum("weight")).alias("value")).toPandas()
-        if len(rows):
-            flat = np.empty(len(rows))
-            flat[rows["at"]] = rows["value"]
-            network = network.load(flat)
-    return network
 
+class _Lookup:
+    """What is known of each word, with a bounded memory of recent ones.
 
-class _Vocabulary:
-    """Lookups of words in sorted hashes, with a bounded memory of recent ones."""
+    Columns of ``table``: symbol, known, base, inner, by join (1 if the count is not here;
+    base and inner then lack log10(count + SMOOTH))."""
 
-    def __init__(self, counts: Counts, hashes: np.ndarray, numbers: np.ndarray):
-        self.counts, self.hashes, self.numbers = counts, hashes, numbers
+    def __init__(self, counts: Counts):
+        self.counts = counts
         self.forget()
 
     def forget(self) -> None:
-        """Keep the frequent words and the end alone."""
-        self.slot: dict[bytes, int] = {w: i for i, w in enumerate(self.counts.top)}
-        self.slot[END_WORD] = len(self.slot)
-        self.table = np.zeros((2 * REMEMBERED, 3))
-        for (c, n), row in zip([*self.counts.top.values(), (END, self.counts.ends)], self.table):
-            row[:2] = c, n
-
-    def look_up(self, tokens: list[bytes]) -> np.ndarray:
-        """Rows of ``table`` (class, count, inner log10) for each token."""
+        c = self.counts
+        self.slot: dict[bytes, int] = {w: i for i, w in enumerate(c.frequent)}
+        n = np.array([n for _, n in c.frequent.values()], float)
+        rows = np.column_stack(([s for s, _ in c.frequent.values()], n > 0, np.log10(n + SMOOTH) - c.base_norm(), np.zeros(len(n)), np.zeros(len(n))))
+        self.table = np.zeros((2 * REMEMBERED, 5))
+        self.table[: len(rows)] = rows
+
+    def rows(self, tokens: list[bytes]) -> np.ndarray:
         new = [w for w in set(tokens) if w not in self.slot]
         if len(self.slot) + len(new) > REMEMBERED:
             self.forget()
@@ -279,128 +335,160 @@ class _Vocabulary:
         if new:
             first, last = len(self.slot), len(self.slot) + len(new)
             if last > len(self.table):
-                self.table = np.concatenate((self.table, np.zeros((last, 3))))
-            h = np.array([xxhash.xxh3_64_intdigest(w) for w in new], np.uint64)
-            count = np.zeros(len(new))
-            if len(self.hashes):
-                at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-                count = np.where(self.hashes[at] == h, self.numbers[at], 0).astype(np.float64)
-            bins = np.array([bin_of(w) for w in new])
+                self.table = np.concatenate((self.table, np.zeros((last, 5))))
+            c = self.counts
+            symbols = np.array([c.bin_of(w) for w in new])
+            n, here = np.zeros(len(new)), np.zeros(len(new), bool)
+            if len(c.hashes):
+                h = np.array([xxhash.xxh3_64_intdigest(w) for w in new], np.uint64)
+                at = np.minimum(np.searchsorted(c.hashes, h), len(c.hashes) - 1)
+                here = c.hashes[at] == h
+                n = np.where(here, c.numbers[at], 0)
+            share = np.where(here, np.log10(n + SMOOTH), 0.0)
             self.slot.update(zip(new, range(first, last)))
-            self.table[first:last] = np.column_stack((bins + END + 1, count, self.counts.inner(count, bins)))
+            self.table[first:last] = np.column_stack((symbols, here, share - c.base_norm(), share - c.inner_norm(symbols), ~here))
         return self.table[np.fromiter(map(self.slot.__getitem__, tokens), np.int64, len(tokens))]
 
 
-_held: dict[str, _Vocabulary] = {}
+_held: dict[str, _Lookup] = {}
 
 
-def _score(docs: DataFrame, counts: Counts, network: Network, hashes: np.ndarray | None, numbers: np.ndarray | None, keep: tuple[str, ...]) -> DataFrame:
-    """Scores in one pass; without hashes, the network's part of the score alone."""
+def encode(docs: DataFrame, counts: Counts, keep: tuple[str, ...]) -> tuple[DataFrame, list[str]]:
+    """A written table: the kept columns and those whose names come second: a row number,
+    a hash of the row, symbols, n_tokens, known, base, inner, and the words to be joined."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    sent = spark.sparkContext.broadcast((counts, network, hashes, numbers))
-    key = str(id(sent)) + str(np.random.default_rng().integers(1 << 62))
+    number, mark, *rest = names = fresh(docs.select(*keep), "_row", "_hash", "_symbols", "_tokens", "_known", "_base", "_inner", "_rare")
+    sent = spark.sparkContext.broadcast(counts)
+    key = str(np.random.default_rng().integers(1 << 62))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, network, hashes, numbers = sent.value
         if key not in _held:
             _held.clear()
-            _held[key] = _Vocabulary(counts, hashes if hashes is not None else np.zeros(0, np.uint64), numbers if numbers is not None else np.zeros(0))
-        vocabulary = _held[key]
+            _held[key] = _Lookup(sent.value)
+        lookup = _held[key]
         for batch in batches:
-            tokens, sizes = [], []
+            tokens, lengths = [], []
             for t in texts(batch):
                 found = words(t)
-                found.append(END_WORD)
                 tokens += found
-                sizes.append(len(found))
-            row = vocabulary.look_up(tokens)
-            sizes = np.array(sizes, np.int64)
+                tokens.append(END_WORD)
+                lengths.append(len(found) + 1)
+            row = lookup.rows(tokens)
+            sizes = np.array(lengths, np.int64)
             starts = np.cumsum(sizes) - sizes
-            classes = row[:, 0].astype(np.int64)
-            before = np.full((len(classes), ORDER), END, np.int64)
-            place = np.arange(len(classes)) - np.repeat(starts, sizes)
-            for o in range(1, ORDER + 1):
-                before[o:, o - 1] = np.where(place[o:] >= o, classes[:-o], END)
-            score = network.log10(before, classes)
-            if hashes is not None:
-                score = score + row[:, 2]
-            base = counts.base(row[:, 1])
             total = lambda x: np.add.reduceat(x, starts) if len(starts) else x[:0]
-            arrays = [*(batch.column(k) for k in keep), pa.array(sizes), pa.array(total((row[:, 1] > 0).astype(np.int64))), pa.array(total(base)), pa.array(total(score))]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*keep, "n_tokens", "n_known", "base_score", "score"])
+            symbols = row[:, 0].astype(np.int16)
+            rare = np.flatnonzero(row[:, 4])
+            owner = np.searchsorted(starts, rare, side="right") - 1
+            times = Counter(zip(owner.tolist(), map(tokens.__getitem__, rare.tolist())))  # texts in order
+            offsets = np.concatenate(([0], np.cumsum(np.bincount([i for i, _ in times], minlength=len(sizes)))))
+            pairs = pa.StructArray.from_arrays([pa.array([w for _, w in times], pa.binary()), pa.array(list(times.values()), pa.int64())], names=["word", "times"])
+            arrays = [
+                *(batch.column(k) for k in (*keep, mark)), pa.array([symbols[a : a + n].tobytes() for a, n in zip(starts.tolist(), lengths)], pa.binary()), pa.array(sizes), pa.array(total(row[:, 1]).astype(np.int64)),
+                pa.array(total(row[:, 2])), pa.array(total(row[:, 3])), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pairs)]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*keep, mark, *rest])
 
     kept = "".join(f"`{k}` {docs.schema[k].dataType.simpleString()}, " for k in keep)
-    return docs.select(*dict.fromkeys((*keep, "text"))).mapInArrow(run, f"{kept}n_tokens long, n_known long, base_score double, score double")
+    schema = f"{kept}{mark} long, " + ", ".join(f"{c} {t}" for c, t in zip(rest, ("binary", "long", "long", "double", "double", "array<struct<word:binary,times:long>>")))
+    own = docs.select(*keep, F.xxhash64(*keep, "text").alias(mark), *(["text"] if "text" not in keep else []))
+    return written(own.mapInArrow(run, schema).withColumn(number, F.monotonically_increasing_id())), names
+
+
+def train(encoded: DataFrame, symbols: str, mark: str, counts: Counts, shard_tokens: int = SHARD_TOKENS) -> Network:
+    """Rounds of noise-contrastive passes over shards of the encoded training documents."""
+    spark = encoded.sparkSession
+    network = Network(counts.unigram())
+    shards = max(1, math.ceil(counts.tokens / shard_tokens))
+    dealt = encoded.select(F.pmod(F.col(mark), F.lit(shards)).alias("shard"), F.col(mark).alias("mark"), F.col(symbols).alias("symbols")).repartition(shards, "shard")
+    size = len(network.flat())
+    columns = [f"c{i}" for i in range(ROW)]
+    for turn in range(ROUNDS):
+        sent = spark.sparkContext.broadcast((network, counts.end))
+
+        def run(key: tuple, rows: pa.Table) -> pa.Table:
+            network, end = sent.value
+            own = Network.__new__(Network)
+            own.__dict__.update({k: v.copy() for k, v in network.__dict__.items()})
+            parts = [np.frombuffer(b, np.int16) for b in rows.sort_by("mark").column("symbols").to_pylist()]
+            symbols, place = np.concatenate(parts), places(np.array([len(p) for p in parts]))
+            rng = np.random.default_rng((SEED, key[0].as_py()))
+            part = np.array_split(rng.permutation(len(symbols)), ROUNDS)[turn]
+            squares = [np.zeros_like(p) for p in own.parts()]
+            for a in range(0, len(part), CHUNK):
+                at = part[a : a + CHUNK]
+                own.learn(contexts(symbols, place, at, end), symbols[at].astype(np.int64), rng, squares)
+            flat = np.zeros(-(-size // ROW) * ROW)
+            flat[:size] = own.flat()
+            table = (flat * len(part)).reshape(-1, ROW)
+            arrays = [pa.array(np.arange(len(table), dtype=np.int32)), pa.array(np.full(len(table), len(part), np.int64)), *(pa.array(np.ascontiguousarray(c)) for c in table.T)]
+            return pa.Table.from_arrays(arrays, names=["at", "weight", *columns])
+
+        mean = dealt.groupBy("shard").applyInArrow(run, "at int, weight long, " + ", ".join(f"{c} double" for c in columns))
+        mean = mean.groupBy("at").agg(F.sum("weight").alias("weight"), *[F.sum(c).alias(c) for c in columns]).toPandas()
+        if len(mean) and (mean["weight"] > 0).all():
+            mean = mean.sort_values("at")
+            network.load((mean[columns].to_numpy() / mean[["weight"]].to_numpy()).ravel()[:size])
+    return network
 
 
-def _joined(docs: DataFrame, vocabulary: DataFrame, counts: Counts, network: Network, keep: tuple[str, ...]) -> DataFrame:
-    """For vocabularies above the limit: each document's distinct words meet their counts."""
-    keyed = written(docs.select(*keep, "text").withColumns({"_k": F.xxhash64(*keep, "text"), "_j": F.hash("text", *keep)}))
-    top = docs.sparkSession.sparkContext.broadcast({w: c for w, (c, _) in counts.top.items()})
+def rate(encoded: DataFrame, names: list[str], counts: Counts, network: Network, rare: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """Per encoded row: the kept columns, n_tokens, n_known, base_score, score."""
+    bounded_batches(encoded.sparkSession)
+    number, _, symbols, *sized, words_ = names
+    value_, row_, known_, share_ = fresh(encoded, "_value", "_of", "_more", "_share")
+    sent = encoded.sparkSession.sparkContext.broadcast((network, counts.end))
 
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        network, end = sent.value
         for batch in batches:
-            for k, j, text in zip(batch.column("_k").to_pylist(), batch.column("_j").to_pylist(), texts(batch)):
-                own = Counter(words(text))
-                if own:
-                    w = list(own)
-                    yield pa.RecordBatch.from_arrays([pa.array([k] * len(w), pa.int64()), pa.array([j] * len(w), pa.int32()), pa.array(w, pa.binary()), pa.array(list(own.values()), pa.int64()), pa.array([None if x in top.value else bin_of(x) for x in w], pa.int32())], names=["_k", "_j", "word", "times", "own_bin"])
-
-    once = keyed.select("_k", "_j", "text").dropDuplicates(["_k", "_j"])
-    pairs = once.mapInArrow(explode, "_k long, _j int, word binary, times long, own_bin int")
-    met = pairs.join(vocabulary.select("word", "n"), "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    table = F.array(*[F.lit(float(t + SMOOTH * (w + 1))) for t, w in zip(counts.bin_tokens, counts.bin_words)])
-    inner = F.when(F.col("own_bin").isNotNull(), F.log10((F.col("n") + SMOOTH) / F.element_at(table, F.col("own_bin") + 1))).otherwise(0.0)
-    base = F.log10((F.col("n") + SMOOTH) / F.lit(counts.tokens + SMOOTH * (counts.distinct + 1)))
-    sums = met.groupBy("_k", "_j").agg(F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("known"), F.sum(base * F.col("times")).alias("base"), F.sum(inner * F.col("times")).alias("inner"))
-    rough = _score(keyed, counts, network, None, None, (*keep, "_k", "_j"))
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    ends = float(counts.base(counts.ends))
-    return rough.join(sums, ["_k", "_j"], "left").select(*keep, "n_tokens", (F.coalesce("known", F.lit(0)) + int(counts.ends > 0)).cast("long").alias("n_known"), (zero("base") + ends).alias("base_score"), (F.col("score") + zero("inner")).alias("score"))
-
-
-def fit(training: DataFrame) -> tuple[Counts, Network, DataFrame]:
-    """training: doc_id, text. Returns the counts, the network, the vocabulary."""
-    ends = training.count()
-    vocabulary = written(word_counts(training))
-    frequent = vocabulary.orderBy(F.desc("n"), "word").limit(TOP).collect()
-    top = {bytes(r.word): (c, r.n) for c, r in enumerate(frequent)}
-    totals = vocabulary.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    bins = vocabulary.groupBy("bin").agg(F.sum("n").alias("n"), F.count("*").alias("w")).collect()
-    tokens, distinct = np.zeros(BINS), np.zeros(BINS)
-    for r in bins:
-        tokens[r.bin], distinct[r.bin] = r.n, r.w
-    for w, (_, n) in top.items():
-        tokens[bin_of(w)] -= n
-        distinct[bin_of(w)] -= 1
-    counts = Counts(top, totals[1] + ends, totals[0] + int(ends > 0), ends, tokens, distinct)
-    return counts, train(training, counts), vocabulary
-
-
-def score(docs: DataFrame, counts: Counts, network: Network, vocabulary: DataFrame, keep: tuple[str, ...] = ("doc_id",), limit: int = VOCABULARY_LIMIT) -> DataFrame:
+            parts = [np.frombuffer(b, np.int16) for b in batch.column(symbols).to_pylist()]
+            found = np.concatenate(parts) if parts else np.zeros(0, np.int16)
+            sizes = np.array([len(p) for p in parts], np.int64)
+            place = places(sizes)
+            value = np.empty(len(found))
+            for a in range(0, len(found), SCORED):
+                at = np.arange(a, min(a + SCORED, len(found)))
+                value[at] = network.log10(contexts(found, place, at, end), found[at].astype(np.int64))
+            total = np.add.reduceat(value, np.cumsum(sizes) - sizes) if parts else value
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*keep, number, *sized)), pa.array(total)], names=[*keep, number, *sized, value_])
+
+    kept = "".join(f"`{k}` {encoded.schema[k].dataType.simpleString()}, " for k in keep)
+    scored = encoded.select(*keep, number, *sized, symbols).mapInArrow(run, f"{kept}{number} long, {sized[0]} long, {sized[1]} long, {sized[2]} double, {sized[3]} double, {value_} double")
+    each = encoded.select(F.col(number).alias(row_), F.explode(words_).alias("x")).select(row_, "x.word", "x.times")
+    met = each.join(rare, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    met = met.groupBy(row_).agg(F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias(known_), F.sum(F.col("times") * F.log10(F.col("n") + SMOOTH)).alias(share_))
+    share, known = F.coalesce(share_, F.lit(0.0)), F.coalesce(known_, F.lit(0))
+    joined = scored.join(met, scored[number] == met[row_], "left")
+    return joined.select(*keep, F.col(sized[0]).alias("n_tokens"), (F.col(sized[1]) + known).alias("n_known"), (F.col(sized[2]) + share).alias("base_score"), (F.col(value_) + F.col(sized[3]) + share).alias("score"))
+
+
+@dataclass
+class Model:
+    counts: Counts
+    network: Network
+    rare: DataFrame
+
+
+def fit(training: DataFrame, limit: int = LOCAL) -> Model:
+    """training: doc_id, text."""
+    counts, rare = count(training, limit)
+    encoded, names = encode(training, counts, ("doc_id",))
+    return Model(counts, train(encoded, names[2], names[1], counts), rare)
+
+
+def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Per row: the kept columns, n_tokens, n_known, base_score, score."""
-    if counts.distinct <= limit:
-
-        def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                h = [xxhash.xxh3_64_intdigest(w) for w in batch.column("word").to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(h, np.uint64).view(np.int64)), batch.column("n")], names=["h", "n"])
-
-        bounded_batches(docs.sparkSession, 4096)
-        found = vocabulary.select("word", "n").mapInArrow(digest, "h long, n long").toArrow()
-        hashes, numbers = (found.column(c).to_numpy() for c in ("h", "n"))
-        hashes = hashes.view(np.uint64)
-        order = np.argsort(hashes)
-        hashes, numbers = hashes[order], numbers[order]
-        if not (hashes[1:] == hashes[:-1]).any():
-            return _score(docs, counts, network, hashes, numbers, keep)
-    return _joined(docs, vocabulary, counts, network, keep)
-
-
-def held_out_scores(docs: DataFrame, limit: int = VOCABULARY_LIMIT) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    held_out = crc_mod("doc_id", 10) == 0
-    counts, network, vocabulary = fit(docs.where(~held_out).select("doc_id", "text"))
-    scored = score(docs, counts, network, vocabulary, limit=limit)
-    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(counts.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    encoded, names = encode(docs, model.counts, keep)
+    return rate(encoded, names, model.counts, model.network, model.rare, keep)
+
+
+def held_out_scores(docs: DataFrame, limit: int = LOCAL) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. Texts are
+    encoded once, for training and for scoring."""
+    marked = docs.select("doc_id", (crc_mod("doc_id", 10) == 0).alias("held_out"), "text")
+    counts, rare = count(marked.where("NOT held_out"), limit)
+    encoded, names = encode(marked, counts, ("doc_id", "held_out"))
+    network = train(encoded.where("NOT held_out"), names[2], names[1], counts)
+    scored = rate(encoded, names, counts, network, rare, ("doc_id", "held_out"))
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(counts.tokens).cast("long").alias("train_tokens"), "base_score", "score")

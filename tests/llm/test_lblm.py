@@ -22,40 +22,40 @@ def test_base_and_counts_and_both_paths(spark, documents):
     n, v = sum(c.values()), len(c)
     want = sorted((str(r.doc_id), held(r.doc_id), len(t := tokens(r.text)), sum(c[w] > 0 for w in t), n, round(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t), 6)) for r in rows)
     scores = []
-    for limit in (L.VOCABULARY_LIMIT, 0):
+    for limit in (L.LOCAL, 20, 0):
         got = L.held_out_scores(documents, limit).collect()
         assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
         scores.append(sorted((str(r.doc_id), round(r.score, 4)) for r in got))
-    assert scores[0] == scores[1]
+    assert scores[0] == scores[1] == scores[2]
 
 
 def test_probabilities_sum_to_one():
     rng = np.random.default_rng(0)
-    net = L.Network.start(np.full(L.CLASSES, 1 / L.CLASSES))
-    before = np.repeat(rng.integers(0, L.CLASSES, (3, L.ORDER)), L.CLASSES, axis=0)
-    p = 10 ** net.log10(before, np.tile(np.arange(L.CLASSES), 3))
+    counts = L.Counts.over([(b"ab", 3), (b"xy", 2)], 1, 10, 5)
+    for w, k in ((b"cb", 1), (b"qb", 3)):
+        counts.bin_tokens[counts.bin_of(w)] += k
+        counts.bin_words[counts.bin_of(w)] += 1
+    net = L.Network(counts.unigram())
+    net.member += rng.standard_normal(net.member.shape).astype(np.float32)
+    before = np.repeat(rng.integers(0, L.SYMBOLS, (L.ORDER, 3)), L.SYMBOLS, axis=1)
+    p = 10 ** net.log10(before, np.tile(np.arange(L.SYMBOLS), 3))
     assert p.reshape(3, -1).sum(1) == pytest.approx([1, 1, 1], abs=1e-4)
-    words = Counter({b"ab": 3, b"cb": 1})
-    counts = L.Counts({}, 4, 2, 0, np.zeros(L.BINS), np.zeros(L.BINS))
-    for w, k in words.items():
-        counts.bin_tokens[L.bin_of(w)] += k
-        counts.bin_words[L.bin_of(w)] += 1
-    b = L.bin_of(b"ab")
-    inside = [k for w, k in words.items() if L.bin_of(w) == b] + [0]
-    assert sum(10 ** counts.inner(k, b) for k in inside) == pytest.approx(1.0)
+    b = counts.bin_of(b"cb")
+    inside = [1, 0] if counts.bin_of(b"qb") != b else [1, 3, 0]
+    assert sum((k + L.SMOOTH) / 10 ** counts.inner_norm(np.array([b]))[0] for k in inside) == pytest.approx(1.0)
 
 
 def test_noise_contrastive_learning_raises_likelihood():
     rng = np.random.default_rng(1)
-    y = np.tile(np.arange(20), 600)
-    before = np.column_stack([np.roll(y, o) for o in range(1, L.ORDER + 1)])
-    unigram = (np.bincount(y, minlength=L.CLASSES) + 0.1) / (len(y) + 0.1 * L.CLASSES)
-    net = L.Network.start(unigram)
+    y = np.tile(np.arange(20) * 7, 600)
+    before = np.stack([np.roll(y, o) for o in range(1, L.ORDER + 1)])
+    unigram = (np.bincount(y, minlength=L.SYMBOLS) + 0.1) / (len(y) + 0.1 * L.SYMBOLS)
+    net = L.Network(unigram)
     start = net.log10(before, y).mean()
     squares = [np.zeros_like(p) for p in net.parts()]
-    for _ in range(4):
-        order = rng.permutation(len(y))
-        net.learn(before[order], y[order], unigram, rng, squares)
+    for _ in range(40):
+        at = rng.integers(0, len(y), 2000)
+        net.learn(before[:, at], y[at], rng, squares)
     assert net.log10(before, y).mean() > start + 0.3
 
 
@@ -72,8 +72,27 @@ def test_empty_table(spark, empty, documents):
 
 
 def test_every_training_document_trains(spark):
-    """Documents that a hash-chosen eighth would leave out move the network from its start."""
-    docs = spark.range(40).select(F.col("id").alias("doc_id"), F.expr("repeat(concat('word', id % 3, ' and more '), 20)").alias("text"))
-    docs = docs.where("pmod(xxhash64(doc_id, text), 8) != 0")
-    counts, network, _ = L.fit(docs)
-    assert not np.array_equal(network.flat(), L.Network.start(counts.unigram()).flat())
+    """Each document alone moves the network from its start."""
+    for k in range(3):
+        model = L.fit(spark.createDataFrame([(k, f"word{k} and more " * 20)], "doc_id long, text string"))
+        assert not np.array_equal(model.network.flat(), L.Network(model.counts.unigram()).flat())
+
+
+def test_partitions_do_not_matter(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = []
+    for dealt in (docs, docs.repartition(7), docs.orderBy(F.desc("doc_id")).coalesce(2)):
+        rows.append({r.doc_id: (r.base_score, r.score) for r in L.held_out_scores(dealt).collect()})
+    for other in rows[1:]:
+        assert other.keys() == rows[0].keys()
+        for k, (b, s) in other.items():
+            assert rows[0][k] == pytest.approx((b, s), rel=1e-6, abs=1e-6)
+
+
+def test_names_that_clash(spark, documents):
+    """Kept columns of any name pass through, next to the columns added."""
+    model = L.fit(documents.select("doc_id", "text"))
+    named = documents.select("doc_id", "text", F.lit(5).alias("_row"), F.lit("x").alias("_symbols"), F.lit(2).alias("row_"))
+    got = L.score(named, model, ("doc_id", "_row", "_symbols", "row_"))
+    assert got.columns == ["doc_id", "_row", "_symbols", "row_", "n_tokens", "n_known", "base_score", "score"]
+    assert {(r._row, r._symbols, r.row_) for r in got.collect()} == {(5, "x", 2)}
