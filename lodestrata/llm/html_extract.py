@@ -1,20 +1,25 @@
 """HTML extraction: parser events, text-to-tag ratio per line, smoothing, clustering.
 
 The standard library's parser streams events over the whole page. Text collects into
-lines, one for each block element; a line's ratio is its characters over its tags.
-Ratios are smoothed with a Gaussian along the page and cut at a threshold taken from
-their spread. Lines belong to regions, the nearest sectioning ancestors; a region is
-content if its smoothed ratio, weighed by characters, reaches the threshold, or if it
-lies in an article or main element; beside those, it must not be mostly links. The best region always
-counts. Elements that never hold article text (scripts, menus, forms, page headers and
-footers, asides) and those whose class, id or role names one (adverts, notices,
-comments, sidebars) close their whole subtree. Nothing is dropped within a region.
+lines, one for each block element; a line's ratio is its characters over its tags. Lines
+belong to regions, the nearest sectioning ancestors. Ratios are smoothed with a Gaussian
+along a region's lines; a region has the mean of its smoothed ratios, weighed by
+characters. What markup says of a region is a factor on that mean, not a verdict: NAMED
+for each ancestor whose class or id is made up of names of adverts, notices, comments and
+the like, BESIDE outside of article and main elements on a page that has any, and DIV for
+a plain division inside of them. A threshold then clusters regions into content and rest:
+SHARE of the best mean; on pages without article or main also SPREAD standard deviations
+of the ratios, and links must not be the greater part. The best region is content (of
+equal ones the longer, then the first); a named one only if it lies in an article or main
+or has LEAST_LAYOUT characters, as a page's layout would. Scripts, styles, forms, menus,
+page headers and footers, asides and what is marked hidden are closed with their whole
+subtree. Nothing is dropped within a region.
 
 Cases: null and empty pages, and pages without content, give an empty text; unclosed
 and stray tags are repaired as a browser would (an open paragraph ends at the next
 block, an end tag closes what is open inside it); malformed declarations are read as
-text; repeated rows return repeated rows; null page_ids and urls pass through; an empty
-table returns no rows; other columns are ignored.
+text; very long pages are read whole; repeated rows return repeated rows; null page_ids
+and urls pass through; an empty table returns no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,10 +34,13 @@ from pyspark.sql import DataFrame
 from lodestrata.llm.common import scan
 
 SIGMA = 1.5
-#: The threshold is this share of the ratios' standard deviation.
-SPREAD = 0.5
-LINK_SHARE = 0.5
-#: Characters that an element without an article or main must have to count as the page's layout.
+#: Share of the best region's mean ratio that content has.
+SHARE = 0.005
+#: Factors on a region's mean: per named ancestor, beside article and main, a division inside them.
+NAMED, BESIDE, DIV = 1e-5, 1e-8, 1 / 32
+#: Without article or main: this share of the ratios' standard deviation, this share of link text.
+SPREAD, LINK_SHARE = 0.5, 0.5
+#: Characters that a named region without an article or main must have to count as the page's layout.
 LEAST_LAYOUT = 200
 
 #: Kinds of HTML elements.
@@ -43,30 +51,47 @@ REGIONS = frozenset("article aside body div footer form header html main nav sec
 CONTENT = frozenset("article main".split())
 ENDS_PARAGRAPH = BLOCKS - frozenset("body html caption dd dt figcaption legend option tbody td tfoot th thead tr summary".split())
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|disclaimer|footer|gdpr|header|masthead|menu|modal|nav\w*|newsletter|notices?|pagination|popup|promo\w*|related|replies|reply|respond|share|sharing|sidebar|skip|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])", re.I)
+NAMES = frozenset("ad ads advert adverts advertisement advertising banner banners breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promotion related replies reply respond share sharing sidebar skip social sponsor sponsored subscribe toolbar widget widgets".split())
+#: Words that say nothing of what a named element holds.
+NEUTRAL = frozenset("area bar block body bottom box col column container group head holder inner item items left links list main message outer page panel right row section site slot strip text title top unit wrap wrapper".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 
 
+def names(value: str) -> bool:
+    """Whether a class or id has a token made up of names and neutral words."""
+    for token in value.lower().split():
+        parts = {p for p in re.split("[-_]+", token) if p and not p.isdigit()}
+        if parts & NAMES and parts <= NAMES | NEUTRAL:
+            return True
+    return False
+
+
+class Region:
+    """Named ancestors, whether in an article or main, whether a plain division."""
+
+    __slots__ = ("named", "content", "div")
+
+    def __init__(self, named: int, content: bool, div: bool):
+        self.named, self.content, self.div = named, content, div
+
+
 class _Lines(HTMLParser):
-    """Collects lines: [text parts, tags, link characters, region, in content element]."""
+    """Collects lines: (text, tags, link characters, number of the region)."""
 
-    def __init__(self, kept: frozenset[int] = frozenset()) -> None:
+    def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.kept = kept  # numbers of the elements whose names do not hide them
-        self.named: list[list[int]] = []  # number, characters, characters in an article or main inside
-        self.count = self.depth = self.hard = self.inner = 0
-        self.open: list[tuple[str, bool, bool]] = []  # tag, closes its subtree, is content
-        self.hidden = self.links = self.content = 0
+        self.open: list[tuple[str, bool, bool, bool]] = []  # tag, closed, a region, named
+        self.hidden = self.links = self.content = self.named = 0
+        self.all = [Region(0, False, False)]
         self.regions = [0]
-        self.region_count = 0
-        self.lines: list[tuple[str, int, int, int, bool]] = []
+        self.lines: list[tuple[str, int, int, int]] = []
         self.parts: list[str] = []
         self.tags = self.link_chars = 0
 
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.lines.append((text, self.tags, self.link_chars, self.regions[-1], self.content > 0))
+            self.lines.append((text, self.tags, self.link_chars, self.regions[-1]))
         self.parts, self.tags, self.link_chars = [], 0, 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -81,34 +106,25 @@ class _Lines(HTMLParser):
         self.tags += 1
         if tag in VOID:
             return
-        self.count += 1
-        hides = hard = tag in NEVER or tag == "header" and not self.content
-        called = False
+        hides = tag in NEVER or tag == "header" and not self.content
+        named = False
         if not hides and attrs and tag not in ("html", "body"):
             for name, value in attrs:
-                if value and name in ("class", "id") and NAMES.search(value):
-                    called = True
+                if value and name in ("class", "id") and tag in BLOCKS and tag != "p" and names(value):
+                    named = True
                 if value and (name == "role" and value.lower() in ROLES or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", "").lower()):
-                    hides = hard = True
+                    hides = True
                 if name == "hidden":
-                    hides = hard = True
-        if called and tag not in CONTENT and self.count not in self.kept:
-            hides = True
-        if self.depth:  # inside an element hidden by its name
-            self.depth += 1
-            self.hard += self.hard > 0 or hard
-            self.inner += self.inner > 0 or tag in CONTENT and not called
-        elif hides and not hard and not self.hidden:
-            self.depth = 1
-            self.named.append([self.count, 0, 0])
-        holds = tag in CONTENT
-        self.open.append((tag, hides, holds))
+                    hides = True
+        region = named or tag in REGIONS
+        self.open.append((tag, hides, region, named))
         self.hidden += hides
-        self.content += holds
+        self.content += tag in CONTENT
         self.links += tag == "a"
-        if tag in REGIONS:
-            self.region_count += 1
-            self.regions.append(self.region_count)
+        self.named += named
+        if region:
+            self.regions.append(len(self.all))
+            self.all.append(Region(self.named, self.content > 0, tag == "div"))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -119,7 +135,7 @@ class _Lines(HTMLParser):
         elif tag == "br":
             self.parts.append(" ")
         self.tags += 1
-        if any(t == tag for t, _, _ in self.open):
+        if any(x[0] == tag for x in self.open):
             while self._pop() != tag:
                 pass
 
@@ -132,24 +148,18 @@ class _Lines(HTMLParser):
                     self._pop()
                 for x in inline:  # as browsers do, unclosed formatting goes on
                     self.open.append(x)
-                    self.depth += self.depth > 0
-                    self.hard += self.hard > 0
-                    self.inner += self.inner > 0
                     self.links += x[0] == "a"
                 return
             if self.open[i][0] in bounds:
                 return
 
     def _pop(self) -> str:
-        tag, hides, holds = self.open.pop()
-        if self.depth:
-            self.depth -= 1
-            self.hard -= self.hard > 0
-            self.inner -= self.inner > 0
+        tag, hides, region, named = self.open.pop()
         self.hidden -= hides
-        self.content -= holds
+        self.content -= tag in CONTENT
         self.links -= tag == "a"
-        if tag in REGIONS:
+        self.named -= named
+        if region:
             self.regions.pop()
         return tag
 
@@ -158,10 +168,6 @@ class _Lines(HTMLParser):
             self.parts.append(data)
             if self.links:
                 self.link_chars += len(data.strip())
-        elif self.depth and not self.hard:
-            n = len(data.strip())
-            self.named[-1][1] += n
-            self.named[-1][2] += n if self.inner else 0
 
 
 def _smooth(values: list[float], sigma: float = SIGMA) -> list[float]:
@@ -178,9 +184,9 @@ def _smooth(values: list[float], sigma: float = SIGMA) -> list[float]:
     return out
 
 
-def _parsed(html: str, kept: frozenset[int]) -> _Lines:
+def parsed(html: str) -> _Lines:
     for attempt in range(2):
-        parser = _Lines(kept)
+        parser = _Lines()
         try:
             parser.feed(html)
             parser.close()
@@ -191,40 +197,38 @@ def _parsed(html: str, kept: frozenset[int]) -> _Lines:
     return parser
 
 
-def lines(html: str) -> list[tuple[str, int, int, int, bool]]:
-    """Lines of a page. A name does not hide an element that holds more article or main
-    text than is seen outside, or most of the text of a page without such elements."""
-    kept: frozenset[int] = frozenset()
-    while True:
-        parser = _parsed(html, kept)
-        content = sum(len(x[0]) for x in parser.lines if x[4])
-        total = sum(len(x[0]) for x in parser.lines) + sum(n for _, n, _ in parser.named)
-        more = {k for k, n, inside in parser.named if inside > content or not content and 2 * n > total and n > LEAST_LAYOUT}
-        if not more:
-            return parser.lines
-        kept |= more
+def chosen(lines: list[tuple[str, int, int, int]], regions: list[Region]) -> set[int]:
+    """Numbers of the content regions."""
+    ratios = [len(text) / max(1, tags) for text, tags, *_ in lines]
+    held: dict[int, list[int]] = {}
+    for i, line in enumerate(lines):
+        held.setdefault(line[3], []).append(i)
+    any_content = any(regions[k].content for k in held)
+    mean, chars, linked = {}, {}, {}
+    for k, at in held.items():
+        r = regions[k]
+        sizes = [len(lines[i][0]) for i in at]
+        chars[k], linked[k] = sum(sizes), sum(lines[i][2] for i in at)
+        smooth = sum(s * n for s, n in zip(_smooth([ratios[i] for i in at]), sizes)) / chars[k]
+        mean[k] = smooth * NAMED**r.named * (BESIDE if any_content and not r.content else 1.0)
+    able = [k for k in held if not regions[k].named or regions[k].content or chars[k] >= LEAST_LAYOUT]
+    if not able:
+        return set()
+    best = max(able, key=lambda k: (mean[k], chars[k]))
+    if any_content:
+        return {k for k in held if k == best or mean[k] * (DIV if regions[k].div else 1.0) >= SHARE * mean[best]}
+    average = sum(ratios) / len(ratios)
+    threshold = max(SHARE * mean[best], min(mean[best], SPREAD * math.sqrt(sum((r - average) ** 2 for r in ratios) / len(ratios))))
+    return {k for k in held if k == best or linked[k] <= LINK_SHARE * chars[k] and mean[k] >= threshold}
 
 
 def extract(html: str | None) -> str:
     """Main text of a page: its content lines in page order, joined by two newlines."""
-    found = lines(html) if html else []
-    if not found:
+    page = parsed(html) if html else None
+    if page is None or not page.lines:
         return ""
-    ratios = [len(text) / max(1, tags) for text, tags, *_ in found]
-    mean = sum(ratios) / len(ratios)
-    threshold = SPREAD * math.sqrt(sum((r - mean) ** 2 for r in ratios) / len(ratios))
-    score: dict[int, list] = {}
-    for (text, _, linked, region, content), r in zip(found, _smooth(ratios)):
-        s = score.setdefault(region, [0.0, 0, 0, False])
-        s[0] += r * len(text)
-        s[1] += len(text)
-        s[2] += linked
-        s[3] = s[3] or content
-    named = any(s[3] for s in score.values())  # an article or main element rules out what is beside it
-    usable = {k: s for k, s in score.items() if s[3] or not named}
-    best = max(usable, key=lambda k: (usable[k][0] / usable[k][1], usable[k][1]))
-    chosen = {k for k, s in usable.items() if k == best or s[3] or s[2] <= LINK_SHARE * s[1] and s[0] / s[1] >= threshold}
-    return "\n\n".join(text for text, _, _, region, _ in found if region in chosen)
+    kept = chosen(page.lines, page.all)
+    return "\n\n".join(text for text, _, _, region in page.lines if region in kept)
 
 
 def main_text(pages: DataFrame) -> DataFrame:

@@ -1,5 +1,9 @@
+import html as entities
+import re
+
 import pytest
 
+from lodestrata.llm import html_extract
 from lodestrata.llm.html_extract import extract, main_text
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
@@ -44,3 +48,33 @@ def test_layout_names_do_not_hide_the_article(name):
 
 def test_reference_lists_of_an_article_stay():
     assert extract('<article><p>The text.</p><section><p><a href="/a">First source</a></p></section></article>') == "The text.\n\nFirst source"
+
+
+LONG = "<p>" + "Some long sentence of the text. " * 9 + "</p>"
+
+
+def test_ratio_decides_inside_the_article():
+    advert = '<div class="x">Buy it now at the shop.</div>'
+    assert "Buy" not in extract(f"<article>{LONG}{advert}{LONG}<p>Ok.</p></article>")
+    assert "Ok." in extract(f"<article>{LONG}{advert}{LONG}<p>Ok.</p></article>")
+    assert "Buy" in extract(f"<article>{LONG}{advert.replace('Buy', 'Buy words, ' * 30)}{LONG}</article>")
+    assert extract(f'<article>{LONG}<p class="share-price">12 p.</p><section class="social-policy"><h2>Policy</h2></section></article>').endswith("12 p.\n\nPolicy")
+
+
+def plain(page):
+    """Blocks of a page's one article, with regular expressions alone."""
+    inside = re.search("<article>(.*)</article>", page, re.S)[1]
+    blocks = (" ".join(entities.unescape(re.sub("<[^>]*>", "", b.replace("<br>", " "))).split()) for b in re.split(r"</?(?:p|h\d|li|ul)>", inside))
+    return "\n\n".join(b for b in blocks if b)
+
+
+def test_pages_against_plain_reading(spark, sf_dir, monkeypatch):
+    pages = [r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()]
+    assert pages and all(extract(p) == plain(p) for p in pages)
+    monkeypatch.setattr(html_extract, "_smooth", lambda values: [0.0] * len(values))
+    assert all(extract(p) != plain(p) for p in pages)
+
+
+def test_named_regions_alone_are_no_text():
+    assert extract('<div class="ad">Buy now</div>') == "" and extract('<div class="cookie-notice"><p>We use cookies</p></div><p>Text.</p>') == "Text."
+    assert extract('<div class="AD-slot">Buy now</div><article><p>a</p></article>') == "a"
