@@ -1,44 +1,49 @@
-"""Benchmark decontamination: one Aho-Corasick automaton over normalised items.
+"""Benchmark decontamination: an Aho-Corasick automaton over normalised items.
 
-Texts are normalised to words of digits, a-z and non-ASCII characters (A-Z lowered,
-the rest of ASCII separates). Every run of WINDOW words of an item, or the whole item
-if it is shorter, is a pattern; the automaton reads each normalised document once.
-Match ends map to word numbers by binary search over the words' offsets, and word
-numbers map to byte offsets of the original text in ``spans``.
+Texts are normalised to words of digits, a-z and non-ASCII characters (A-Z lowered, the
+rest of ASCII separates). Every run of WINDOW words of an item, or the whole item if it
+is shorter, is a pattern. The automaton's letters are whole words, numbered as they occur
+in the patterns, so a pattern has at most WINDOW nodes; it reads each normalised document
+once. Matches give word numbers, and these the byte offsets of the original text in
+``spans``.
 
-The automaton is broadcast only while the benchmark's text stays under
-``AUTOMATON_BYTES``; for a larger one the windows of both sides meet in a Spark join
-with the same results (there ``spans`` is null).
+An automaton holds the patterns of at most NODES words. A larger benchmark is dealt by
+hash over as many automata as it needs; documents are scanned once for each, one broadcast
+after the other, and what they hit is merged by row: the same rows and spans.
 
 Cases: null and empty texts have no words, no hits; an item without words has no
 window; a null item_id is skipped in the item list but its windows still hit; repeated
 items each count; repeated documents return repeated rows; an empty benchmark leaves
-every document clean; other columns are ignored.
+every document clean; a very long text is read whole by one task, at some 100 bytes a
+word; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import hashlib
+import math
 import re
-from collections.abc import Iterable
+import uuid
+from collections.abc import Iterable, Iterator
+from functools import reduce
+from itertools import repeat
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import scan, texts, without_clash
+from lodestrata.llm.common import fresh, scan, texts, without_clash, written
 
 WINDOW = 10
 OUTPUT = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans")
-#: Names that the join path adds beside these.
-JOINED = ("_copies", "_k", "_j", "w", "g", "hit", "ids")
-#: Largest text of a benchmark, in bytes, that one automaton holds in a worker.
-AUTOMATON_BYTES = 8_000_000
+#: Words of the patterns that one automaton holds: some 60 to 70 bytes each in a worker.
+NODES = 2_000_000
 
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 _SPACED = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+RUN = pa.struct([("first", pa.int64()), ("last", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
+HITS = "runs array<struct<first:long,last:long,start:long,end:long>>, items array<string>"
 
 
 def normal_words(text: bytes) -> list[bytes]:
@@ -52,139 +57,135 @@ def windows(text: bytes, window: int = WINDOW) -> list[bytes]:
     return [b" ".join(found[i : i + window]) for i in range(len(found) - window + 1)]
 
 
-def normal_words_column(text: str) -> Column:
-    """The same words by SQL functions."""
-    lowered = F.translate(F.coalesce(F.col(text), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.regexp_extract_all(lowered, F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0))
-
-
 class Matcher:
-    """The automaton over (item_id, text) rows."""
-
-    def __init__(self, items: Iterable[tuple[int | None, bytes]], window: int = WINDOW):
-        owners: dict[bytes, set] = {}
-        for item, text in items:
-            for w in windows(text, window):
-                owners.setdefault(w, set()).add(item)
-        self.automaton = ahocorasick.Automaton()
-        self.lengths: list[int] = []
-        self.owners: list[frozenset] = []
-        for n, (w, ids) in enumerate(owners.items()):
-            # latin-1 maps bytes to characters one to one
-            self.automaton.add_word(f" {w.decode('latin-1')} ", n)
-            self.lengths.append(w.count(b" ") + 1)
-            self.owners.append(frozenset(ids))
-        if owners:
+    """The automaton over (pattern, item ids) rows; a pattern is words with blanks between."""
+
+    def __init__(self, patterns: Iterable[tuple[bytes, Iterable[str]]]):
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        self.numbers: dict[bytes, int] = {}  # 0 is any other word
+        for pattern, ids in patterns:
+            letters = tuple(self.numbers.setdefault(w, len(self.numbers) + 1) for w in pattern.split())
+            self.automaton.add_word(letters, (len(letters), tuple(ids)))
+        if self.numbers:
             self.automaton.make_automaton()
 
-    def match(self, found: list[bytes]) -> tuple[np.ndarray, list]:
+    def match(self, found: list[bytes]) -> tuple[np.ndarray, set[str]]:
         """Numbers of hit words, ids of the items with an occurring window."""
-        none = np.zeros(0, np.int64), []
-        if not self.lengths or not found:
-            return none
-        line = b" " + b" ".join(found) + b" "
-        hits = list(self.automaton.iter(line.decode("latin-1")))
-        if not hits:
-            return none
-        ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1)  # the space after each word
-        delta = np.zeros(len(found) + 1, np.int64)
-        items: set = set()
-        last = np.searchsorted(ends, [end for end, _ in hits])
-        for at, (_, n) in zip(last.tolist(), hits):
-            delta[at - self.lengths[n] + 1] += 1
-            delta[at + 1] -= 1
-            items |= self.owners[n]
-        return np.flatnonzero(np.cumsum(delta[:-1])), sorted(str(x) for x in items if x is not None)
+        items: set[str] = set()
+        if not self.numbers or not found:
+            return np.zeros(0, np.int64), items
+        delta, hit = np.zeros(len(found) + 1, np.int64), False
+        for last, (n, ids) in self.automaton.iter(tuple(map(self.numbers.get, found, repeat(0)))):
+            delta[last - n + 1] += 1
+            delta[last + 1] -= 1
+            items.update(ids)
+            hit = True
+        return np.flatnonzero(np.cumsum(delta[:-1])) if hit else delta[:0], items
 
 
 _built: dict[str, Matcher] = {}
 
 
-def _matcher(items: list[tuple[int | None, bytes]], key: str, window: int) -> Matcher:
-    """Built once in a worker process."""
+def _matcher(patterns: list[tuple[bytes, list[str]]], key: str) -> Matcher:
+    """Built once in a worker process, which holds one at a time."""
     if key not in _built:
         _built.clear()
-        _built[key] = Matcher(items, window)
+        _built[key] = Matcher(patterns)
     return _built[key]
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep: tuple[str, ...] = ("doc_id",), limit: int = AUTOMATON_BYTES) -> DataFrame:
-    """Per row of docs: the kept columns, n_words, n_hit, n_items, items_sha256,
-    contaminated, and hit ``spans`` as byte offsets [start, end) of the original text."""
-    bench = benchmark.select("item_id", "text").where("text != ''")
-    weight = bench.agg(F.coalesce(F.sum(F.octet_length("text") + 8), F.lit(0))).first()[0]
-    if weight > limit:
-        return _joined(docs, bench, window, keep)
-    items = [(r.item_id, r.text.encode()) for r in bench.collect()]  # at most ``limit`` bytes of text and ids
-    key = hashlib.sha256(repr((window, sorted(items, key=repr))).encode()).hexdigest()
-    sent = docs.sparkSession.sparkContext.broadcast(items)
+def patterns(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(pattern, ids): every window once, with the ids of its items as strings."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        ids, found = batch.column("item").to_pylist(), [windows(t, window) for t in texts(batch)]
+        rows = [(w, i) for i, ws in zip(ids, found) for w in ws]
+        return pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows], pa.binary()), pa.array([i for _, i in rows], pa.string())], names=["pattern", "item"])
+
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), "text")
+    return scan(items, run, "pattern binary, item string", "item", "text").groupBy("pattern").agg(F.collect_set("item").alias("ids"))
+
+
+def _scanned(docs: DataFrame, held: DataFrame, keep: tuple[str, ...], every: bool) -> DataFrame:
+    """The kept columns, n_words, runs of hit words and items; every row, or those with hits."""
+    sent = docs.sparkSession.sparkContext.broadcast([(bytes(r.pattern), list(r.ids)) for r in held.collect()])  # at most NODES words
+    key = uuid.uuid4().hex
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        matcher = _matcher(sent.value, key, window)
-        n_words, n_hit, n_items, digest, spans = [], [], [], [], []
+        matcher = _matcher(sent.value, key)
+        n_words, runs, items = [], [], []
         for text in texts(batch):
             found = normal_words(text)
             hit, ids = matcher.match(found)
             n_words.append(len(found))
-            n_hit.append(len(hit))
-            n_items.append(len(ids))
-            digest.append(hashlib.sha256(",".join(ids).encode()).hexdigest())
-            runs = []
+            items.append(sorted(ids))
+            own = []
             if len(hit):
                 at = [m.span() for m in _WORD.finditer(text)]
                 for part in np.split(hit, np.flatnonzero(np.diff(hit) > 1) + 1):
-                    runs.append({"start": at[part[0]][0], "end": at[part[-1]][1]})
-            spans.append(runs)
-        span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        arrays = [*(batch.column(k) for k in keep), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(digest, pa.string()), pa.array([x > 0 for x in n_hit], pa.bool_()), pa.array(spans, span)]
-        return pa.RecordBatch.from_arrays(arrays, names=[*keep, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"])
+                    own.append({"first": part[0], "last": part[-1], "start": at[part[0]][0], "end": at[part[-1]][1]})
+            runs.append(own)
+        arrays = [*(batch.column(k) for k in keep), pa.array(n_words, pa.int64()), pa.array(runs, pa.list_(RUN)), pa.array(items, pa.list_(pa.string()))]
+        out = pa.RecordBatch.from_arrays(arrays, names=[*keep, "n_words", "runs", "items"])
+        return out if every else out.filter(pa.array([bool(r) for r in runs], pa.bool_()))
 
     kept = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
-    schema = f"{kept}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<start:long,end:long>>"
-    return scan(docs, run, schema, *dict.fromkeys((*keep, "text")))
-
-
-def _joined(docs: DataFrame, bench: DataFrame, window: int, keep: tuple[str, ...]) -> DataFrame:
-    """For a benchmark that no worker should hold: windows of both sides meet in a
-    join. The shorter items' lengths are at most window - 1 further window sizes."""
-    item_words = bench.select("item_id", normal_words_column("text").alias("w")).where(F.size("w") > 0)
-    sizes = [r[0] for r in item_words.select(F.least(F.size("w"), F.lit(window)).alias("n")).distinct().collect()]
-
-    def cut(words: str, n: int) -> Column:
-        at = F.sequence(F.lit(1), F.size(words) - n + 1)
-        grams = F.transform(at, lambda i: F.struct((i - 1).alias("at"), F.lit(n).alias("n"), F.array_join(F.slice(words, i, n), " ").alias("gram")))
-        return F.when(F.size(words) >= n, grams)
-
-    patterns = item_words.select("item_id", F.explode(F.when(F.size("w") >= window, cut("w", window)).otherwise(F.array(F.struct(F.lit(0).alias("at"), F.size("w").alias("n"), F.array_join("w", " ").alias("gram"))))).alias("g"))
-    patterns = patterns.groupBy("g.n", "g.gram").agg(F.collect_set("item_id").alias("ids"))
-    whole = tuple(dict.fromkeys((*keep, "text")))
-    texts_ = docs.select(*whole).groupBy(*whole).agg(F.count("*").alias("_copies"))
-    keyed = texts_.withColumns({"_k": F.xxhash64(*whole), "_j": F.hash(*reversed(whole)), "w": normal_words_column("text")})
-    grams = keyed.select("_k", "_j", F.explode(F.concat(*[F.coalesce(cut("w", n), F.array()) for n in sizes])).alias("g")).select("_k", "_j", "g.*") if sizes else None
-    base = keyed.select(*whole, "_copies", "_k", "_j", F.size("w").cast("long").alias("n_words"))
-    if grams is None:
-        found = base.select("_k", "_j").limit(0).selectExpr("_k", "_j", "0L AS n_hit", "array('') AS ids", "array(0) AS hit")
-    else:
-        hits = grams.join(patterns, ["n", "gram"]).select("_k", "_j", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("n") - 1)).alias("at"), "ids")
-        found = hits.groupBy("_k", "_j").agg(F.count_distinct("at").alias("n_hit"), F.array_sort(F.array_distinct(F.transform(F.flatten(F.collect_set("ids")), lambda x: x.cast("string")))).alias("ids"), F.array_sort(F.collect_set("at")).alias("hit"))
-    ids = F.coalesce("ids", F.array().cast("array<string>"))
-    n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
-    out = base.join(found, ["_k", "_j"], "left").select(*keep, "_copies", "n_words", n_hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
-    return out.withColumn("_copies", F.explode(F.expr("sequence(1L, _copies)"))).drop("_copies").withColumn("spans", F.lit(None).cast("array<struct<start:long,end:long>>"))
+    return scan(docs, run, f"{kept}, n_words long, {HITS}", *dict.fromkeys((*keep, "text")))
+
+
+def _merged(hits: DataFrame, row: str) -> DataFrame:
+    """One row a document: runs that meet or overlap become one, items once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for found in batch.column("runs").to_pylist():
+                own: list[dict] = []
+                for r in sorted(found, key=lambda r: (r["first"], r["last"])):
+                    if own and r["first"] <= own[-1]["last"] + 1:
+                        if r["last"] > own[-1]["last"]:
+                            own[-1] |= {"last": r["last"], "end": r["end"]}
+                    else:
+                        own.append(r)
+                out.append(own)
+            yield pa.RecordBatch.from_arrays([batch.column(row), pa.array(out, pa.list_(RUN)), batch.column("items")], names=[row, "runs", "items"])
+
+    met = hits.groupBy(row).agg(F.flatten(F.collect_list("runs")).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    return met.mapInArrow(run, f"{row} long, {HITS}")
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit: int = AUTOMATON_BYTES) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep: tuple[str, ...] = ("doc_id",), nodes: int = NODES) -> DataFrame:
+    """Per row of docs: the kept columns, n_words, n_hit, n_items, items_sha256,
+    contaminated, and hit ``spans`` as byte offsets [start, end) of the original text."""
+    known = written(patterns(benchmark, window))
+    automata = math.ceil(known.count() * window / nodes)
+    part = lambda i: known.where(F.pmod(F.xxhash64("pattern"), F.lit(max(1, automata))) == i)
+    if automata <= 1:
+        found = _scanned(docs, part(0), keep, every=True)
+    else:
+        row = fresh(docs, "_row")[0]
+        keyed = written(docs.select(*dict.fromkeys((*keep, "text"))).withColumn(row, F.monotonically_increasing_id()))
+        first = written(_scanned(keyed, part(0), (*keep, row), every=True))
+        more = [written(_scanned(keyed, part(i), (row,), every=False)) for i in range(1, automata)]
+        hits = reduce(DataFrame.unionByName, (x.select(row, "runs", "items") for x in (first.where(F.size("runs") > 0), *more)))
+        found = first.drop("runs", "items").join(_merged(hits, row), row, "left")
+        found = found.withColumns({c: F.coalesce(c, F.array().cast(t)) for c, t in (x.split(" ", 1) for x in HITS.split(", "))})
+    n_hit = F.aggregate("runs", F.lit(0).cast("long"), lambda n, r: n + r["last"] - r["first"] + 1)
+    spans = F.transform("runs", lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end")))
+    return found.select(*keep, "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("runs") > 0).alias("contaminated"), spans.alias("spans"))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, nodes: int = NODES) -> DataFrame:
     """The documents without a hit word, with the columns of docs."""
-    own = without_clash(docs, (*OUTPUT, *JOINED))
+    own = without_clash(docs, (*OUTPUT, "runs", "items"))
     keep = tuple(own.columns)
-    return contamination(own, benchmark, window, keep=keep, limit=limit).where(~F.col("contaminated")).select(*keep).toDF(*docs.columns)
+    return contamination(own, benchmark, window, keep=keep, nodes=nodes).where(~F.col("contaminated")).select(*keep).toDF(*docs.columns)
 
 
 SQL = r"""
 WITH d AS (
-  SELECT row_number() OVER () AS k, doc_id,
-         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
-  FROM documents),
+  SELECT *, regexp_extract_all(low, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM (SELECT row_number() OVER () AS k, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents)),
 b AS (
   SELECT item_id,
          regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
@@ -197,12 +198,19 @@ g AS (
   SELECT k, i, n, array_to_string(w[i:i + n - 1], ' ') AS gram
   FROM d, (SELECT DISTINCT n FROM p) s, unnest(range(1, greatest(len(w) - n + 2, 1))) AS t(i)),
 h AS (SELECT k, i, g.n, item_id FROM g JOIN p ON g.n = p.n AND g.gram = p.gram),
-words AS (SELECT k, count(DISTINCT j) AS n_hit FROM h, unnest(range(i, i + n)) AS t(j) GROUP BY k),
+hit AS (SELECT DISTINCT k, j FROM h, unnest(range(i, i + n)) AS t(j)),
+words AS (SELECT k, count(*) AS n_hit FROM hit GROUP BY k),
+runs AS (SELECT k, min(j) AS a, max(j) AS b FROM (SELECT k, j, j - row_number() OVER (PARTITION BY k ORDER BY j) AS run FROM hit) GROUP BY k, run),
+spans AS (
+  SELECT k, string_agg(
+      CAST(coalesce(list_sum(list_transform(gaps[1:a], lambda x: strlen(x))), 0) + coalesce(list_sum(list_transform(w[1:a - 1], lambda x: strlen(x))), 0) AS BIGINT) || '-' ||
+      CAST(coalesce(list_sum(list_transform(gaps[1:b], lambda x: strlen(x))), 0) + coalesce(list_sum(list_transform(w[1:b], lambda x: strlen(x))), 0) AS BIGINT), ',' ORDER BY a) AS spans
+  FROM runs JOIN (SELECT k, w, string_split_regex(low, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS gaps FROM d WHERE k IN (SELECT k FROM words)) USING (k) GROUP BY k),
 items AS (
   SELECT k, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS ids
   FROM (SELECT DISTINCT k, CAST(item_id AS VARCHAR) AS x FROM h WHERE item_id IS NOT NULL) GROUP BY k)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
        CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
-       coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN words USING (k) LEFT JOIN items USING (k)
+       coalesce(n_hit, 0) > 0 AS contaminated, coalesce(spans, '') AS spans
+FROM d LEFT JOIN words USING (k) LEFT JOIN items USING (k) LEFT JOIN spans USING (k)
 """

@@ -33,9 +33,12 @@ def test_against_brute_force_both_ways(spark, empty):
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
     docs = spark.createDataFrame([(k, t, 7) for k, t in TEXTS], "doc_id long, text string, n_hit int")
     want = sorted(repr((k, *brute(t, ITEMS))) for k, t in TEXTS)
-    for limit in (D.AUTOMATON_BYTES, 0):
-        rows = D.contamination(docs, bench, limit=limit).collect()
+    spans = []
+    for nodes in (D.NODES, 70, 20):  # one, two and several automata
+        rows = D.contamination(docs, bench, nodes=nodes).collect()
         assert sorted(repr((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated)) for r in rows) == want
+        spans.append(sorted(repr((r.doc_id, r.spans)) for r in rows))
+    assert spans[0] == spans[1] == spans[2]
     assert D.contamination(empty, bench).count() == 0
     none = spark.createDataFrame([], "item_id long, text string")
     assert D.contamination(docs, none).where("contaminated").count() == 0
@@ -52,7 +55,7 @@ def test_stage_drops_hits_and_keeps_columns(spark):
     docs = spark.createDataFrame([(k, t, 7) for k, t in TEXTS], "doc_id long, text string, n_hit int")
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
     docs = docs.withColumn("w", docs.n_hit)
-    for limit in (D.AUTOMATON_BYTES, 0):
-        kept = D.drop_contaminated(docs, bench, limit=limit)
+    for nodes in (D.NODES, 20):
+        kept = D.drop_contaminated(docs, bench, nodes=nodes)
         assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [3, 4, 5]
         assert {(r.n_hit, r.w) for r in kept.collect()} == {(7, 7)}
