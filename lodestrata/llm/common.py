@@ -13,27 +13,32 @@ from pyspark.sql import functions as F
 #: bytes that is what ``bytes.split()`` finds, and ``bytes.lower()`` lowers A-Z only.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
-#: Rows of an Arrow batch: texts of 20,000 words then stay under some 30 MB a batch.
-ROWS_PER_BATCH = 256
+#: Rows and bytes of an Arrow batch; a batch ends when either is reached.
+ROWS_PER_BATCH, BYTES_PER_BATCH = 256, 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded_batches(spark: SparkSession, rows: int = ROWS_PER_BATCH) -> None:
-    """Keep Arrow batches small enough for long texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def bounded_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches small enough for long texts: one bound for all plans of the
+    session, as it is read when a plan runs."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BYTES_PER_BATCH))
 
 
 def shared_dir(spark: SparkSession) -> str:
     """A new folder name under the cluster's shared folder (spark.checkpoint.dir).
 
-    Only where that is unset, as in tests, a temporary folder of this machine is set.
+    Only where that is unset and Spark runs on this machine alone, as in tests, a
+    temporary folder is set.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         if spark.sparkContext.getCheckpointDir() is None:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             import tempfile
 
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))

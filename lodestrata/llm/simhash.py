@@ -7,14 +7,16 @@ sets (a Turan system: 7 pairs, or 20 triples where there are very many fingerpri
 For every two members of a list the shared positional bytes are tallied, pairs under 4
 are dropped, the rest are verified by their differing bits. No link is lost.
 
-Lists above a bound are dealt in blocks, each two blocks meeting in one task; a task
-emits a spanning forest of the links it verified, never all pairs. Documents of equal
-fingerprint count as one node, so copies are never expanded.
+Lists above a bound are dealt in blocks. Each block is compared within itself, and each
+two blocks with each other, in one task each; a task reduces the links it verifies to a
+spanning forest as it goes, holding at most PAIRS of them, never all pairs. Documents of
+equal fingerprint count as one node, so copies are never expanded.
 
 Cases: null, empty and white-space texts have fingerprint zero and link to each other
 like any other; null doc_ids take part, but an id is the smallest only among non-null
 ones (a component without any gets null); repeated rows return repeated rows; an empty
-table returns no rows; other columns are ignored.
+table returns no rows; very long texts are read whole; ties cannot arise, as links and
+smallest ids do not depend on order; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,6 +37,10 @@ MAX_BITS = 4
 BYTES = 8
 #: Members of an index list that one task compares.
 BLOCK = 1024
+#: Links that a task holds before it reduces them; rows that it compares at once.
+PAIRS, ROWS = 1 << 20, 1 << 16
+#: Parts in which the members of a component meet their smallest id.
+PARTS = 16
 #: From so many distinct fingerprints on, lists are keyed by three bytes, not two.
 TRIPLES_FROM = 1 << 26
 
@@ -88,47 +94,80 @@ def _key(number: int, positions: tuple[int, ...]) -> Column:
     return key
 
 
-def _forest(key: np.ndarray, fp: np.ndarray, sets: list[tuple[int, ...]], limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links found in sorted lists, as (node, smallest node reached in its list)."""
-    first = np.full(256, -1)
-    for mask in range(256):
-        held = [n for n, s in enumerate(sets) if all(mask >> p & 1 for p in s)]
-        first[mask] = held[0] if held else -1
-    number = key[:, 0] // 256 ** len(sets[0])
-    change = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
-    start = np.concatenate(([0], change))
+class Forest:
+    """Links between rows, reduced to (row, smallest row reached) when there are many."""
+
+    def __init__(self) -> None:
+        self.a, self.b, self.held = [], [], 0
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        if len(a):
+            self.a.append(a)
+            self.b.append(b)
+            self.held += len(a)
+            if self.held > PAIRS:
+                a, b = self.reduced()
+                self.a, self.b, self.held = [a], [b], len(a)
+
+    def reduced(self) -> tuple[np.ndarray, np.ndarray]:
+        if not self.held:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        a, b = np.concatenate(self.a), np.concatenate(self.b)
+        nodes, position = np.unique(np.concatenate((a, b)), return_inverse=True)
+        a, b = position[: len(a)], position[len(a) :]
+        label = np.arange(len(nodes))
+        while True:
+            low = np.minimum(label[a], label[b])
+            new = label.copy()
+            np.minimum.at(new, a, low)
+            np.minimum.at(new, b, low)
+            new = new[new]
+            if (new == label).all():
+                break
+            label = new
+        own = label != np.arange(len(nodes))
+        return nodes[own], nodes[label[own]]
+
+
+def _first_sets(sets: list[tuple[int, ...]]) -> np.ndarray:
+    """Per mask of shared byte positions: the first set that it contains, or -1."""
+    held = [[n for n, s in enumerate(sets) if all(mask >> p & 1 for p in s)] for mask in range(1 << BYTES)]
+    return np.array([h[0] if h else -1 for h in held])
+
+
+def _linked(x: np.ndarray, number: np.ndarray, first: np.ndarray, limit: int) -> np.ndarray:
+    """Whether fingerprints that differ by x link, in the first list where they meet."""
+    shared = np.zeros(x.shape, np.uint8)  # mask of equal positional bytes
+    for p in range(BYTES):
+        shared |= (((x >> np.uint64(8 * p)) & np.uint64(255)) == 0).astype(np.uint8) << p
+    enough = np.bitwise_count(shared) >= BYTES - limit
+    return enough & (np.bitwise_count(x) <= limit) & (x != 0) & (first[shared] == number)
+
+
+def _forest(data: np.ndarray, sets: list[tuple[int, ...]], limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links in rows (key, low, high, own, fp), sorted by key, low, high, as (node,
+    smallest row's node). Lists with low < high link their two blocks with each other only."""
+    key, fp, own = data[:, 0], data[:, 4].view(np.uint64), data[:, 3]
+    first, found = _first_sets(sets), Forest()
+    number = key // 256 ** len(sets[0])
+    start = np.concatenate(([0], np.flatnonzero((data[1:, :3] != data[:-1, :3]).any(axis=1)) + 1))
     length = np.diff(np.concatenate((start, [len(fp)])))
     left = np.repeat(start + length, length) - np.arange(len(fp))  # rows to the list's end
-    pairs = []
-    step, at = 1, np.flatnonzero(left > 1)
+    step, at = 1, np.flatnonzero((left > 1) & (data[:, 1] == data[:, 2]))
     while len(at):
-        x = fp[at] ^ fp[at + step]
-        shared = np.zeros(len(at), dtype=np.int64)  # mask of equal positional bytes
-        for p in range(BYTES):
-            shared |= (((x >> np.uint64(8 * p)) & np.uint64(255)) == 0).astype(np.int64) << p
-        enough = np.bitwise_count(shared.astype(np.uint64)) >= BYTES - limit
-        good = enough & (np.bitwise_count(x) <= limit) & (x != 0) & (first[shared] == number[at])
-        if good.any():
-            pairs.append((at[good], at[good] + step))
+        good = _linked(fp[at] ^ fp[at + step], number[at], first, limit)
+        found.add(at[good], at[good] + step)
         step += 1
         at = at[left[at] > step]
-    if not pairs:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    a, b = (np.concatenate(x) for x in zip(*pairs))
-    nodes, position = np.unique(np.concatenate((a, b)), return_inverse=True)
-    a, b = position[: len(a)], position[len(a) :]
-    label = np.arange(len(nodes))
-    while True:
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    own = label != np.arange(len(nodes))
-    return fp[nodes[own]], fp[nodes[label[own]]]
+    for s, n in zip(start.tolist(), length.tolist()):
+        if data[s, 1] < data[s, 2]:
+            rows = np.arange(s, s + n)
+            one, two = rows[own[rows] == data[s, 1]], rows[own[rows] == data[s, 2]]
+            for part in np.array_split(one, max(1, len(one) * len(two) // PAIRS)):
+                i, j = np.nonzero(_linked(fp[part][:, None] ^ fp[two][None, :], number[s], first, limit))
+                found.add(part[i], two[j])
+    a, b = found.reduced()
+    return fp[a], fp[b]
 
 
 def links(distinct: DataFrame, n: int, block: int = BLOCK, limit: int = MAX_BITS, triples_from: int = TRIPLES_FROM) -> DataFrame:
@@ -141,9 +180,8 @@ def links(distinct: DataFrame, n: int, block: int = BLOCK, limit: int = MAX_BITS
     several = sizes.where(F.col("count").between(2, block)).select("key", F.lit(1).alias("blocks"))
     dealt = index.join(long_lists.unionByName(several), "key")
     own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    dealt = dealt.withColumn("own", own).select(
-        "key", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    ).select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "fp")
+    dealt = dealt.withColumn("own", own).select("key", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "fp")
     bounded_batches(distinct.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,13 +189,13 @@ def links(distinct: DataFrame, n: int, block: int = BLOCK, limit: int = MAX_BITS
         rows = 0
 
         def emit(data: np.ndarray) -> pa.RecordBatch:
-            a, b = _forest(data[:, :3], data[:, 3].view(np.uint64), sets, limit)
+            a, b = _forest(data, sets, limit)
             return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
         for batch in batches:
-            held.append(np.column_stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("key", "low", "high", "fp")]))
+            held.append(np.column_stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("key", "low", "high", "own", "fp")]))
             rows += len(held[-1])
-            if rows < 65536:
+            if rows < ROWS:
                 continue
             data = np.concatenate(held)
             ends = np.flatnonzero((data[:-1, :3] != data[1:, :3]).any(axis=1)) + 1
@@ -188,18 +226,10 @@ def components(edges: DataFrame) -> DataFrame:
     def directed(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct()
 
-    def mark(pairs: DataFrame):
-        return pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1000000007)).first()
-
-    current = written(directed(edges))
-    seen = mark(current)
-    while seen[0]:
+    current, before = written(directed(edges)), None
+    while before is None or current.count() != before.count() or not current.join(before, ["a", "b"], "left_anti").isEmpty():
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        current = written(star(directed(star(both, keep_low=False)), keep_low=True))
-        now = mark(current)
-        if now == seen:
-            break
-        seen = now
+        current, before = written(star(directed(star(both, keep_low=False)), keep_low=True)), current
     return current.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
@@ -213,9 +243,16 @@ def classes(prints: DataFrame, block: int = BLOCK, triples_from: int = TRIPLES_F
     """From rows with fp and doc_id (further columns are kept): root, component_id."""
     distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("low_id")))
     roots = components(links(distinct, distinct.count(), block, triples_from=triples_from))
-    placed = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "low_id", F.coalesce("root", "fp").alias("root"))
-    named = placed.groupBy("root").agg(F.min("low_id").alias("component_id"))
-    return prints.join(placed.join(named, "root").select("fp", "root", "component_id"), "fp")
+    # members of components of two or more; a root may have very many, so they meet their
+    # smallest id in parts
+    members = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    placed = distinct.join(members, distinct.fp == members.node).select("fp", "low_id", "root", F.pmod(F.xxhash64("fp"), F.lit(PARTS)).alias("part"))
+    low = placed.groupBy("root", "part").agg(F.min("low_id").alias("low")).groupBy("root").agg(F.min("low").alias("component_id"))
+    parts = low.withColumn("part", F.explode(F.array(*[F.lit(i).cast("long") for i in range(PARTS)])))
+    named = placed.join(parts, ["root", "part"]).select("fp", "root", "component_id", F.lit(True).alias("member"))
+    every = distinct.join(named, "fp", "left")
+    every = every.select("fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("member"), F.col("component_id")).otherwise(F.col("low_id")).alias("component_id"))
+    return prints.join(every, "fp")
 
 
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:

@@ -78,3 +78,36 @@ def test_empty_table_and_keep_one(spark, documents, empty):
     assert "2" not in ids and "3" not in ids and ids.count("11") == 1 and "1" in ids and "None" in ids
     assert S.keep_one(empty).count() == 0
     assert kept.where(F.col("doc_id") == 9).count() == 1
+
+
+def test_many_near_fingerprints_in_bounded_memory():
+    """A list of 2,048 fingerprints of which most pairs link is reduced as it is compared."""
+    rng = np.random.default_rng(0)
+    fp = np.unique(np.uint64(1 << 60) ^ (np.uint64(1) << rng.integers(0, 16, 4000).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 16, 4000).astype(np.uint64)))
+    fp = np.unique(np.concatenate([fp ^ np.uint64(k) for k in range(0, 4096, 16)]))[:2048]
+    sets = S.position_sets(2)
+    number = next(n for n, s in enumerate(sets) if s == (3, 4))
+    rows = np.column_stack([np.full(len(fp), number * 65536), np.zeros(len(fp)), np.zeros(len(fp)), np.zeros(len(fp))]).astype(np.int64)
+    within = np.column_stack([rows, fp.view(np.int64)])
+    held = []
+    add = S.Forest.add
+
+    def watched(self, a, b):
+        add(self, a, b)
+        held.append(self.held)
+
+    S.Forest.add = watched
+    try:
+        for limit in (S.PAIRS, 5000):
+            S.PAIRS, old = limit, S.PAIRS
+            a, b = S._forest(within, sets, 4)
+            S.PAIRS = old
+            assert len(a) < len(fp) and max(held) <= limit + len(fp)
+            held.clear()
+        two = within.copy()
+        two[:, 2], two[:, 3] = 1, np.arange(len(fp)) % 2
+        c, d = S._forest(two, sets, 4)
+        of = {int(v): i % 2 for i, v in enumerate(fp)}
+        assert len(c) and len(c) < len(fp) and set(map(int, c)) | set(map(int, d)) <= set(of)
+    finally:
+        S.Forest.add = add
