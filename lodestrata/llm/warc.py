@@ -5,13 +5,16 @@ The reader plans one partition a file (the writer rolls files at ``maxFileBytes`
 none is unbounded). Filters on record_type, page_id, target_uri, record_id and refers_to
 are pushed down and answered from a record's headers, which are parsed first; a payload
 is only decoded if its record is wanted. The writer notes each gzip member's length in
-its header (the ``sl`` extra field of the WARC standard), so unwanted members are
-skipped unread; archives without it are inflated and discarded as a stream. Option
+its header (the ``sl`` extra field of the WARC standard), so unwanted members of one
+record are skipped unread; without it, or where a member holds several records, what is
+unwanted is inflated and discarded as a stream. A member of 4 GiB or more has no such
+field. Option
 ``payload=false`` leaves the payload column null: length and digest are still taken from
 the bytes. Files are opened through pyarrow.fs, so any store that it knows will do.
 
-A write task writes a file of its own name; only those named in the manifest written at
-commit count, so tasks can be repeated.
+A write task writes a file of its own name; only those named in a manifest count, so
+tasks can be repeated. Each commit writes a manifest of its own name, under another name
+first, so commits at the same time keep each other's files.
 
 ``deduplicated``: of records with equal payloads of 100 bytes or more, the one with the
 smallest page_id is a response and the others revisit it.
@@ -19,7 +22,10 @@ smallest page_id is a response and the others revisit it.
 Cases: null html is an empty payload; null page_ids are written without an id and are
 never the smallest unless no other exists (then all are responses); rows that repeat the
 smallest page_id are responses alike; null urls have no target header, line breaks in
-urls are percent-coded; an empty table gives archives without records; other columns
+urls are percent-coded; an empty table gives archives without records; payloads of up to
+2 GiB, Arrow's bound for one value, are written and read whole; a record whose
+Content-Length is missing or no number has no payload, and reading goes on at the next
+line that begins with ``WARC/``; an archive cut short gives what it holds; other columns
 are ignored.
 """
 
@@ -41,14 +47,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualNullSafe, EqualTo, Filter, In, InputPartition, IsNotNull, WriterCommitMessage
 
-from lodestrata.llm.common import bounded_batches, shared_dir
+from lodestrata.llm.common import bounded_batches, shared_dir, written
 
 LEAST = 100
-MANIFEST = "_manifest.json"
+MANIFEST = "_manifest"
 URN = "urn:page:"
 SCHEMA = "record_type string, record_id string, target_uri string, page_id long, refers_to long, payload_bytes long, payload_digest string, payload binary"
 _ARROW = pa.schema([("record_type", pa.string()), ("record_id", pa.string()), ("target_uri", pa.string()), ("page_id", pa.int64()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())])
-_READ, _OUT = 1 << 18, 8 << 20
+#: Bytes read at once, rows' bytes given at once, longest line read at once.
+_READ, _OUT, _LINE = 1 << 18, 8 << 20, 1 << 20
 
 
 def _store(path: str) -> tuple[pafs.FileSystem, str]:
@@ -81,7 +88,10 @@ def member(data: bytes, level: int) -> bytes:
     z = zlib.compressobj(level, zlib.DEFLATED, -15)
     body = z.compress(data) + z.flush()
     size = 10 + 2 + 12 + len(body) + 8
-    head = b"\x1f\x8b\x08\x04\0\0\0\0\0\xff" + struct.pack("<H2sHII", 12, b"sl", 8, size & 0xFFFFFFFF, len(data) & 0xFFFFFFFF)
+    if max(size, len(data)) > 0xFFFFFFFF:
+        head = b"\x1f\x8b\x08\0\0\0\0\0\0\xff"
+    else:
+        head = b"\x1f\x8b\x08\x04\0\0\0\0\0\xff" + struct.pack("<H2sHII", 12, b"sl", 8, size, len(data))
     return head + body + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
 
 
@@ -124,13 +134,20 @@ class WarcWriter(DataSourceArrowWriter):
     def commit(self, messages: list[Written | None]) -> None:
         fs, root = _store(self.path)
         fs.create_dir(root)
-        names = sorted(f for m in messages if m for f in m.files)
-        old = [] if self.overwrite else _listed(fs, root)
-        with fs.open_output_stream(f"{root}/{MANIFEST}") as f:
-            f.write(json.dumps({"files": sorted({*old, *names})}).encode())
+        old = _manifests(fs, root) if self.overwrite else []
+        name = f"{MANIFEST}-{uuid.uuid4().hex}.json"
+        with fs.open_output_stream(f"{root}/.{name}") as f:
+            f.write(json.dumps({"files": sorted(f for m in messages if m for f in m.files)}).encode())
+        fs.move(f"{root}/.{name}", f"{root}/{name}")
+        for path in old:
+            fs.delete_file(path)
 
     def abort(self, messages: list[Written | None]) -> None:
-        """Files without a manifest entry are never read."""
+        """The finished tasks' files go; other files without a manifest are never read."""
+        fs, root = _store(self.path)
+        for name in (f for m in messages if m for f in m.files):
+            if fs.get_file_info(f"{root}/{name}").type == pafs.FileType.File:
+                fs.delete_file(f"{root}/{name}")
 
 
 # Reading
@@ -141,32 +158,32 @@ class Archive(InputPartition):
     file: str
 
 
+def _manifests(fs: pafs.FileSystem, root: str) -> list[str]:
+    info = fs.get_file_info(pafs.FileSelector(root, allow_not_found=True))
+    return sorted(x.path for x in info if x.type == pafs.FileType.File and x.base_name.startswith(MANIFEST))
+
+
 def _listed(fs: pafs.FileSystem, root: str) -> list[str]:
-    """Names under root: the manifest's, or all archives where there is none."""
-    if fs.get_file_info(f"{root}/{MANIFEST}").type == pafs.FileType.File:
-        with fs.open_input_stream(f"{root}/{MANIFEST}") as f:
-            return json.loads(f.read())["files"]
+    """Names under root: the manifests', or all archives where there is none."""
+    names: list[str] = []
+    manifests = _manifests(fs, root)
+    for path in manifests:
+        with fs.open_input_stream(path) as f:
+            names += json.loads(f.read())["files"]
+    if manifests:
+        return sorted(names)
     info = fs.get_file_info(pafs.FileSelector(root, recursive=True, allow_not_found=True))
     return sorted(x.path[len(root) + 1 :] for x in info if x.type == pafs.FileType.File and re.search(r"\.warc(\.gz)?$", x.path))
 
 
 class _Plain:
-    """Bytes of an uncompressed archive; limit is where the record ends, once known."""
+    """Bytes of an uncompressed archive."""
 
     def __init__(self, f: io.BufferedReader):
         self.f = f
 
-    def begin(self) -> bool:
-        c = self.f.read(1)
-        while c in (b"\r", b"\n"):
-            c = self.f.read(1)
-        if not c:
-            return False
-        self.f.seek(-1, 1)
-        return True
-
     def line(self) -> bytes:
-        return self.f.readline()
+        return self.f.readline(_LINE)
 
     def read(self, n: int) -> bytes:
         return self.f.read(n)
@@ -174,30 +191,30 @@ class _Plain:
     def skip(self, n: int) -> None:
         self.f.seek(n, 1)
 
-    def end(self, wanted: bool) -> None:
-        pass
-
 
 class _Members:
-    """Bytes of a gzipped archive of one record a member."""
+    """Bytes of a gzipped archive of one or more members, with one or more records each."""
 
     def __init__(self, f: io.BufferedReader):
         self.f, self.raw, self.plain = f, b"", b""
+        self.z = None
+        self.given = 0  # bytes of this member that were handed out or passed over
 
-    def begin(self) -> bool:
+    def _next_member(self) -> bool:
         self.start = self.f.tell() - len(self.raw)
         if len(self.raw) < 32:
             self.raw += self.f.read(_READ)
-        if not self.raw:
+        if self.raw[:2] != b"\x1f\x8b":  # the end, or padding
             return False
-        self.size = 0
+        self.size = self.whole = 0
         if self.raw[3] & 4 and self.raw[12:14] == b"sl":
-            self.size = struct.unpack("<I", self.raw[16:20])[0]
-        self.z, self.plain = zlib.decompressobj(31), b""
+            self.size, self.whole = struct.unpack("<II", self.raw[16:24])
+        self.z, self.given = zlib.decompressobj(31), 0
         return True
 
     def _more(self, n: int) -> bool:
-        if self.z.eof:
+        """Some n more plain bytes of this member."""
+        if self.z is None or self.z.eof:
             return False
         if not self.raw:
             self.raw = self.f.read(_READ)
@@ -208,10 +225,15 @@ class _Members:
         return True
 
     def line(self) -> bytes:
-        while (at := self.plain.find(b"\n")) < 0 and self._more(4096):
-            pass
-        at = at + 1 if at >= 0 else len(self.plain)
+        """The next line, of the next member where this one ends; empty at the end of all."""
+        while True:
+            at = self.plain.find(b"\n")
+            if at >= 0 or len(self.plain) >= _LINE or not self._more(4096):
+                at = at + 1 if at >= 0 else len(self.plain)
+                if at or not self._next_member():
+                    break
         out, self.plain = self.plain[:at], self.plain[at:]
+        self.given += at
         return out
 
     def read(self, n: int) -> bytes:
@@ -223,19 +245,16 @@ class _Members:
             self.plain = b""
         data = b"".join(parts)
         self.plain = data[n:]
+        self.given += min(n, have)
         return data[:n]
 
     def skip(self, n: int) -> None:
-        """end() goes to the next member."""
-
-    def end(self, wanted: bool) -> None:
-        if self.size and not wanted:
+        if self.size and self.given + n + len(b"\r\n\r\n") >= self.whole:  # the member's last record
             self.f.seek(self.start + self.size)
-            self.raw = b""
+            self.raw, self.plain, self.z = b"", b"", None
             return
-        while self._more(_READ):
-            self.plain = b""
-        self.plain = b""
+        while n > 0 and (part := self.read(min(n, _READ))):
+            n -= len(part)
 
 
 def _headers(source) -> dict[str, str]:
@@ -283,10 +302,11 @@ class WarcReader(DataSourceReader):
         held = 0
         with io.BufferedReader(fs.open_input_file(path), _READ) as f:
             source = (_Members if path.endswith(".gz") else _Plain)(f)
-            while source.begin():
-                source.line()  # WARC/1.x
+            while line := source.line():
+                if not line.startswith(b"WARC/"):
+                    continue
                 head = _headers(source)
-                length = int(head.get("content-length", 0))
+                length = int(x) if re.fullmatch("[0-9]{1,18}", x := head.get("content-length", "")) else 0
                 row = {"record_type": head.get("warc-type"), "record_id": head.get("warc-record-id"), "target_uri": head.get("warc-target-uri"), "page_id": _page(head.get("warc-record-id")), "refers_to": _page(head.get("warc-refers-to"))}
                 wanted = self._wanted(row)
                 if wanted:
@@ -294,7 +314,6 @@ class WarcReader(DataSourceReader):
                     held += len(rows[-1]["payload"] or b"") + 512
                 else:
                     source.skip(length)
-                source.end(wanted)
                 if held >= _OUT:
                     yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
                     rows, held = [], 0
@@ -311,7 +330,7 @@ class WarcReader(DataSourceReader):
                 http[name.strip().lower()] = value.strip()
         if head.get("warc-type") == "revisit":
             size = http.get("content-length")
-            return {"payload": None, "payload_bytes": int(size) if size else None, "payload_digest": head.get("warc-payload-digest", "").removeprefix("sha256:") or None}
+            return {"payload": None, "payload_bytes": int(size) if size and re.fullmatch("[0-9]{1,18}", size) else None, "payload_digest": head.get("warc-payload-digest", "").removeprefix("sha256:") or None}
         return {"payload": payload if self.payload else None, "payload_bytes": len(payload), "payload_digest": hashlib.sha256(payload).hexdigest()}
 
 
@@ -333,11 +352,16 @@ class Warc(DataSource):
 
 
 def deduplicated(pages: DataFrame) -> DataFrame:
-    """Rows of pages as records to write: SCHEMA's columns."""
+    """Rows of pages as records to write: SCHEMA's columns.
+
+    The digests that occur more than once are written first, so that Spark knows the
+    table's size: if it is small they are broadcast and no payload is shuffled, else both
+    sides meet by digest."""
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     own = pages.select("page_id", F.col("url").alias("target_uri"), payload.alias("payload"))
     own = own.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": F.sha2("payload", 256)})
     groups = own.where(F.col("payload_bytes") >= LEAST).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("payload_digest", "first")
+    groups = written(groups)
     joined = own.join(groups, "payload_digest", "left")
     revisits = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return joined.select(

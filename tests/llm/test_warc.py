@@ -66,3 +66,44 @@ def test_files_roll(spark):
     path = W.shared_dir(spark)
     W.deduplicated(pages(spark)).coalesce(1).write.format("warc").option("maxFileBytes", "1").mode("append").save(path)
     assert W.load(spark, path).count() == len(ROWS)
+
+
+def records(n, kind="response"):
+    return [W.record(kind, i, f"http://x/{i}", b"body %d" % i * (50_000 if i == 1 else 1), "d", 0, None, "2020-01-01T00:00:00Z") for i in range(n)]
+
+
+def test_members_of_several_records(spark, tmp_path):
+    found = records(6)
+    (tmp_path / "whole.warc.gz").write_bytes(gzip.compress(b"".join(found)))
+    (tmp_path / "mixed.warc.gz").write_bytes(W.member(b"".join(found[:3]), 3) + gzip.compress(found[3]) + W.member(found[4], 3) + W.member(found[5], 3) + b"\0" * 64)
+    df = W.load(spark, str(tmp_path))
+    assert sorted((r.page_id, r.payload_bytes) for r in df.collect()) == sorted(2 * [(i, 300_000 if i == 1 else 6) for i in range(6)])
+    for wanted in range(6):
+        assert df.where(F.col("page_id") == wanted).count() == 2
+
+
+def test_broken_records(spark, tmp_path):
+    a, b, c = records(3)
+    broken = b.replace(b"Content-Length: 3000", b"Content-Length: many 3000")
+    (tmp_path / "broken.warc").write_bytes(a + broken + c)
+    (tmp_path / "broken.warc.gz").write_bytes(gzip.compress(a + broken + c) + gzip.compress(c)[:60])
+    got = W.load(spark, str(tmp_path)).select("page_id", "payload_bytes").collect()
+    assert sorted((r.page_id, r.payload_bytes) for r in got if r.page_id != 1) == [(0, 6), (0, 6), (2, 6), (2, 6)]
+    assert {r.payload_bytes for r in got if r.page_id == 1} == {0}
+
+
+def test_commits_side_by_side_and_aborts(spark, tmp_path):
+    one, two = (W.WarcWriter({"path": str(tmp_path)}, False) for _ in range(2))
+    batch = spark.createDataFrame([("response", None, "u", 1, None, 2, "d", b"ab")], W.SCHEMA).toArrow().to_batches()
+    first, second, third = one.write(iter(batch)), two.write(iter(batch)), two.write(iter(batch))
+    one.commit([first])
+    two.commit([second, None])
+    two.abort([third])
+    assert W.load(spark, str(tmp_path)).count() == 2 and len(list(tmp_path.glob("*.warc.gz"))) == 2
+    W.WarcWriter({"path": str(tmp_path)}, True).commit([first])
+    assert W.load(spark, str(tmp_path)).count() == 1
+
+
+def test_no_payload_is_shuffled(spark):
+    plan = W.deduplicated(pages(spark))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
