@@ -43,6 +43,8 @@ BATCH_CHARS = 1 << 20
 ALPHABET = 96
 #: Texts of a language whose texts are short, and the training length below which a phrase costs no less.
 SHORT_DOCS = 640
+#: Parts of a language that are ranked side by side before their first ones meet.
+PARTS = 16
 LEAST_CHARS = SAMPLE_DOCS * MIN_CHARS
 #: Folded code point of every character: itself in lower case if a letter, else a blank.
 _FOLD: np.ndarray | None = None
@@ -215,13 +217,18 @@ def _languages(train: dict[str, list[str]]) -> Languages:
 
 def training_texts(labelled: DataFrame, sample: int = SAMPLE_DOCS) -> dict[str, list[str]]:
     """Per language, at most ``sample`` texts in hash order. Only hashes and lengths are
-    ranked (one row a distinct text, cut down in every task before the shuffle); the
-    texts of the few that are left are read in a second pass."""
+    ranked (one row a distinct text), first within parts of a language, then the first
+    ones of all its parts, so that no task ranks a language; the texts of the few that are
+    left are read in a second pass."""
     size = F.char_length("text")
     rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", F.when(size > MAX_CHARS, F.left("text", F.lit(MAX_CHARS))).otherwise(F.col("text")).alias("text"), (~size.between(MIN_CHARS, MAX_CHARS)).alias("odd"), (size < MIN_CHARS).alias("short"))
     hashed = rows.select("lang", F.xxhash64("text").alias("h"), "odd", "short").groupBy("lang", "h").agg(F.min("odd").alias("odd"), F.min("short").alias("short"))
+    best = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy("h"))
+    most = F.when(~F.col("odd"), F.lit(sample)).when(F.col("short"), F.lit(SHORT_DOCS)).otherwise(F.lit(sample))
+    parts = hashed.withColumn("part", F.pmod("h", F.lit(PARTS)))
+    first = parts.withColumn("place", best("lang", "part", "odd", "short")).where(F.col("place") <= most)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("odd", "h"))
-    top = hashed.withColumn("rank", rank).where(F.col("rank") <= max(sample, SHORT_DOCS)).where((F.col("rank") <= sample) | F.col("short")).select("lang", "h", "rank")
+    top = first.withColumn("rank", rank).where(F.col("rank") <= max(sample, SHORT_DOCS)).where((F.col("rank") <= sample) | F.col("short")).select("lang", "h", "rank")
     picked = rows.withColumn("h", F.xxhash64("text")).join(F.broadcast(top), ["lang", "h"]).groupBy("lang", "rank").agg(F.min("text").alias("text"))
     train: dict[str, list[str]] = {}
     for r in sorted(picked.collect(), key=lambda r: (r.lang, r.rank)):
