@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import scan
+from lodestrata.llm.common import scan, written
 
 #: Folder and file of the vocabulary (ranks of a byte-level BPE).
 FOLDER = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
@@ -85,9 +85,10 @@ def histogram(lengths: DataFrame) -> DataFrame:
     """n_tokens, docs, docs_longer, tokens_at_most, tokens_total, truncated_total, share_at_most.
 
     Sums run within ranges of 1,024 lengths, then over the ranges' totals, so that no
-    task holds more than one range or the list of ranges.
+    task holds more than one range or the list of ranges. The counts are written first, so
+    that texts are encoded once.
     """
-    counts = lengths.groupBy("n_tokens").agg(F.count("*").alias("docs")).withColumn("range", F.floor(F.col("n_tokens") / 1024))
+    counts = written(lengths.groupBy("n_tokens").agg(F.count("*").alias("docs"))).withColumn("range", F.floor(F.col("n_tokens") / 1024))
     ranges = counts.groupBy("range").agg(F.sum("docs").alias("d"), F.sum(F.col("docs") * F.col("n_tokens")).alias("t"))
     before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy()
