@@ -68,3 +68,19 @@ def test_short_signed_and_digitless_secrets(spark):
     assert set(found) == set(hidden) and found[4].assigned == 1 and found[4].named == 1
     clean = {r.doc_id: r.text for r in S.redact(docs).collect()}
     assert clean == {k: t.replace(v, S.MASK) for k, (t, v) in hidden.items()}
+
+
+def test_held_out_findings(spark):
+    docs = spark.createDataFrame([r[:3] for r in sample(400)], "doc_id long, text string, source string")
+    precision, recall = S.held_out(docs)
+    assert precision > 0.97 and recall > 0.97
+
+
+def test_rules_are_no_features_and_labels_may_be_given(spark):
+    """Given labels that the rules would not give, the forest follows the labels."""
+    assert not set(S.RULES) & set(S.FEATURES)
+    rows = [(i, f"the build {'alpha' if i % 2 else 'beta'} {i:04x}{'a1b2c3d4e5f60718' if i % 2 else '9988776655443322'}", "src") for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    given = docs.select(F.explode(S.occurrences()).alias("f"), F.col("source").alias("path")).withColumn("label", F.col("f.left").contains("alpha").cast("double"))
+    scanner = S.train(docs, given)
+    assert {(r.doc_id % 2 == 1, r.secret) for r in S.findings(docs, scanner=scanner).collect()} == {(True, True), (False, False)}
