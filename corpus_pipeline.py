@@ -1,4 +1,14 @@
-"""Corpus pipeline: quality rules, near-duplicates, decontamination, secrets, mixing."""
+"""Corpus pipeline: quality rules, near-duplicates, decontamination, secrets, mixing.
+
+Cases, for every stage: an empty table stays empty, with its columns; null and empty texts
+fail the base rules of the first stage, and later stages, given such rows, keep one of
+them as near-duplicates and mix it at size 0; null doc_ids, langs, sources and counts stay
+as they are (a null doc_id is never the one that near-duplicates keep if another is there,
+null sources are one source); very long texts are read whole; of rows equal in doc_id and
+text one stays from the second stage on; ties between near-duplicates go to the smaller
+doc_id, then to the smaller hash of the row; columns beside those of documents pass
+through, whatever their names, but for ``copies``, which the last stage sets.
+"""
 
 from __future__ import annotations
 
