@@ -2,10 +2,11 @@
 
 Texts are normalised to words of digits, a-z and non-ASCII characters (A-Z lowered, the
 rest of ASCII separates). Every run of WINDOW words of an item, or the whole item if it
-is shorter, is a pattern. The automaton's letters are whole words, numbered as they occur
-in the patterns, so a pattern has at most WINDOW nodes; it reads each normalised document
-once. Matches give word numbers, and these the byte offsets of the original text in
-``spans``.
+is shorter, is a pattern. Words are numbered as they occur in the patterns, and each
+number is written with DIGITS letters of BASE kinds (kinds of their own for each place, so
+that matches begin and end with words), which keeps nodes few and narrow; the automaton
+reads each normalised document once. Matches give word numbers, and these the byte offsets
+of the original text in ``spans``.
 
 An automaton holds the patterns of at most NODES words. A larger benchmark is dealt by
 hash over as many automata as it needs; documents are scanned once for each, one broadcast
@@ -37,8 +38,11 @@ from lodestrata.llm.common import fresh, scan, texts, without_clash, written
 
 WINDOW = 10
 OUTPUT = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans")
-#: Words of the patterns that one automaton holds: some 60 to 70 bytes each in a worker.
+#: Words of the patterns that one automaton holds: some 150 bytes each in a worker.
 NODES = 2_000_000
+#: Letters of a word's number; BASE ** DIGITS is above NODES.
+BASE, DIGITS = 128, 3
+UNKNOWN = "\0" * DIGITS
 
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 _SPACED = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -57,30 +61,38 @@ def windows(text: bytes, window: int = WINDOW) -> list[bytes]:
     return [b" ".join(found[i : i + window]) for i in range(len(found) - window + 1)]
 
 
+def code(number: int) -> str:
+    return "".join(chr(BASE * (place + 1) + number // BASE**place % BASE) for place in reversed(range(DIGITS)))
+
+
 class Matcher:
     """The automaton over (pattern, item ids) rows; a pattern is words with blanks between."""
 
     def __init__(self, patterns: Iterable[tuple[bytes, Iterable[str]]]):
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        self.numbers: dict[bytes, int] = {}  # 0 is any other word
+        self.automaton = ahocorasick.Automaton()
+        self.codes: dict[bytes, str] = {}
         for pattern, ids in patterns:
-            letters = tuple(self.numbers.setdefault(w, len(self.numbers) + 1) for w in pattern.split())
-            self.automaton.add_word(letters, (len(letters), tuple(ids)))
-        if self.numbers:
+            found = pattern.split()
+            for w in found:
+                if w not in self.codes:
+                    self.codes[w] = code(len(self.codes))
+            self.automaton.add_word("".join(map(self.codes.__getitem__, found)), (len(found), tuple(ids)))
+        if self.codes:
             self.automaton.make_automaton()
 
     def match(self, found: list[bytes]) -> tuple[np.ndarray, set[str]]:
         """Numbers of hit words, ids of the items with an occurring window."""
         items: set[str] = set()
-        if not self.numbers or not found:
+        hits = list(self.automaton.iter("".join(map(self.codes.get, found, repeat(UNKNOWN))))) if self.codes and found else []
+        if not hits:
             return np.zeros(0, np.int64), items
-        delta, hit = np.zeros(len(found) + 1, np.int64), False
-        for last, (n, ids) in self.automaton.iter(tuple(map(self.numbers.get, found, repeat(0)))):
+        delta = np.zeros(len(found) + 1, np.int64)
+        for end, (n, ids) in hits:
+            last = end // DIGITS
             delta[last - n + 1] += 1
             delta[last + 1] -= 1
             items.update(ids)
-            hit = True
-        return np.flatnonzero(np.cumsum(delta[:-1])) if hit else delta[:0], items
+        return np.flatnonzero(np.cumsum(delta[:-1])), items
 
 
 _built: dict[str, Matcher] = {}
