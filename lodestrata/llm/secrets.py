@@ -45,11 +45,12 @@ NAMED = r"(?i)(token|secret|passw(or)?d|pwd|api[_-]?key|access[_-]?key|private[_
 ASSIGNED = "(?:" + NAMED + r"[A-Za-z0-9_-]{0,16}[\"']?\s{0,3}(:|=|=>|:=)?\s{0,3}[\"']?|://[^\s:/@]{0,32}:)$"
 HARMLESS = r"(?i)(commit|sha-?1|sha-?256|md5|checksum|digest|uuid|guid|isbn|phone|order|invoice|card|version|revision)[\"':=\s#]{0,5}$"
 ISSUED = r"^(AKIA|ASIA)[0-9A-Z]{16}$|^gh[opsu]_[A-Za-z0-9]{36}|^xox[abprs]-|^sk[-_](live|test)?[-_]?[A-Za-z0-9]{16,}|^AIza[A-Za-z0-9_-]{35}$|^eyJ[A-Za-z0-9_-]{16,}"
+# Short looks behind stand before long ones, which are slow.
 #: A long run with a digit; an issued token; a value after a named assignment or in a connection string.
 LONG = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+={0,2}"
 TOKEN = r"(?<![A-Za-z0-9+/_-])(?:(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9+/_-])|gh[opsu]_[A-Za-z0-9]{36,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|sk[-_](?:live|test)?[-_]?[A-Za-z0-9]{16,}+|AIza[A-Za-z0-9_-]{35,}+|eyJ[A-Za-z0-9_-]{16,}+)"
-VALUE = r"(?<=[\s=:>\"'])(?<=" + NAMED + r"[A-Za-z0-9_-]{0,16}[\"']?\s{0,3}(?:=>|:=|:|=)\s{0,3}[\"']?)(?![=:>])[^\s\"'`<>\[\]]{6,}+"
-IN_URL = r"(?<=://[^\s:/@]{0,32}:)[^\s@/]{3,}+(?=@)"
+VALUE = r"(?<=[\s=:>\"'])(?<=[=:>]\s{0,3}[\"']?)(?<=" + NAMED + r"[A-Za-z0-9_-]{0,16}[\"']?\s{0,3}(?:=>|:=|:|=)\s{0,3}[\"']?)(?![=:>])[^\s\"'`<>\[\]]{6,}+"
+IN_URL = r"(?<=:)(?<=://[^\s:/@]{0,32}:)[^\s@/]{3,}+(?=@)"
 CANDIDATE = f"(?:{LONG}|{TOKEN}|{VALUE}|{IN_URL})"
 NUMBER_OR_UUID = r"^[0-9-]+$|^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"
 
