@@ -12,7 +12,7 @@ from lodestrata.functions import stats
 from lodestrata.operators import asof, backtest, cleaning, estimators, kernels, portfolio, resampling
 from lodestrata.plans.base import CAP, PER_YEAR, VOL_HALF_LIFE, W, Tables, query
 from lodestrata.plans.config import Experiment, manifest, validated
-from lodestrata.plans.research import _BOOKS, _DRAWS, _DRAWS_WHOLE, _EQ, _EXEC, _GROW, _INV, _MEANS, _PATHS, _SAMPLE, _SERIES, _SERIES_WHOLE, B_VOL, _books, _clusters, _execs, _inverse, _length, _means, _medoids, _paths, _series, _whole_series
+from lodestrata.plans.research import _BOOKS, _DRAWS, _EQ, _EXEC, _GROW, _INV, _MEANS, _PATHS, _SAMPLE, _SERIES, B_VOL, _books, _clusters, _execs, _inverse, _length, _means, _medoids, _paths, _series, draws_sql
 from lodestrata.sources import panels
 
 
@@ -66,13 +66,7 @@ def _(t: Tables) -> DataFrame:
 @query("SNK04_index_matrix", _SERIES + _DRAWS + " FINAL SELECT draw, strategy, count(*) AS positions, sum(ret) AS total FROM ix JOIN ser ON ser.pos = ix.source GROUP BY 1, 2", "total", "draw positions")
 def _(t: Tables) -> DataFrame:
     """The index matrix of a resampling as a compressed table, read back and applied."""
-    return _stored_draws(t, _series(t), 260)
-
-
-@query("SNK04_index_matrix_whole", _SERIES_WHOLE + _DRAWS_WHOLE + " FINAL SELECT draw, strategy, count(*) AS positions, sum(ret) AS total FROM ix JOIN ser ON ser.pos = ix.source GROUP BY 1, 2", "total", "draw positions")
-def _(t: Tables) -> DataFrame:
-    """The same over the whole series."""
-    series = _whole_series(t)
+    series = _series(t)
     return _stored_draws(t, series, _length(series))
 
 
@@ -274,10 +268,10 @@ for _method in ("ewma", "shrink_zero", "shrink_grand_mean"):
     _mean(_method)
 
 
-@query("EST08_iewma_diagonal_batch", _DRAWS + f", dr AS (SELECT w.as_of, ix.draw, w.asset, ix.position AS k, w.ret FROM ix JOIN win w ON w.k = ix.source % {W} WHERE ix.position < {W} AND ix.draw < 20) FINAL SELECT as_of, draw, asset, 52 * pow({B_VOL!r}, 51) * sum(CASE WHEN k = 0 THEN greatest(ret * ret, 1e-14) ELSE {1 - B_VOL!r} * ret * ret / pow({B_VOL!r}, k) END) AS var FROM dr GROUP BY 1, 2, 3", "var", "draw", digits=10)
+@query("EST08_iewma_diagonal_batch", draws_sql(f"SELECT {W} AS n") + f", dr AS (SELECT w.as_of, ix.draw, w.asset, ix.position AS k, w.ret FROM ix JOIN win w ON w.k = ix.source WHERE ix.position < {W} AND ix.draw < 20) FINAL SELECT as_of, draw, asset, 52 * pow({B_VOL!r}, 51) * sum(CASE WHEN k = 0 THEN greatest(ret * ret, 1e-14) ELSE {1 - B_VOL!r} * ret * ret / pow({B_VOL!r}, k) END) AS var FROM dr GROUP BY 1, 2, 3", "var", "draw", digits=10)
 def _(t: Tables) -> DataFrame:
     """Last EW variances of 20 resampled windows a date, each a weighted sum."""
-    ix = resampling.lcg_indices(t.spark, 260, 10, 20).where(F.col("position") < W)
+    ix = resampling.lcg_indices(t.spark, W, 10, 20)
     drawn = ix.select("draw", "position", (F.col("source") % W).alias("k")).join(t.win.drop("date"), "k").select("as_of", "draw", "asset", F.col("position").alias("k"), "ret")
     return estimators.last_ew_variance(drawn, ["as_of", "draw", "asset"], W, VOL_HALF_LIFE).withColumn("var", PER_YEAR * F.col("var"))
 
@@ -360,25 +354,17 @@ def _(t: Tables) -> DataFrame:
     return backtest.Execution("delayed", lag=2).clock(asof.calendar(t.panel), t.sched)
 
 
-_PAIRED = _DRAWS + """, sr AS (SELECT strategy, row_number() OVER (PARTITION BY strategy ORDER BY date) - 1 AS pos, net_return AS ret FROM path WHERE cost_bps = 5),
+_PAIRED = """, sr AS (SELECT strategy, row_number() OVER (PARTITION BY strategy ORDER BY date) - 1 AS pos, net_return AS ret FROM path WHERE cost_bps = 5)""" + draws_sql("SELECT max(pos) + 1 AS n FROM sr") + """,
 st AS (SELECT draw, strategy, avg(ret) * 52 AS mean, stddev_samp(ret) * sqrt(52) AS vol FROM ix JOIN sr ON sr.pos = ix.source GROUP BY 1, 2),
 rp AS (SELECT draw, strategy, CASE WHEN vol > 0 THEN mean / vol END AS sharpe, mean - 1.5 * vol * vol AS ce FROM st),
 df AS (SELECT b.strategy AS comparator, a.strategy, a.sharpe - b.sharpe AS sharpe, a.ce - b.ce AS ce FROM rp a JOIN rp b ON a.draw = b.draw AND b.strategy IN ('equal', 'class_equal') AND a.strategy <> b.strategy)"""
-_SR = _PAIRED.removeprefix(_DRAWS).partition("\nst AS")[0].rstrip(",")
-_PAIRED_WHOLE = _SR + _DRAWS_WHOLE.replace("FROM ser)", "FROM sr)") + ",\nst AS" + _PAIRED.partition("\nst AS")[2]
 
 
 @query("INF06_inference_driver", _BOOKS + _PATHS + _PAIRED + " FINAL SELECT comparator, strategy, metric, quantile_cont(value, 0.025) AS ci_lower, quantile_cont(value, 0.975) AS ci_upper FROM (UNPIVOT df ON sharpe, ce INTO NAME metric VALUE value) GROUP BY 1, 2, 3", "ci_lower ci_upper", digits=6)
 def _(t: Tables) -> DataFrame:
     """Paired intervals of the simulated strategies against two comparators."""
-    return _driven(t, _simulated(t), 260)
-
-
-@query("INF06_inference_driver_whole", _BOOKS + _PATHS + _PAIRED_WHOLE + " FINAL SELECT comparator, strategy, metric, quantile_cont(value, 0.025) AS ci_lower, quantile_cont(value, 0.975) AS ci_upper FROM (UNPIVOT df ON sharpe, ce INTO NAME metric VALUE value) GROUP BY 1, 2, 3", "ci_lower ci_upper", digits=6)
-def _(t: Tables) -> DataFrame:
-    """The same over the whole simulated path."""
     series = _simulated(t)
-    return _driven(t, series, _length(series))
+    return _driven(t, series)
 
 
 def _simulated(t: Tables) -> DataFrame:
@@ -386,8 +372,8 @@ def _simulated(t: Tables) -> DataFrame:
     return t.once(_paths(t, [5.0]).select("strategy", pos.alias("pos"), F.col("net_return").alias("ret")))
 
 
-def _driven(t: Tables, series: DataFrame, rows: int) -> DataFrame:
-    rep = t.once(resampling.replicate_statistics(series, resampling.lcg_indices(t.spark, rows, 10, 100), PER_YEAR, 3.0))
+def _driven(t: Tables, series: DataFrame) -> DataFrame:
+    rep = t.once(resampling.replicate_statistics(series, resampling.lcg_indices(t.spark, _length(series), 10, 100), PER_YEAR, 3.0))
     parts = [resampling.paired_intervals(rep, c, 0.95).withColumn("comparator", F.lit(c)) for c in ("equal", "class_equal")]
     return parts[0].unionByName(parts[1])
 

@@ -337,18 +337,19 @@ def _(t: Tables) -> DataFrame:
 
 # Inference
 
-_SERIES = ", ser AS (SELECT asset AS strategy, pos, ret FROM panel JOIN cal ON cal.date = panel.date WHERE pos < 260)"
-_DRAWS = ", ix AS (SELECT d AS draw, p AS position, ((7919 * (d + 1) + 104729 * (p // 10 + 1) * (p // 10 + 1)) % 260 + p % 10) % 260 AS source FROM range(0, 100) a(d), range(0, 260) b(p))"
-_REP = _SERIES + _DRAWS + ", st AS (SELECT draw, strategy, avg(ret) * 52 AS mean, stddev_samp(ret) * sqrt(52) AS volatility FROM ix JOIN ser ON ser.pos = ix.source GROUP BY 1, 2), rep AS (SELECT *, CASE WHEN volatility > 0 THEN mean / volatility END AS sharpe, mean - 1.5 * volatility * volatility AS ce FROM st)"
+_SERIES = ", ser AS (SELECT asset AS strategy, pos, ret FROM panel JOIN cal ON cal.date = panel.date)"
+
 
+def draws_sql(rows: str) -> str:
+    """ix: draw, position, source; rows is a query of one number n, how many rows are drawn from."""
+    return f", ix AS (SELECT d AS draw, p AS position, ((7919 * (d + 1) + 104729 * (p // 10 + 1) * (p // 10 + 1)) % n + p % 10) % n AS source FROM range(0, 100) a(d), (SELECT n, unnest(range(0, n)) AS p FROM ({rows})))"
 
-# The same over the whole series, however long it is.
-_SERIES_WHOLE = ", ser AS (SELECT asset AS strategy, pos, ret FROM panel JOIN cal ON cal.date = panel.date)"
-_DRAWS_WHOLE = ", ix AS (SELECT d AS draw, p AS position, ((7919 * (d + 1) + 104729 * (p // 10 + 1) * (p // 10 + 1)) % n + p % 10) % n AS source FROM range(0, 100) a(d), (SELECT n, unnest(range(0, n)) AS p FROM (SELECT max(pos) + 1 AS n FROM ser)))"
-_REP_WHOLE = _REP.replace(_SERIES, _SERIES_WHOLE).replace(_DRAWS, _DRAWS_WHOLE)
 
+_DRAWS = draws_sql("SELECT max(pos) + 1 AS n FROM ser")
+_REP = _SERIES + _DRAWS + ", st AS (SELECT draw, strategy, avg(ret) * 52 AS mean, stddev_samp(ret) * sqrt(52) AS volatility FROM ix JOIN ser ON ser.pos = ix.source GROUP BY 1, 2), rep AS (SELECT *, CASE WHEN volatility > 0 THEN mean / volatility END AS sharpe, mean - 1.5 * volatility * volatility AS ce FROM st)"
 
-def _whole_series(t: Tables) -> DataFrame:
+
+def _series(t: Tables) -> DataFrame:
     return t.once(t.panel.join(asof.calendar(t.panel), "date").select(F.col("asset").alias("strategy"), "pos", "ret"))
 
 
@@ -357,23 +358,15 @@ def _length(series: DataFrame) -> int:
     return series.agg(F.coalesce(F.max("pos"), F.lit(0)) + 1).first()[0]
 
 
-def _series(t: Tables) -> DataFrame:
-    return _whole_series(t).where("pos < 260")
-
-
 def _rep(t: Tables) -> DataFrame:
-    return resampling.replicate_statistics(_series(t), resampling.lcg_indices(t.spark, 260, 10, 100), PER_YEAR, 3.0)
-
-
-def _rep_whole(t: Tables) -> DataFrame:
-    series = _whole_series(t)
+    series = _series(t)
     return t.once(resampling.replicate_statistics(series, resampling.lcg_indices(t.spark, _length(series), 10, 100), PER_YEAR, 3.0))
 
 
 @query("INF01_stationary_indices")
 def _(t: Tables) -> DataFrame:
     last = t.sched.agg(F.max("as_of").alias("as_of")).withColumn("seed", F.lit(36129))
-    series = _whole_series(t)
+    series = _series(t)
     i = resampling.index_table(last, _length(series), 10, 50, "stationary")
     return i.join(series, F.col("source") == F.col("pos")).groupBy("strategy", "draw").agg(F.count("*").alias("positions"), F.avg("ret").alias("mean"))
 
@@ -393,21 +386,6 @@ def _(t: Tables) -> DataFrame:
     return resampling.paired_intervals(_rep(t), "L1", 0.95)
 
 
-@query("INF02_replicates_whole", _REP_WHOLE + " FINAL SELECT * FROM rep", "mean volatility sharpe ce", "draw")
-def _(t: Tables) -> DataFrame:
-    return _rep_whole(t)
-
-
-@query("INF03_intervals_whole", _REP_WHOLE + " FINAL SELECT strategy, metric, quantile_cont(value, 0.025) AS ci_lower, quantile_cont(value, 0.975) AS ci_upper FROM (UNPIVOT rep ON mean, volatility, sharpe, ce INTO NAME metric VALUE value) GROUP BY 1, 2", "ci_lower ci_upper")
-def _(t: Tables) -> DataFrame:
-    return resampling.intervals(_rep_whole(t), 0.95)
-
-
-@query("INF04_paired_intervals_whole", _REP_WHOLE + ", df AS (SELECT a.draw, a.strategy, a.sharpe - b.sharpe AS sharpe, a.ce - b.ce AS ce FROM rep a JOIN rep b ON a.draw = b.draw AND b.strategy = 'L1' WHERE a.strategy <> 'L1') FINAL SELECT strategy, metric, quantile_cont(value, 0.025) AS ci_lower, quantile_cont(value, 0.975) AS ci_upper FROM (UNPIVOT df ON sharpe, ce INTO NAME metric VALUE value) GROUP BY 1, 2", "ci_lower ci_upper")
-def _(t: Tables) -> DataFrame:
-    return resampling.paired_intervals(_rep_whole(t), "L1", 0.95)
-
-
 @query("INF05_deflated_sharpe", f", d0 AS (SELECT asset AS strategy, avg(ret) / stddev_samp(ret) AS sr, skewness(ret) AS skew, kurtosis(ret) + 3 AS kurt, count(*) AS n FROM panel GROUP BY 1), d1 AS (SELECT *, stddev_samp(sr * sqrt(52)) OVER () * {resampling.expected_max_factor(7)!r} AS expected_max FROM d0) FINAL SELECT strategy, sr * sqrt(52) AS sharpe, skew, kurt, expected_max, (sr - expected_max / sqrt(52)) * sqrt(n - 1) / sqrt(greatest(1 - skew * sr + (kurt - 1) / 4 * sr * sr, 1e-16)) AS z FROM d1", "sharpe skew kurt expected_max z", digits=6)
 def _(t: Tables) -> DataFrame:
     return resampling.deflated_sharpe(t.panel.select(F.col("asset").alias("strategy"), "ret"), PER_YEAR, 7).drop("probability")

@@ -99,9 +99,12 @@ def content_hashes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A new folder name under the cluster's shared folder; a temporary one where none is set."""
+    """A new folder name under the cluster's shared folder; a temporary one where none is
+    set and Spark runs on this machine alone."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         import tempfile
 
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))

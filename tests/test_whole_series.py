@@ -7,7 +7,7 @@ from test_queries import norm
 import __spark_entry__ as entry
 from lodestrata.plans.base import Tables
 
-WHOLE = ["INF02_replicates_whole", "INF03_intervals_whole", "INF04_paired_intervals_whole", "INF06_inference_driver_whole", "SNK04_index_matrix_whole"]
+WHOLE = ["INF02_replicates", "INF03_intervals", "INF04_paired_intervals", "INF06_inference_driver", "SNK04_index_matrix"]
 
 
 @pytest.mark.parametrize("name", WHOLE)
@@ -26,7 +26,7 @@ def test_every_draw_has_as_many_positions_as_the_series(spark, sf_dir, size):
     folder = sf_dir.replace("sf0.001", size)
     panel = Tables(spark, folder).panel
     weeks, strategies = panel.select("date").distinct().count(), panel.select("asset").distinct().count()
-    matrix = entry.queries()["SNK04_index_matrix_whole"](spark, folder).collect()
+    matrix = entry.queries()["SNK04_index_matrix"](spark, folder).collect()
     assert {r.positions for r in matrix} == {weeks} and len(matrix) == 100 * strategies
     stationary = entry.queries()["INF01_stationary_indices"](spark, folder).collect()
     assert {r.positions for r in stationary} == {weeks} and len(stationary) == 50 * strategies
