@@ -43,6 +43,57 @@ def linear_cost(bps: float, name: str = "linear") -> CostModel:
     return CostModel(name, lambda trade: F.abs(trade) * (bps / 10000.0))
 
 
+def cost_model(kind: str, bps: float) -> CostModel:
+    """The model of a configuration's name and rate."""
+    if kind == "zero":
+        return no_cost()
+    if kind == "linear":
+        return linear_cost(bps)
+    raise ValueError(f"unknown cost model: {kind}")
+
+
+def rate_fault(bps: Column) -> Column:
+    """Why a rate is refused, null if it is not: it must be a number from 0 to below all."""
+    finite = bps.isNotNull() & ~F.isnan(bps) & (F.abs(bps) != float("inf"))
+    return F.when(~finite, "NOT_FINITE").when(bps < 0, "NEGATIVE").when(bps >= 10000, "ALL_OR_MORE")
+
+
+def asset_costs(execs: DataFrame, rates: DataFrame) -> DataFrame:
+    """strategy, as_of, cost: each asset's own rate on what is traded. rates: asset, bps;
+    a trade without a valid rate fails the query."""
+    met = execs.join(rates, "asset", "left")
+    fault = rate_fault(F.col("bps"))
+    rate = F.when(fault.isNull(), F.col("bps") / 10000.0).otherwise(F.raise_error(F.concat(F.lit("cost rate of "), F.col("asset"), F.lit(": "), fault)).cast("double"))
+    return met.groupBy("strategy", "as_of").agg(F.sum(F.abs(F.col("weight") - F.col("drifted")) * rate).alias("cost"))
+
+
+def invariants(values: DataFrame, keys: list[str], cash: Column) -> DataFrame:
+    """Per key: invested, cash, nav, and whether the state holds: no short holding, no
+    debt, finite, and shares that add up to one. values: keys, value."""
+    out = values.groupBy(*keys).agg(F.sum("value").alias("invested"), F.min("value").alias("least")).withColumn("cash", cash).withColumn("nav", F.col("invested") + F.col("cash"))
+    finite = F.abs("nav") < float("inf")  # false beside a NaN or null
+    whole = F.abs(F.col("invested") / F.col("nav") + F.col("cash") / F.col("nav") - 1) <= 1e-12
+    return out.withColumn("holds", F.coalesce((F.col("least") >= 0) & (F.col("cash") >= 0) & (F.col("nav") > 0) & finite & whole, F.lit(False))).drop("least")
+
+
+def states(weights: DataFrame, growths: DataFrame, cash: float) -> DataFrame:
+    """Holdings and cash of books day by day: strategy, as_of, date, invested, cash, nav, holds."""
+    values = weights.join(growths, ["as_of", "asset"]).withColumn("value", F.col("weight") * F.col("growth"))
+    return invariants(values, ["strategy", "as_of", "date"], F.lit(cash))
+
+
+def clock_returns(books: DataFrame, panel: DataFrame) -> DataFrame:
+    """Per decision: the last date it may know, what the old book earns on its day, when the
+    new book first earns, and what. books: as ``book_growth``; panel: date."""
+    by_day = Window.partitionBy("strategy", "as_of").orderBy("date")
+    days = books.withColumns({"ret": F.col("growth") / F.coalesce(F.lag("growth").over(by_day), F.lit(1.0)) - 1, "r": F.row_number().over(by_day)})
+    new = days.where("r = 1").select("strategy", "as_of", F.col("date").alias("first_earned"), F.col("ret").alias("new_book_return"))
+    old = days.where("date > as_of").select("strategy", F.col("date").alias("as_of"), F.col("ret").alias("old_book_return"))
+    dates = panel.select("date").distinct()
+    known = dates.select(F.lag("date").over(Window.orderBy("date")).alias("known_until"), F.col("date").alias("as_of"))  # a row a date
+    return new.join(old, ["strategy", "as_of"], "left").join(known, "as_of", "left")
+
+
 @dataclass(frozen=True)
 class Execution:
     """When a decision may know and when it trades: information ends ``lag`` rows before

@@ -119,3 +119,14 @@ def capacity(assets: DataFrame, caps: list[float]) -> DataFrame:
     """as_of, cap, assets, feasible: whether the assets can hold 1 under the cap."""
     n = assets.groupBy("as_of").agg(F.count_distinct("asset").alias("assets"))
     return n.withColumn("cap", F.explode(F.array(*map(F.lit, caps)))).withColumn("feasible", F.col("assets") * F.col("cap") >= 1 - 1e-12)
+
+
+def validated_targets(weights: DataFrame, keys: list[str], cap: float, tolerance: float = 1e-8) -> DataFrame:
+    """Per key: the share left in cash, or why the target is refused. Shorts within the
+    tolerance count as zero."""
+    w = F.col("weight")
+    finite = w.isNotNull() & ~F.isnan(w) & (F.abs(w) != float("inf"))
+    total = F.sum(F.when(w.between(-tolerance, 0.0), 0.0).otherwise(w))
+    fault = F.when(~F.bool_and(finite), "NOT_FINITE").when(F.min(w) < -tolerance, "NEGATIVE").when(F.max(w) > cap + tolerance, "ABOVE_CAP").when(total > 1 + tolerance, "ABOVE_ONE")
+    out = weights.groupBy(*keys).agg(total.alias("total"), fault.alias("fault"))
+    return out.select(*keys, F.when(F.col("fault").isNull(), F.greatest(1 - F.col("total"), F.lit(0.0))).alias("cash"), "fault")

@@ -261,3 +261,25 @@ def test_empty_panel(spark):
     s = asof.quarter_schedule(p, 5)
     w = asof.training_windows(p, s, 5)
     assert s.count() == w.count() == estimators.cov_sample(w, 52).count() == kernels.minimum_variance_weights(kernels.repaired(estimators.cov_sample(w, 52)), 0.2).count() == 0
+
+
+def test_a_bad_rate_fails_the_costs(spark):
+    execs = spark.createDataFrame([("s", 1, "A", 0.6, 0.1), ("s", 1, "B", 0.4, 0.9)], "strategy string, as_of int, asset string, weight double, drifted double")
+    rates = spark.createDataFrame([("A", 10.0), ("B", 20.0)], "asset string, bps double")
+    assert backtest.asset_costs(execs, rates).first().cost == pytest.approx(0.5 * 0.001 + 0.5 * 0.002)
+    for bad in (rates.where("asset = 'A'"), rates.withColumn("bps", -rates.bps), rates.withColumn("bps", rates.bps * 1000)):
+        with pytest.raises(Exception, match="cost rate of"):
+            backtest.asset_costs(execs, bad).collect()
+    with pytest.raises(ValueError):
+        backtest.cost_model("square", 1.0)
+
+
+def test_stationary_draws_position_by_position():
+    rows, expected, draws = 30, 5, 6
+    rng, want = np.random.default_rng(11), []
+    for position in range(rows):
+        if position:
+            again = rng.random(draws) < 1 / expected
+        anew = rng.integers(0, rows, size=draws)
+        want.append([int(anew[d]) if not position or again[d] else (want[-1][d] + 1) % rows for d in range(draws)])
+    assert resampling.stationary_indices(11, rows, expected, draws).T.tolist() == want
