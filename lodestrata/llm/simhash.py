@@ -41,6 +41,8 @@ BLOCK = 1024
 PAIRS, ROWS = 1 << 20, 1 << 16
 #: Parts in which the members of a component meet their smallest id.
 PARTS = 16
+#: A fingerprint of more than one in so many rows is frequent: there are fewer of these than that.
+FREQUENT = 1000
 #: From so many distinct fingerprints on, lists are keyed by three bytes, not two.
 TRIPLES_FROM = 1 << 26
 
@@ -241,7 +243,7 @@ def assign(docs: DataFrame, block: int = BLOCK, triples_from: int = TRIPLES_FROM
 
 def classes(prints: DataFrame, block: int = BLOCK, triples_from: int = TRIPLES_FROM) -> DataFrame:
     """From rows with fp and doc_id (further columns are kept): root, component_id."""
-    distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("low_id")))
+    distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("low_id"), F.count("*").alias("copies")))
     roots = components(links(distinct, distinct.count(), block, triples_from=triples_from))
     # members of components of two or more; a root may have very many, so they meet their
     # smallest id in parts
@@ -251,8 +253,14 @@ def classes(prints: DataFrame, block: int = BLOCK, triples_from: int = TRIPLES_F
     parts = low.withColumn("part", F.explode(F.array(*[F.lit(i).cast("long") for i in range(PARTS)])))
     named = placed.join(parts, ["root", "part"]).select("fp", "root", "component_id", F.lit(True).alias("member"))
     every = distinct.join(named, "fp", "left")
-    every = every.select("fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("member"), F.col("component_id")).otherwise(F.col("low_id")).alias("component_id"))
-    return prints.join(every, "fp")
+    every = written(every.select("fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("member"), F.col("component_id")).otherwise(F.col("low_id")).alias("component_id"), "copies"))
+    # rows of frequent fingerprints, fewer than FREQUENT of them, do not move
+    rows = distinct.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+    often = F.col("copies") * FREQUENT > rows
+    frequent, others = every.where(often).drop("copies"), every.where(~often).drop("copies")
+    met = prints.join(F.broadcast(frequent), "fp")
+    moved = prints.join(F.broadcast(frequent.select("fp")), "fp", "left_anti").join(others, "fp")
+    return met.unionByName(moved)
 
 
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:

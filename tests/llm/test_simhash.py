@@ -111,3 +111,11 @@ def test_many_near_fingerprints_in_bounded_memory():
         assert len(c) and len(c) < len(fp) and set(map(int, c)) | set(map(int, d)) <= set(of)
     finally:
         S.Forest.add = add
+
+
+def test_frequent_fingerprints_and_others(spark, documents, monkeypatch):
+    monkeypatch.setattr(S, "FREQUENT", 7)  # three of the fifteen rows are empty
+    rows = documents.select("doc_id", "text").collect()
+    prints = [(r.doc_id, brute(r.text)) for r in rows]
+    want = sorted((str(k), str(c)) for (k, _), c in zip(prints, components(prints)))
+    assert sorted((str(r.doc_id), str(r.component_id)) for r in S.near_duplicates(documents).collect()) == want
