@@ -81,11 +81,14 @@ def survivor_snapshot(windows: DataFrame, declared: DataFrame, required: int) ->
 def point_in_time_snapshot(panel: DataFrame, listing: DataFrame, schedule: DataFrame, required: int) -> DataFrame:
     """Eligibility with listing and inactive dates (listed strictly before, active until
     strictly after). listing: asset, listing_date, inactive_date."""
-    every = schedule.select("as_of", "pos").crossJoin(listing)  # schedule x universe, the result's size
-    placed = panel.join(calendar(panel), "date").select("asset", "pos").groupBy("asset", "pos").count()
-    runs = placed.withColumn("observed", F.count("*").over(Window.partitionBy("asset").orderBy("pos"))).select("asset", F.col("pos").alias("p"), "observed")
-    upto = every.join(runs, "asset", "left").where("p IS NULL OR p < pos").groupBy("as_of", "asset").agg(F.coalesce(F.max("observed"), F.lit(0)).alias("observed"))
-    rows = every.join(upto, ["as_of", "asset"], "left").withColumn("observed", F.coalesce("observed", F.lit(0)))
+    later = Window.orderBy(F.desc("date")).rowsBetween(Window.unboundedPreceding, -1)  # a row a date
+    marked = calendar(panel).join(schedule.select(F.col("as_of").alias("date"), F.lit(True).alias("hit")), "date", "left")
+    nexts = marked.select("date", F.last(F.when(F.col("hit"), F.col("date")), ignorenulls=True).over(later).alias("as_of")).where("as_of IS NOT NULL")
+    # a date counts once, at the first decision after it; running sums carry it on
+    fresh = panel.select("asset", "date").distinct().join(nexts, "date").groupBy("as_of", "asset").agg(F.count("*").alias("n"))
+    every = schedule.select("as_of").crossJoin(listing)  # schedule x universe, the result's size
+    upto = Window.partitionBy("asset").orderBy("as_of").rowsBetween(Window.unboundedPreceding, 0)
+    rows = every.join(fresh, ["as_of", "asset"], "left").withColumn("observed", F.sum(F.coalesce("n", F.lit(0))).over(upto))
     reason = (F.when(F.col("listing_date") >= F.col("as_of"), "NOT_LISTED").when(F.col("inactive_date") <= F.col("as_of"), "INACTIVE")
               .when(F.col("observed") == 0, "NO_HISTORY").when(F.col("observed") < required, "INSUFFICIENT_HISTORY"))
     return rows.select("as_of", "asset", "observed", reason.isNull().alias("eligible"), reason.alias("reason"))
