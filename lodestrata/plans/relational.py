@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions import stats
-from lodestrata.operators import asof, cleaning
+from lodestrata.operators import asof, cleaning, regimes
 from lodestrata.plans.base import PER_YEAR, TREND, VOL, W, Tables, query
 from lodestrata.sources import panels
 
@@ -340,8 +340,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("WIN03_expanding_median", "SELECT date, asset, quantile_cont(ret, 0.5) OVER (PARTITION BY asset ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS med FROM panel", "med")
 def _(t: Tables) -> DataFrame:
-    w = Window.partitionBy("asset").orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
-    return t.panel.select("date", "asset", F.percentile("ret", F.lit(0.5)).over(w).alias("med"))
+    return regimes.expanding_median(t.panel)
 
 
 @query("WIN07_lag_lead", "SELECT date, asset, lag(ret) OVER w AS before, lead(ret) OVER w AS after, row_number() OVER w - 1 AS pos FROM panel WINDOW w AS (PARTITION BY asset ORDER BY date)", "before after", "pos")
