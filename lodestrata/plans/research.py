@@ -169,7 +169,9 @@ _BOOKS = _INV + _EQ + _CEQ + ", book AS (SELECT 'equal' AS strategy, * FROM eq U
 
 
 def _inverse(t: Tables) -> DataFrame:
-    return portfolio.inverse_volatility(estimators.volatilities(_iewma(t)), CAP)
+    # an asset's correlation with itself is one: its cell needs no pairs
+    var = estimators.last_ew_variance(t.win, ["as_of", "asset"], W, VOL_HALF_LIFE)
+    return portfolio.inverse_volatility(var.select("as_of", "asset", F.sqrt(F.col("var") * PER_YEAR).alias("vol")), CAP)
 
 
 def _books(t: Tables) -> DataFrame:
@@ -302,7 +304,7 @@ def _execs(t: Tables) -> DataFrame:
 
 @query("flagship_backtest", _BOOKS + _PATHS + _METRICS + " FINAL SELECT * FROM met", _MET_DOUBLES, "days")
 def _(t: Tables) -> DataFrame:
-    return backtest.metrics(_paths(t), PER_YEAR)
+    return backtest.metrics(backtest.wealth(_books(t), t.panel, t.sched, _costs(t), t.once), PER_YEAR)
 
 
 @query("BT01_drifted_growth", _BOOKS + _GROW + " FINAL SELECT * FROM bg", "growth")
