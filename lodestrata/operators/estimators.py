@@ -1,7 +1,7 @@
 """Means and covariances of training windows (as_of, k, asset, ret), as SQL plans.
 
-Pairs of assets come from a self-join on (as_of, k): N^2 rows a date, aggregated where
-they arise. Recursions are written as weighted running sums, so no order-dependent state
+Pairs of assets come from a self-join on (as_of, k) in one order only, N (N + 1) / 2 rows a
+date, aggregated where they arise; the other order is a mirror of the finished cells. Recursions are written as weighted running sums, so no order-dependent state
 crosses rows.
 """
 
@@ -25,24 +25,33 @@ def means(windows: DataFrame, window: int, per_year: int, half_life: float, shri
 
 
 def pairs(rows: DataFrame, value: str = "ret") -> DataFrame:
-    """as_of, k, asset_i, asset_j, x, y."""
+    """as_of, k, asset_i, asset_j, x, y, for asset_i <= asset_j."""
     a = rows.select("as_of", "k", F.col("asset").alias("asset_i"), F.col(value).alias("x"))
     b = rows.select("as_of", "k", F.col("asset").alias("asset_j"), F.col(value).alias("y"))
-    return a.join(b, ["as_of", "k"])
+    return a.join(b, ["as_of", "k"]).where("asset_i <= asset_j")
 
 
 KEYS = ["as_of", "asset_i", "asset_j"]
 
 
+def mirrored(cells: DataFrame) -> DataFrame:
+    """Cells of asset_i <= asset_j in both orders."""
+    own = F.struct("asset_i", "asset_j")
+    other = F.struct(F.col("asset_j").alias("asset_i"), F.col("asset_i").alias("asset_j"))
+    orders = F.when(F.col("asset_i") == F.col("asset_j"), F.array(own)).otherwise(F.array(own, other))
+    rest = [c for c in cells.columns if c not in KEYS]
+    return cells.select("as_of", F.explode(orders).alias("pair"), *rest).select("as_of", "pair.asset_i", "pair.asset_j", *rest)
+
+
 def cov_sample(windows: DataFrame, per_year: int) -> DataFrame:
-    return pairs(windows).groupBy(KEYS).agg((F.covar_samp("x", "y") * per_year).alias("cov"))
+    return mirrored(pairs(windows).groupBy(KEYS).agg((F.covar_samp("x", "y") * per_year).alias("cov")))
 
 
 def cov_ewma(windows: DataFrame, window: int, per_year: int, half_life: float) -> DataFrame:
     """Normalised half-life weights, weighted means taken off, no bias correction."""
     w = decayed(F.col("k"), window - 1, half_life)
     s = lambda e: F.sum(w * e) / F.sum(w)
-    return pairs(windows).groupBy(KEYS).agg(((s(F.col("x") * F.col("y")) - s(F.col("x")) * s(F.col("y"))) * per_year).alias("cov"))
+    return mirrored(pairs(windows).groupBy(KEYS).agg(((s(F.col("x") * F.col("y")) - s(F.col("x")) * s(F.col("y"))) * per_year).alias("cov")))
 
 
 def ew_variance(windows: DataFrame, half_life: float, floor: float = FLOOR) -> DataFrame:
@@ -78,14 +87,14 @@ def cov_iewma(windows: DataFrame, window: int, per_year: int, vol_half_life: flo
     left = own.select("as_of", F.col("asset").alias("asset_i"), F.col("own").alias("ci"), F.col("var").alias("vi"))
     right = own.select("as_of", F.col("asset").alias("asset_j"), F.col("own").alias("cj"), F.col("var").alias("vj"))
     joined = c.join(left, ["as_of", "asset_i"]).join(right, ["as_of", "asset_j"])
-    return joined.select(*KEYS, (F.col("c") / F.sqrt(F.col("ci") * F.col("cj")) * F.sqrt(F.col("vi") * F.col("vj")) * per_year).alias("cov"))
+    return mirrored(joined.select(*KEYS, (F.col("c") / F.sqrt(F.col("ci") * F.col("cj")) * F.sqrt(F.col("vi") * F.col("vj")) * per_year).alias("cov")))
 
 
 def cov_ledoit_wolf(windows: DataFrame, window: int, per_year: int) -> DataFrame:
     """Shrinkage to the scaled identity; every term is a sum over rows or cells."""
     n_rows = float(window)
     centred = windows.withColumn("ret", F.col("ret") - F.avg("ret").over(Window.partitionBy("as_of", "asset")))
-    s = pairs(centred).groupBy(KEYS).agg((F.sum(F.col("x") * F.col("y")) / n_rows).alias("s"))
+    s = mirrored(pairs(centred).groupBy(KEYS).agg((F.sum(F.col("x") * F.col("y")) / n_rows).alias("s")))
     norms = s.groupBy("as_of").agg(F.sum(F.col("s") * F.col("s")).alias("f2"), F.sum(F.when(F.col("asset_i") == F.col("asset_j"), F.col("s"))).alias("tr"), F.count_distinct("asset_i").cast("double").alias("n"))
     fourth = centred.groupBy("as_of", "k").agg(F.sum(F.col("ret") * F.col("ret")).alias("q")).groupBy("as_of").agg(F.sum(F.col("q") * F.col("q")).alias("q4"))
     m = norms.join(fourth, "as_of").withColumn("mu", F.col("tr") / F.col("n"))
@@ -113,7 +122,7 @@ def quadratic_risk(weights: DataFrame, cov: DataFrame, keys: list[str]) -> DataF
 def correlation(windows: DataFrame) -> DataFrame:
     """Pearson, clipped to [-1, 1], and the distance sqrt((1 - rho) / 2)."""
     rho: Column = F.greatest(F.least(F.corr("x", "y"), F.lit(1.0)), F.lit(-1.0))
-    c = pairs(windows).groupBy(KEYS).agg(rho.alias("rho"))
+    c = mirrored(pairs(windows).groupBy(KEYS).agg(rho.alias("rho")))
     return c.withColumn("distance", F.when(F.col("asset_i") == F.col("asset_j"), 0.0).otherwise(F.sqrt(F.greatest((1 - F.col("rho")) / 2, F.lit(0.0)))))
 
 

@@ -30,3 +30,27 @@ def test_every_draw_has_as_many_positions_as_the_series(spark, sf_dir, size):
     assert {r.positions for r in matrix} == {weeks} and len(matrix) == 100 * strategies
     stationary = entry.queries()["INF01_stationary_indices"](spark, folder).collect()
     assert {r.positions for r in stationary} == {weeks} and len(stationary) == 50 * strategies
+
+
+def test_expanding_median_by_hand(spark):
+    """Unordered rows, a tie, an asset of one row, an empty panel."""
+    from datetime import date
+
+    from lodestrata.operators.regimes import expanding_median
+
+    rows = [(date(2020, 1, d), "A", r) for d, r in ((3, 0.1), (1, 0.3), (4, 0.5), (2, 0.1))] + [(date(2020, 1, 2), "B", 0.7)]
+    panel = spark.createDataFrame(rows, "date date, asset string, ret double")
+    got = {(r.asset, r.date.day): r.med for r in expanding_median(panel).collect()}
+    assert {k: v if v is None or v == v else None for k, v in got.items()} == {("A", 1): None, ("A", 2): 0.3, ("A", 3): 0.2, ("A", 4): 0.1, ("B", 2): None}
+    assert expanding_median(panel.limit(0)).count() == 0
+
+
+def test_pairs_are_mirrored(spark):
+    """Each pair of assets is met once and reported in both orders."""
+    from lodestrata.operators.estimators import mirrored, pairs
+
+    rows = spark.createDataFrame([("d", k, a, float(k + len(a))) for k in range(3) for a in ("A", "BB", "CCC")], "as_of string, k int, asset string, ret double")
+    half = pairs(rows)
+    assert half.count() == 3 * 6
+    cells = mirrored(half.groupBy("as_of", "asset_i", "asset_j").count())
+    assert cells.count() == 9 == cells.select("asset_i", "asset_j").distinct().count()
