@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import decontam, html_extract, langid, lblm, mixing, quality, secrets, simhash, token_counts, warc
+from lodestrata.llm import decontam, html_extract, langid, lblm, mixing, prefix_trie, quality, secrets, simhash, token_counts, warc
 from lodestrata.llm.common import table
 
 
@@ -53,6 +53,10 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("spans", F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), ","))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_secrets": op2_secrets,
@@ -64,9 +68,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_mixing": op9_mixing,
     "op10_decontam": op10_decontam,
+    "op12_prefix_trie": op12_prefix_trie,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_warc": warc.SQL,
     "op10_decontam": decontam.SQL,
+    "op12_prefix_trie": prefix_trie.SQL,
 }
