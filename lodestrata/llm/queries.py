@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import decontam, html_extract, langid, lblm, mixing, prefix_trie, quality, secrets, simhash, token_counts, warc
+from lodestrata.llm import decontam, html_extract, langid, lblm, mixing, prefix_trie, quality, secrets, simhash, spelling, token_counts, warc
 from lodestrata.llm.common import table
 
 
@@ -57,6 +57,10 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(table(spark, sf_dir, "conversations"))
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_secrets": op2_secrets,
@@ -69,10 +73,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mixing": op9_mixing,
     "op10_decontam": op10_decontam,
     "op12_prefix_trie": op12_prefix_trie,
+    "op13_spelling": op13_spelling,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_warc": warc.SQL,
     "op10_decontam": decontam.SQL,
     "op12_prefix_trie": prefix_trie.SQL,
+    "op13_spelling": spelling.SQL,
 }
