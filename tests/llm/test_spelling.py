@@ -56,7 +56,7 @@ def test_against_brute_force(spark, range_words):
             at, c = rng.randrange(len(stem) + 1), rng.choice("abceltÉç")
             kin = rng.choice([stem[:at] + c + stem[at:], stem[:at] + stem[at + 1 :], stem[:at] + c + stem[at + 1 :]])
             words += [kin] * rng.choice([4, 5, 6, 9, 30])
-    words += ["kalmor"] * 5 + ["kalmora"] * 40 + ["kalmorab"] * 250
+    words += ["kalmor"] * 6 + ["kalmora"] * 45 + ["kalmorab"] * 300
     words += ["q" * 3000 + "x"] * 6 + ["q" * 3000] * 40 + ["q" * 2999] * 300
     rng.shuffle(words)
     rows = [(i, rng.choice([" ", "-", "÷1 ", "×"]).join(words[i::60])) for i in range(60)] + [(None, " letter" * 20), (None, " letter" * 20), (70, None), (71, ""), (72, "1 2 3 ÷ ×")]
