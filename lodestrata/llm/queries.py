@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import decontam, html_extract, langid, lblm, mixing, prefix_trie, quality, secrets, simhash, spelling, token_counts, warc
+from lodestrata.llm import decontam, html_extract, langid, lblm, mixing, prefix_trie, quality, secrets, simhash, spelling, token_counts, url_filter, warc
 from lodestrata.llm.common import table
 
 
@@ -53,6 +53,10 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("spans", F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), ","))
 
 
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.verdicts(table(spark, sf_dir, "pages"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(table(spark, sf_dir, "conversations"))
 
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_mixing": op9_mixing,
     "op10_decontam": op10_decontam,
+    "op11_url_filter": op11_url_filter,
     "op12_prefix_trie": op12_prefix_trie,
     "op13_spelling": op13_spelling,
 }
@@ -79,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op1_warc": warc.SQL,
     "op10_decontam": decontam.SQL,
+    "op11_url_filter": url_filter.SQL,
     "op12_prefix_trie": prefix_trie.SQL,
     "op13_spelling": spelling.SQL,
 }
