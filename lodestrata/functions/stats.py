@@ -53,3 +53,12 @@ def normal_cdf(z: Column) -> Column:
         lambda acc, k: F.struct((acc["term"] * zz * zz / (2 * k + 1)).alias("term"), (acc["total"] + acc["term"] * zz * zz / (2 * k + 1)).alias("total")),
     )["total"]
     return 0.5 + zz * F.exp(-zz * zz / 2) / F.sqrt(F.lit(2 * 3.141592653589793)) * series
+
+
+def normal_quantile(p: Column, steps: int = 60) -> Column:
+    """The inverse of Phi for p from 1/2 to about 1 - 1e-12: Newton's steps from 0, which come
+    up to the root from below as Phi is concave there. Symmetric below 1/2."""
+    far = F.greatest(p, 1 - p)
+    density = lambda z: F.exp(-z * z / 2) / F.sqrt(F.lit(2 * 3.141592653589793))
+    z = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.lit(0.0), lambda z, _: z - (normal_cdf(z) - far) / density(z))
+    return F.when(p < 0.5, -z).otherwise(z)

@@ -12,7 +12,7 @@ from lodestrata.functions import stats
 from lodestrata.operators import asof, backtest, cleaning, estimators, kernels, portfolio, resampling
 from lodestrata.plans.base import CAP, PER_YEAR, VOL_HALF_LIFE, W, Tables, query
 from lodestrata.plans.config import Experiment, manifest, validated
-from lodestrata.plans.research import _BOOKS, _DRAWS, _EQ, _EXEC, _GROW, _INV, _MEANS, _PATHS, _SAMPLE, _SERIES, B_VOL, _books, _clusters, _execs, _inverse, _length, _means, _medoids, _paths, _series, draws_sql
+from lodestrata.plans.research import _BOOKS, _DRAWS, _EQ, _EXEC, _GROW, _INV, _MEANS, _PATHS, _SAMPLE, _SERIES, B_VOL, _books, _clusters, _execs, _inverse, _length, _means, _medoids, _paths, _SEEDS, _seeds, _series, draws, draws_sql
 from lodestrata.sources import panels
 
 
@@ -72,7 +72,7 @@ def _(t: Tables) -> DataFrame:
 
 def _stored_draws(t: Tables, series: DataFrame, rows: int) -> DataFrame:
     path = panels.work_dir(t.spark)
-    resampling.lcg_indices(t.spark, rows, 10, 100).write.option("compression", "zstd").parquet(path)
+    draws(t, rows).write.option("compression", "zstd").parquet(path)
     ix = t.spark.read.parquet(path)
     return ix.join(series, F.col("source") == F.col("pos")).groupBy("draw", "strategy").agg(F.count("*").alias("positions"), F.sum("ret").alias("total"))
 
@@ -268,11 +268,11 @@ for _method in ("ewma", "shrink_zero", "shrink_grand_mean"):
     _mean(_method)
 
 
-@query("EST08_iewma_diagonal_batch", draws_sql(f"SELECT {W} AS n") + f", dr AS (SELECT w.as_of, ix.draw, w.asset, ix.position AS k, w.ret FROM ix JOIN win w ON w.k = ix.source WHERE ix.position < {W} AND ix.draw < 20) FINAL SELECT as_of, draw, asset, 52 * pow({B_VOL!r}, 51) * sum(CASE WHEN k = 0 THEN greatest(ret * ret, 1e-14) ELSE {1 - B_VOL!r} * ret * ret / pow({B_VOL!r}, k) END) AS var FROM dr GROUP BY 1, 2, 3", "var", "draw", digits=10)
+@query("EST08_iewma_diagonal_batch", resampling.block_sql(_SEEDS, "as_of", W, 8, 20) + f", dr AS (SELECT w.as_of, ix.draw, w.asset, ix.position AS k, w.ret FROM ix JOIN win w ON w.as_of = ix.as_of AND w.k = ix.source) FINAL SELECT as_of, draw, asset, 52 * pow({B_VOL!r}, 51) * sum(CASE WHEN k = 0 THEN greatest(ret * ret, 1e-14) ELSE {1 - B_VOL!r} * ret * ret / pow({B_VOL!r}, k) END) AS var FROM dr GROUP BY 1, 2, 3", "var", "draw", digits=10)
 def _(t: Tables) -> DataFrame:
-    """Last EW variances of 20 resampled windows a date, each a weighted sum."""
-    ix = resampling.lcg_indices(t.spark, W, 10, 20)
-    drawn = ix.select("draw", "position", (F.col("source") % W).alias("k")).join(t.win.drop("date"), "k").select("as_of", "draw", "asset", F.col("position").alias("k"), "ret")
+    """Last EW variances of 20 block-bootstrapped windows a date, each a weighted sum."""
+    ix = resampling.block_draws(_seeds(t), W, 8, 20)
+    drawn = ix.withColumnRenamed("source", "k").join(t.win.drop("date"), ["as_of", "k"]).select("as_of", "draw", "asset", F.col("position").alias("k"), "ret")
     return estimators.last_ew_variance(drawn, ["as_of", "draw", "asset"], W, VOL_HALF_LIFE).withColumn("var", PER_YEAR * F.col("var"))
 
 
@@ -373,7 +373,7 @@ def _simulated(t: Tables) -> DataFrame:
 
 
 def _driven(t: Tables, series: DataFrame) -> DataFrame:
-    rep = t.once(resampling.replicate_statistics(series, resampling.lcg_indices(t.spark, _length(series), 10, 100), PER_YEAR, 3.0))
+    rep = t.once(resampling.replicate_statistics(series, draws(t, _length(series)), PER_YEAR, 3.0))
     parts = [resampling.paired_intervals(rep, c, 0.95).withColumn("comparator", F.lit(c)) for c in ("equal", "class_equal")]
     return parts[0].unionByName(parts[1])
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions import stats
-from lodestrata.operators import asof, cleaning, regimes
+from lodestrata.operators import asof, cleaning, regimes, resampling
 from lodestrata.plans.base import PER_YEAR, TREND, VOL, W, Tables, query
 from lodestrata.sources import panels
 
@@ -259,14 +259,15 @@ def _(t: Tables) -> DataFrame:
     return p.where("L1 IS NOT NULL AND L2 IS NOT NULL").select("date", F.col("L1").alias("l1"), F.col("L2").alias("l2"))
 
 
-@query("JN16_resample_join", "SELECT d AS draw, asset, avg(ret) AS m FROM (SELECT d, (7919 * (d + 1) + 104729 * (p // 4 + 1) * (p // 4 + 1)) % 52 AS s, p FROM range(0, 20) a(d), range(0, 52) b(p)) i JOIN (SELECT * FROM win WHERE as_of = (SELECT max(as_of) FROM win)) w ON w.k = (i.s + p % 4) % 52 GROUP BY 1, 2", "m", "draw")
-def _(t: Tables) -> DataFrame:
-    from lodestrata.operators.resampling import lcg_indices
+_SEEDS = "SELECT as_of, CAST(strftime(as_of, '%Y%m%d') AS BIGINT) AS seed FROM sched"
+
 
-    last = t.sched.agg(F.max("as_of").alias("as_of"))
-    w = t.win.join(F.broadcast(last), "as_of")  # last is one row
-    i = lcg_indices(t.spark, W, 4, 20)
-    return i.join(w, i.source == w.k).groupBy("draw", "asset").agg(F.avg("ret").alias("m"))
+@query("JN16_resample_join", resampling.block_sql(_SEEDS, "as_of", W, 4, 20) + " FINAL SELECT ix.as_of, draw, asset, avg(ret) AS m FROM ix JOIN win ON win.as_of = ix.as_of AND win.k = ix.source GROUP BY 1, 2, 3", "m", "draw")
+def _(t: Tables) -> DataFrame:
+    """Every decision's window, drawn again: rows by index."""
+    seeds = t.sched.select("as_of", F.date_format("as_of", "yyyyMMdd").cast("int").alias("seed"))
+    ix = resampling.block_draws(seeds, W, 4, 20).withColumnRenamed("source", "k")
+    return ix.join(t.win, ["as_of", "k"]).groupBy("as_of", "draw", "asset").agg(F.avg("ret").alias("m"))
 
 
 # Aggregates

@@ -85,23 +85,27 @@ def _(t: Tables) -> DataFrame:
     return kernels.repaired(estimators.cov_sample(t.win, PER_YEAR))
 
 
-@query("EST12_block_bootstrap_indices")
+_SEEDS = "SELECT as_of, 361 + CAST(strftime(as_of, '%Y%m%d') AS BIGINT) AS seed FROM sched"
+_BLOCKS = resampling.block_sql(_SEEDS, "as_of", W, 8, 50)
+
+
+def _seeds(t: Tables) -> DataFrame:
+    return t.sched.select("as_of", (361 + F.date_format("as_of", "yyyyMMdd").cast("int")).alias("seed"))
+
+
+@query("EST12_block_bootstrap_indices", _BLOCKS + " FINAL SELECT * FROM ix", ints="draw position source")
 def _(t: Tables) -> DataFrame:
-    seeds = t.sched.select("as_of", (361 + F.date_format("as_of", "yyyyMMdd").cast("int")).alias("seed"))
-    return resampling.index_table(seeds, W, 8, 50)
+    return resampling.block_draws(_seeds(t), W, 8, 50)
 
 
-@query("EST13_bootstrap_means")
+@query("EST13_bootstrap_means", _BLOCKS + " FINAL SELECT ix.as_of, draw, asset, avg(ret) * 52 AS mu FROM ix JOIN win ON win.as_of = ix.as_of AND win.k = ix.source GROUP BY 1, 2, 3", "mu", "draw")
 def _(t: Tables) -> DataFrame:
-    seeds = t.sched.select("as_of", (361 + F.date_format("as_of", "yyyyMMdd").cast("int")).alias("seed"))
-    i = resampling.index_table(seeds, W, 8, 50)
-    drawn = i.withColumnRenamed("source", "k").join(t.win, ["as_of", "k"])
+    drawn = resampling.block_draws(_seeds(t), W, 8, 50).withColumnRenamed("source", "k").join(t.win, ["as_of", "k"])
     return drawn.groupBy("as_of", "draw", "asset").agg((F.avg("ret") * PER_YEAR).alias("mu"))
 
 
 def _uncertainty(t: Tables) -> DataFrame:
-    seeds = t.sched.select("as_of", (361 + F.date_format("as_of", "yyyyMMdd").cast("int")).alias("seed"))
-    return t.once(resampling.uncertainty(t.win, seeds, W, PER_YEAR, 8, 200, 0.95, VOL_HALF_LIFE))
+    return t.once(resampling.uncertainty(t.win, _seeds(t), W, PER_YEAR, 8, 200, 0.95, VOL_HALF_LIFE))
 
 
 @query("EST14_uncertainty_calibration")
@@ -111,7 +115,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("EST15_date_seed", "SELECT as_of, 361 + CAST(strftime(as_of, '%Y%m%d') AS BIGINT) AS seed FROM sched", ints="seed")
 def _(t: Tables) -> DataFrame:
-    return t.sched.select("as_of", (361 + F.date_format("as_of", "yyyyMMdd").cast("int")).alias("seed"))
+    return _seeds(t)
 
 
 def _evaluation(t: Tables) -> DataFrame:
@@ -342,9 +346,17 @@ def _(t: Tables) -> DataFrame:
 _SERIES = ", ser AS (SELECT asset AS strategy, pos, ret FROM panel JOIN cal ON cal.date = panel.date)"
 
 
+#: Resampling of whole series: draws, expected run, seed.
+DRAWS, RUN, SEED = 100, 10, 36129
+
+
 def draws_sql(rows: str) -> str:
-    """ix: draw, position, source; rows is a query of one number n, how many rows are drawn from."""
-    return f", ix AS (SELECT d AS draw, p AS position, ((7919 * (d + 1) + 104729 * (p // 10 + 1) * (p // 10 + 1)) % n + p % 10) % n AS source FROM range(0, 100) a(d), (SELECT n, unnest(range(0, n)) AS p FROM ({rows})))"
+    """ix: draw, position, source, run; rows is a query of one number n, how many rows are drawn from."""
+    return resampling.stationary_sql(rows, RUN, DRAWS, SEED)
+
+
+def draws(t: Tables, rows: int) -> DataFrame:
+    return resampling.stationary_draws(t.spark, rows, RUN, DRAWS, SEED)
 
 
 _DRAWS = draws_sql("SELECT max(pos) + 1 AS n FROM ser")
@@ -362,15 +374,20 @@ def _length(series: DataFrame) -> int:
 
 def _rep(t: Tables) -> DataFrame:
     series = _series(t)
-    return t.once(resampling.replicate_statistics(series, resampling.lcg_indices(t.spark, _length(series), 10, 100), PER_YEAR, 3.0))
+    return t.once(resampling.replicate_statistics(series, draws(t, _length(series)), PER_YEAR, 3.0))
 
 
-@query("INF01_stationary_indices")
+@query("INF01_stationary_indices", _SERIES + _DRAWS + " FINAL SELECT strategy, draw, count(*) AS positions, count(DISTINCT run) AS runs, avg(ret) AS mean FROM ix JOIN ser ON ser.pos = ix.source GROUP BY 1, 2", "mean", "draw positions runs")
 def _(t: Tables) -> DataFrame:
-    last = t.sched.agg(F.max("as_of").alias("as_of")).withColumn("seed", F.lit(36129))
     series = _series(t)
-    i = resampling.index_table(last, _length(series), 10, 50, "stationary")
-    return i.join(series, F.col("source") == F.col("pos")).groupBy("strategy", "draw").agg(F.count("*").alias("positions"), F.avg("ret").alias("mean"))
+    met = draws(t, _length(series)).join(series, F.col("source") == F.col("pos"))
+    return met.groupBy("strategy", "draw").agg(F.count("*").alias("positions"), F.sum((F.col("position") == F.col("run")).cast("int")).alias("runs"), F.avg("ret").alias("mean"))
+
+
+@query("INF01_index_matrix", _SERIES + _DRAWS + " FINAL SELECT draw, position, source, run FROM ix", ints="draw position source run")
+def _(t: Tables) -> DataFrame:
+    """The matrix itself, all draws of the whole series."""
+    return draws(t, _length(_series(t)))
 
 
 @query("INF02_replicates", _REP + " FINAL SELECT * FROM rep", "mean volatility sharpe ce", "draw")
@@ -388,14 +405,37 @@ def _(t: Tables) -> DataFrame:
     return resampling.paired_intervals(_rep(t), "L1", 0.95)
 
 
-@query("INF05_deflated_sharpe", f", d0 AS (SELECT asset AS strategy, avg(ret) / stddev_samp(ret) AS sr, skewness(ret) AS skew, kurtosis(ret) + 3 AS kurt, count(*) AS n FROM panel GROUP BY 1), d1 AS (SELECT *, stddev_samp(sr * sqrt(52)) OVER () * {resampling.expected_max_factor(7)!r} AS expected_max FROM d0) FINAL SELECT strategy, sr * sqrt(52) AS sharpe, skew, kurt, expected_max, (sr - expected_max / sqrt(52)) * sqrt(n - 1) / sqrt(greatest(1 - skew * sr + (kurt - 1) / 4 * sr * sr, 1e-16)) AS z FROM d1", "sharpe skew kurt expected_max z", digits=6)
+def cdf_sql(z: str) -> str:
+    """Phi as a DuckDB expression: its series by gamma functions."""
+    return f"(0.5 + sign({z}) * exp(-({z}) * ({z}) / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 120), lambda j: exp((2 * j + 1) * ln(greatest(abs({z}), 1e-300)) - (j + 1) * ln(2) - lgamma(j + 1.5) + 0.5 * ln(pi())))))"
+
+
+def quantile_sql(p: str) -> str:
+    """Phi's inverse above 1/2 as a DuckDB expression, by Newton's steps."""
+    return f"list_reduce(list_transform(range(0, 60), lambda i: CAST(0 AS DOUBLE)), lambda q, i: q - ({cdf_sql('q')} - ({p})) / (exp(-q * q / 2) / sqrt(2 * pi())), CAST(0 AS DOUBLE))"
+
+
+def deflated_sql(series: str) -> str:
+    """dsr: the deflated Sharpe ratios of series, a query of strategy, ret."""
+    g, root = resampling.EULER_GAMMA, "sqrt(52)"
+    return f""", d0 AS (SELECT strategy, avg(ret) / stddev_samp(ret) AS sr, skewness(ret) AS skew, kurtosis(ret) + 3 AS kurt, count(*) AS n FROM ({series}) GROUP BY 1),
+d1 AS (SELECT count(*) AS trials, stddev_samp(sr * {root}) AS spread FROM d0),
+d2 AS (SELECT trials, spread * ({1 - g!r} * {quantile_sql("1 - 1 / trials")} + {g!r} * {quantile_sql("1 - 1 / (trials * exp(1))")}) AS expected_max FROM d1),
+d3 AS (SELECT strategy, sr * {root} AS sharpe, skew, kurt, trials, expected_max, (sr - expected_max / {root}) * sqrt(n - 1) / sqrt(greatest(1 - skew * sr + (kurt - 1) / 4 * sr * sr, 1e-16)) AS z FROM d0, d2),
+dsr AS (SELECT *, {cdf_sql("least(greatest(z, -8.0), 8.0)")} AS probability FROM d3)"""
+
+
+_DEFLATED = deflated_sql("SELECT asset AS strategy, ret FROM panel")
+
+
+@query("INF05_deflated_sharpe", _DEFLATED + " FINAL SELECT * EXCLUDE (probability) FROM dsr", "sharpe skew kurt expected_max z", "trials", digits=6)
 def _(t: Tables) -> DataFrame:
-    return resampling.deflated_sharpe(t.panel.select(F.col("asset").alias("strategy"), "ret"), PER_YEAR, 7).drop("probability")
+    return resampling.deflated_sharpe(t.panel.select(F.col("asset").alias("strategy"), "ret"), PER_YEAR).drop("probability")
 
 
-@query("INF05_deflated_sharpe_probability")
+@query("INF05_deflated_sharpe_probability", _DEFLATED + " FINAL SELECT * FROM dsr", "sharpe skew kurt expected_max z probability", "trials", digits=6)
 def _(t: Tables) -> DataFrame:
-    return resampling.deflated_sharpe(t.panel.select(F.col("asset").alias("strategy"), "ret"), PER_YEAR, 7)
+    return resampling.deflated_sharpe(t.panel.select(F.col("asset").alias("strategy"), "ret"), PER_YEAR)
 
 
 # Robustness and clusters

@@ -204,19 +204,38 @@ def test_risk_parity_and_linkage():
     assert kernels.average_linkage(d, 0.2).tolist() == [0, 0, 1] and kernels.average_linkage(d, 0.86).tolist() == [0, 0, 0]
 
 
-def test_bootstrap_indices_follow_the_generator():
-    got = resampling.block_indices(7, 10, 4, 3)
-    starts = np.random.default_rng(7).integers(0, 10, size=(3, 3))
-    assert got.shape == (3, 10) and (got[:, 0] == starts[:, 0]).all() and (got[:, 4] == starts[:, 1]).all()
-    s = resampling.stationary_indices(7, 50, 10, 4)
-    assert (resampling.stationary_indices(7, 50, 10, 4) == s).all() and 0.7 < ((s[:, 1:] - s[:, :-1]) % 50 == 1).mean() < 1
+def mixed(seed: int, *counters: int) -> int:
+    h = seed % 2**32
+    for c in counters:
+        h ^= c
+        for factor in resampling.FACTORS:
+            h = (h ^ (h >> 16)) * factor % 2**32
+    return h
+
+
+def test_numbers_are_even_and_do_not_repeat(spark):
+    df = spark.range(20_000).withColumn("draw", F.col("id") % 10).withColumn("u", resampling.number(7, "draw", "id", F.lit(1)))
+    rows = df.collect()
+    assert all(r.u == mixed(7, r.draw, r.id, 1) for r in rows[::97])
+    u = np.array([r.u for r in rows]) / 2**32
+    assert len(set(u)) > 19_900 and abs(u.mean() - 0.5) < 0.01 and abs(u.var() - 1 / 12) < 0.005
+    assert np.histogram(u, 20, (0, 1))[0].min() > 880 and abs(np.corrcoef(u[1:], u[:-1])[0, 1]) < 0.03
+
+
+def test_block_draws_go_on_from_their_starts(spark):
+    keys = spark.createDataFrame([("a", 5), ("b", 6)], "key string, seed int")
+    got = {(r.key, r.draw, r.position): r.source for r in resampling.block_draws(keys, 10, 4, 3).collect()}
+    assert len(got) == 2 * 3 * 10
+    for key, seed in (("a", 5), ("b", 6)):
+        for d in range(3):
+            assert [got[key, d, p] for p in range(10)] == [(mixed(seed, d, p // 4, resampling.BLOCK) + p % 4) % 10 for p in range(10)]
 
 
 def test_paired_difference_is_constant(spark):
     rng = np.random.default_rng(0)
     r = rng.normal(0, 0.01, 60)
     rows = [(n, i, float(v + a)) for n, a in (("base", 0), ("up", 0.001)) for i, v in enumerate(r)]
-    st = resampling.replicate_statistics(spark.createDataFrame(rows, "strategy string, pos int, ret double"), resampling.lcg_indices(spark, 60, 5, 40), 1, 0.0)
+    st = resampling.replicate_statistics(spark.createDataFrame(rows, "strategy string, pos int, ret double"), resampling.stationary_draws(spark, 60, 5, 40, 3), 1, 0.0)
     diff = st.groupBy("draw").agg((F.max("mean") - F.min("mean")).alias("d")).agg(F.min("d"), F.max("d")).first()
     assert diff[0] == pytest.approx(0.001) and diff[1] == pytest.approx(0.001)
 
@@ -274,12 +293,30 @@ def test_a_bad_rate_fails_the_costs(spark):
         backtest.cost_model("square", 1.0)
 
 
-def test_stationary_draws_position_by_position():
+def test_stationary_draws_position_by_position(spark):
     rows, expected, draws = 30, 5, 6
-    rng, want = np.random.default_rng(11), []
-    for position in range(rows):
-        if position:
-            again = rng.random(draws) < 1 / expected
-        anew = rng.integers(0, rows, size=draws)
-        want.append([int(anew[d]) if not position or again[d] else (want[-1][d] + 1) % rows for d in range(draws)])
-    assert resampling.stationary_indices(11, rows, expected, draws).T.tolist() == want
+    got = {(r.draw, r.position): (r.source, r.run) for r in resampling.stationary_draws(spark, rows, expected, draws, 11).collect()}
+    assert len(got) == rows * draws
+    for d in range(draws):
+        for p in range(rows):
+            again = p == 0 or mixed(11, d, p, resampling.CHANCE) < 2**32 // expected
+            want = (mixed(11, d, p, resampling.FRESH) % rows, p) if again else ((got[d, p - 1][0] + 1) % rows, got[d, p - 1][1])
+            assert got[d, p] == want
+
+
+def test_runs_have_the_expected_length_and_cover_all_rows(spark):
+    one = resampling.stationary_draws(spark, 2000, 10, 50, 36129)
+    r = one.agg(F.count("*").alias("n"), F.sum((F.col("run") == F.col("position")).cast("int")).alias("runs"), F.count_distinct("source").alias("sources")).first()
+    assert r.n == 100_000 and 9.6 < r.n / r.runs < 10.4 and r.sources == 2000
+    assert resampling.stationary_draws(spark, 1, 10, 3, 1).count() == 3
+
+
+def test_normal_quantile_and_expected_maximum(spark):
+    from statistics import NormalDist
+
+    ps = [0.001, 0.3, 0.5, 0.8, 0.99, 1 - 1e-9]
+    got = [r.z for r in spark.createDataFrame([(p,) for p in ps], "p double").select(stats.normal_quantile(F.col("p")).alias("z")).collect()]
+    assert got == pytest.approx([NormalDist().inv_cdf(p) for p in ps], abs=1e-6)
+    rows = spark.createDataFrame([(1,), (27,)], "n int").select(resampling.expected_max(F.col("n")).alias("m")).collect()
+    g, inv = 0.5772156649015329, NormalDist().inv_cdf
+    assert rows[0].m is None and rows[1].m == pytest.approx((1 - g) * inv(1 - 1 / 27) + g * inv(1 - 1 / (27 * math.e)))
