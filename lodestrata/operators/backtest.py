@@ -62,9 +62,13 @@ def asset_costs(execs: DataFrame, rates: DataFrame) -> DataFrame:
     """strategy, as_of, cost: each asset's own rate on what is traded. rates: asset, bps;
     a trade without a valid rate fails the query."""
     met = execs.join(rates, "asset", "left")
+    return met.groupBy("strategy", "as_of").agg(F.sum(F.abs(F.col("weight") - F.col("drifted")) * _rate()).alias("cost"))
+
+
+def _rate() -> Column:
+    """bps of asset as a share; a rate that is missing or refused fails the query."""
     fault = rate_fault(F.col("bps"))
-    rate = F.when(fault.isNull(), F.col("bps") / 10000.0).otherwise(F.raise_error(F.concat(F.lit("cost rate of "), F.col("asset"), F.lit(": "), fault)).cast("double"))
-    return met.groupBy("strategy", "as_of").agg(F.sum(F.abs(F.col("weight") - F.col("drifted")) * rate).alias("cost"))
+    return F.when(fault.isNull(), F.col("bps") / 10000.0).otherwise(F.raise_error(F.concat(F.lit("cost rate of "), F.col("asset"), F.lit(": "), fault)).cast("double"))
 
 
 def invariants(values: DataFrame, keys: list[str], cash: Column) -> DataFrame:
@@ -114,6 +118,13 @@ def cost_factor(weights: Column, drifted: Column, rate: Column, steps: int = STE
     return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.lit(1.0), lambda phi, _: 1 - rate * gaps(phi))
 
 
+def asset_cost_factor(trades: Column, steps: int = STEPS) -> Column:
+    """trades: an array of weight, drifted and rate. The factor at which what is left pays for
+    each asset's trade at its own rate; a contraction by the largest rate."""
+    paid = lambda phi: F.aggregate(trades, F.lit(0.0), lambda a, x: a + x["rate"] * F.abs(x["weight"] * phi - x["drifted"]))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.lit(1.0), lambda phi, _: 1 - paid(phi))
+
+
 def asset_growth(panel: DataFrame, schedule: DataFrame) -> DataFrame:
     """as_of, asset, date, growth since the close of as_of."""
     run = Window.partitionBy("as_of", "asset").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
@@ -149,30 +160,52 @@ def cost_factors(execs: DataFrame, costs: DataFrame) -> DataFrame:
     return both.select("strategy", "as_of", "cost_bps", cost_factor(F.col("x.weight"), F.col("x.drifted"), rate).alias("phi"), "gross_turnover")
 
 
+def asset_cost_factors(execs: DataFrame, rates: DataFrame) -> DataFrame:
+    """strategy, as_of, scenario, phi, cost of the trade as a share of the wealth before it.
+    rates: scenario, asset, bps for every scenario and asset that is traded."""
+    scenarios = rates.groupBy("asset").agg(F.collect_list(F.struct("scenario", "bps")).alias("own"))  # a few scenarios
+    met = execs.join(scenarios, "asset", "left").select("strategy", "as_of", "asset", "weight", "drifted", F.explode_outer("own").alias("own"))
+    met = met.withColumns({"scenario": F.col("own.scenario"), "bps": F.col("own.bps")}).withColumn("rate", _rate())
+    packed = met.groupBy("strategy", "as_of", "scenario").agg(F.array_sort(F.collect_list(F.struct("asset", "weight", "drifted", "rate"))).alias("x"))
+    return packed.select("strategy", "as_of", "scenario", asset_cost_factor(F.col("x")).alias("phi"))
+
+
 def wealth(weights: DataFrame, panel: DataFrame, schedule: DataFrame, costs: DataFrame, once=lambda df: df) -> DataFrame:
     """Daily paths: strategy, cost_bps, date, gross_wealth, net_wealth, gross_return,
     net_return, transaction_cost (share of net wealth before the trade). once may write
     a frame that is read again."""
     growths = once(asset_growth(panel, schedule))
-    books = once(book_growth(weights, growths))
     phis = once(cost_factors(executions(weights, growths, schedule), costs))
+    return paths(once(book_growth(weights, growths)), phis, "cost_bps")
+
+
+def asset_rate_wealth(weights: DataFrame, panel: DataFrame, schedule: DataFrame, rates: DataFrame, once=lambda df: df) -> DataFrame:
+    """As ``wealth``, by scenario in place of cost_bps: every asset trades at its own rate.
+    rates: scenario, asset, bps."""
+    growths = once(asset_growth(panel, schedule))
+    phis = once(asset_cost_factors(executions(weights, growths, schedule), rates))
+    return paths(once(book_growth(weights, growths)), phis, "scenario")
+
+
+def paths(books: DataFrame, phis: DataFrame, by: str) -> DataFrame:
+    """Daily paths by strategy and the column ``by`` of the cost factors."""
     ends = books.groupBy("strategy", "as_of").agg(F.max_by("growth", "date").alias("g"))
-    order = Window.partitionBy("strategy", "cost_bps").orderBy("as_of")
+    order = Window.partitionBy("strategy", by).orderBy("as_of")
     prior = order.rowsBetween(Window.unboundedPreceding, -1)
     levels = phis.join(ends, ["strategy", "as_of"]).withColumns({"gross0": F.coalesce(F.product("g").over(prior), F.lit(1.0)), "net0": F.coalesce(F.product(F.col("g")).over(prior), F.lit(1.0)) * F.product("phi").over(order.rowsBetween(Window.unboundedPreceding, 0))})
-    held = books.join(levels.select("strategy", "as_of", "cost_bps", "gross0", "net0"), ["strategy", "as_of"])
-    daily = held.select("strategy", "cost_bps", "date", (F.col("gross0") * F.col("growth")).alias("gross_wealth"), (F.col("net0") * F.col("growth")).alias("net_wealth"))
+    held = books.join(levels.select("strategy", "as_of", by, "gross0", "net0"), ["strategy", "as_of"])
+    daily = held.select("strategy", by, "date", (F.col("gross0") * F.col("growth")).alias("gross_wealth"), (F.col("net0") * F.col("growth")).alias("net_wealth"))
     # the first decision's own day: the book is formed from cash at its close
-    start = levels.groupBy("strategy", "cost_bps").agg(F.min("as_of").alias("date"), F.min_by("gross0", "as_of").alias("gross_wealth"), F.min_by("net0", "as_of").alias("net_wealth"))
+    start = levels.groupBy("strategy", by).agg(F.min("as_of").alias("date"), F.min_by("gross0", "as_of").alias("gross_wealth"), F.min_by("net0", "as_of").alias("net_wealth"))
     path = daily.unionByName(start)
-    trades = levels.select("strategy", "cost_bps", F.col("as_of").alias("date"), (1 - F.col("phi")).alias("transaction_cost"))
+    trades = levels.select("strategy", by, F.col("as_of").alias("date"), (1 - F.col("phi")).alias("transaction_cost"))
     # at a decision's close the recorded wealth is after the trade
-    path = path.join(trades, ["strategy", "cost_bps", "date"], "left").withColumn("transaction_cost", F.coalesce("transaction_cost", F.lit(0.0)))
-    first = path.date == F.min("date").over(Window.partitionBy("strategy", "cost_bps"))
+    path = path.join(trades, ["strategy", by, "date"], "left").withColumn("transaction_cost", F.coalesce("transaction_cost", F.lit(0.0)))
+    first = path.date == F.min("date").over(Window.partitionBy("strategy", by))
     path = path.withColumn("net_wealth", F.when(first, F.col("net_wealth")).otherwise(F.col("net_wealth") * (1 - F.col("transaction_cost"))))
-    by_day = Window.partitionBy("strategy", "cost_bps").orderBy("date")
+    by_day = Window.partitionBy("strategy", by).orderBy("date")
     change = lambda c: F.col(c) / F.coalesce(F.lag(c).over(by_day), F.lit(1.0)) - 1
-    return path.select("strategy", "cost_bps", "date", "gross_wealth", "net_wealth", change("gross_wealth").alias("gross_return"), change("net_wealth").alias("net_return"), "transaction_cost")
+    return path.select("strategy", by, "date", "gross_wealth", "net_wealth", change("gross_wealth").alias("gross_return"), change("net_wealth").alias("net_return"), "transaction_cost")
 
 
 def metrics(paths: DataFrame, per_year: int) -> DataFrame:

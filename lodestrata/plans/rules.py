@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodestrata.functions import stats
 from lodestrata.operators import backtest, estimators, kernels, portfolio, resampling
 from lodestrata.plans.base import CAP, MEAN_HALF_LIFE, ORACLE_SQL, PER_YEAR, VOL_HALF_LIFE, W, Tables, query
-from lodestrata.plans.research import _BOOKS, _EQ, _EXEC, _GROW, _MEANS, _REP, _SAMPLE, _books, _costs, _execs, _iewma, _means, _rep, _scenarios
+from lodestrata.plans.research import _BOOKS, _EQ, _EXEC, _GROW, _MEANS, _PATHS, _REP, _SAMPLE, _STEPS, _books, _costs, _execs, _iewma, _means, _rep, _scenarios
 
 # Costs and targets
 
@@ -21,6 +21,29 @@ def _(t: Tables) -> DataFrame:
     return backtest.asset_costs(_execs(t), rates)
 
 
+_RATED = ", rt AS (SELECT asset, scenario, CASE WHEN scenario = 0 THEN 5.0 ELSE CAST(substr(asset, 2) AS INTEGER) * 2.0 END / 10000.0 AS rate FROM cls, (VALUES (0), (1)) s(scenario))"
+_RATE_STEPS = _RATED + ", ph0 AS (SELECT DISTINCT strategy, as_of, CAST(scenario AS DOUBLE) AS cost_bps, 1.0 AS phi FROM ex JOIN rt ON rt.asset = ex.asset)" + "".join(f", ph{i} AS (SELECT p.strategy, p.as_of, p.cost_bps, 1 - sum(rate * abs(weight * phi - drifted)) AS phi FROM ph{i - 1} p JOIN ex ON ex.strategy = p.strategy AND ex.as_of = p.as_of JOIN rt ON rt.asset = ex.asset AND rt.scenario = p.cost_bps GROUP BY p.strategy, p.as_of, p.cost_bps)" for i in range(1, 9))
+_NAMED = "CASE WHEN cost_bps = 0 THEN 'even' ELSE 'by_asset' END AS scenario"
+
+
+def _rates(t: Tables) -> DataFrame:
+    """Two scenarios: 5 basis points for all assets, and two times the number in the name."""
+    own = {"even": F.lit(5.0), "by_asset": F.substring("asset", 2, 9).cast("int") * 2.0}
+    return reduce(DataFrame.unionByName, [t.cls.select(F.lit(n).alias("scenario"), "asset", c.alias("bps")) for n, c in own.items()])
+
+
+@query("BT06_asset_rate_factor", _BOOKS + _GROW + _EXEC + _RATE_STEPS + f" FINAL SELECT strategy, as_of, {_NAMED}, phi FROM ph8", "phi", digits=10)
+def _(t: Tables) -> DataFrame:
+    """Wealth after over wealth before a decision where every asset has a rate of its own."""
+    return backtest.asset_cost_factors(_execs(t), _rates(t))
+
+
+@query("BT11_asset_rate_simulation", _BOOKS + _PATHS.replace(_STEPS, _RATE_STEPS) + f" FINAL SELECT strategy, {_NAMED}, date, gross_wealth, net_wealth, gross_return, net_return, transaction_cost FROM path", "gross_wealth net_wealth gross_return net_return transaction_cost")
+def _(t: Tables) -> DataFrame:
+    """Net paths with a rate for every asset."""
+    return backtest.asset_rate_wealth(_books(t), t.panel, t.sched, _rates(t), t.once)
+
+
 @query("BT03_refused_rates", ", r AS (SELECT asset, CASE WHEN asset = 'L1' THEN -1.0 WHEN asset = 'L2' THEN 'NaN'::DOUBLE WHEN asset = 'L3' THEN 10000.0 WHEN asset = 'L4' THEN NULL ELSE 5.0 END AS bps FROM cls) FINAL SELECT asset, CASE WHEN bps IS NULL OR isnan(bps) OR isinf(bps) THEN 'NOT_FINITE' WHEN bps < 0 THEN 'NEGATIVE' WHEN bps >= 10000 THEN 'ALL_OR_MORE' END AS fault FROM r")
 def _(t: Tables) -> DataFrame:
     bps = F.when(F.col("asset") == "L1", -1.0).when(F.col("asset") == "L2", float("nan")).when(F.col("asset") == "L3", 10000.0).when(F.col("asset") == "L4", F.lit(None)).otherwise(5.0)

@@ -320,3 +320,20 @@ def test_normal_quantile_and_expected_maximum(spark):
     rows = spark.createDataFrame([(1,), (27,)], "n int").select(resampling.expected_max(F.col("n")).alias("m")).collect()
     g, inv = 0.5772156649015329, NormalDist().inv_cdf
     assert rows[0].m is None and rows[1].m == pytest.approx((1 - g) * inv(1 - 1 / 27) + g * inv(1 - 1 / (27 * math.e)))
+
+
+def test_equal_rates_give_the_path_of_one_rate(spark):
+    rng = np.random.default_rng(2)
+    p = panel(spark, {a: rng.normal(0.001, 0.02, 30) for a in "ABC"})
+    s = schedule(spark, [5, 15])
+    books = spark.createDataFrame([("s", D[i], a, w) for i, ws in ((5, (0.2, 0.3, 0.5)), (15, (0.6, 0.3, 0.1))) for a, w in zip("ABC", ws, strict=True)], "strategy string, as_of date, asset string, weight double")
+    rates = spark.createDataFrame([(n, a, b) for n, bs in (("even", (25.0,) * 3), ("own", (0.0, 10.0, 300.0))) for a, b in zip("ABC", bs, strict=True)], "scenario string, asset string, bps double")
+    own = backtest.asset_rate_wealth(books, p, s, rates).cache()
+    one = backtest.wealth(books, p, s, spark.createDataFrame([(25.0,)], "cost_bps double"))
+    a, b = ([(r.date, r.net_wealth) for r in x.orderBy("date").collect()] for x in (own.where("scenario = 'even'"), one))
+    assert len(a) == len(b) and [x[0] for x in a] == [x[0] for x in b] and [x[1] for x in a] == pytest.approx([x[1] for x in b], abs=1e-14)
+    first = own.where("scenario = 'own'").orderBy("date").first()
+    phi = 1 - first.transaction_cost
+    assert phi + phi * (0.3 * 0.001 + 0.5 * 0.03) == pytest.approx(1)
+    with pytest.raises(Exception, match="cost rate of C"):
+        backtest.asset_rate_wealth(books, p, s, rates.where("asset != 'C'")).collect()
