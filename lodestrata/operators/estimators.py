@@ -1,17 +1,19 @@
 """Means and covariances of training windows (as_of, k, asset, ret), as SQL plans.
 
-Pairs of assets come from a self-join on (as_of, k) in one order only, N (N + 1) / 2 rows a
-date, aggregated where they arise; the other order is a mirror of the finished cells. Recursions are written as weighted running sums, so no order-dependent state
-crosses rows.
+Pairs of assets are cells of blocked products (``gram``) in one order, the other is their
+mirror. Recursions are written as weighted running sums, so no order-dependent state crosses
+rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions.stats import decayed, half_life_decay
+from lodestrata.operators.gram import KEYS, cells, covariance, mirrored, pearson
 
+#: Where scaled returns are clipped, the least variance.
 CLIP, FLOOR = 4.2, 1e-14
 
 
@@ -24,34 +26,15 @@ def means(windows: DataFrame, window: int, per_year: int, half_life: float, shri
     return full.unpivot(["as_of", "asset"], ["sample", "ewma", "shrink_zero", "shrink_grand_mean"], "method", "mu")
 
 
-def pairs(rows: DataFrame, value: str = "ret") -> DataFrame:
-    """as_of, k, asset_i, asset_j, x, y, for asset_i <= asset_j."""
-    a = rows.select("as_of", "k", F.col("asset").alias("asset_i"), F.col(value).alias("x"))
-    b = rows.select("as_of", "k", F.col("asset").alias("asset_j"), F.col(value).alias("y"))
-    return a.join(b, ["as_of", "k"]).where("asset_i <= asset_j")
-
-
-KEYS = ["as_of", "asset_i", "asset_j"]
-
-
-def mirrored(cells: DataFrame) -> DataFrame:
-    """Cells of asset_i <= asset_j in both orders."""
-    own = F.struct("asset_i", "asset_j")
-    other = F.struct(F.col("asset_j").alias("asset_i"), F.col("asset_i").alias("asset_j"))
-    orders = F.when(F.col("asset_i") == F.col("asset_j"), F.array(own)).otherwise(F.array(own, other))
-    rest = [c for c in cells.columns if c not in KEYS]
-    return cells.select("as_of", F.explode(orders).alias("pair"), *rest).select("as_of", "pair.asset_i", "pair.asset_j", *rest)
-
-
-def cov_sample(windows: DataFrame, per_year: int) -> DataFrame:
-    return mirrored(pairs(windows).groupBy(KEYS).agg((F.covar_samp("x", "y") * per_year).alias("cov")))
+def cov_sample(windows: DataFrame, per_year: int, window: int | None = None) -> DataFrame:
+    return mirrored(cells(windows, places=window).select(*KEYS, (covariance() * per_year).alias("cov")))
 
 
 def cov_ewma(windows: DataFrame, window: int, per_year: int, half_life: float) -> DataFrame:
     """Normalised half-life weights, weighted means taken off, no bias correction."""
-    w = decayed(F.col("k"), window - 1, half_life)
-    s = lambda e: F.sum(w * e) / F.sum(w)
-    return mirrored(pairs(windows).groupBy(KEYS).agg(((s(F.col("x") * F.col("y")) - s(F.col("x")) * s(F.col("y"))) * per_year).alias("cov")))
+    s = lambda c: F.col(c) / F.col("w")
+    met = cells(windows, decay=(half_life_decay(half_life), window - 1), places=window)
+    return mirrored(met.select(*KEYS, ((s("xy") - s("x") * s("y")) * per_year).alias("cov")))
 
 
 def ew_variance(windows: DataFrame, half_life: float, floor: float = FLOOR) -> DataFrame:
@@ -78,10 +61,9 @@ def cov_iewma(windows: DataFrame, window: int, per_year: int, vol_half_life: flo
     order = Window.partitionBy("as_of", "asset").orderBy("k")
     z = F.col("ret") / F.sqrt(F.lag("var").over(order))
     scaled = v.withColumn("z", F.greatest(F.least(z, F.lit(clip)), F.lit(-clip))).where("k > 0")
-    b = F.lit(half_life_decay(cor_half_life))
-    w = (1 - b) * F.pow(b, F.lit(window - 1) - F.col("k"))
-    start = F.when(F.col("asset_i") == F.col("asset_j"), F.pow(b, F.lit(window - 1))).otherwise(0.0)
-    c = pairs(scaled, "z").groupBy(KEYS).agg(F.sum(w * F.col("x") * F.col("y")).alias("s")).withColumn("c", F.col("s") + start)
+    b = half_life_decay(cor_half_life)
+    start = F.when(F.col("asset_i") == F.col("asset_j"), b ** (window - 1)).otherwise(0.0)
+    c = cells(scaled, "z", (b, window - 1), window).select(*KEYS, ((1 - b) * F.col("xy") + start).alias("c"))
     last = v.where(F.col("k") == window - 1).select("as_of", "asset", "var")
     own = c.where("asset_i = asset_j").select("as_of", F.col("asset_i").alias("asset"), F.col("c").alias("own")).join(last, ["as_of", "asset"])
     left = own.select("as_of", F.col("asset").alias("asset_i"), F.col("own").alias("ci"), F.col("var").alias("vi"))
@@ -94,7 +76,7 @@ def cov_ledoit_wolf(windows: DataFrame, window: int, per_year: int) -> DataFrame
     """Shrinkage to the scaled identity; every term is a sum over rows or cells."""
     n_rows = float(window)
     centred = windows.withColumn("ret", F.col("ret") - F.avg("ret").over(Window.partitionBy("as_of", "asset")))
-    s = mirrored(pairs(centred).groupBy(KEYS).agg((F.sum(F.col("x") * F.col("y")) / n_rows).alias("s")))
+    s = mirrored(cells(centred, places=window).select(*KEYS, (F.col("xy") / n_rows).alias("s")))
     norms = s.groupBy("as_of").agg(F.sum(F.col("s") * F.col("s")).alias("f2"), F.sum(F.when(F.col("asset_i") == F.col("asset_j"), F.col("s"))).alias("tr"), F.count_distinct("asset_i").cast("double").alias("n"))
     fourth = centred.groupBy("as_of", "k").agg(F.sum(F.col("ret") * F.col("ret")).alias("q")).groupBy("as_of").agg(F.sum(F.col("q") * F.col("q")).alias("q4"))
     m = norms.join(fourth, "as_of").withColumn("mu", F.col("tr") / F.col("n"))
@@ -119,10 +101,9 @@ def quadratic_risk(weights: DataFrame, cov: DataFrame, keys: list[str]) -> DataF
     return cells.groupBy(on).agg(F.sqrt(F.greatest(F.sum(F.col("wi") * F.col("wj") * F.col("cov")), F.lit(0.0))).alias("risk"))
 
 
-def correlation(windows: DataFrame) -> DataFrame:
+def correlation(windows: DataFrame, window: int | None = None) -> DataFrame:
     """Pearson, clipped to [-1, 1], and the distance sqrt((1 - rho) / 2)."""
-    rho: Column = F.greatest(F.least(F.corr("x", "y"), F.lit(1.0)), F.lit(-1.0))
-    c = mirrored(pairs(windows).groupBy(KEYS).agg(rho.alias("rho")))
+    c = mirrored(cells(windows, places=window).select(*KEYS, pearson().alias("rho")))
     return c.withColumn("distance", F.when(F.col("asset_i") == F.col("asset_j"), 0.0).otherwise(F.sqrt(F.greatest((1 - F.col("rho")) / 2, F.lit(0.0)))))
 
 

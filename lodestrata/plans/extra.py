@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions.stats import decayed
-from lodestrata.operators import asof, backtest, estimators, kernels, portfolio
+from lodestrata.operators import asof, backtest, estimators, gram, kernels, portfolio
 from lodestrata.plans.base import CAP, MEAN_HALF_LIFE, PER_YEAR, VOL, W, Tables, query
 from lodestrata.plans.config import complete_strategies
 from lodestrata.plans.research import _BOOKS, _CORR, _EQ, _GROW, _INV, _MEANS, _MET_DOUBLES, _METRICS, _PATHS, _books, _clusters, _execs, _inverse, _means, _paths, _scenarios
@@ -66,8 +66,8 @@ def _(t: Tables) -> DataFrame:
 
 @query("JN15_pair_join", "SELECT a.asset AS asset_i, b.asset AS asset_j, sum(a.ret * b.ret) AS xy FROM panel a JOIN panel b ON a.date = b.date GROUP BY 1, 2", "xy")
 def _(t: Tables) -> DataFrame:
-    a, b = (t.panel.select("date", F.col("asset").alias(n), F.col("ret").alias(v)) for n, v in (("asset_i", "x"), ("asset_j", "y")))
-    return a.join(b, "date").groupBy("asset_i", "asset_j").agg(F.sum(F.col("x") * F.col("y")).alias("xy"))
+    whole = t.panel.select(F.lit(0).alias("as_of"), F.unix_date("date").alias("k"), "asset", "ret")
+    return gram.mirrored(gram.cells(whole)).select("asset_i", "asset_j", "xy")
 
 
 @query("AGG12_group_exposure", _INV + " FINAL SELECT as_of, asset_class, sum(weight) AS exposure FROM iv JOIN cls ON cls.asset = iv.asset GROUP BY 1, 2", "exposure")
@@ -77,7 +77,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("AGG17_pearson", _CORR + " FINAL SELECT asset_i, asset_j, avg(rho) AS rho FROM dist GROUP BY 1, 2", "rho")
 def _(t: Tables) -> DataFrame:
-    return estimators.correlation(t.win).groupBy("asset_i", "asset_j").agg(F.avg("rho").alias("rho"))
+    return estimators.correlation(t.win, W).groupBy("asset_i", "asset_j").agg(F.avg("rho").alias("rho"))
 
 
 @query("AGG21_weighted_moments", f", q AS (SELECT *, pow({2.0 ** (-1 / MEAN_HALF_LIFE)!r}, 51 - k) AS w FROM win) FINAL SELECT as_of, asset, sum(w * ret) / sum(w) AS mean, sum(w * ret * ret) / sum(w) - (sum(w * ret) / sum(w)) ** 2 AS var FROM q GROUP BY 1, 2", "mean var", digits=10)
@@ -164,7 +164,7 @@ def _(t: Tables) -> DataFrame:
     source = t.win.where("asset = 'L1'").withColumn("noise", levels)
     clone = source.withColumn("ret", F.col("ret") * (1 + F.col("noise") * noise)).withColumn("asset", F.lit("L1_CLONE"))
     out = []
-    base = kernels.minimum_variance_weights(kernels.repaired(estimators.cov_sample(t.win, PER_YEAR)), CAP).select("as_of", "asset", "weight")
+    base = kernels.minimum_variance_weights(kernels.repaired(estimators.cov_sample(t.win, PER_YEAR, W)), CAP).select("as_of", "asset", "weight")
     for level in (0.0, 0.05):
         both = t.win.unionByName(clone.where(F.col("noise") == level).select(*t.win.columns))
         w = kernels.minimum_variance_weights(kernels.repaired(estimators.cov_sample(both, PER_YEAR)), CAP).select("as_of", "asset", "weight")

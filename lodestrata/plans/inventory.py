@@ -188,7 +188,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("AGG16_sample_covariance", "SELECT a.asset AS asset_i, b.asset AS asset_j, covar_samp(a.ret, b.ret) AS cov FROM panel a JOIN panel b ON a.date = b.date GROUP BY 1, 2", "cov", digits=10)
 def _(t: Tables) -> DataFrame:
-    whole = t.panel.select(F.lit(0).alias("as_of"), F.col("date").alias("k"), "asset", "ret")
+    whole = t.panel.select(F.lit(0).alias("as_of"), F.unix_date("date").alias("k"), "asset", "ret")
     return estimators.cov_sample(whole, 1).drop("as_of")
 
 
@@ -279,7 +279,7 @@ def _(t: Tables) -> DataFrame:
 @query("EST11_eigen_floor")
 def _(t: Tables) -> DataFrame:
     """Covariances pushed off PSD, then lifted: the ridge and the least eigenvalue."""
-    pushed = estimators.cov_sample(t.win, PER_YEAR).withColumn("cov", F.col("cov") - F.when(F.col("asset_i") == F.col("asset_j"), 1e-3).otherwise(0.0))
+    pushed = estimators.cov_sample(t.win, PER_YEAR, W).withColumn("cov", F.col("cov") - F.when(F.col("asset_i") == F.col("asset_j"), 1e-3).otherwise(0.0))
     lifted = kernels.repaired(pushed)
     return lifted.select("as_of", "ridge").join(kernels.diagnostics(lifted), "as_of").select("as_of", "ridge", "min_eigenvalue")
 
@@ -300,7 +300,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("OPT12_covariance_faults", _SAMPLE + " FINAL SELECT as_of, count(DISTINCT asset_i) AS assets, count(*) AS cells, 0 AS not_finite, 0.0 AS asymmetry, 0 AS beyond, TRUE AS valid FROM cov GROUP BY 1", "asymmetry", "assets cells not_finite beyond")
 def _(t: Tables) -> DataFrame:
-    return estimators.covariance_faults(estimators.cov_sample(t.win, PER_YEAR))
+    return estimators.covariance_faults(estimators.cov_sample(t.win, PER_YEAR, W))
 
 
 _SE = ", se AS (SELECT as_of, asset, stddev_samp(ret) * sqrt(52) AS se FROM win GROUP BY 1, 2)"
@@ -315,7 +315,7 @@ FINAL SELECT eq.as_of, eq.asset, weight, mu - 1.5 * se AS box_mu, mu - 1.5 * cw
 def _(t: Tables) -> DataFrame:
     """The means at which the box and the ellipsoid are worst for equal weights."""
     mu = _means(t).where("method = 'sample'").drop("method")
-    return portfolio.worst_means(portfolio.equal_weight(_held(t)), mu, _errors(t), estimators.cov_sample(t.win, PER_YEAR), 1.5)
+    return portfolio.worst_means(portfolio.equal_weight(_held(t)), mu, _errors(t), estimators.cov_sample(t.win, PER_YEAR, W), 1.5)
 
 
 _MODEL_TABLE = [("nominal", False, False, False), ("box", True, False, False), ("box_diagonal", True, True, False), ("ellipsoid", False, False, True)]

@@ -51,7 +51,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("EST05_cov_sample", _SAMPLE + " FINAL SELECT * FROM cov", "cov", digits=10)
 def _(t: Tables) -> DataFrame:
-    return estimators.cov_sample(t.win, PER_YEAR)
+    return estimators.cov_sample(t.win, PER_YEAR, W)
 
 
 @query("EST06_cov_ewma", _PAIRS + f", w AS (SELECT *, pow({B_VOL!r}, 51 - k) AS w FROM pr) FINAL SELECT as_of, asset_i, asset_j, (sum(w * x * y) / sum(w) - sum(w * x) / sum(w) * sum(w * y) / sum(w)) * 52 AS cov FROM w GROUP BY 1, 2, 3", "cov", digits=10)
@@ -82,7 +82,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("EST10_repaired_covariance")
 def _(t: Tables) -> DataFrame:
-    return kernels.repaired(estimators.cov_sample(t.win, PER_YEAR))
+    return kernels.repaired(estimators.cov_sample(t.win, PER_YEAR, W))
 
 
 _SEEDS = "SELECT as_of, 361 + CAST(strftime(as_of, '%Y%m%d') AS BIGINT) AS seed FROM sched"
@@ -126,7 +126,7 @@ def _evaluation(t: Tables) -> DataFrame:
 @query("EST16_gaussian_loss")
 def _(t: Tables) -> DataFrame:
     parts = []
-    for name, cov in (("sample", estimators.cov_sample(t.win, PER_YEAR)), ("ewma", estimators.cov_ewma(t.win, W, PER_YEAR, VOL_HALF_LIFE)), ("iewma", _iewma(t)), ("ledoit_wolf", estimators.cov_ledoit_wolf(t.win, W, PER_YEAR))):
+    for name, cov in (("sample", estimators.cov_sample(t.win, PER_YEAR, W)), ("ewma", estimators.cov_ewma(t.win, W, PER_YEAR, VOL_HALF_LIFE)), ("iewma", _iewma(t)), ("ledoit_wolf", estimators.cov_ledoit_wolf(t.win, W, PER_YEAR))):
         parts.append(kernels.gaussian_loss(kernels.repaired(cov), _evaluation(t), PER_YEAR).withColumn("method", F.lit(name)))
     return reduce(DataFrame.unionByName, parts)
 
@@ -139,7 +139,7 @@ def _(t: Tables) -> DataFrame:
 @query("EST18_quadratic_risk", _SAMPLE + " FINAL SELECT as_of, sqrt(greatest(sum(cov) / 49, 0)) AS risk FROM cov GROUP BY as_of", "risk")
 def _(t: Tables) -> DataFrame:
     w = portfolio.equal_weight(t.win.select("as_of", "asset").distinct())
-    return estimators.quadratic_risk(w, estimators.cov_sample(t.win, PER_YEAR), ["as_of"])
+    return estimators.quadratic_risk(w, estimators.cov_sample(t.win, PER_YEAR, W), ["as_of"])
 
 
 @query("EST19_covariance_study", _SAMPLE + """, pred AS (SELECT as_of, sqrt(greatest(sum(cov) / 49, 0)) AS predicted FROM cov GROUP BY as_of),
@@ -147,7 +147,7 @@ rl AS (SELECT as_of, stddev_samp(r) * sqrt(52) AS realized FROM (SELECT as_of, d
 FINAL SELECT 'sample' AS method, count(*) AS periods, sqrt(avg((predicted - realized) ** 2)) AS rmse, avg(predicted - realized) AS bias, median(predicted) AS median_predicted FROM pred JOIN rl ON pred.as_of = rl.as_of""", "rmse bias median_predicted", "periods")
 def _(t: Tables) -> DataFrame:
     w = portfolio.equal_weight(t.win.select("as_of", "asset").distinct())
-    pred = estimators.quadratic_risk(w, estimators.cov_sample(t.win, PER_YEAR), ["as_of"])
+    pred = estimators.quadratic_risk(w, estimators.cov_sample(t.win, PER_YEAR, W), ["as_of"])
     real = t.hold.groupBy("as_of", "date").agg(F.avg("ret").alias("r")).groupBy("as_of").agg((F.stddev_samp("r") * F.sqrt(F.lit(52.0))).alias("realized"), F.count("*").alias("n")).where("n > 1")
     e = F.col("risk") - F.col("realized")
     return pred.join(real, "as_of").agg(F.count("*").alias("periods"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(e).alias("bias"), F.median("risk").alias("median_predicted")).withColumn("method", F.lit("sample"))
@@ -242,14 +242,14 @@ def _(t: Tables) -> DataFrame:
 @query("OPT14_ellipsoid_return", _MEANS + _SAMPLE.replace(_PAIRS, _PAIRS) + _EQ + " FINAL SELECT e.as_of, e.m - 1.5 * r.risk AS ellipsoid FROM (SELECT eq.as_of, sum(mu * weight) AS m FROM eq JOIN mean ON mean.as_of = eq.as_of AND mean.asset = eq.asset AND method = 'sample' GROUP BY 1) e JOIN (SELECT as_of, sqrt(greatest(sum(cov) / 49 / 52, 0)) AS risk FROM cov GROUP BY 1) r ON r.as_of = e.as_of", "ellipsoid")
 def _(t: Tables) -> DataFrame:
     eq = portfolio.equal_weight(t.win.select("as_of", "asset").distinct())
-    cov = estimators.cov_sample(t.win, PER_YEAR).withColumn("cov", F.col("cov") / 52)
+    cov = estimators.cov_sample(t.win, PER_YEAR, W).withColumn("cov", F.col("cov") / 52)
     m = eq.join(_means(t).where("method = 'sample'"), ["as_of", "asset"]).groupBy("as_of").agg(F.sum(F.col("mu") * F.col("weight")).alias("m"))
     return m.join(estimators.quadratic_risk(eq, cov, ["as_of"]), "as_of").select("as_of", (F.col("m") - 1.5 * F.col("risk")).alias("ellipsoid"))
 
 
 @query("OPT15_diagonal_robust", _SAMPLE + " FINAL SELECT as_of, asset_i, asset_j, cov * CASE WHEN asset_i = asset_j THEN 1.3 ELSE 1 END AS cov FROM cov", "cov", digits=10)
 def _(t: Tables) -> DataFrame:
-    return portfolio.diagonal_robust(estimators.cov_sample(t.win, PER_YEAR), 0.3)
+    return portfolio.diagonal_robust(estimators.cov_sample(t.win, PER_YEAR, W), 0.3)
 
 
 @query("OPT17_risk_attainment", digits=5)
@@ -455,7 +455,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("ROB03_covariance_shocks", _SAMPLE + " FINAL SELECT 'variance' AS shock, as_of, asset_i, asset_j, cov * 1.1 AS cov FROM cov UNION ALL SELECT 'correlation', as_of, asset_i, asset_j, cov * CASE WHEN asset_i = asset_j THEN 1 ELSE 0.9 END FROM cov", "cov", digits=10)
 def _(t: Tables) -> DataFrame:
-    cov = estimators.cov_sample(t.win, PER_YEAR)
+    cov = estimators.cov_sample(t.win, PER_YEAR, W)
     mixed = F.col("cov") * F.when(F.col("asset_i") == F.col("asset_j"), 1.0).otherwise(0.9)
     return cov.withColumn("cov", F.col("cov") * 1.1).withColumn("shock", F.lit("variance")).unionByName(cov.withColumn("cov", mixed).withColumn("shock", F.lit("correlation")))
 
@@ -491,13 +491,13 @@ def _(t: Tables) -> DataFrame:
 
 @query("CLU01_correlation_distance", _CORR + " FINAL SELECT * FROM dist", "rho distance", digits=6)
 def _(t: Tables) -> DataFrame:
-    return estimators.correlation(t.win)
+    return estimators.correlation(t.win, W)
 
 
 def _clusters(t: Tables) -> DataFrame:
     panel = panels.complete_dates(t.wide)
     win = asof.training_windows(panel, asof.quarter_schedule(panel, W), W)
-    return kernels.clusters(estimators.correlation(win).select("as_of", "asset_i", "asset_j", "distance"), [0.05, 0.1, 0.2, 0.4])
+    return kernels.clusters(estimators.correlation(win, W).select("as_of", "asset_i", "asset_j", "distance"), [0.05, 0.1, 0.2, 0.4])
 
 
 @query("CLU02_average_linkage")
@@ -509,7 +509,7 @@ def _medoids(t: Tables) -> DataFrame:
     """The member with the least mean distance in its cluster; ties within 1e-14 by name."""
     panel = panels.complete_dates(t.wide)
     win = asof.training_windows(panel, asof.quarter_schedule(panel, W), W)
-    d = estimators.correlation(win).select("as_of", "asset_i", "asset_j", "distance")
+    d = estimators.correlation(win, W).select("as_of", "asset_i", "asset_j", "distance")
     c = _clusters(t)
     left = c.withColumnRenamed("asset", "asset_i")
     right = c.select("as_of", "threshold", F.col("asset").alias("asset_j"), "cluster")

@@ -105,7 +105,7 @@ MULTIPLES = [1.02, 1.1, 1.2, 1.3, 1.4]
 
 
 def _covariances(t: Tables) -> dict[str, DataFrame]:
-    return {"sample": estimators.cov_sample(t.win, PER_YEAR), "ewma": estimators.cov_ewma(t.win, W, PER_YEAR, VOL_HALF_LIFE), "iewma": _iewma(t), "ledoit_wolf": estimators.cov_ledoit_wolf(t.win, W, PER_YEAR)}
+    return {"sample": estimators.cov_sample(t.win, PER_YEAR, W), "ewma": estimators.cov_ewma(t.win, W, PER_YEAR, VOL_HALF_LIFE), "iewma": _iewma(t), "ledoit_wolf": estimators.cov_ledoit_wolf(t.win, W, PER_YEAR)}
 
 
 def grid_books(t: Tables) -> tuple[DataFrame, DataFrame]:
@@ -154,7 +154,7 @@ rk AS (SELECT as_of, model, sqrt(greatest(sum(cov) / 49, 0)) AS risk FROM mc GRO
 
 
 def _models(t: Tables) -> DataFrame:
-    cov = t.once(estimators.cov_sample(t.win, PER_YEAR))
+    cov = t.once(estimators.cov_sample(t.win, PER_YEAR, W))
     return cov.withColumn("model", F.lit("nominal")).unionByName(portfolio.diagonal_robust(cov, 0.3).withColumn("model", F.lit("diagonal")))
 
 
@@ -187,7 +187,7 @@ FINAL SELECT as_of, count(DISTINCT asset_i) AS assets, count(*) AS cells, count(
 def _(t: Tables) -> DataFrame:
     """A missing number in January, an asymmetry in April, a missing cell in July."""
     month, i, j = F.month("as_of"), F.col("asset_i"), F.col("asset_j")
-    cov = estimators.cov_sample(t.win, PER_YEAR).where(~((month == 7) & (i == "L3") & (j == "L4")))
+    cov = estimators.cov_sample(t.win, PER_YEAR, W).where(~((month == 7) & (i == "L3") & (j == "L4")))
     cell = F.when((month == 1) & (i == "L1") & (j == "L2"), float("nan")).when((month == 4) & (i == "L2") & (j == "L1"), F.col("cov") + 1e-6).otherwise(F.col("cov"))
     return estimators.covariance_faults(cov.withColumn("cov", cell)).select("as_of", "assets", "cells", "not_finite", "valid")
 
