@@ -5,17 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def expanding_median(panel: DataFrame) -> DataFrame:
-    """date, asset, med: the median of the asset's returns strictly before date, null on its
-    first. An exact median over a growing frame sorts the frame anew for every row; here
-    one pass an asset keeps it sorted. A task holds one asset's dates."""
-
-    def one(rows):
-        rows = rows.sort_values("date")
-        return rows[["date", "asset"]].assign(med=rows["ret"].expanding().median().shift(1))
-
-    return panel.select("date", "asset", "ret").groupBy("asset").applyInPandas(one, "date date, asset string, med double")
+from lodestrata.operators.medians import expanding_median
 
 
 def features(proxy: DataFrame, trend: int, vol: int, per_year: int) -> DataFrame:
@@ -30,11 +20,11 @@ def features(proxy: DataFrame, trend: int, vol: int, per_year: int) -> DataFrame
 def classify(proxy: DataFrame, schedule: DataFrame, trend: int, vol: int, per_year: int) -> DataFrame:
     """as_of, trend, latest_vol, vol_threshold, regime. The threshold is the median of the
     rolling volatilities before as_of, the newest of them included."""
-    order = Window.orderBy("date")  # one series: a row a date
-    f = features(proxy, trend, vol, per_year).withColumn("pos", F.row_number().over(order) - 1)
-    at = schedule.select("as_of").join(f.select(F.col("date").alias("as_of"), "pos", "trend"), "as_of").where("trend IS NOT NULL")
-    past = at.where("pos > 0").select("as_of", "trend", F.explode(F.sequence(F.lit(0), F.col("pos") - 1)).alias("pos")).join(f.select("pos", "rolling_vol"), "pos").where("rolling_vol IS NOT NULL")
-    joined = past.groupBy("as_of", "trend").agg(F.max_by("rolling_vol", "pos").alias("latest_vol"), F.percentile("rolling_vol", F.lit(0.5)).alias("vol_threshold"))
+    past = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, -1)  # one series: a row a date
+    f = features(proxy, trend, vol, per_year).withColumn("latest_vol", F.last("rolling_vol", ignorenulls=True).over(past))
+    thresholds = expanding_median(f.select("date", F.lit("proxy").alias("asset"), F.col("rolling_vol").alias("ret"))).select("date", F.col("med").alias("vol_threshold"))
+    at = f.join(thresholds, "date").withColumnRenamed("date", "as_of").where("trend IS NOT NULL AND latest_vol IS NOT NULL")
+    joined = schedule.select("as_of").join(at, "as_of")
     high = F.col("latest_vol") > F.col("vol_threshold")
     regime = F.when((F.col("trend") > 0) & ~high, "CALM_GROWTH").when((F.col("trend") > 0) & high, "VOLATILE_GROWTH").when(~high, "WEAK_MARKET").otherwise("STRESS")
     return joined.select("as_of", "trend", "latest_vol", "vol_threshold", regime.alias("regime"))
