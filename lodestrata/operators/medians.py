@@ -4,8 +4,9 @@ A series is cut into blocks of time and, by a sketch of its values, into buckets
 How many earlier values lie in each bucket is a prefix sum over blocks, and tells which
 buckets hold the middle of all that came before a block. Within a block of S rows the median
 moves past S / 2 of those values at most, on either side; so a block takes along these few,
-as many values having been left out below as above, which leaves its medians what they are.
-Each block is then a small window of its own, and no task holds a series.
+as many values having been left out below as above, which leaves its medians what they are. Steps
+within a block do the same with the block's rows. Each step is then a small window of its
+own, and no task holds a series.
 
 Cases: null values count as none, and have a median themselves; the first row has none; ties
 are values of their own; dates do not repeat within a series; no rows, no medians.
@@ -19,8 +20,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows of a block at least; a longer series has blocks of the square root of its length,
-#: so that blocks times buckets stay below its rows.
-ROWS = 512
+#: so that blocks times buckets stay below its rows. Rows of a step inside a long series'
+#: blocks.
+ROWS, STEP = 512, 32
 
 
 def _place(cuts: Column, x: Column, steps: int) -> Column:
@@ -53,6 +55,21 @@ def _carried(rows: DataFrame) -> DataFrame:
     return met.withColumn("copies", copies.cast("int")).where("copies > 0").select("asset", "block", F.explode(F.array_repeat("ret", F.col("copies"))).alias("ret"))
 
 
+def _stepped(rows: DataFrame, step: int) -> DataFrame:
+    """The same once more inside blocks, plainly: every step of so many rows takes along the
+    middle of what its block had before. rows: asset, block, date (null of what the block
+    itself took along), ret."""
+    at = Window.partitionBy("asset", "block").orderBy(F.col("date").asc_nulls_first())
+    own = rows.withColumn("row", F.count("date").over(at.rowsBetween(Window.unboundedPreceding, 0)))
+    own = own.withColumn("step", F.when(F.col("date").isNull(), F.lit(-1)).otherwise(F.floor((F.col("row") - 1) / step))).withColumn("last", F.max("step").over(Window.partitionBy("asset", "block")))
+    past = own.where("ret IS NOT NULL AND step < last").select("asset", "block", "ret", F.explode(F.sequence(F.col("step") + 1, F.col("last"))).alias("step"))
+    within = Window.partitionBy("asset", "block", "step")
+    past = past.withColumns({"place": F.row_number().over(within.orderBy("ret")) - 1, "total": F.count("*").over(within)})
+    skip = F.greatest(F.lit(0), F.floor(F.col("total") / 2) - step // 2 - 3)
+    past = past.where((F.col("place") >= skip) & (F.col("place") < F.col("total") - skip)).select("asset", "block", "step", F.lit(None).cast("date").alias("date"), "ret")
+    return own.where("date IS NOT NULL").select("asset", "block", "step", "date", "ret").unionByName(past)
+
+
 def expanding_median(panel: DataFrame, least: int = ROWS) -> DataFrame:
     """date, asset, med: the median of the asset's returns strictly before date, null on its
     first."""
@@ -70,8 +87,8 @@ def expanding_median(panel: DataFrame, least: int = ROWS) -> DataFrame:
         bucket = F.floor(_place(F.coalesce("cuts", F.array().cast("array<double>")), F.col("ret"), most.bit_length() + 1) * F.col("blocks") / most).cast("int")
         rows = met.select("date", "asset", "ret", "blocks", block.alias("block"), bucket.alias("bucket"))
         carried = _carried(rows.where("ret IS NOT NULL").drop("date"))
-        rows = rows.select("date", "asset", "ret", "block").unionByName(carried.withColumn("date", F.lit(None).cast("date")))
+        rows = _stepped(rows.select("date", "asset", "ret", "block").unionByName(carried.withColumn("date", F.lit(None).cast("date"))), STEP)
     else:
-        rows = rows.withColumn("block", F.lit(0))
-    so_far = Window.partitionBy("asset", "block").orderBy(F.col("date").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+        rows = rows.withColumns({"block": F.lit(0), "step": F.lit(0)})
+    so_far = Window.partitionBy("asset", "block", "step").orderBy(F.col("date").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
     return rows.withColumn("med", F.percentile("ret", F.lit(0.5)).over(so_far)).where("date IS NOT NULL").select("date", "asset", "med")

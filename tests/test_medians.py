@@ -6,11 +6,13 @@ import statistics
 import numpy as np
 import pytest
 
+from lodestrata.operators import medians
 from lodestrata.operators.medians import expanding_median
 
 
-@pytest.mark.parametrize("least", [3, 16, 512])
-def test_blocks_carry_what_their_medians_need(spark, least):
+@pytest.mark.parametrize(("least", "step"), [(3, 2), (40, 5), (40, 32), (512, 32)])
+def test_blocks_carry_what_their_medians_need(spark, monkeypatch, least, step):
+    monkeypatch.setattr(medians, "STEP", step)
     rng = np.random.default_rng(9)
     series = {
         "walk": np.cumsum(rng.normal(size=130)).tolist(), "rising": [float(i) for i in range(130)], "falling": [-float(i) for i in range(97)], "noise": rng.normal(size=131).tolist(),
