@@ -9,13 +9,15 @@ from dataclasses import asdict, dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.sources.panels import canonical_json, content_hashes
+from lodestrata.sources.hashing import content_hashes
+from lodestrata.sources.panels import canonical_json
 
 
 @dataclass(frozen=True)
 class Experiment:
     """Parameters of a run; ``check`` fails on values without meaning."""
 
+    # The defaults of a run.
     window: int = 504
     minimum_folds: int = 4
     per_year: int = 252

@@ -13,7 +13,7 @@ from lodestrata.operators import asof, backtest, cleaning, estimators, kernels,
 from lodestrata.plans.base import CAP, PER_YEAR, VOL_HALF_LIFE, W, Tables, query
 from lodestrata.plans.config import Experiment, manifest, validated
 from lodestrata.plans.research import _BOOKS, _DRAWS, _EQ, _EXEC, _GROW, _INV, _MEANS, _PATHS, _SAMPLE, _SERIES, B_VOL, _books, _clusters, _execs, _inverse, _length, _means, _medoids, _paths, _SEEDS, _seeds, _series, draws, draws_sql
-from lodestrata.sources import panels
+from lodestrata.sources import panels, publish
 
 
 def _by_date(kind: str = "asset") -> Window:
@@ -63,6 +63,22 @@ def _(t: Tables) -> DataFrame:
     return out
 
 
+@query("SNK06_published_outputs", _BOOKS + " FINAL SELECT name, n, n AS listed, total, TRUE AS whole, TRUE AS refused FROM (SELECT 'weights' AS name, count(*) AS n, sum(weight) AS total FROM book UNION ALL SELECT 'windows', count(*), sum(ret) FROM win UNION ALL SELECT 'prices', count(*), sum(px) FROM px)", "total", "n listed", digits=5)
+def _(t: Tables) -> DataFrame:
+    """A run's tables published in one step; a second run is refused, every file is as listed."""
+    tables = {"weights": (_books(t), "weight"), "windows": (t.win, "ret"), "prices": (t.px, "px")}
+    config, target = Experiment(window=W, per_year=PER_YEAR, max_weight=CAP, bootstrap_block=8).sha256(), panels.work_dir(t.spark)
+    known = publish.publish(t.spark, {n: df for n, (df, _) in tables.items()}, target, config)
+    try:
+        publish.publish(t.spark, {"windows": t.win}, target, config)
+        refused = False
+    except publish.InUse:
+        refused = True
+    whole = publish.damaged(t.spark, target).isEmpty()
+    parts = [publish.published(t.spark, target, n).agg(F.lit(n).alias("name"), F.count("*").alias("n"), F.lit(known["counts"][n]).alias("listed"), F.sum(v).alias("total"), F.lit(whole).alias("whole"), F.lit(refused).alias("refused")) for n, (_, v) in tables.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query("SNK04_index_matrix", _SERIES + _DRAWS + " FINAL SELECT draw, strategy, count(*) AS positions, sum(ret) AS total FROM ix JOIN ser ON ser.pos = ix.source GROUP BY 1, 2", "total", "draw positions")
 def _(t: Tables) -> DataFrame:
     """The index matrix of a resampling as a compressed table, read back and applied."""

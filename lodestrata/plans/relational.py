@@ -9,6 +9,7 @@ from lodestrata.functions import stats
 from lodestrata.operators import asof, cleaning, regimes, resampling
 from lodestrata.plans.base import PER_YEAR, TREND, VOL, W, Tables, query
 from lodestrata.sources import panels
+from lodestrata.sources.hashing import content_hashes
 
 # Scans and sinks
 
@@ -98,7 +99,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("SNK08_content_hash")
 def _(t: Tables) -> DataFrame:
-    return panels.content_hashes(t.spark, f"{t.dir}/lineitem.parquet").select("sha256")
+    return content_hashes(t.spark, f"{t.dir}/lineitem.parquet").select("bytes", "sha256")
 
 
 @query("SNK10_cumulative_loss_figure", "SELECT asset, date, sum(ret * ret) OVER (PARTITION BY asset ORDER BY date) AS loss FROM panel", "loss")

@@ -93,11 +93,6 @@ def canonical_json(payload: dict) -> str:
     return json.dumps(clean(payload), sort_keys=True, separators=(",", ":"))
 
 
-def content_hashes(spark: SparkSession, path: str) -> DataFrame:
-    """(path, sha256) of the files under path."""
-    return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))
-
-
 def work_dir(spark: SparkSession) -> str:
     """A new folder name under the cluster's shared folder; a temporary one where none is
     set and Spark runs on this machine alone."""
