@@ -307,6 +307,20 @@ def model_inputs(model: str, c: np.ndarray, se: np.ndarray, mean_cov: np.ndarray
     return {"c": inflated, "se": se, "rho": box_rho}
 
 
+def model_terms(scenarios: DataFrame) -> DataFrame:
+    """as_of, model, uses_box, uses_diagonal, uses_ellipsoid: what each model's program takes
+    in, read off its terms for every stored scenario. A term of no size is none."""
+
+    def one(r):
+        n = len(r.assets)
+        base = np.array(r.c).reshape(n, n)
+        terms = model_inputs(r.model, base, np.array(r.se), np.array(r.mean_cov).reshape(n, n), r.box_rho, r.ellipsoid_rho, r.kappa)
+        box = bool(terms.get("rho", 0.0) > 0 and np.any(terms["se"] > 0))
+        return [(r.as_of, r.model, box, not np.array_equal(terms["c"], base), bool(terms.get("rho_e", 0.0) > 0 and np.any(terms["root"])))]
+
+    return over_rows(scenarios, one, "as_of date, model string, uses_box boolean, uses_diagonal boolean, uses_ellipsoid boolean")
+
+
 def robust_weights(scenarios: DataFrame) -> DataFrame:
     """scenarios: as_of, scenario, model, multiple (of the minimum volatility), cap, assets,
     c, mu, se, mean_cov, box_rho, ellipsoid_rho, kappa. A row an asset, or one with the

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions.stats import decayed
-from lodestrata.operators import asof, backtest, estimators, gram, kernels, portfolio
+from lodestrata.operators import asof, backtest, estimators, gram, kernels, policies, portfolio
 from lodestrata.plans.base import CAP, MEAN_HALF_LIFE, PER_YEAR, VOL, W, Tables, query
 from lodestrata.plans.config import complete_strategies
 from lodestrata.plans.research import _BOOKS, _CORR, _EQ, _GROW, _INV, _MEANS, _MET_DOUBLES, _METRICS, _PATHS, _books, _clusters, _execs, _inverse, _means, _paths, _scenarios
@@ -208,16 +208,71 @@ def _(t: Tables) -> DataFrame:
     return one.groupBy("model").agg(F.count("*").alias("solves"), F.avg((F.col("status") != "OPTIMAL").cast("double")).alias("failure_rate"), F.avg(F.when(F.col("message") == "binding", 1 / F.col("hhi"))).alias("effective_binding"))
 
 
-@query("UDF01_policy_callback")
+# Policies
+
+
+def momentum(window: dict[str, list[float]]) -> dict[str, float]:
+    """In proportion to mean returns above zero; equal where there are none."""
+    mean = {a: max(sum(r) / len(r), 0.0) for a, r in window.items()}
+    total = sum(mean.values())
+    return {a: m / total if total > 0 else 1 / len(mean) for a, m in mean.items()}
+
+
+def levered(window: dict[str, list[float]]) -> dict[str, float]:
+    """Momentum with half as much again where the first asset lost on average."""
+    scale = 1.5 if sum(window["L1"]) < 0 else 1.0
+    return {a: scale * w for a, w in momentum(window).items()}
+
+
+def stranger(window: dict[str, list[float]]) -> dict[str, float]:
+    """Half in an asset nobody knows, half sold short of the first where it gained."""
+    if sum(window["L1"]) >= 0:
+        return {"X9": 0.5, "L1": -0.5, "L2": 1.0}
+    raise KeyError("X9")
+
+
+POLICIES = {"momentum": momentum, "levered": levered, "stranger": stranger}
+
+_MOMENTUM = """, mo AS (SELECT as_of, asset, greatest(avg(ret), 0) AS m, sum(ret) AS s FROM win GROUP BY 1, 2),
+mw AS (SELECT as_of, asset, CASE WHEN sum(m) OVER (PARTITION BY as_of) > 0 THEN m / sum(m) OVER (PARTITION BY as_of) ELSE 1.0 / count(*) OVER (PARTITION BY as_of) END AS weight FROM mo),
+fi AS (SELECT as_of, s < 0 AS lost FROM mo WHERE asset = 'L1')"""
+_POLICIES = _MOMENTUM + """, pd AS (
+  SELECT 'momentum' AS strategy, as_of, asset, weight, NULL AS fault FROM mw
+  UNION ALL SELECT 'levered', mw.as_of, asset, weight, NULL FROM mw JOIN fi ON fi.as_of = mw.as_of WHERE NOT lost
+  UNION ALL SELECT 'levered', mw.as_of, asset, NULL, 'ABOVE_CAP' FROM mw JOIN fi ON fi.as_of = mw.as_of WHERE lost AND 1.5 * weight > 1 + 5e-7
+  UNION ALL SELECT 'levered', as_of, NULL, NULL, 'SUM' FROM fi WHERE lost
+  UNION ALL SELECT 'stranger', as_of, a, NULL, f FROM fi, (VALUES ('L1', 'SHORT'), ('X9', 'UNKNOWN_ASSET')) x(a, f) WHERE NOT lost
+  UNION ALL SELECT 'stranger', as_of, NULL, NULL, 'RAISED KeyError' FROM fi WHERE lost)"""
+
+
+def _decisions(t: Tables) -> DataFrame:
+    return t.once(policies.decisions(t.win, POLICIES))
+
+
+@query("UDF01_policy_functions", _POLICIES + " FINAL SELECT * FROM pd", "weight")
 def _(t: Tables) -> DataFrame:
-    """A user's policy: a function from a decision's window to weights, run per date."""
-    import pandas as pd
+    """Three policies as table functions: weights where they keep the rules, faults by date
+    where they do not."""
+    return policies.decisions(t.win, POLICIES)
 
-    def momentum(rows: pd.DataFrame) -> pd.DataFrame:
-        m = rows.groupby("asset")["ret"].mean().clip(lower=0)
-        w = m / m.sum() if m.sum() > 0 else m * 0 + 1 / len(m)
-        return pd.DataFrame({"as_of": rows["as_of"].iloc[0], "asset": w.index, "weight": w.to_numpy(), "strategy": "momentum"})
 
-    weights = t.win.groupBy("as_of").applyInPandas(momentum, "as_of date, asset string, weight double, strategy string")
+@query("UDF01_policy_callback", _MOMENTUM + ", book AS (SELECT 'momentum' AS strategy, as_of, asset, weight FROM mw)" + _PATHS + _METRICS + " FINAL SELECT * FROM met WHERE cost_bps = 5", _MET_DOUBLES, "days")
+def _(t: Tables) -> DataFrame:
+    """A user's policy simulated: a function from a decision's window to weights."""
+    weights = t.once(policies.decisions(t.win, {"momentum": momentum}).select("strategy", "as_of", "asset", "weight"))
     costs = t.spark.createDataFrame([(5.0,)], "cost_bps double")
     return backtest.metrics(backtest.wealth(weights, t.panel, t.sched, costs), PER_YEAR)
+
+
+@query("OPT20_stored_registry", _BOOKS + _POLICIES + """, al AS (SELECT strategy, as_of, weight, NULL AS fault FROM book UNION ALL SELECT strategy, as_of, weight, fault FROM pd)
+FINAL SELECT strategy, count(DISTINCT as_of) FILTER (weight IS NOT NULL) AS decisions, min(as_of) FILTER (weight IS NOT NULL) AS first, max(as_of) FILTER (weight IS NOT NULL) AS last, count(DISTINCT as_of) FILTER (fault IS NOT NULL) AS failures,
+  CASE WHEN count(DISTINCT as_of) FILTER (weight IS NOT NULL) = (SELECT count(*) FROM sched) AND count(*) FILTER (fault IS NOT NULL) = 0 THEN 'COMPLETE' ELSE 'FAILED_EXPLICITLY' END AS status FROM al GROUP BY 1""", ints="decisions failures")
+def _(t: Tables) -> DataFrame:
+    """The strategies of a run as its stored books and failures have them, books by rule and
+    policies."""
+    made = _decisions(t)
+    books = _books(t).select("strategy", "as_of", "asset", "weight").unionByName(made.where("fault IS NULL").drop("fault"))
+    folder = panels.work_dir(t.spark)
+    books.repartition("strategy").write.partitionBy("strategy").parquet(f"{folder}/books")
+    made.where("fault IS NOT NULL").select("strategy", "as_of", "fault").write.parquet(f"{folder}/failures")
+    return policies.registry(t.spark.read.parquet(f"{folder}/books"), t.spark.read.parquet(f"{folder}/failures"), t.sched)

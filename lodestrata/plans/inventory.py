@@ -4,6 +4,7 @@ guards, artifacts, cost models and conventions."""
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,7 +13,8 @@ from lodestrata.functions import stats
 from lodestrata.operators import asof, backtest, cleaning, estimators, kernels, portfolio, resampling
 from lodestrata.plans.base import CAP, PER_YEAR, VOL_HALF_LIFE, W, Tables, query
 from lodestrata.plans.config import Experiment, manifest, validated
-from lodestrata.plans.research import _BOOKS, _DRAWS, _EQ, _EXEC, _GROW, _INV, _MEANS, _PATHS, _SAMPLE, _SERIES, B_VOL, _books, _clusters, _execs, _inverse, _length, _means, _medoids, _paths, _SEEDS, _seeds, _series, draws, draws_sql
+from lodestrata.plans.research import _BOOKS, _DRAWS, _EQ, _EXEC, _GROW, _INV, _MEANS, _PATHS, _SAMPLE, _SERIES, B_VOL, _books, _clusters, _execs, _inverse, _length, _means, _medoids, _paths, _scenarios, _SEEDS, _seeds, _series, draws, draws_sql
+from lodestrata.plans.rules import MULTIPLES, _covariances
 from lodestrata.sources import panels, publish
 
 
@@ -334,24 +336,23 @@ def _(t: Tables) -> DataFrame:
     return portfolio.worst_means(portfolio.equal_weight(_held(t)), mu, _errors(t), estimators.cov_sample(t.win, PER_YEAR, W), 1.5)
 
 
-_MODEL_TABLE = [("nominal", False, False, False), ("box", True, False, False), ("box_diagonal", True, True, False), ("ellipsoid", False, False, True)]
-
-
 @query("OPT18_model_problems", "SELECT as_of, model, uses_box, uses_diagonal, uses_ellipsoid FROM sched, (VALUES ('nominal', FALSE, FALSE, FALSE), ('box', TRUE, FALSE, FALSE), ('box_diagonal', TRUE, TRUE, FALSE), ('ellipsoid', FALSE, FALSE, TRUE)) m(model, uses_box, uses_diagonal, uses_ellipsoid)")
 def _(t: Tables) -> DataFrame:
-    """Which uncertainty each model's problem takes in, per decision."""
-    models = t.spark.createDataFrame(_MODEL_TABLE, "model string, uses_box boolean, uses_diagonal boolean, uses_ellipsoid boolean")
-    return t.sched.select("as_of").crossJoin(F.broadcast(models))  # four rows
+    """Which uncertainty each model's problem takes in, per decision, from the stored inputs
+    of the solver."""
+    return kernels.model_terms(t.once(_scenarios(t, [1.2])))
 
 
 @query("OPT20_strategy_registry", "SELECT strategy, count(*) AS decisions FROM sched, (SELECT model || '_risk_' || lpad(CAST(c AS VARCHAR), 2, '0') || 'pct' AS strategy FROM (VALUES ('nominal'), ('box'), ('box_diagonal'), ('ellipsoid')) m(model), (VALUES (6), (8), (10), (12), (14)) r(c) UNION ALL SELECT 'gmv_' || e FROM (VALUES ('sample'), ('ewma'), ('iewma'), ('ledoit_wolf')) g(e)) GROUP BY 1", ints="decisions")
 def _(t: Tables) -> DataFrame:
-    """Names of the strategies a run registers, with how many decisions each needs."""
-    levels = F.explode(F.array(*[F.lit(round(100 * c)) for c in Experiment().ceilings]))
-    models = t.spark.createDataFrame(_MODEL_TABLE, "model string, b boolean, d boolean, e boolean").select("model", levels.alias("level"))
-    capped = models.select(F.format_string("%s_risk_%02dpct", "model", "level").alias("strategy"))
-    least = t.spark.range(1).select(F.explode(F.array(*map(F.lit, ("sample", "ewma", "iewma", "ledoit_wolf")))).alias("e")).select(F.concat(F.lit("gmv_"), "e").alias("strategy"))
-    return t.sched.crossJoin(F.broadcast(capped.unionByName(least))).groupBy("strategy").agg(F.count("*").alias("decisions"))  # 24 names
+    """The strategies a run has solved or failed to, named after their stored inputs: model and
+    ceiling of a scenario, estimator of a covariance; with how many decisions of each."""
+    ceilings = {m: f"{round(100 * c):02d}pct" for m, c in zip(MULTIPLES, Experiment().ceilings, strict=True)}
+    level = reduce(lambda e, mc: F.when(F.col("multiple") == mc[0], mc[1]).otherwise(e), ceilings.items(), F.lit(None))
+    scenarios = t.once(_scenarios(t, list(ceilings)).withColumn("scenario", level))
+    solved = kernels.robust_weights(scenarios).select(F.concat_ws("_risk_", "model", "scenario").alias("strategy"), "as_of")
+    stored = [kernels.minimum_variance_weights(kernels.repaired(c), CAP).select(F.lit(f"gmv_{m}").alias("strategy"), "as_of") for m, c in _covariances(t).items()]
+    return t.once(reduce(DataFrame.unionByName, [solved, *stored])).groupBy("strategy").agg(F.count_distinct("as_of").alias("decisions"))
 
 
 # Backtests, inference, robustness, tables
