@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodestrata.functions import stats
 from lodestrata.operators import backtest, estimators, kernels, portfolio, resampling
 from lodestrata.plans.base import CAP, MEAN_HALF_LIFE, ORACLE_SQL, PER_YEAR, VOL_HALF_LIFE, W, Tables, query
-from lodestrata.plans.research import _BOOKS, _EQ, _EXEC, _GROW, _MEANS, _PATHS, _REP, _SAMPLE, _STEPS, _books, _costs, _execs, _iewma, _means, _rep, _scenarios
+from lodestrata.plans.research import _BOOKS, _EQ, _EXEC, _GROW, _MEANS, _PATHS, _REP, _SAMPLE, _STEPS, _books, _costs, _execs, _iewma, _length, _means, _rep, _scenarios, draws
 
 # Costs and targets
 
@@ -129,6 +129,28 @@ def _(t: Tables) -> DataFrame:
     return backtest.metrics(backtest.wealth(whole, t.panel, t.sched, _costs(t), t.once), PER_YEAR)
 
 
+def _grid_series(t: Tables) -> DataFrame:
+    """strategy, pos, ret after 5 basis points of every complete strategy of the grid."""
+    books, lacking = grid_books(t)
+    whole = t.once(books.join(lacking, "strategy", "left_anti"))
+    paths = backtest.wealth(whole, t.panel, t.sched, _costs(t, [5.0]), t.once)
+    pos = F.row_number().over(Window.partitionBy("strategy").orderBy("date")) - 1
+    return t.once(paths.select("strategy", pos.alias("pos"), F.col("net_return").alias("ret")))
+
+
+@query("INF06_all_books", digits=6)
+def _(t: Tables) -> DataFrame:
+    """Every complete strategy: intervals of its own and of its differences to two
+    comparators in joint draws, and the probability of its deflated Sharpe ratio among all
+    that were tried. Books of kernels are among them, so there is no SQL."""
+    series = _grid_series(t)
+    rep = t.once(resampling.replicate_statistics(series, draws(t, _length(series)), PER_YEAR, 3.0))
+    parts = [resampling.intervals(rep, 0.95).withColumn("comparator", F.lit(None).cast("string"))]
+    parts += [resampling.paired_intervals(rep, c, 0.95).withColumn("comparator", F.lit(c)) for c in ("equal", "class_equal")]
+    deflated = resampling.deflated_sharpe(series.select("strategy", "ret"), PER_YEAR).select("strategy", "trials", "probability")
+    return reduce(DataFrame.unionByName, parts).join(deflated, "strategy")
+
+
 # Joins of reports
 
 

@@ -83,3 +83,29 @@ def test_nothing_at_or_after_a_decision_is_visible(spark, tmp_path):
     assert got == sorted(map(tuple, want)) and all(date < as_of for as_of, _, date in got)
     kept = [op.numRowsTotal for p in q.recentProgress for op in p.stateOperators]
     assert max(kept) < 0.8 * (returns.count() + asked.count()) and kept[-1] < 60  # what can meet no more leaves
+
+
+def test_paths_without_state_equal_the_state_machine(spark):
+    """Wealth from products of period factors against days one after another."""
+    from lodestrata.operators import backtest
+
+    rng = random.Random(12)
+    panel = [(d, a, rng.gauss(0.001, 0.03)) for d in DAY for a in "ABCDE"]
+    at = [5, 13, 14, 30, 52]
+    sched = spark.createDataFrame([(DAY[p], p, DAY[q] if q else None) for p, q in zip(at, [*at[1:], None], strict=True)], "as_of date, pos int, next_as_of date")
+    books, rates = {}, {a: rng.uniform(0, 0.02) for a in "ABCDE"}
+    for s in ("one", "two", "three"):
+        for p in at:
+            w = [rng.random() if rng.random() < 0.7 else 0.0 for _ in "ABCDE"]
+            w[0] += 0.1
+            books[s, p] = [x / sum(w) for x in w]
+    weights = spark.createDataFrame([(s, DAY[p], a, x) for (s, p), w in books.items() for a, x in zip("ABCDE", w, strict=True)], "strategy string, as_of date, asset string, weight double")
+    bps = spark.createDataFrame([("own", a, 10000 * r) for a, r in rates.items()], "scenario string, asset string, bps double")
+    got = {(r.strategy, r.date): r.net_wealth for r in backtest.asset_rate_wealth(weights, spark.createDataFrame(panel, "date date, asset string, ret double"), sched, bps).collect()}
+    assert len(got) == 3 * (60 - 5)
+    for s in ("one", "two", "three"):
+        cash, held = 1.0, {}
+        for i, d in enumerate(DAY[5:], 5):
+            day = (d, list("ABCDE"), [r for e, _, r in panel if e == d], books.get((s, i)), [rates[a] for a in "ABCDE"])
+            cash, held, _ = portfolio.Portfolio._apply(day, cash, held)
+            assert got[s, d] == pytest.approx(cash + sum(held.values()), abs=1e-12)
