@@ -7,11 +7,15 @@ whole part for certain, the fraction as an inclusion probability. The flight pha
 moves the fractions of three documents at a time along the null space of the two
 balancing constraints (documents, words) until one is 0 or 1, so both totals stay.
 It runs in blocks of a source; the two or fewer left open by each block form the next
-round's blocks, and the last few of a source are landed, words kept before documents.
+round's blocks. A large document moves little in a flight and can stay open to its end, so
+some hundred documents of at most a source's median size wait for its last block. There the
+open ones are landed in the way that misses the fewest words, and what is still missed is
+made up by turning documents over whose size comes closest to it, words before documents: a
+source with documents of many sizes meets its target to within its smallest ones.
 
-Large documents go first in a block, so the open ones are small and what the landing
-misses is at most about one small document of a source. A source of any size is dealt
-over blocks by hash. Every random number is drawn from the source, round and block.
+A source of any size is dealt over blocks by a hash of the id, the size and a number among
+rows equal in both, so that no id, null or repeated, is a block of its own, and reruns agree
+whatever the partitions. Every random number is drawn from the source, round and block.
 
 Cases: null and empty texts have size 0 and are mixed like any other; null sources form
 one source; repeated rows are mixed one by one (equal rows may differ in ``taken``);
@@ -21,6 +25,7 @@ null doc_ids are allowed; an empty table returns no rows; other columns are igno
 from __future__ import annotations
 
 import zlib
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +38,10 @@ from lodestrata.llm.common import WORD_PATTERN, bounded_batches, fresh, written
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, CAP = 1.5, 2.0
 
-#: Documents of a flight block.
-BLOCK = 2048
+#: Documents of a flight block; of those that wait for a source's last block.
+BLOCK, WAITING = 2048, 256
+#: Equal rows that one row stands for until they are told apart.
+ALIKE = 4096
 SEED = 9
 EPS = 1e-9
 
@@ -62,7 +69,8 @@ def targets(sized: DataFrame) -> DataFrame:
 
 def flight(p: np.ndarray, size: np.ndarray, rng: np.random.Generator, land: bool) -> np.ndarray:
     """Move p to 0 or 1 keeping sum(p) and sum(p * size); two at most stay open, none if land."""
-    p = p.astype(float).tolist()
+    start = p.astype(float)
+    p = start.tolist()
     x = size.astype(float).tolist()
     draws = iter(rng.random(2 * len(p) + 8).tolist())
 
@@ -82,50 +90,78 @@ def flight(p: np.ndarray, size: np.ndarray, rng: np.random.Generator, land: bool
             u = [c - b, a - c, b - a]
             move(held, u if any(u) else [1.0, -1.0, 0.0])
             held = [j for j in held if EPS < p[j] < 1 - EPS]
-    if land:
-        while len(held) == 2:  # words stay, documents may move
-            a, b = (x[j] for j in held)
-            move(held, [b, -a] if a and b else [1.0, 0.0] if not a else [0.0, 1.0])
-            held = [j for j in held if EPS < p[j] < 1 - EPS]
-        for j in held:
-            p[j] = float(p[j] >= 0.5)
-    return np.array([round(v) if v < EPS or v > 1 - EPS else v for v in p])
+    out = np.array([round(v) if v < EPS or v > 1 - EPS else v for v in p])
+    return landed(out, start, size, held) if land else out
+
+
+def landed(p: np.ndarray, start: np.ndarray, size: np.ndarray, held: list[int]) -> np.ndarray:
+    """Settle the documents held open so that the words miss those of start by the least, then
+    turn over settled documents whose size comes nearest to the miss, while that lessens it."""
+    p, want = p.copy(), float(start @ size)
+    if held:
+        fixed = float(np.delete(p, held) @ np.delete(size, held))
+        p[held] = min(product((0.0, 1.0), repeat=len(held)), key=lambda way: abs(fixed + float(np.dot(way, size[held])) - want))
+    free = np.flatnonzero((start > EPS) & (start < 1 - EPS) & (size > 0))
+    free = free[np.argsort(size[free], kind="stable")]
+    while True:
+        miss = want - float(p @ size)
+        fits = free[p[free] == (0.0 if miss > 0 else 1.0)]
+        if not len(fits):
+            return p
+        at = int(np.searchsorted(size[fits], abs(miss)))
+        best = min(fits[max(at - 1, 0) : at + 1], key=lambda i: abs(abs(miss) - size[i]))
+        if abs(abs(miss) - size[best]) >= abs(miss):
+            return p
+        p[best] = 1.0 - p[best]
 
 
 def _fly(key: tuple, rows: pa.Table) -> pa.Table:
     """One block of a source, as Arrow: ids and copies stay whole numbers beside nulls."""
     source, number, of, turn = (k.as_py() for k in key)
-    rows = rows.sort_by([("size", "descending"), ("_h", "ascending")])
+    rows = rows.sort_by([("size", "descending"), ("h", "ascending")])
     name = "" if source is None else f"s{source}"
     seed = zlib.crc32(f"{SEED}|{name}|{turn}|{number}".encode())
     p = flight(rows["p"].to_numpy(), rows["size"].to_numpy(), np.random.default_rng(seed), of == 1)
     return rows.set_column(rows.schema.get_field_index("p"), "p", pa.array(p, pa.float64()))
 
 
+def told_apart(sized: DataFrame) -> DataFrame:
+    """The rows with h, a hash that tells rows apart which are equal in all columns."""
+    alike = sized.groupBy(*sized.columns).agg(F.count("*").alias("n"))
+    parts = alike.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(ALIKE).cast("long"))))
+    each = parts.withColumn("number", F.explode(F.sequence("part", F.least(F.col("part") + ALIKE, F.col("n")) - 1)))
+    return each.select(*sized.columns, F.xxhash64(*sized.columns, "number").alias("h"))
+
+
 def mix(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), block: int = BLOCK) -> DataFrame:
     """Per row of docs: the kept columns, source, size, source_size, target, copies, taken."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    sized = written(docs.select(*keep, *[c for c in ["source"] if c not in keep], word_count().alias("size")))
-    plan = targets(sized)
+    kept = {f"k{i}": c for i, c in enumerate(keep)}  # names of its own for the caller's columns
+    sized = written(told_apart(docs.select(*[F.col(c).alias(k) for k, c in kept.items()], "source", word_count().alias("size"))))
+    middle = sized.where("size > 0").groupBy("source").agg(F.percentile_approx("size", 0.5).alias("middle"))
+    plan = targets(sized).join(middle.withColumnRenamed("source", "m"), F.col("source").eqNullSafe(F.col("m")), "left").drop("m")
     due = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(CAP))).otherwise(0.0)
     whole = F.floor(due + EPS)
-    joined = sized.join(plan.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    current = joined.withColumns({"base": whole.cast("long"), "p": F.greatest(due - whole, F.lit(0.0)), "_h": F.xxhash64(*keep)})
+    joined = sized.join(plan.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    waits = (F.col("size") > 0) & (F.col("size") <= F.col("middle")) & (F.pmod(F.xxhash64("h", F.lit("wait")), F.col("docs")) < 2 * WAITING)
+    current = joined.withColumns({"base": whole.cast("long"), "p": F.greatest(due - whole, F.lit(0.0)), "waits": F.coalesce(waits, F.lit(False))}).drop("middle")
     blocks = F.ceil(F.col("docs") / block)
     done, turn = None, 0
     while True:
-        open_rows = current.withColumns({"_round": F.lit(turn), "_n": blocks, "_block": F.pmod(F.xxhash64("_h", F.lit(turn)), blocks).cast("long")})
-        flown = written(open_rows.groupBy("source", "_block", "_n", "_round").applyInArrow(_fly, open_rows.schema))
+        turns = (blocks == 1) | ~F.col("waits")
+        part = F.pmod(F.xxhash64("h", F.lit(turn)), blocks).cast("long")
+        open_rows = current.where(turns).withColumns({"turn": F.lit(turn), "of": blocks, "number": part})
+        flown = written(open_rows.groupBy("source", "number", "of", "turn").applyInArrow(_fly, open_rows.schema)).drop("turn", "of", "number")
         settled = flown.where((F.col("p") == 0) | (F.col("p") == 1))
         done = settled if done is None else done.unionByName(settled)
-        current = flown.where((F.col("p") > 0) & (F.col("p") < 1)).drop("_round", "_n", "_block")
+        current = current.where(~turns).unionByName(flown.where((F.col("p") > 0) & (F.col("p") < 1)))
         turn += 1
         if current.isEmpty():
             break
         blocks = F.ceil(blocks * 2 / block)
     copies = (F.col("base") + F.col("p")).cast("long")
-    names = [*keep, *[c for c in ["source"] if c not in keep]]
+    names = [F.col(k).alias(c) for k, c in kept.items()] + [F.col("source")] * ("source" not in keep)
     return done.select(*names, "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 

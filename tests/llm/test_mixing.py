@@ -1,4 +1,6 @@
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from lodestrata.llm import mixing as M
 
@@ -58,6 +60,25 @@ def test_inclusion_is_unbiased():
     assert np.abs(mean - 0.3).max() < 0.06
 
 
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_every_source_meets_its_target_within_its_median_document(spark, sf):
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    for block in (M.BLOCK, 128):
+        by = M.mix(docs, block=block).groupBy("source").agg(F.abs(F.sum("taken") - F.first("target")).alias("miss"), F.median("size").alias("median"), F.max(F.col("taken") - 2 * F.col("size")).alias("over"))
+        rows = by.collect()
+        assert len(rows) >= 10 and all(r.over <= 0 and r.miss <= max(r.median, 1) for r in rows), [r for r in rows if r.miss > r.median]
+
+
+def test_ids_that_are_null_or_repeat_are_dealt_over_all_blocks(spark):
+    rows = spark.range(40_000).select(F.lit(None).cast("long").alias("k0"), F.lit("a").alias("source"), (F.col("id") % 7).alias("size"))
+    apart = M.told_apart(rows)
+    sizes = apart.groupBy(F.pmod(F.xxhash64("h", F.lit(0)), F.lit(20))).count().collect()
+    assert apart.count() == 40_000 and len(sizes) == 20 and max(r["count"] for r in sizes) < 2300
+    docs = spark.range(6_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("a").alias("source"), F.repeat(F.lit("w "), (F.col("id") % 9).cast("int")).alias("text"), F.lit(1).alias("h"), F.lit(2).alias("p"))
+    got = M.mix(docs, keep=("doc_id", "h", "p"), block=256).agg(F.sum("taken").alias("t"), F.first("target").alias("w"), F.count("*").alias("n")).first()
+    assert got.n == 6_000 and abs(got.t - got.w) <= 4
+
+
 def test_odd_rows(spark, documents, empty):
     got = M.mix(documents)
     assert got.count() == documents.count()
