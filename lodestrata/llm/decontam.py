@@ -6,9 +6,11 @@ is shorter, is a pattern. Words are numbered as they occur in the patterns, and
 number is written with DIGITS letters of BASE kinds (kinds of their own for each place, so
 that matches begin and end with words), which keeps nodes few and narrow; the automaton
 reads each normalised document once. Matches give word numbers, and these the byte offsets
-of the original text in ``spans``.
+of the original text in ``spans``, and the numbers of the patterns. Which items a pattern
+belongs to stays in a table, however many they are: it is joined to the distinct sets of
+patterns that documents hit, and a set's items run through their hash in order.
 
-An automaton holds the patterns of at most NODES words. A larger benchmark is dealt by
+An automaton holds the patterns of at most NODES letters. A larger benchmark is dealt by
 hash over as many automata as it needs; documents are scanned once for each, one broadcast
 after the other, and what they hit is merged by row: the same rows and spans.
 
@@ -21,6 +23,7 @@ word; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 import uuid
@@ -38,16 +41,16 @@ from lodestrata.llm.common import fresh, scan, texts, without_clash, written
 
 WINDOW = 10
 OUTPUT = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans")
-#: Words of the patterns that one automaton holds: some 150 bytes each in a worker.
-NODES = 2_000_000
-#: Letters of a word's number; BASE ** DIGITS is above NODES.
+#: Letters of the patterns that one automaton holds, as nodes some 80 bytes each in a worker.
+NODES = 2_500_000
+#: Letters of a word's number; BASE ** DIGITS is above NODES / DIGITS.
 BASE, DIGITS = 128, 3
 UNKNOWN = "\0" * DIGITS
 
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 _SPACED = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 RUN = pa.struct([("first", pa.int64()), ("last", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
-HITS = "runs array<struct<first:long,last:long,start:long,end:long>>, items array<string>"
+HITS = "runs array<struct<first:long,last:long,start:long,end:long>>, hits array<long>"
 
 
 def normal_words(text: bytes) -> list[bytes]:
@@ -66,39 +69,39 @@ def code(number: int) -> str:
 
 
 class Matcher:
-    """The automaton over (pattern, item ids) rows; a pattern is words with blanks between."""
+    """The automaton over (pattern, number) rows; a pattern is words with blanks between."""
 
-    def __init__(self, patterns: Iterable[tuple[bytes, Iterable[str]]]):
+    def __init__(self, patterns: Iterable[tuple[bytes, int]]):
         self.automaton = ahocorasick.Automaton()
         self.codes: dict[bytes, str] = {}
-        for pattern, ids in patterns:
+        for pattern, number in patterns:
             found = pattern.split()
             for w in found:
                 if w not in self.codes:
                     self.codes[w] = code(len(self.codes))
-            self.automaton.add_word("".join(map(self.codes.__getitem__, found)), (len(found), tuple(ids)))
+            self.automaton.add_word("".join(map(self.codes.__getitem__, found)), (len(found), number))
         if self.codes:
             self.automaton.make_automaton()
 
-    def match(self, found: list[bytes]) -> tuple[np.ndarray, set[str]]:
-        """Numbers of hit words, ids of the items with an occurring window."""
-        items: set[str] = set()
+    def match(self, found: list[bytes]) -> tuple[np.ndarray, set[int]]:
+        """Numbers of hit words, numbers of the patterns that occur."""
+        known: set[int] = set()
         hits = list(self.automaton.iter("".join(map(self.codes.get, found, repeat(UNKNOWN))))) if self.codes and found else []
         if not hits:
-            return np.zeros(0, np.int64), items
+            return np.zeros(0, np.int64), known
         delta = np.zeros(len(found) + 1, np.int64)
-        for end, (n, ids) in hits:
+        for end, (n, number) in hits:
             last = end // DIGITS
             delta[last - n + 1] += 1
             delta[last + 1] -= 1
-            items.update(ids)
-        return np.flatnonzero(np.cumsum(delta[:-1])), items
+            known.add(number)
+        return np.flatnonzero(np.cumsum(delta[:-1])), known
 
 
 _built: dict[str, Matcher] = {}
 
 
-def _matcher(patterns: list[tuple[bytes, list[str]]], key: str) -> Matcher:
+def _matcher(patterns: list[tuple[bytes, int]], key: str) -> Matcher:
     """Built once in a worker process, which holds one at a time."""
     if key not in _built:
         _built.clear()
@@ -107,7 +110,7 @@ def _matcher(patterns: list[tuple[bytes, list[str]]], key: str) -> Matcher:
 
 
 def patterns(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(pattern, ids): every window once, with the ids of its items as strings."""
+    """(pattern, item): every window of every item, ids as strings."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids, found = batch.column("item").to_pylist(), [windows(t, window) for t in texts(batch)]
@@ -115,30 +118,31 @@ def patterns(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows], pa.binary()), pa.array([i for _, i in rows], pa.string())], names=["pattern", "item"])
 
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), "text")
-    return scan(items, run, "pattern binary, item string", "item", "text").groupBy("pattern").agg(F.collect_set("item").alias("ids"))
+    return scan(items, run, "pattern binary, item string", "item", "text")
 
 
 def _scanned(docs: DataFrame, held: DataFrame, keep: tuple[str, ...], every: bool) -> DataFrame:
-    """The kept columns, n_words, runs of hit words and items; every row, or those with hits."""
-    sent = docs.sparkSession.sparkContext.broadcast([(bytes(r.pattern), list(r.ids)) for r in held.collect()])  # at most NODES words
+    """The kept columns, n_words, runs of hit words and pattern numbers; every row, or those
+    with hits."""
+    sent = docs.sparkSession.sparkContext.broadcast([(bytes(r.pattern), r.number) for r in held.collect()])  # at most NODES letters
     key = uuid.uuid4().hex
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         matcher = _matcher(sent.value, key)
-        n_words, runs, items = [], [], []
+        n_words, runs, hits = [], [], []
         for text in texts(batch):
             found = normal_words(text)
-            hit, ids = matcher.match(found)
+            hit, known = matcher.match(found)
             n_words.append(len(found))
-            items.append(sorted(ids))
+            hits.append(sorted(known))
             own = []
             if len(hit):
                 at = [m.span() for m in _WORD.finditer(text)]
                 for part in np.split(hit, np.flatnonzero(np.diff(hit) > 1) + 1):
                     own.append({"first": part[0], "last": part[-1], "start": at[part[0]][0], "end": at[part[-1]][1]})
             runs.append(own)
-        arrays = [*(batch.column(k) for k in keep), pa.array(n_words, pa.int64()), pa.array(runs, pa.list_(RUN)), pa.array(items, pa.list_(pa.string()))]
-        out = pa.RecordBatch.from_arrays(arrays, names=[*keep, "n_words", "runs", "items"])
+        arrays = [*(batch.column(k) for k in keep), pa.array(n_words, pa.int64()), pa.array(runs, pa.list_(RUN)), pa.array(hits, pa.list_(pa.int64()))]
+        out = pa.RecordBatch.from_arrays(arrays, names=[*keep, "n_words", "runs", "hits"])
         return out if every else out.filter(pa.array([bool(r) for r in runs], pa.bool_()))
 
     kept = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
@@ -146,7 +150,7 @@ def _scanned(docs: DataFrame, held: DataFrame, keep: tuple[str, ...], every: boo
 
 
 def _merged(hits: DataFrame, row: str) -> DataFrame:
-    """One row a document: runs that meet or overlap become one, items once."""
+    """One row a document: runs that meet or overlap become one, patterns once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,38 +164,82 @@ def _merged(hits: DataFrame, row: str) -> DataFrame:
                     else:
                         own.append(r)
                 out.append(own)
-            yield pa.RecordBatch.from_arrays([batch.column(row), pa.array(out, pa.list_(RUN)), batch.column("items")], names=[row, "runs", "items"])
+            yield pa.RecordBatch.from_arrays([batch.column(row), pa.array(out, pa.list_(RUN)), batch.column("hits")], names=[row, "runs", "hits"])
 
-    met = hits.groupBy(row).agg(F.flatten(F.collect_list("runs")).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    met = hits.groupBy(row).agg(F.flatten(F.collect_list("runs")).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("hits"))
     return met.mapInArrow(run, f"{row} long, {HITS}")
 
 
+def _found(docs: DataFrame, known: DataFrame, keep: tuple[str, ...], window: int, nodes: int) -> DataFrame:
+    """The kept columns, n_words, runs and hits of every row. known: pattern, number."""
+    automata = math.ceil(known.count() * window * DIGITS / nodes)
+    part = lambda i: known.where(F.pmod(F.xxhash64("pattern"), F.lit(max(1, automata))) == i)
+    if automata <= 1:
+        return _scanned(docs, part(0), keep, every=True)
+    row = fresh(docs, "_row")[0]
+    keyed = written(docs.select(*dict.fromkeys((*keep, "text"))).withColumn(row, F.monotonically_increasing_id()))
+    first = written(_scanned(keyed, part(0), (*keep, row), every=True))
+    more = [written(_scanned(keyed, part(i), (row,), every=False)) for i in range(1, automata)]
+    hits = reduce(DataFrame.unionByName, (x.select(row, "runs", "hits") for x in (first.where(F.size("runs") > 0), *more)))
+    found = first.drop("runs", "hits").join(_merged(hits, row), row, "left")
+    return found.withColumns({c: F.coalesce(c, F.array().cast(t)) for c, t in (x.split(" ", 1) for x in HITS.split(", "))}).drop(row)
+
+
+def _numbered(benchmark: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
+    """The patterns (pattern, number), and all windows (pattern, item)."""
+    each = written(patterns(benchmark, window))
+    return written(each.select("pattern").distinct().withColumn("number", F.monotonically_increasing_id())), each
+
+
+def _items(sets: DataFrame, owners: DataFrame) -> DataFrame:
+    """key, n_items, items_sha256 of sets (key, hits) of patterns. owners: number, item."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, item, count, digest = None, None, 0, None
+        for batch in batches:
+            done = []
+            for key, name in zip(batch.column("key").to_pylist(), batch.column("item").to_pylist(), strict=True):
+                if key != last:
+                    if last is not None:
+                        done.append((last, count, digest.hexdigest()))
+                    last, count, digest = key, 1, hashlib.sha256(name.encode())
+                elif name != item:
+                    count += 1
+                    digest.update(b"," + name.encode())
+                item = name
+            yield _rows(done)
+        yield _rows([] if last is None else [(last, count, digest.hexdigest())])
+
+    def _rows(done: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*done, strict=True)) or [()] * 3
+        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.string()), strict=True)], names=["key", "n_items", "items_sha256"])
+
+    each = sets.select("key", F.explode("hits").alias("number")).join(owners, "number").select("key", "item")
+    return each.repartition("key").sortWithinPartitions("key", "item").mapInArrow(run, "key string, n_items long, items_sha256 string")
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep: tuple[str, ...] = ("doc_id",), nodes: int = NODES) -> DataFrame:
     """Per row of docs: the kept columns, n_words, n_hit, n_items, items_sha256,
     contaminated, and hit ``spans`` as byte offsets [start, end) of the original text."""
-    known = written(patterns(benchmark, window))
-    automata = math.ceil(known.count() * window / nodes)
-    part = lambda i: known.where(F.pmod(F.xxhash64("pattern"), F.lit(max(1, automata))) == i)
-    if automata <= 1:
-        found = _scanned(docs, part(0), keep, every=True)
-    else:
-        row = fresh(docs, "_row")[0]
-        keyed = written(docs.select(*dict.fromkeys((*keep, "text"))).withColumn(row, F.monotonically_increasing_id()))
-        first = written(_scanned(keyed, part(0), (*keep, row), every=True))
-        more = [written(_scanned(keyed, part(i), (row,), every=False)) for i in range(1, automata)]
-        hits = reduce(DataFrame.unionByName, (x.select(row, "runs", "items") for x in (first.where(F.size("runs") > 0), *more)))
-        found = first.drop("runs", "items").join(_merged(hits, row), row, "left")
-        found = found.withColumns({c: F.coalesce(c, F.array().cast(t)) for c, t in (x.split(" ", 1) for x in HITS.split(", "))})
+    known, each = _numbered(benchmark, window)
+    found = written(_found(docs, known, keep, window, nodes))
     n_hit = F.aggregate("runs", F.lit(0).cast("long"), lambda n, r: n + r["last"] - r["first"] + 1)
     spans = F.transform("runs", lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end")))
-    return found.select(*keep, "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("runs") > 0).alias("contaminated"), spans.alias("spans"))
+    hit = F.size("runs") > 0
+    keyed = found.where(hit).withColumn("key", F.sha2(F.array_join("hits", ","), 256))
+    owners = each.where("item IS NOT NULL").join(known, "pattern").select("number", "item")
+    items = _items(keyed.select("key", "hits").dropDuplicates(["key"]), owners)
+    nothing = {"n_items": F.lit(None).cast("long"), "items_sha256": F.lit(None).cast("string")}
+    whole = found.where(~hit).withColumns(nothing).unionByName(keyed.join(items, "key", "left").drop("key"))
+    return whole.select(*keep, "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), hit.alias("contaminated"), spans.alias("spans"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, nodes: int = NODES) -> DataFrame:
     """The documents without a hit word, with the columns of docs."""
-    own = without_clash(docs, (*OUTPUT, "runs", "items"))
+    own = without_clash(docs, (*OUTPUT, "runs", "hits", "key"))
     keep = tuple(own.columns)
-    return contamination(own, benchmark, window, keep=keep, nodes=nodes).where(~F.col("contaminated")).select(*keep).toDF(*docs.columns)
+    found = _found(own, _numbered(benchmark, window)[0], keep, window, nodes)
+    return found.where(F.size("runs") == 0).select(*keep).toDF(*docs.columns)
 
 
 SQL = r"""

@@ -1,6 +1,8 @@
 import hashlib
 import re
 
+from pyspark.sql import functions as F
+
 from lodestrata.llm import decontam as D
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -44,6 +46,19 @@ def test_against_brute_force_both_ways(spark, empty):
     assert D.contamination(docs, none).where("contaminated").count() == 0
 
 
+def test_a_window_of_many_items_stays_in_its_table(spark):
+    """One window shared by many items: what is broadcast and built does not grow with them."""
+    shared = "one two three four five six seven eight nine ten"
+    bench = spark.range(60_000).select(F.col("id").alias("item_id"), F.concat(F.lit(shared + " own"), (F.col("id") % 50).cast("string")).alias("text"))
+    known, each = D._numbered(bench, 10)
+    assert known.count() == 51 and each.count() == 120_000
+    docs = spark.createDataFrame([(1, shared), (2, "x " + shared + " own7 y"), (3, shared + "!"), (4, "none")], "doc_id long, text string")
+    rows = {r.doc_id: r for r in D.contamination(docs, bench).collect()}
+    all_ids = hashlib.sha256(",".join(sorted(map(str, range(60_000)))).encode()).hexdigest()
+    assert {(rows[i].n_items, rows[i].items_sha256) for i in (1, 2, 3)} == {(60_000, all_ids)}
+    assert [rows[i].n_hit for i in (1, 2, 3, 4)] == [10, 11, 10, 0] and rows[4].n_items == 0
+
+
 def test_spans_map_to_the_original(spark):
     text = "Intro: The QUICK brown fox-jumps over the lazy dog, and then end"
     bench = spark.createDataFrame(ITEMS[:1], "item_id long, text string")
