@@ -6,14 +6,15 @@ belong to regions, the nearest sectioning ancestors. Ratios are smoothed with a
 along a region's lines; a region has the mean of its smoothed ratios, weighed by
 characters. What markup says of a region is a factor on that mean, not a verdict: NAMED
 for each ancestor whose class or id is made up of names of adverts, notices, comments and
-the like, BESIDE outside of article and main elements on a page that has any, and DIV for
-a plain division inside of them. A threshold then clusters regions into content and rest:
-SHARE of the best mean; on pages without article or main also SPREAD standard deviations
-of the ratios, and links must not be the greater part. The best region is content (of
-equal ones the longer, then the first); a named one only if it lies in an article or main
-or has LEAST_LAYOUT characters, as a page's layout would. Scripts, styles, forms, menus,
-page headers and footers, asides and what is marked hidden are closed with their whole
-subtree. Nothing is dropped within a region.
+the like, BESIDE outside of article and main elements on a page that has any. A threshold
+then clusters regions into content and rest: SHARE of the best mean; on pages without
+article or main also SPREAD standard deviations of the ratios, and links must not be the
+greater part. The best region is content (of equal ones the longer, then the first); a named
+one only if it lies in an article or main or holds further named ones, as a page's layout
+does. What stands in an article or main without a name of its own stays, whatever its
+length; on other pages so does what stands in the smallest region that holds nearly all of
+the content. Scripts, styles, forms, menus, page headers and footers, asides and what is
+marked hidden are closed with their whole subtree. Nothing is dropped within a region.
 
 Cases: null and empty pages, and pages without content, give an empty text; unclosed
 and stray tags are repaired as a browser would (an open paragraph ends at the next
@@ -26,6 +27,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -36,12 +38,14 @@ from lodestrata.llm.common import scan
 SIGMA = 1.5
 #: Share of the best region's mean ratio that content has.
 SHARE = 0.005
-#: Factors on a region's mean: per named ancestor, beside article and main, a division inside them.
-NAMED, BESIDE, DIV = 1e-5, 1e-8, 1 / 32
+#: Factors on a region's mean: per named ancestor, beside article and main.
+NAMED, BESIDE = 1e-5, 1e-8
 #: Without article or main: this share of the ratios' standard deviation, this share of link text.
 SPREAD, LINK_SHARE = 0.5, 0.5
-#: Characters that a named region without an article or main must have to count as the page's layout.
-LEAST_LAYOUT = 200
+#: Share of the content's characters that its smallest common region holds.
+NEARLY = 0.8
+#: Unclosed formatting elements of a kind that go on in the next block, as in browsers.
+GO_ON = 3
 
 #: Kinds of HTML elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -67,12 +71,13 @@ def names(value: str) -> bool:
 
 
 class Region:
-    """Named ancestors, whether in an article or main, whether a plain division."""
+    """Named ancestors, whether in an article or main, the region around it, whether other
+    named regions lie inside."""
 
-    __slots__ = ("named", "content", "div")
+    __slots__ = ("named", "content", "around", "layout")
 
-    def __init__(self, named: int, content: bool, div: bool):
-        self.named, self.content, self.div = named, content, div
+    def __init__(self, named: int, content: bool, around: int):
+        self.named, self.content, self.around, self.layout = named, content, around, False
 
 
 class _Lines(HTMLParser):
@@ -81,8 +86,9 @@ class _Lines(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, bool, bool, bool]] = []  # tag, closed, a region, named
+        self.count: Counter = Counter()  # open elements by tag
         self.hidden = self.links = self.content = self.named = 0
-        self.all = [Region(0, False, False)]
+        self.all = [Region(0, False, -1)]
         self.regions = [0]
         self.lines: list[tuple[str, int, int, int]] = []
         self.parts: list[str] = []
@@ -118,13 +124,17 @@ class _Lines(HTMLParser):
                     hides = True
         region = named or tag in REGIONS
         self.open.append((tag, hides, region, named))
+        self.count[tag] += 1
         self.hidden += hides
         self.content += tag in CONTENT
         self.links += tag == "a"
         self.named += named
         if region:
+            around = self.regions[-1]
             self.regions.append(len(self.all))
-            self.all.append(Region(self.named, self.content > 0, tag == "div"))
+            self.all.append(Region(self.named, self.content > 0, around))
+            if named:
+                self.all[around].layout = True
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -135,19 +145,27 @@ class _Lines(HTMLParser):
         elif tag == "br":
             self.parts.append(" ")
         self.tags += 1
-        if any(x[0] == tag for x in self.open):
+        if self.count[tag]:
             while self._pop() != tag:
                 pass
 
     def _close(self, tags: set[str], bounds: frozenset[str] | set[str]) -> None:
         """Close the nearest open element of these tags, unless a bound lies between."""
+        if not any(self.count[t] for t in tags):
+            return
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i][0] in tags:
-                inline = [x for x in self.open[i + 1 :] if x[0] not in BLOCKS and not x[1]]
-                while len(self.open) > i:
+                inline, kinds = [], Counter()
+                while len(self.open) > i + 1:
+                    x = self.open[-1]
                     self._pop()
-                for x in inline:  # as browsers do, unclosed formatting goes on
+                    if x[0] not in BLOCKS and not x[1] and kinds[x[0]] < GO_ON:
+                        kinds[x[0]] += 1
+                        inline.append(x)
+                self._pop()
+                for x in reversed(inline):  # as browsers do, unclosed formatting goes on
                     self.open.append(x)
+                    self.count[x[0]] += 1
                     self.links += x[0] == "a"
                 return
             if self.open[i][0] in bounds:
@@ -155,6 +173,7 @@ class _Lines(HTMLParser):
 
     def _pop(self) -> str:
         tag, hides, region, named = self.open.pop()
+        self.count[tag] -= 1
         self.hidden -= hides
         self.content -= tag in CONTENT
         self.links -= tag == "a"
@@ -211,15 +230,40 @@ def chosen(lines: list[tuple[str, int, int, int]], regions: list[Region]) -> set
         chars[k], linked[k] = sum(sizes), sum(lines[i][2] for i in at)
         smooth = sum(s * n for s, n in zip(_smooth([ratios[i] for i in at]), sizes)) / chars[k]
         mean[k] = smooth * NAMED**r.named * (BESIDE if any_content and not r.content else 1.0)
-    able = [k for k in held if not regions[k].named or regions[k].content or chars[k] >= LEAST_LAYOUT]
+    able = [k for k in held if not regions[k].named or regions[k].content or regions[k].layout]
     if not able:
         return set()
     best = max(able, key=lambda k: (mean[k], chars[k]))
+    least = min((regions[k].named for k in able if regions[k].content), default=0)
     if any_content:
-        return {k for k in held if k == best or mean[k] * (DIV if regions[k].div else 1.0) >= SHARE * mean[best]}
+        return {k for k in held if k == best or mean[k] >= SHARE * mean[best] or regions[k].content and regions[k].named == least}
     average = sum(ratios) / len(ratios)
     threshold = max(SHARE * mean[best], min(mean[best], SPREAD * math.sqrt(sum((r - average) ** 2 for r in ratios) / len(ratios))))
-    return {k for k in held if k == best or linked[k] <= LINK_SHARE * chars[k] and mean[k] >= threshold}
+    sure = {k for k in held if k == best or linked[k] <= LINK_SHARE * chars[k] and mean[k] >= threshold}
+    inside = _within(_common(sure, chars, regions), regions)
+    return sure | {k for k in held if k in inside and regions[k].named <= regions[best].named and linked[k] <= LINK_SHARE * chars[k]}
+
+
+def _common(sure: set[int], chars: dict[int, int], regions: list[Region]) -> int:
+    """The smallest region that holds NEARLY all characters of the sure ones; regions are
+    numbered from the outside in."""
+    holds = [0] * len(regions)
+    for k in sure:
+        holds[k] = chars[k]
+    for k in range(len(regions) - 1, 0, -1):
+        holds[regions[k].around] += holds[k]
+    return max(k for k in range(len(regions)) if holds[k] >= NEARLY * holds[0])
+
+
+def _within(top: int, regions: list[Region]) -> set[int]:
+    """The region and those inside of it; none if it is the whole page."""
+    if top == 0:
+        return set()
+    inside = {top}
+    for k in range(top + 1, len(regions)):
+        if regions[k].around in inside:
+            inside.add(k)
+    return inside
 
 
 def extract(html: str | None) -> str:

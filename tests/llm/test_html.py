@@ -1,5 +1,6 @@
 import html as entities
 import re
+import time
 
 import pytest
 
@@ -53,14 +54,29 @@ def test_reference_lists_of_an_article_stay():
 LONG = "<p>" + "Some long sentence of the text. " * 9 + "</p>"
 
 
-def test_ratio_decides_inside_the_article():
-    advert = '<div class="x">Buy it now at the shop.</div>'
-    assert "Buy" not in extract(f"<article>{LONG}{advert}{LONG}<p>Ok.</p></article>")
-    assert "Ok." in extract(f"<article>{LONG}{advert}{LONG}<p>Ok.</p></article>")
-    assert "Buy" in extract(f"<article>{LONG}{advert.replace('Buy', 'Buy words, ' * 30)}{LONG}</article>")
+def test_nothing_of_an_article_is_lost():
+    """Short blocks without a name of their own stay; named ones go."""
+    for block, text in (("<div>He said no.</div>", "He said no."), ('<div class="caption">A view.</div>', "A view."), ('<div class="highlight"><pre>x = 1</pre></div>', "x = 1"), ('<div class="x">Buy it now.</div>', "Buy it now."), ("<table><tr><td>1</td></tr></table>", "1")):
+        assert text in extract(f"<article>{LONG}{block}{LONG}<p>Ok.</p></article>").split("\n\n")
+    assert "Buy" not in extract(f'<article>{LONG}<div class="ad-slot"><div>Buy it now.</div></div></article>')
+    assert "Buy" not in extract(f'<article>{LONG}</article><div class="x">{LONG.replace("Some", "Buy")}</div>')
     assert extract(f'<article>{LONG}<p class="share-price">12 p.</p><section class="social-policy"><h2>Policy</h2></section></article>').endswith("12 p.\n\nPolicy")
 
 
+def test_short_blocks_of_a_page_built_of_divisions_stay():
+    menu = "".join(f'<div><a href="/{i}">Item {i}</a></div>' for i in range(20))
+    text = "<div>He said no.</div>".join(f"<div>{'Some long sentence of the text. ' * 9}</div>" for _ in range(4))
+    got = extract(f'<body><div>{menu}</div><div><h1>A title</h1>{text}<div class="comments"><p>{"I disagree. " * 20}</p></div></div><div>Short end</div></body>').split("\n\n")
+    assert got[0] == "A title" and got.count("He said no.") == 3 and len(got) == 8
+
+
+@pytest.mark.parametrize("page", ["<b>" * 100_000 + "x" + "</i>" * 1000, "<div>" * 100_000 + "x", "<p><b>" * 50_000 + "x", "<ul><li><i>" * 30_000 + "x", "<span>" * 50_000 + "</div><p>x" * 2000])
+def test_deep_nesting_takes_linear_time(page):
+    began = time.process_time()
+    assert "x" in extract(page)
+    assert time.process_time() - began < 4
+
+
 def plain(page):
     """Blocks of a page's one article, with regular expressions alone."""
     inside = re.search("<article>(.*)</article>", page, re.S)[1]
@@ -78,3 +94,15 @@ def test_pages_against_plain_reading(spark, sf_dir, monkeypatch):
 def test_named_regions_alone_are_no_text():
     assert extract('<div class="ad">Buy now</div>') == "" and extract('<div class="cookie-notice"><p>We use cookies</p></div><p>Text.</p>') == "Text."
     assert extract('<div class="AD-slot">Buy now</div><article><p>a</p></article>') == "a"
+
+
+def test_ratios_decide_where_markup_says_nothing(spark, sf_dir, monkeypatch):
+    """Pages without names and sectioning elements: no text is lost, and it is the smoothed
+    ratios that keep out what is around it."""
+    pages = [r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()]
+    bare = [re.sub(r"<(/?)(article|nav|aside|footer|header|section|main)\b", r"<\1div", re.sub(r'\s(class|id|role)="[^"]*"', "", p)) for p in pages]
+    got, want = [extract(p).split("\n\n") for p in bare], [plain(p).split("\n\n") for p in pages]
+    assert all(set(w) <= set(g) for g, w in zip(got, want, strict=True))
+    exact = sum(g == w for g, w in zip(got, want, strict=True))
+    monkeypatch.setattr(html_extract, "_smooth", lambda values: [1.0] * len(values))
+    assert exact > 0 == sum(extract(p).split("\n\n") == w for p, w in zip(bare, want, strict=True))
