@@ -109,7 +109,7 @@ class Languages:
             for t in train[name]:
                 f = fold(t)
                 if used and used + len(f) > share:
-                    break
+                    continue  # the next text that fits
                 parts.append(np.concatenate((f, [10])))
                 used += len(f) + 1
             corpora.append(np.concatenate(parts)[: max(share, 1)] if parts else np.zeros(0, np.uint32))

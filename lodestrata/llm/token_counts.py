@@ -32,8 +32,8 @@ FOLDER = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Fixed value: the split pattern that belongs to that vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Pieces whose lengths a worker remembers.
-REMEMBERED = 400_000
+#: Pieces whose lengths a worker remembers, and the characters of the longest of them.
+REMEMBERED, LONGEST = 400_000, 64
 
 
 class Encoder:
@@ -57,10 +57,15 @@ class Encoder:
             pass
         if len(known) > REMEMBERED:
             known.clear()
+        total = 0
         for p in pieces:
-            if p not in known:
-                known[p] = len(self.encoding.encode_ordinary(p))
-        return sum(map(known.__getitem__, pieces))
+            n = known.get(p)
+            if n is None:
+                n = len(self.encoding.encode_ordinary(p))
+                if len(p) <= LONGEST:
+                    known[p] = n
+            total += n
+        return total
 
 
 _built: dict[str, Encoder] = {}

@@ -25,8 +25,10 @@ smallest page_id are responses alike; null urls have no target header, line brea
 urls are percent-coded; an empty table gives archives without records; payloads of up to
 2 GiB, Arrow's bound for one value, are written and read whole; a record whose
 Content-Length is missing or no number has no payload, and reading goes on at the next
-line that begins with ``WARC/``; an archive cut short gives what it holds; other columns
-are ignored.
+line that begins with ``WARC/``; an archive cut short gives what it holds; what lies between
+gzip members is passed over; a member that cannot be inflated gives a row of the type
+``damaged`` with file and place in record_id, and reading goes on at the next member; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -176,6 +178,14 @@ def _listed(fs: pafs.FileSystem, root: str) -> list[str]:
     return sorted(x.path[len(root) + 1 :] for x in info if x.type == pafs.FileType.File and re.search(r"\.warc(\.gz)?$", x.path))
 
 
+#: Fixed value: how a gzip member begins.
+MAGIC = b"\x1f\x8b\x08"
+
+
+class Damaged(ValueError):
+    """A member that cannot be inflated, by its place in the archive."""
+
+
 class _Plain:
     """Bytes of an uncompressed archive."""
 
@@ -201,26 +211,55 @@ class _Members:
         self.given = 0  # bytes of this member that were handed out or passed over
 
     def _next_member(self) -> bool:
-        self.start = self.f.tell() - len(self.raw)
+        while True:
+            if len(self.raw) < 32:
+                self.raw += self.f.read(_READ)
+            at = self.raw.find(MAGIC)
+            if at >= 0:
+                break
+            tail = self.raw[-2:]  # padding, or the end
+            self.raw = self.f.read(_READ)
+            if not self.raw:
+                return False
+            self.raw = tail + self.raw
+        self.raw = self.raw[at:]
         if len(self.raw) < 32:
             self.raw += self.f.read(_READ)
-        if self.raw[:2] != b"\x1f\x8b":  # the end, or padding
-            return False
+        self.start = self.f.tell() - len(self.raw)
         self.size = self.whole = 0
         if self.raw[3] & 4 and self.raw[12:14] == b"sl":
             self.size, self.whole = struct.unpack("<II", self.raw[16:24])
         self.z, self.given = zlib.decompressobj(31), 0
         return True
 
+    def _go_on(self) -> bool:
+        """Look for a member after the start of this one; if there is one, leave this one."""
+        self.f.seek(self.start + 1)
+        tail = b""
+        while data := self.f.read(_READ):
+            if MAGIC in tail + data:
+                self.f.seek(self.start + 1)
+                self.raw, self.plain, self.z = b"", b"", None
+                return True
+            tail = data[-2:]
+        return False
+
     def _more(self, n: int) -> bool:
         """Some n more plain bytes of this member."""
         if self.z is None or self.z.eof:
             return False
         if not self.raw:
             self.raw = self.f.read(_READ)
-            if not self.raw:
+            if not self.raw:  # the archive ends in this member, cut short unless others follow its start
+                if self._go_on():
+                    raise Damaged(self.start)
                 return False
-        self.plain += self.z.decompress(self.raw, n)
+        try:
+            self.plain += self.z.decompress(self.raw, n)
+        except zlib.error as e:
+            if not self._go_on():
+                self.raw, self.plain, self.z = b"", b"", None  # at the end
+            raise Damaged(self.start) from e
         self.raw = self.z.unused_data if self.z.eof else self.z.unconsumed_tail
         return True
 
@@ -302,24 +341,38 @@ class WarcReader(DataSourceReader):
         held = 0
         with io.BufferedReader(fs.open_input_file(path), _READ) as f:
             source = (_Members if path.endswith(".gz") else _Plain)(f)
-            while line := source.line():
-                if not line.startswith(b"WARC/"):
-                    continue
-                head = _headers(source)
-                length = int(x) if re.fullmatch("[0-9]{1,18}", x := head.get("content-length", "")) else 0
-                row = {"record_type": head.get("warc-type"), "record_id": head.get("warc-record-id"), "target_uri": head.get("warc-target-uri"), "page_id": _page(head.get("warc-record-id")), "refers_to": _page(head.get("warc-refers-to"))}
-                wanted = self._wanted(row)
-                if wanted:
-                    rows.append(row | self._body(source.read(length), head))
-                    held += len(rows[-1]["payload"] or b"") + 512
-                else:
-                    source.skip(length)
+            while True:
+                try:
+                    row = self._record(source)
+                except Damaged as e:
+                    row = dict.fromkeys(_ARROW.names) | {"record_type": "damaged", "record_id": f"{partition.file}#{e.args[0]}"}
+                    row = row if self._wanted(row) else {}
+                if row is None:
+                    break
+                if row:
+                    rows.append(row)
+                    held += len(row["payload"] or b"") + 512
                 if held >= _OUT:
                     yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
                     rows, held = [], 0
         if rows:
             yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
+    def _record(self, source) -> dict | None:
+        """The next record: a row if it is wanted, else empty; None at the end."""
+        while line := source.line():
+            if line.startswith(b"WARC/"):
+                break
+        else:
+            return None
+        head = _headers(source)
+        length = int(x) if re.fullmatch("[0-9]{1,18}", x := head.get("content-length", "")) else 0
+        row = {"record_type": head.get("warc-type"), "record_id": head.get("warc-record-id"), "target_uri": head.get("warc-target-uri"), "page_id": _page(head.get("warc-record-id")), "refers_to": _page(head.get("warc-refers-to"))}
+        if self._wanted(row):
+            return row | self._body(source.read(length), head)
+        source.skip(length)
+        return {}
+
     def _body(self, block: bytes, head: dict[str, str]) -> dict:
         """Payload, its length and digest; those of a revisit are as its headers say."""
         payload, http = block, {}

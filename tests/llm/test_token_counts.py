@@ -19,6 +19,12 @@ def test_remembered_pieces_equal_whole_encoding(encoder, documents):
         assert encoder.length(t) == len(encoder.encoding.encode_ordinary(t))
 
 
+def test_long_pieces_are_not_remembered(encoder):
+    text = " ".join("x" * n + "y" for n in range(60, 3000, 97)) + " short"
+    assert encoder.length(text) == len(encoder.encoding.encode_ordinary(text))
+    assert max(map(len, encoder.known)) <= T.LONGEST and " short" in encoder.known
+
+
 def test_histogram_against_all_lengths(spark, documents, encoder):
     n = np.array(sorted(encoder.length(r.text or "") for r in documents.select("text").collect()))
     hist = T.histogram(T.encoded_lengths(documents))

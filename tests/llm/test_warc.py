@@ -92,6 +92,24 @@ def test_broken_records(spark, tmp_path):
     assert {r.payload_bytes for r in got if r.page_id == 1} == {0}
 
 
+def test_padding_and_damage_between_members(spark, tmp_path):
+    a, b, c = map(gzip.compress, records(3))
+    hurt = bytearray(b)
+    hurt[len(b) // 2 : len(b) // 2 + 8] = bytes(255 - x for x in hurt[len(b) // 2 : len(b) // 2 + 8])
+    (tmp_path / "padded.warc.gz").write_bytes(a + b"\0" * 700_000 + b + b"\0" * 5 + c + b"\0")
+    (tmp_path / "hurt.warc.gz").write_bytes(a + bytes(hurt) + c)
+    df = W.load(spark, str(tmp_path))
+    got = df.select("page_id", "record_type", "payload_bytes").collect()
+    assert sorted(r.page_id for r in got if r.record_type == "response") == [0, 0, 1, 2, 2]
+    lost = df.where("record_type = 'damaged'").collect()
+    assert [r.record_id for r in lost] == [f"{tmp_path}/hurt.warc.gz#{len(a)}"] and df.where("page_id = 2").count() == 2
+    last = bytearray(c)
+    last[10] = 0x07  # a block of a kind that there is none of
+    (tmp_path / "last").mkdir()
+    (tmp_path / "last" / "last.warc.gz").write_bytes(a + bytes(last))
+    assert sorted(r.record_type for r in W.load(spark, f"{tmp_path}/last").collect()) == ["damaged", "response"]
+
+
 def test_commits_side_by_side_and_aborts(spark, tmp_path):
     one, two = (W.WarcWriter({"path": str(tmp_path)}, False) for _ in range(2))
     batch = spark.createDataFrame([("response", None, "u", 1, None, 2, "d", b"ab")], W.SCHEMA).toArrow().to_batches()
