@@ -145,33 +145,41 @@ def clean(w: np.ndarray, cap: float) -> np.ndarray:
     return w
 
 
-def attain(mu, c, cap, target, se=None, rho=0.0, root=None, rho_e=0.0, tol=2e-4, gamma0=1.0, gamma_max=1e8, bisections=40) -> dict:
-    """Risk aversion at which the robust portfolio's volatility meets the target."""
-    vol = lambda w: float(np.sqrt(max(w @ c @ w, 0.0)))
-    at = lambda g: solve(mu, c, cap, gamma=g, se=se, rho=rho, root=root, rho_e=rho_e)
-    low, free = vol(minimum_variance(c, cap)), at(0.0)
-    top = vol(free)
-    bound = {"lower": low, "upper": top, "iterations": 0, "gamma": 0.0}
-    if target < low - tol:
-        return bound | {"status": "TARGET_NOT_ATTAINABLE", "reason": "below the minimum variance bound", "w": None}
-    if target > top + tol:
-        return bound | {"status": "TARGET_NOT_ATTAINABLE", "reason": "above the volatility without risk aversion", "w": None}
-    if abs(top - target) <= tol:
-        return bound | {"status": "ATTAINED", "reason": None, "w": free}
-    lo, hi, best, n = 0.0, gamma0, (abs(top - target), 0.0, free), 0
-    while vol(w := at(hi)) > target and hi < gamma_max:
-        best = min(best, (abs(vol(w) - target), hi, w), key=lambda b: b[0])
-        lo, hi, n = hi, hi * 2, n + 1
-    best = min(best, (abs(vol(w) - target), hi, w), key=lambda b: b[0])
-    for _ in range(bisections):
-        if best[0] <= tol / 10:
-            break
-        mid, n = (lo + hi) / 2, n + 1
-        w = at(mid)
-        best = min(best, (abs(vol(w) - target), mid, w), key=lambda b: b[0])
-        lo, hi = (mid, hi) if vol(w) > target else (lo, mid)
-    ok = best[0] <= tol
-    return bound | {"status": "ATTAINED" if ok else "TARGET_NOT_ATTAINABLE", "reason": None if ok else "bisection ended", "w": best[2] if ok else None, "iterations": n, "gamma": best[1]}
+def attain(mu, c, cap, target, se=None, rho=0.0, root=None, rho_e=0.0, tol=2e-4, farthest=18.5, stride=2.75, steps=40) -> dict:
+    """Risk aversion at which the robust portfolio's volatility meets the target: the root of
+    the gap between them in the aversion's logarithm, bracketed by strides from 0 and closed
+    in on by false position, halving the weight of an end that stays (Illinois)."""
+    tried: dict[float, tuple[float, np.ndarray]] = {}
+
+    def gap(x: float) -> float:
+        if x not in tried:
+            w = solve(mu, c, cap, gamma=float(np.exp(x)), se=se, rho=rho, root=root, rho_e=rho_e)
+            tried[x] = float(np.sqrt(max(w @ c @ w, 0.0))) - target, w
+        return tried[x][0]
+
+    gap(-np.inf)  # no aversion at all
+    least = minimum_variance(c, cap)
+    low, top = float(np.sqrt(least @ c @ least)), tried[-np.inf][0] + target
+    reason = "below the minimum variance bound" if target < low - tol else "above the volatility without risk aversion" if target > top + tol else None
+    if reason is None and abs(top - target) > tol:
+        a = b = 0.0
+        way = 1.0 if gap(0.0) > 0 else -1.0
+        while abs(b) < farthest and gap(b) * way > 0:
+            a, b = b, b + way * stride
+        fa, fb = gap(a), gap(b)
+        while fa * fb < 0 and len(tried) < steps and min(abs(g) for g, _ in tried.values()) > tol / 10:
+            x = (a * fb - b * fa) / (fb - fa)
+            f = gap(x)
+            if f * fb < 0:
+                a, fa = b, fb
+            else:
+                fa /= 2
+            b, fb = x, f
+    x, (miss, w) = min(tried.items(), key=lambda t: abs(t[1][0]))
+    if reason is None and abs(miss) > tol:
+        reason = "the search ended"
+    found = {"status": "ATTAINED", "w": w, "gamma": float(np.exp(x))} if reason is None else {"status": "TARGET_NOT_ATTAINABLE", "w": None, "gamma": 0.0}
+    return found | {"reason": reason, "lower": low, "upper": top, "iterations": len(tried) - 1}
 
 
 def risk_parity(c: np.ndarray, cap: float, rounds: int = 500) -> np.ndarray:

@@ -1,4 +1,5 @@
-"""Hand-calculated cases and properties of the panel engine."""
+"""Hand-calculated cases and properties of the panel engine. Numbers in the assertions are
+fixed values: worked out by hand, or what the definitions give."""
 
 import datetime as dt
 import math
