@@ -140,7 +140,7 @@ def mix(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), block: int = BLOCK
     kept = {f"k{i}": c for i, c in enumerate(keep)}  # names of its own for the caller's columns
     sized = written(told_apart(docs.select(*[F.col(c).alias(k) for k, c in kept.items()], "source", word_count().alias("size"))))
     middle = sized.where("size > 0").groupBy("source").agg(F.percentile_approx("size", 0.5).alias("middle"))
-    plan = targets(sized).join(middle.withColumnRenamed("source", "m"), F.col("source").eqNullSafe(F.col("m")), "left").drop("m")
+    plan = written(targets(sized).join(middle.withColumnRenamed("source", "m"), F.col("source").eqNullSafe(F.col("m")), "left").drop("m"))
     due = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(CAP))).otherwise(0.0)
     whole = F.floor(due + EPS)
     joined = sized.join(plan.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
