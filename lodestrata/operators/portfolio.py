@@ -115,6 +115,32 @@ def worst_means(weights: DataFrame, mu: DataFrame, se: DataFrame, mean_cov: Data
     return j.select("as_of", "asset", "weight", (F.col("mu") - rho * F.col("se") * F.signum("weight")).alias("box_mu"), (F.col("mu") - F.when(F.col("risk") > 0, rho * F.col("cw") / F.col("risk")).otherwise(0.0)).alias("ellipsoid_mu"))
 
 
+def solved_inner_problems(weights: DataFrame, mu: DataFrame, se: DataFrame, mean_cov: DataFrame, rho: float, kappa: float, steps: int = 60) -> DataFrame:
+    """as_of, model, closed, solved: the worst case by its closed form, and by solving the
+    inner problem without it. Box and diagonal split by asset, where the better of the two
+    ends is looked for. The ellipsoid is climbed: from an even start, each step goes along
+    the gradient, as far as the surface is from its middle, and back onto the surface."""
+    j = weights.join(mu, ["as_of", "asset"]).join(se, ["as_of", "asset"])
+    ends = j.withColumn("e", F.explode(F.array(F.lit(-1.0), F.lit(1.0))))
+    worst = ends.groupBy("as_of", "asset").agg(F.min(F.col("weight") * (F.col("mu") + F.col("e") * rho * F.col("se"))).alias("worst")).groupBy("as_of").agg(F.sum("worst").alias("solved"))
+    box = j.groupBy("as_of").agg(box_return(F.col("mu"), F.col("weight"), F.col("se"), rho).alias("closed")).join(worst, "as_of").withColumn("model", F.lit("box"))
+    wi = weights.select("as_of", F.col("asset").alias("asset_i"), F.col("weight").alias("wi"))
+    wj = weights.select("as_of", F.col("asset").alias("asset_j"), F.col("weight").alias("wj"))
+    cells = mean_cov.join(wi, ["as_of", "asset_i"]).join(wj, ["as_of", "asset_j"])
+    part, own = F.col("cov") * F.col("wi") * F.col("wj"), F.col("asset_i") == F.col("asset_j")
+    most = cells.withColumn("e", F.explode(F.when(own, F.array(F.lit(-1.0), F.lit(1.0))).otherwise(F.array(F.lit(0.0))))).groupBy("as_of", "asset_i", "asset_j").agg(F.max((1 + F.col("e") * kappa) * part).alias("most"))
+    diagonal = cells.groupBy("as_of").agg(F.sum(F.when(own, 1 + kappa).otherwise(1.0) * part).alias("closed")).join(most.groupBy("as_of").agg(F.sum("most").alias("solved")), "as_of").withColumn("model", F.lit("diagonal"))
+    rows = cells.groupBy("as_of", "asset_i", "wi").agg(F.transform(F.array_sort(F.collect_list(F.struct("asset_j", "cov"))), lambda x: x["cov"]).alias("row"))
+    packed = rows.groupBy("as_of").agg(F.array_sort(F.collect_list(F.struct("asset_i", "wi", "row"))).alias("x")).join(j.groupBy("as_of").agg(F.sum(F.col("mu") * F.col("weight")).alias("m")), "as_of")
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+    times = lambda y: F.transform("x", lambda r: dot(r["row"], y))
+    onto = lambda y: F.transform(y, lambda v: v / F.sqrt(dot(y, times(y))))
+    w = F.transform("x", lambda r: r["wi"])
+    top = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.transform("x", lambda r: F.lit(1.0)), lambda y, _: onto(F.zip_with(y, w, lambda a, b: a + b / F.col("g"))))
+    climbed = packed.withColumn("g", F.sqrt(dot(w, times(w)))).withColumn("y", top).select("as_of", F.lit("ellipsoid").alias("model"), (F.col("m") - rho * F.sqrt(dot(w, times(w)))).alias("closed"), (F.col("m") - rho * dot(w, times(F.col("y")))).alias("solved"))
+    return box.select("as_of", "model", "closed", "solved").unionByName(diagonal.select("as_of", "model", "closed", "solved")).unionByName(climbed)
+
+
 def capacity(assets: DataFrame, caps: list[float]) -> DataFrame:
     """as_of, cap, assets, feasible: whether the assets can hold 1 under the cap."""
     n = assets.groupBy("as_of").agg(F.count_distinct("asset").alias("assets"))

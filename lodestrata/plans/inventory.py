@@ -336,6 +336,16 @@ def _(t: Tables) -> DataFrame:
     return portfolio.worst_means(portfolio.equal_weight(_held(t)), mu, _errors(t), estimators.cov_sample(t.win, PER_YEAR, W), 1.5)
 
 
+@query("OPT16_solved_inner_problems", _INV + _MEANS + _SAMPLE.replace(", cov AS", ", covs AS") + _SE + """, cw AS (SELECT c.as_of, sum(cov * a.weight * b.weight) AS risk, sum(CASE WHEN c.asset_i = c.asset_j THEN 1.3 ELSE 1 END * cov * a.weight * b.weight) AS shifted FROM covs c JOIN iv a ON a.as_of = c.as_of AND a.asset = c.asset_i JOIN iv b ON b.as_of = c.as_of AND b.asset = c.asset_j GROUP BY 1),
+mw AS (SELECT iv.as_of, sum(mu * weight) AS m, sum(abs(se * weight)) AS box FROM iv JOIN mean ON mean.as_of = iv.as_of AND mean.asset = iv.asset AND method = 'sample' JOIN se ON se.as_of = iv.as_of AND se.asset = iv.asset GROUP BY 1),
+cl AS (SELECT mw.as_of, 'box' AS model, m - 1.5 * box AS closed FROM mw UNION ALL SELECT as_of, 'diagonal', shifted FROM cw UNION ALL SELECT mw.as_of, 'ellipsoid', m - 1.5 * sqrt(risk) FROM mw JOIN cw ON cw.as_of = mw.as_of)
+FINAL SELECT as_of, model, closed, closed AS solved FROM cl""", "closed solved")
+def _(t: Tables) -> DataFrame:
+    """Worst cases of inverse-volatility weights, by closed forms and by solving for them."""
+    mu = _means(t).where("method = 'sample'").drop("method")
+    return portfolio.solved_inner_problems(t.once(_inverse(t)), mu, _errors(t), estimators.cov_sample(t.win, PER_YEAR, W), 1.5, 0.3)
+
+
 @query("OPT18_model_problems", "SELECT as_of, model, uses_box, uses_diagonal, uses_ellipsoid FROM sched, (VALUES ('nominal', FALSE, FALSE, FALSE), ('box', TRUE, FALSE, FALSE), ('box_diagonal', TRUE, TRUE, FALSE), ('ellipsoid', FALSE, FALSE, TRUE)) m(model, uses_box, uses_diagonal, uses_ellipsoid)")
 def _(t: Tables) -> DataFrame:
     """Which uncertainty each model's problem takes in, per decision, from the stored inputs

@@ -7,7 +7,7 @@ import pytest
 
 import __spark_entry__ as entry
 
-SOME = ["SRC01_wide_csv_scan", "PRJ08_clean_returns", "PRJ10_quarter_schedule", "PRJ23_point_in_time_snapshot", "JN10_asof_join", "AGG05_interpolated_quantile", "EST06_cov_ewma", "EST07_cov_iewma", "EST09_cov_ledoit_wolf", "OPT03_inverse_volatility", "flagship_backtest", "INF03_intervals", "INF05_deflated_sharpe", "CLU01_correlation_distance", "REG01_regimes", "WIN03_expanding_median", "JN15_pair_join", "STR03_tumbling_windows", "OPT11_clean_weights", "OPT16_inner_problems", "EST08_iewma_diagonal_batch", "UDF02_cost_models", "UDF03_execution_clock", "SRC14_validated_artifacts", "BT03_asset_cost_rates", "BT03_refused_rates", "BT04_cost_factory", "BT05_target_validation", "BT08_state_invariants", "BT08_refused_states", "BT09_clock_returns", "JN03_join_on_strategy", "JN06_lookup_by_date_and_model", "JN12_scenario_grid", "OPT12_faulty_covariances", "PRJ19_found_by_guard", "FN01_math", "FN04_dates", "FN05_arrays_and_maps", "FN06_canonical_json", "FN08_normal_distribution", "EST19_covariance_methods"]
+SOME = ["SRC01_wide_csv_scan", "PRJ08_clean_returns", "PRJ10_quarter_schedule", "PRJ23_point_in_time_snapshot", "JN10_asof_join", "AGG05_interpolated_quantile", "EST06_cov_ewma", "EST07_cov_iewma", "EST09_cov_ledoit_wolf", "OPT03_inverse_volatility", "flagship_backtest", "INF03_intervals", "INF05_deflated_sharpe", "CLU01_correlation_distance", "REG01_regimes", "WIN03_expanding_median", "JN15_pair_join", "STR03_tumbling_windows", "OPT11_clean_weights", "OPT16_inner_problems", "EST08_iewma_diagonal_batch", "UDF02_cost_models", "UDF03_execution_clock", "SRC14_validated_artifacts", "BT03_asset_cost_rates", "BT03_refused_rates", "BT04_cost_factory", "BT05_target_validation", "BT08_state_invariants", "BT08_refused_states", "BT09_clock_returns", "JN03_join_on_strategy", "JN06_lookup_by_date_and_model", "JN12_scenario_grid", "OPT12_faulty_covariances", "PRJ19_found_by_guard", "FN01_math", "FN04_dates", "FN05_arrays_and_maps", "FN06_canonical_json", "FN08_normal_distribution", "EST19_covariance_methods", "BT06_asset_rate_factor", "INF01_index_matrix", "EST12_block_bootstrap_indices", "OPT20_stored_registry", "OPT16_solved_inner_problems", "UDF01_policy_functions", "SNK06_published_outputs", "STR01_information_boundary"]
 
 
 def norm(v):
