@@ -97,5 +97,5 @@ def test_registered(spark):
     import __spark_entry__ as e
 
     names = set(e.queries())
-    assert "pipeline" in names and {f"op{n}" for n in range(1, 11)} == {x.split("_")[0] for x in names if x.startswith("op")}
+    assert "pipeline" in names and {f"op{n}" for n in range(1, 14)} == {x.split("_")[0] for x in names if x.startswith("op")}
     assert set(e.oracle_sql()) <= names
