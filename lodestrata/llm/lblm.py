@@ -42,6 +42,7 @@ from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -60,6 +61,8 @@ SHARD_TOKENS, ROUNDS = 2_000_000, 2
 NOISE, INNER_NOISE, CHUNK, RATE, SEED = 24, 8, 8192, 0.1, 4
 #: Tokens that are scored at once.
 SCORED = 1 << 15
+#: Of these, tokens whose scores fit a core's cache.
+CACHED = 1 << 12
 #: Words whose counts are sent to every task, at most: 16 bytes each.
 LOCAL = 1 << 20
 #: Distinct words that a task counts or remembers before it lets go.
@@ -76,21 +79,34 @@ def words(text: bytes) -> list[bytes]:
 
 
 def sums(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    """Rows added up by their place ``at``, of n places."""
-    order = np.argsort(at.astype(np.int16), kind="stable")
-    places = at[order]
-    starts = np.flatnonzero(np.diff(places, prepend=-1))
-    out = np.zeros((n, rows.shape[1]), rows.dtype)
-    out[places[starts]] = np.add.reduceat(np.take(rows, order, axis=0), starts, axis=0)
-    return out
-
-
-def log_softmax_at(scores: np.ndarray, picked: np.ndarray) -> np.ndarray:
-    """Normalised log probability of the picked column of each row; scores are used up."""
-    scores -= scores.max(axis=1, keepdims=True)
-    own = scores[np.arange(len(picked)), picked]
+    """Rows of WIDTH added up by their place ``at``, of n places. Two columns are added at a
+    time, as the parts of a complex number."""
+    pairs = WIDTH // 2
+    out = np.zeros(n * pairs, np.complex64)
+    np.add.at(out, (at[:, None] * pairs + np.arange(pairs)).ravel(), rows.reshape(-1).view(np.complex64))
+    return out.view(np.float32).reshape(n, WIDTH)
+
+
+def log_softmax_at(vectors: np.ndarray, bias: np.ndarray, h: np.ndarray, picked: np.ndarray) -> np.ndarray:
+    """Normalised log probability of the vector picked for each row of h."""
+    scores = vectors @ h.T
+    scores += bias[:, None]
+    own = scores[picked, np.arange(len(picked))]
+    if scores.max() > 60 or own.min() < -60:  # else the sums of powers are far from the bounds of a float
+        top = scores.max(axis=0)
+        scores -= top
+        own -= top
     np.exp(scores, out=scores)
-    return own - np.log(scores.sum(axis=1))
+    return own - np.log(np.ones(len(vectors), np.float32) @ scores)
+
+
+def pushed(x: np.ndarray) -> np.ndarray:
+    """-1 / (1 + exp(-x)), in place of x."""
+    np.negative(x, out=x)
+    with np.errstate(over="ignore"):
+        np.exp(x, out=x)
+    x += 1
+    return np.divide(-1, x, out=x)
 
 
 class Network:
@@ -105,6 +121,10 @@ class Network:
         self.group, self.group_bias = draw(GROUPS, WIDTH), np.log(self.of_group).astype(np.float32)
         self.member = np.zeros((SYMBOLS, WIDTH), np.float32)
         self.member_bias = np.log(np.maximum(self.of_member.ravel(), 1e-30)).astype(np.float32)
+        # what learning asks of the noise at every step
+        self.noise = np.log(NOISE * self.of_group).astype(np.float32)
+        self.inner_noise = np.log(INNER_NOISE * np.maximum(self.of_member.ravel(), 1e-30)).astype(np.float32)
+        self.group_up_to, self.member_up_to = np.cumsum(self.of_group), np.cumsum(self.of_member, axis=1)
 
     def parts(self) -> list[np.ndarray]:
         return [self.context, self.weigh, self.group, self.group_bias, self.member, self.member_bias]
@@ -118,83 +138,102 @@ class Network:
             p[...] = flat[at : at + p.size].reshape(p.shape)
             at += p.size
 
+    def hidden(self, before: np.ndarray) -> np.ndarray:
+        """Vectors of the symbols before, weighed by position and added up."""
+        tables = self.context * self.weigh[:, None, :]
+        h = np.take(tables[0], before[0], axis=0)
+        more = np.empty_like(h)
+        for o in range(1, ORDER):
+            h += np.take(tables[o], before[o], axis=0, out=more, mode="clip")
+        return h
+
     def log10(self, before: np.ndarray, symbols: np.ndarray) -> np.ndarray:
         """Normalised log10 probability of each symbol; before[o] is the symbol o + 1 places back."""
         out = np.empty(len(symbols))
-        tables = [self.context * w for w in self.weigh]
-        columns = np.ascontiguousarray(self.group.T)
         for at in range(0, len(symbols), SCORED):
             y = symbols[at : at + SCORED]
             g = y // MEMBERS
-            h = np.take(tables[0], before[0][at : at + SCORED], axis=0)
-            for o in range(1, ORDER):
-                h += np.take(tables[o], before[o][at : at + SCORED], axis=0)
-            scores = h @ columns
-            scores += self.group_bias
-            value = log_softmax_at(scores, g)
+            h = self.hidden(before[:, at : at + SCORED])
+            value = np.empty(len(y))
+            for a in range(0, len(y), CACHED):
+                value[a : a + CACHED] = log_softmax_at(self.group, self.group_bias, h[a : a + CACHED], g[a : a + CACHED])
             order = np.argsort(g.astype(np.int16), kind="stable")
             ends = np.searchsorted(g[order], np.arange(GROUPS + 1))
-            h, inside = np.take(h, order, axis=0), y[order] % MEMBERS
+            h, inside, more = np.take(h, order, axis=0), y[order] % MEMBERS, np.empty(len(y))
             for k in np.flatnonzero(np.diff(ends)).tolist():
-                a, b, own = ends[k], ends[k + 1], slice(k * MEMBERS, (k + 1) * MEMBERS)
-                scores = h[a:b] @ self.member[own].T
-                scores += self.member_bias[own]
-                value[order[a:b]] += log_softmax_at(scores, inside[a:b])
+                own = slice(k * MEMBERS, (k + 1) * MEMBERS)
+                for a in range(ends[k], ends[k + 1], CACHED):
+                    b = min(a + CACHED, ends[k + 1])
+                    more[a:b] = log_softmax_at(self.member[own], self.member_bias[own], h[a:b], inside[a:b])
+            value[order] += more
             out[at : at + SCORED] = value
         return out / math.log(10)
 
     def learn(self, before: np.ndarray, y: np.ndarray, rng: np.random.Generator, squares: list[np.ndarray]) -> None:
         """One step of noise-contrastive estimation with Adagrad; the noise is shared."""
-        g = y // MEMBERS
-        order = np.argsort(g.astype(np.int16), kind="stable")
-        before, y, g = before[:, order], y[order], g[order]
+        order = np.argsort((y // MEMBERS).astype(np.int16), kind="stable")
+        before, y = np.take(before, order, axis=1), y[order]
+        g, n = y // MEMBERS, len(y)
         ends = np.searchsorted(g, np.arange(GROUPS + 1))
-        held = np.flatnonzero(np.diff(ends))
-        r = np.take(self.context, before.ravel(), axis=0).reshape(ORDER, len(y), WIDTH)
-        h = np.einsum("obw,ow->bw", r, self.weigh)
+        sizes = np.diff(ends)
+        held = np.flatnonzero(sizes)
+        h = self.hidden(before)
         # groups against noise groups
-        log_noise = np.log(NOISE * self.of_group).astype(np.float32)
-        k = np.minimum(np.searchsorted(np.cumsum(self.of_group), rng.random(NOISE)), GROUPS - 1)
-        own = np.repeat(self.group, np.diff(ends), axis=0)
-        pull = 1 / (1 + np.exp((h * own).sum(axis=1) + self.group_bias[g] - log_noise[g]))
-        push = -1 / (1 + np.exp(log_noise[k] - self.group_bias[k] - h @ self.group[k].T))
-        dh = pull[:, None] * own + push @ self.group[k]
-        d_group, d_group_bias = np.zeros_like(self.group), np.bincount(g, pull, GROUPS).astype(np.float32)
-        d_group[held] = np.add.reduceat(h * pull[:, None], ends[held], axis=0)
+        k = np.minimum(np.searchsorted(self.group_up_to, rng.random(NOISE)), GROUPS - 1)
+        own = np.repeat(self.group, sizes, axis=0)
+        pull = -pushed(np.repeat(self.noise - self.group_bias, sizes) - np.einsum("bw,bw->b", h, own))
+        push = h @ self.group[k].T
+        push += self.group_bias[k] - self.noise[k]
+        pushed(push)
+        dh = push @ self.group[k]
+        own *= pull[:, None]
+        dh += own
+        d_group, d_group_bias = np.zeros_like(self.group), np.zeros_like(self.group_bias)
         np.add.at(d_group, k, push.T @ h)
-        np.add.at(d_group_bias, k, push.sum(axis=0))
+        np.add.at(d_group_bias, k, np.ones(n, np.float32) @ push)
+        d_group_bias[held] += np.add.reduceat(pull, ends[held])
         # members against noise members of their group
-        inner = self.of_member
-        log_noise = np.log(INNER_NOISE * np.maximum(inner.ravel(), 1e-30)).astype(np.float32)
-        own = np.take(self.member, y, axis=0)
-        pull = 1 / (1 + np.exp((h * own).sum(axis=1) + self.member_bias[y] - log_noise[y]))
-        dh += pull[:, None] * own
-        d_member, d_member_bias = sums(y, h * pull[:, None], SYMBOLS), np.bincount(y, pull, SYMBOLS).astype(np.float32)
-        up_to = np.cumsum(inner, axis=1)
-        drawn = (up_to[:, None, :] < (rng.random((GROUPS, INNER_NOISE)) * up_to[:, -1:])[:, :, None]).sum(axis=2)
+        drawn = (self.member_up_to[:, None, :] < (rng.random((GROUPS, INNER_NOISE)) * self.member_up_to[:, -1:])[:, :, None]).sum(axis=2)
         drawn = np.minimum(drawn, MEMBERS - 1) + MEMBERS * np.arange(GROUPS)[:, None]
-        for q in held.tolist():
-            a, b, k = ends[q], ends[q + 1], drawn[q]
-            push = -1 / (1 + np.exp(log_noise[k] - self.member_bias[k] - h[a:b] @ self.member[k].T))
-            dh[a:b] += push @ self.member[k]
-            np.add.at(d_member, k, push.T @ h[a:b])
-            np.add.at(d_member_bias, k, push.sum(axis=0))
-        d_weigh = np.einsum("obw,bw->ow", r, dh)
-        d_context = sums(before.ravel(), (dh[None] * self.weigh[:, None, :]).reshape(-1, WIDTH), SYMBOLS)
+        own = np.take(self.member, y, axis=0)
+        inner = -pushed(np.take(self.inner_noise - self.member_bias, y) - np.einsum("bw,bw->b", h, own))
+        own *= inner[:, None]
+        dh += own
+        vectors, columns = self.member[drawn], np.ascontiguousarray(self.member[drawn].transpose(0, 2, 1))
+        push, each = np.empty((n, INNER_NOISE), np.float32), [(q, slice(ends[q], ends[q + 1])) for q in held.tolist()]
+        for q, rows in each:
+            np.matmul(h[rows], columns[q], out=push[rows])
+        push += np.repeat((self.member_bias - self.inner_noise)[drawn], sizes, axis=0)
+        pushed(push)
+        both, d_drawn = np.column_stack((pull, push)), np.zeros((GROUPS, 1 + INNER_NOISE, WIDTH), np.float32)
+        for q, rows in each:
+            np.matmul(both[rows].T, h[rows], out=d_drawn[q])
+            dh[rows] += push[rows] @ vectors[q]
+        d_group += d_drawn[:, 0]
+        h *= inner[:, None]
+        d_member, d_member_bias = sums(y, h, SYMBOLS), np.bincount(y, inner, SYMBOLS).astype(np.float32)
+        d_member += sums(drawn.ravel(), np.ascontiguousarray(d_drawn[:, 1:]), SYMBOLS)
+        np.add.at(d_member_bias, drawn[held].ravel(), np.add.reduceat(push, ends[held], axis=0).ravel())
+        # symbols before, by their distance
+        added = np.stack([sums(b, dh, SYMBOLS) for b in before])
+        d_weigh, d_context = np.einsum("osw,sw->ow", added, self.context), np.einsum("osw,ow->sw", added, self.weigh)
         for p, d, q in zip(self.parts(), (d_context, d_weigh, d_group, d_group_bias, d_member, d_member_bias), squares):
-            d /= len(y)
+            d /= n
             q += d * d
             p += RATE * d / (np.sqrt(q) + 1e-6)
 
 
 def contexts(symbols: np.ndarray, place: np.ndarray, at: np.ndarray, end: int) -> np.ndarray:
     """Symbols before each position at, one row a distance; place: a position in its text."""
-    return np.stack([np.where(place[at] >= o, symbols[at - o], end) for o in range(1, ORDER + 1)]).astype(np.int64)
+    here, before = place[at], np.empty((ORDER, len(at)), np.int64)
+    for o in range(1, ORDER + 1):
+        before[o - 1] = np.where(here >= o, symbols[at - o], end)
+    return before
 
 
 def places(sizes: np.ndarray) -> np.ndarray:
     """0, 1, 2, ... anew for each text of so many tokens."""
-    return np.arange(sizes.sum(), dtype=np.int64) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return (np.arange(sizes.sum(), dtype=np.int64) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
 
 
 @dataclass
@@ -223,7 +262,11 @@ class Counts:
         return self.frequent[END_WORD][0]
 
     def bin_of(self, word: bytes) -> int:
-        return bisect_right(self.bounds, word[::-1]) * MEMBERS + FREQUENT + zlib.crc32(word[:3]) % BINS
+        return int(self.bins_of([word])[0])
+
+    def bins_of(self, words: list[bytes]) -> np.ndarray:
+        groups = np.array([bisect_right(self.bounds, w[::-1]) for w in words], np.int64)
+        return groups * MEMBERS + FREQUENT + np.array([zlib.crc32(w[:3]) for w in words], np.int64) % BINS
 
     def base_norm(self) -> float:
         return math.log10(self.tokens + SMOOTH * (self.distinct + 1))
@@ -269,16 +312,16 @@ def count(training: DataFrame, limit: int = LOCAL) -> tuple[Counts, DataFrame]:
     totals = vocabulary.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     top = vocabulary.orderBy(F.desc("n"), "word").limit(GROUPS * FREQUENT - 1).collect()
     counts = Counts.over([(bytes(r.word), r.n) for r in top], ends, totals[1] + ends, totals[0] + int(ends > 0))
-    frequent, place = spark.sparkContext.broadcast(counts.frequent), spark.sparkContext.broadcast(counts)
+    place = spark.sparkContext.broadcast(counts)
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, distinct = np.zeros(SYMBOLS), np.zeros(SYMBOLS, np.int64)
+        c, tokens, distinct = place.value, np.zeros(SYMBOLS), np.zeros(SYMBOLS, np.int64)
         for batch in batches:
-            for w, n in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist()):
-                if w not in frequent.value:
-                    s = place.value.bin_of(w)
-                    tokens[s] += n
-                    distinct[s] += 1
+            found = batch.column("word").to_pylist()
+            other = np.array([w not in c.frequent for w in found], bool)
+            s = c.bins_of(found)[other]
+            tokens += np.bincount(s, batch.column("n").to_numpy()[other], SYMBOLS)
+            distinct += np.bincount(s, minlength=SYMBOLS)
         at = np.flatnonzero(distinct)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(tokens[at].astype(np.int64)), pa.array(distinct[at])], names=["symbol", "n", "w"])
 
@@ -309,11 +352,18 @@ def count(training: DataFrame, limit: int = LOCAL) -> tuple[Counts, DataFrame]:
     return counts, vocabulary.where(F.col("n") < counts.cut)
 
 
-class _Lookup:
-    """What is known of each word, with a bounded memory of recent ones.
+class _Slots(dict):
+    """Places of words; a word that is asked for the first time takes the next."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = slot = len(self)
+        return slot
 
-    Columns of ``table``: symbol, known, base, inner, by join (1 if the count is not here;
-    base and inner then lack log10(count + SMOOTH))."""
+
+class _Lookup:
+    """What is known of each word, with a bounded memory of recent ones, by their slots:
+    symbol, known, base, inner, by join (the count is not here; base and inner then lack
+    log10(count + SMOOTH))."""
 
     def __init__(self, counts: Counts):
         self.counts = counts
@@ -321,33 +371,35 @@ class _Lookup:
 
     def forget(self) -> None:
         c = self.counts
-        self.slot: dict[bytes, int] = {w: i for i, w in enumerate(c.frequent)}
+        self.slot = _Slots(zip(c.frequent, range(len(c.frequent))))
         n = np.array([n for _, n in c.frequent.values()], float)
-        rows = np.column_stack(([s for s, _ in c.frequent.values()], n > 0, np.log10(n + SMOOTH) - c.base_norm(), np.zeros(len(n)), np.zeros(len(n))))
-        self.table = np.zeros((2 * REMEMBERED, 5))
-        self.table[: len(rows)] = rows
+        kinds = ((np.int16, [s for s, _ in c.frequent.values()]), (bool, n > 0), (float, np.log10(n + SMOOTH) - c.base_norm()), (float, np.zeros(len(n))), (bool, np.zeros(len(n))))
+        self.columns = [np.zeros(2 * REMEMBERED, kind) for kind, _ in kinds]
+        for column, (_, first) in zip(self.columns, kinds):
+            column[: len(n)] = first
 
-    def rows(self, tokens: list[bytes]) -> np.ndarray:
-        new = [w for w in set(tokens) if w not in self.slot]
-        if len(self.slot) + len(new) > REMEMBERED:
+    def slots(self, tokens: list[bytes]) -> np.ndarray:
+        if len(self.slot) > REMEMBERED:
             self.forget()
-            new = [w for w in set(tokens) if w not in self.slot]
-        if new:
-            first, last = len(self.slot), len(self.slot) + len(new)
-            if last > len(self.table):
-                self.table = np.concatenate((self.table, np.zeros((last, 5))))
+        first = len(self.slot)
+        slots = np.fromiter(map(self.slot.__getitem__, tokens), np.int64, len(tokens))
+        last = len(self.slot)
+        if last > first:
+            if last > len(self.columns[0]):
+                self.columns = [np.concatenate((x, np.zeros(last, x.dtype))) for x in self.columns]
+            new = list(islice(reversed(self.slot), last - first))[::-1]
             c = self.counts
-            symbols = np.array([c.bin_of(w) for w in new])
+            symbols = c.bins_of(new)
             n, here = np.zeros(len(new)), np.zeros(len(new), bool)
             if len(c.hashes):
-                h = np.array([xxhash.xxh3_64_intdigest(w) for w in new], np.uint64)
+                h = np.array(list(map(xxhash.xxh3_64_intdigest, new)), np.uint64)
                 at = np.minimum(np.searchsorted(c.hashes, h), len(c.hashes) - 1)
                 here = c.hashes[at] == h
                 n = np.where(here, c.numbers[at], 0)
             share = np.where(here, np.log10(n + SMOOTH), 0.0)
-            self.slot.update(zip(new, range(first, last)))
-            self.table[first:last] = np.column_stack((symbols, here, share - c.base_norm(), share - c.inner_norm(symbols), ~here))
-        return self.table[np.fromiter(map(self.slot.__getitem__, tokens), np.int64, len(tokens))]
+            for column, x in zip(self.columns, (symbols, here, share - c.base_norm(), share - c.inner_norm(symbols), ~here)):
+                column[first:last] = x
+        return slots
 
 
 _held: dict[str, _Lookup] = {}
@@ -374,19 +426,19 @@ def encode(docs: DataFrame, counts: Counts, keep: tuple[str, ...]) -> tuple[Data
                 tokens += found
                 tokens.append(END_WORD)
                 lengths.append(len(found) + 1)
-            row = lookup.rows(tokens)
+            slots = lookup.slots(tokens)
+            symbols, known, base, inner, joined = (x[slots] for x in lookup.columns)
             sizes = np.array(lengths, np.int64)
             starts = np.cumsum(sizes) - sizes
             total = lambda x: np.add.reduceat(x, starts) if len(starts) else x[:0]
-            symbols = row[:, 0].astype(np.int16)
-            rare = np.flatnonzero(row[:, 4])
+            rare = np.flatnonzero(joined)
             owner = np.searchsorted(starts, rare, side="right") - 1
-            times = Counter(zip(owner.tolist(), map(tokens.__getitem__, rare.tolist())))  # texts in order
-            offsets = np.concatenate(([0], np.cumsum(np.bincount([i for i, _ in times], minlength=len(sizes)))))
-            pairs = pa.StructArray.from_arrays([pa.array([w for _, w in times], pa.binary()), pa.array(list(times.values()), pa.int64())], names=["word", "times"])
+            _, first, times = np.unique(owner << 32 | slots[rare], return_index=True, return_counts=True)  # texts in order
+            offsets = np.concatenate(([0], np.cumsum(np.bincount(owner[first], minlength=len(sizes)))))
+            pairs = pa.StructArray.from_arrays([pa.array(list(map(tokens.__getitem__, rare[first].tolist())), pa.binary()), pa.array(times)], names=["word", "times"])
             arrays = [
-                *(batch.column(k) for k in (*keep, mark)), pa.array([symbols[a : a + n].tobytes() for a, n in zip(starts.tolist(), lengths)], pa.binary()), pa.array(sizes), pa.array(total(row[:, 1]).astype(np.int64)),
-                pa.array(total(row[:, 2])), pa.array(total(row[:, 3])), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pairs)]
+                *(batch.column(k) for k in (*keep, mark)), pa.array([symbols[a : a + n].tobytes() for a, n in zip(starts.tolist(), lengths)], pa.binary()), pa.array(sizes), pa.array(total(known.astype(np.int64))),
+                pa.array(total(base)), pa.array(total(inner)), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pairs)]
             yield pa.RecordBatch.from_arrays(arrays, names=[*keep, mark, *rest])
 
     kept = "".join(f"`{k}` {docs.schema[k].dataType.simpleString()}, " for k in keep)
